@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import col, map_texts, others, slices, words_of
+from tallyloom.llm.common import LOWER_BYTES, col, map_texts, others, slices, words_of
 
 WINDOW = 10
 #: Bytes of window text in one automaton; more items than that are scanned for in several passes over the same rows.
@@ -73,7 +73,7 @@ def scanner(patterns: dict[str, tuple[int, list[int]]]):
                     edge[stop] -= 1
                     items.update(ids)
                 runs = runs_of(np.cumsum(edge[:-1]) > 0)
-                at = [m.span() for m in WORD.finditer(text.decode())]
+                at = [m.span() for m in WORD.finditer(text.translate(LOWER_BYTES).decode())]
                 runs = [{"first": a, "last": b - 1, "start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
             out["n_words"].append(len(words))
             out["hits"].append(runs)

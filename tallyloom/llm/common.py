@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +65,7 @@ def slices(lengths: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield lo, len(lengths)
 
 
-def map_texts(df: DataFrame, text_col: str, keep: list[str], out: T.StructType, make: Callable[[], Callable[[list[bytes]], dict]]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, keep: list[str], out: T.StructType, make: Callable[[], Callable[[list[bytes]], dict]], most: int = SLICE_BYTES) -> DataFrame:
     """Keeps the columns `keep` and appends those of `out`, which make()(texts) returns as arrays by name.
 
     Texts come as UTF-8 bytes, null as b"". Kept columns with the name of a column of `out` go, as do all columns not in `keep`.
@@ -84,7 +85,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], out: T.StructType,
         for batch in batches:
             texts = batch.column(len(kept)).cast(pa.binary())
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            for lo, hi in slices(sizes):
+            for lo, hi in slices(sizes, most):
                 part = [t or b"" for t in texts.slice(lo, hi - lo).to_pylist()]
                 got = fn(part)
                 cols = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
@@ -107,3 +108,48 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
+
+
+# ---- words as numbers ----
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2 ** 64, the first n of each."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        inverse = pow(_BASE, -1, 1 << 64)
+        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))) for b in (_BASE, inverse)]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """H with H[i] the polynomial of the first i bytes: span_hashes gives any run's hash from it."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=out[1:])
+    return out
+
+
+def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [start, end): equal for equal bytes wherever they stand."""
+    return mixed((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection on 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def token_hashes(texts: list[bytes], table: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs that `table` does not map to spaces), and the number of words of each text."""
+    data = np.frombuffer(b" ".join(texts).translate(table) + b" ", np.uint8)
+    prefix = prefix_hashes(data)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], data != 32, [False])).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.concatenate(([0], np.searchsorted(starts, bounds))))
+    return span_hashes(prefix, starts, ends), counts

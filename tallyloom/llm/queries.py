@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, jaccard_join, licenses, quality, secrets, toxicity
+from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, quality, secrets, toxicity
 from tallyloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language_model": op7_language_model,
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,

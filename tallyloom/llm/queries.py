@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, quality, secrets, toxicity
+from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, quality, repeats, secrets, toxicity
 from tallyloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
@@ -42,6 +46,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_repeats": op5_repeats,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_model": op7_language_model,
     "op8_licenses": op8_licenses,

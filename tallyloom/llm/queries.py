@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, quality, repeats, secrets, toxicity
-from tallyloom.llm.common import table
+from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, quality, repeats, secrets, toxicity, warc
+from tallyloom.llm.common import table, work_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_tokens", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark)
+    warc.build_index(warc.write_archives(table(spark, sf_dir, "pages"), path), path)
+    return warc.read_archives(spark, path, with_payload=False).drop("payload", "url")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_warc": op3_warc,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeats": op5_repeats,
     "op6_decontaminate": op6_decontaminate,

@@ -23,7 +23,7 @@ from tallyloom.llm.common import LOWER_BYTES, col, map_texts, others
 
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 2500
-#: Bytes of one text that the fit reads at most come from whole texts; longer ones are left out of the sample.
+#: The sample takes whole texts of at most so many bytes.
 SAMPLE_TEXT_BYTES = 60_000
 BUCKETS = 1 << 20
 SEQUENCE = 64
@@ -125,10 +125,10 @@ def weak_labels(feats: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[bytes, int]], steps: int = 25, rate: float = 0.3) -> dict:
     """The model from (text, label) rows; two thirds train the field, the others the document curve."""
-    texts = [tokens_of(t) for t, _ in rows]
     toxic = np.array([y for _, y in rows])
     cache: dict[bytes, tuple] = {}
-    feats = [np.array([cache.get(w) or cache.setdefault(w, features(w)) for w in t], np.int64).reshape(-1, 3) for t in texts]
+    feats = [np.array([cache.get(w) or cache.setdefault(w, features(w)) for w in tokens_of(t)], np.int32).reshape(-1, 3) for t, _ in rows]
+    del cache
     train = np.arange(len(rows)) % 3 != 2
     model = {"weights": np.zeros(BUCKETS, np.float32), "bias": -6.0, "trans": np.zeros((2, 2)), "curve": np.array([-5.0, 0.0, 0.0])}
     if not len(rows) or not 0 < toxic.sum() < len(rows):
@@ -136,7 +136,7 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25, rate: float = 0.3) -> di
         return model
     single = np.flatnonzero(train & unlike(feats))
     marked = weak_labels([feats[i] for i in single], toxic[single])
-    ids = [i for i in single if len(texts[i])]
+    ids = [i for i in single if len(feats[i])]
     flat = np.concatenate([feats[i] for i in ids])
     lengths = np.array([len(feats[i]) for i in ids])
     gold = marked[flat].any(1) & np.repeat(toxic[ids] == 1, lengths)
@@ -162,26 +162,28 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25, rate: float = 0.3) -> di
     model["weights"][used] = w
     model |= {"bias": float(bias), "trans": trans}
     rest = [i for i in range(len(rows)) if not train[i]]
-    x = document_features(*token_marginals([texts[i] for i in rest], model, {}))
+    lengths = np.array([len(feats[i]) for i in rest])
+    logits = model["weights"][np.concatenate([feats[i] for i in rest])].sum(1) + model["bias"]
+    x = document_features(sequence_marginals(logits, lengths, model), lengths)
     model["curve"] = logistic(x, toxic[rest])
     return model
 
 
-def token_marginals(texts: list[list[bytes]], model: dict, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+def token_marginals(texts: list[list[bytes]], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all tokens, one text after the other, and the texts' lengths."""
-    weights, bias = model["weights"], model["bias"]
     lengths = np.array([len(t) for t in texts], np.int64)
-    flat = [w for t in texts for w in t]
     ids: dict[bytes, int] = {}
-    number = np.fromiter((ids.setdefault(w, len(ids)) for w in flat), np.int64, len(flat))
+    number = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t), np.int64, int(lengths.sum()))
     buckets = np.array([features(w) for w in ids], np.int64).reshape(-1, 3)
-    logits = np.append(weights[buckets].sum(1) + bias, 0.0)
+    return sequence_marginals((model["weights"][buckets].sum(1) + model["bias"])[number], lengths, model), lengths
+
+
+def sequence_marginals(logits: np.ndarray, lengths: np.ndarray, model: dict) -> np.ndarray:
     at, _ = padded(lengths)
-    out = np.zeros(len(flat) + 1)
-    place = np.append(number, len(ids))[at]
-    mu, _, _ = marginals(logits[place], at < len(flat), model["trans"])
+    out = np.zeros(len(logits) + 1)
+    mu, _, _ = marginals(np.append(logits, 0.0)[at], at < len(logits), model["trans"])
     out[at.ravel()] = mu.ravel()
-    return out[:-1], lengths
+    return out[:-1]
 
 
 def document_features(mu: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -224,7 +226,7 @@ def scorer(model: dict):
 
     def score(texts: list[bytes]) -> dict:
         tokens = [tokens_of(t) for t in texts]
-        mu, lengths = token_marginals(tokens, model, {})
+        mu, lengths = token_marginals(tokens, model)
         x = document_features(mu, lengths)
         z = x @ model["curve"]
         starts = np.cumsum(lengths) - lengths

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, quality, repeats, secrets, toxicity, warc
+from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, pieces, quality, repeats, secrets, toxicity, warc
 from tallyloom.llm.common import table, work_dir
 
 
@@ -15,6 +15,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_tokens", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    decoded = pieces.decode(pieces.encode(docs), out_col="decoded")
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), ids.alias("ids_sha256"), "text_sha256", F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("lossless"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     warc.build_index(warc.write_archives(table(spark, sf_dir, "pages"), path), path)
@@ -51,6 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeats": op5_repeats,

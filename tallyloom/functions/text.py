@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ NOISY_SHOE_SIZE = r"(?U)^((?:2[0-9]|3[0-9]|4[0-9]|5[0-5])(?:\.\d)?)(?=\s*(?:[*xX
 FIELD_LABEL = r"(?U)(颜色分类|颜色|鞋码|尺码|规格|款式)\s*[:：]\s*"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def plain(c: Column) -> Column:
     """The value as text without white space at its ends; null is empty."""
     return F.coalesce(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""), F.lit(""))
@@ -60,44 +67,49 @@ def _first_group(text: Column, pattern: str, groups: int) -> Column:
 
 def quantity_from_text(*values: Column) -> Column:
     """The first value with a positive quantity: `*2`, `x2`, `2件`, `[2]` anywhere, else a text of digits only."""
-    found = []
-    for v in values:
-        t = text_value(v)
+
+    def one(t: Column) -> Column:
         n = _first_group(t, QUANTITY, 4).try_cast("bigint")
-        found += [F.when(n > 0, n), F.when(t.rlike(r"^\d+$") & (t.try_cast("bigint") > 0), t.try_cast("bigint"))]
-    return F.coalesce(*found)
+        return F.coalesce(F.when(n > 0, n), F.when(t.rlike(r"^\d+$") & (t.try_cast("bigint") > 0), t.try_cast("bigint")))
+
+    return F.coalesce(*[let(text_value(v), one) for v in values])
 
 
 def strip_trailing_quantity(c: Column, order: bool = False) -> Column:
     """struct(head, quantity): the text before a quantity at its end, and the quantity's digits. order: with closing marks and separators too."""
-    t = compact(c)
-    plain_tail = F.struct(F.when(t.rlike(QUANTITY_TAIL), compact(F.regexp_replace(t, QUANTITY_TAIL, ""))).otherwise(t).alias("head"), F.coalesce(_first_group(t, QUANTITY_TAIL, 4), F.lit("")).alias("quantity"))
-    if not order:
-        return plain_tail
-    return F.when(t.rlike(ORDER_QUANTITY_TAIL), F.struct(compact(F.regexp_replace(t, ORDER_QUANTITY_TAIL, "")).alias("head"), F.coalesce(_first_group(t, ORDER_QUANTITY_TAIL, 3), F.lit("")).alias("quantity"))).otherwise(plain_tail)
+
+    def cut(t: Column, pattern: str, groups: int) -> Column:
+        return F.struct(compact(F.regexp_replace(t, pattern, "")).alias("head"), F.coalesce(_first_group(t, pattern, groups), F.lit("")).alias("quantity"))
+
+    def one(t: Column) -> Column:
+        none = F.struct(t.alias("head"), F.lit("").alias("quantity"))
+        tail = F.when(t.rlike(QUANTITY_TAIL), cut(t, QUANTITY_TAIL, 4)).otherwise(none)
+        return F.when(t.rlike(ORDER_QUANTITY_TAIL), cut(t, ORDER_QUANTITY_TAIL, 3)).otherwise(tail) if order else tail
+
+    return let(compact(c), one)
 
 
 def strip_logistics_tail(c: Column) -> Column:
-    t = text_value(c)
-    k = compact(t)
-    return F.when(k.rlike(LOGISTICS_TAIL), F.btrim(compact(F.regexp_replace(k, LOGISTICS_TAIL, "")), F.lit(" ，,;；"))).otherwise(t)
+    def one(t: Column) -> Column:
+        return let(compact(t), lambda k: F.when(k.rlike(LOGISTICS_TAIL), F.btrim(compact(F.regexp_replace(k, LOGISTICS_TAIL, "")), F.lit(" ，,;；"))).otherwise(t))
+
+    return let(text_value(c), one)
 
 
 def remove_first(c: Column, pattern: str) -> Column:
-    """Replaces the first match only."""
+    """Takes out the first match only."""
     m = F.regexp_substr(c, F.lit(pattern))
     at = F.instr(c, m)
     return F.when(m.isNull(), c).otherwise(F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(m), F.length(c))))
 
 
 def remove_field_label(c: Column) -> Column:
-    return plain(remove_first(compact(c), FIELD_LABEL))
+    return let(compact(c), lambda t: plain(remove_first(t, FIELD_LABEL)))
 
 
 def normalize_size(c: Column) -> Column:
     """Shoe sizes 20 to 55.9 without hints, quantities or logistics; other texts as they are."""
-    t = strip_logistics_tail(remove_field_label(c))
-    return F.coalesce(nonempty(F.regexp_extract(t, NOISY_SHOE_SIZE, 1)), nonempty(F.regexp_extract(t, SHOE_SIZE, 1)), t)
+    return let(strip_logistics_tail(remove_field_label(c)), lambda t: F.coalesce(nonempty(F.regexp_extract(t, NOISY_SHOE_SIZE, 1)), nonempty(F.regexp_extract(t, SHOE_SIZE, 1)), t))
 
 
 def report_quantity(c: Column, default: Column) -> Column:

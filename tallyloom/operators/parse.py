@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import FIELD_LABEL, compact, nonempty, normalize_size, plain, quantity_from_text, remove_field_label, strip_logistics_tail, strip_trailing_quantity, text_value
+from tallyloom.functions.text import FIELD_LABEL, compact, let, nonempty, normalize_size, plain, quantity_from_text, remove_field_label, strip_logistics_tail, strip_trailing_quantity, text_value
 
 ATTR1 = r"(?:颜色分类|颜色|规格|款式)"
 ATTR2 = r"(?:鞋码|尺码)"
@@ -23,49 +23,64 @@ def special_reason(text: Column, keywords: list[tuple[str, str]]) -> Column:
 
 def labelled(text: Column) -> Column:
     """struct(sales_attr1, sales_attr2) of a text with field labels, the first of each kind; null without either."""
-    def value(label):
-        return F.btrim(compact(F.regexp_extract(text, rf"(?U){label}\s*[:：]\s*(.*?)\s*(?:{ANY_LABEL}|$)", 1)), F.lit(SEPARATORS))
 
-    a, b = value(ATTR1), value(ATTR2)
-    size = F.when(b == "", "").otherwise(normalize_size(b))
-    return F.when((a != "") | (b != ""), F.struct(remove_field_label(a).alias("sales_attr1"), size.alias("sales_attr2")))
+    def value(t, label):
+        return F.btrim(compact(F.regexp_extract(t, rf"(?U){label}\s*[:：]\s*(.*?)\s*(?:{ANY_LABEL}|$)", 1)), F.lit(SEPARATORS))
+
+    def one(v: Column) -> Column:
+        size = F.when(v["b"] == "", "").otherwise(normalize_size(v["b"]))
+        return F.when((v["a"] != "") | (v["b"] != ""), F.struct(remove_field_label(v["a"]).alias("sales_attr1"), size.alias("sales_attr2")))
+
+    return let(text, lambda t: let(F.struct(value(t, ATTR1).alias("a"), value(t, ATTR2).alias("b")), one))
 
 
 def attr_tail(text: Column, titled: bool) -> Column:
     """struct(sales_attr1, sales_attr2) of the text after a title: at the last slash, before a bracket at the end, else at the last space."""
-    t = strip_trailing_quantity(text)["head"]
 
     def first(v: Column) -> Column:
-        v = plain(F.regexp_replace(compact(v), r"(?U)[，,、;；:\s]+$", ""))
+        clean = plain(F.regexp_replace(compact(v), r"(?U)[，,、;；:\s]+$", ""))
         if titled:
-            return plain(F.regexp_replace(v, r"[/／\\]+$", ""))
-        left = plain(F.get(F.split(v, r"[/／\\]", 2), F.lit(0)))
-        v = F.when((left != "") & (left != v), left).otherwise(v)
-        tail = F.regexp_extract(v, r"^(.*) (\S+)$", 2)
-        head = F.regexp_extract(v, r"^(.*) (\S+)$", 1)
-        return F.when((tail != "") & (F.length(F.replace(head, F.lit(" "), F.lit(""))) >= 12), tail).otherwise(v)
-
-    pair = lambda p: F.struct(first(F.regexp_extract(t, p, 1)).alias("sales_attr1"), plain(F.regexp_extract(t, p, 2)).alias("sales_attr2"))
+            return plain(F.regexp_replace(clean, r"[/／\\]+$", ""))
+
+        def last_word(w: Column) -> Column:
+            tail, head = F.regexp_extract(w, r"^(.*) (\S+)$", 2), F.regexp_extract(w, r"^(.*) (\S+)$", 1)
+            return F.when((tail != "") & (F.length(F.replace(head, F.lit(" "), F.lit(""))) >= 12), tail).otherwise(w)
+
+        left = lambda c: F.coalesce(nonempty(plain(F.get(F.split(c, r"[/／\\]", 2), F.lit(0)))), c)
+        return let(let(clean, left), last_word)
+
     slash, bracket, space = r"^(.*)[/／\\]([^/／\\]*)$", r"^(.+) (\S+\s*[(（][^(（]*[)）])$", r"^(.*) (\S+)$"
-    return F.when(t.rlike(slash), pair(slash)).when(t.rlike(bracket), pair(bracket)).when(t.rlike(space), pair(space)).otherwise(F.struct(first(t).alias("sales_attr1"), F.lit("").alias("sales_attr2")))
+
+    def cut(t: Column) -> Column:
+        pattern = F.when(t.rlike(slash), F.lit(slash)).when(t.rlike(bracket), F.lit(bracket)).when(t.rlike(space), F.lit(space))
+        whole = F.struct(t.alias("a"), F.lit("").alias("b"))
+        return F.coalesce(*[F.when(pattern == p, F.struct(F.regexp_extract(t, p, 1).alias("a"), plain(F.regexp_extract(t, p, 2)).alias("b"))) for p in (slash, bracket, space)], whole)
+
+    return let(let(strip_trailing_quantity(text)["head"], cut), lambda p: F.struct(first(p["a"]).alias("sales_attr1"), p["b"].alias("sales_attr2")))
+
+
+def _fields(parts: Column, ok: Column) -> Column:
+    return let(parts, lambda p: F.when(ok & (p["product"] != "") & (p["sales_attr1"] != "") & (p["sales_attr2"] != ""), p))
 
 
 def delimited(text: Column) -> Column:
     """struct of `product，attr1，attr2` by the commas outside brackets; null if the text has fewer, a title or a leading label."""
-    parts = F.filter(F.transform(F.split(text, OUTER_COMMA, -1), compact), lambda p: p != "")
-    n = F.size(parts)
-    product = F.array_join(F.slice(parts, 1, F.greatest(n - 2, F.lit(1))), "，")
-    a, b = remove_field_label(F.element_at(parts, -2)), normalize_size(F.element_at(parts, -1))
-    ok = (n >= 3) & ~(text.contains("【") & text.contains("】")) & ~F.get(parts, F.lit(0)).rlike(f"^{ANY_LABEL}")
-    return F.when(ok, F.when((product != "") & (a != "") & (b != ""), F.struct(product.alias("product"), a.alias("sales_attr1"), b.alias("sales_attr2"))))
+    titled = text.contains("【") & text.contains("】")
+
+    def one(parts: Column) -> Column:
+        n = F.size(parts)
+        product = F.array_join(F.slice(parts, 1, F.greatest(n - 2, F.lit(1))), "，")
+        got = F.struct(product.alias("product"), remove_field_label(F.get(parts, n - 2)).alias("sales_attr1"), normalize_size(F.get(parts, n - 1)).alias("sales_attr2"))
+        return F.when((n >= 3) & ~F.get(parts, F.lit(0)).rlike(f"^{ANY_LABEL}"), _fields(got, ~titled))
+
+    return let(F.filter(F.transform(F.split(text, OUTER_COMMA, -1), compact), lambda p: p != ""), one)
 
 
 def semicolon(text: Column) -> Column:
     """struct of `product attr1;size`; null otherwise."""
     p = r"^(.+)\s+([^;；]+)[;；]\s*(\d+(?:\.\d+)?)$"
-    product, a, b = compact(F.regexp_extract(text, p, 1)), remove_field_label(F.regexp_extract(text, p, 2)), normalize_size(F.regexp_extract(text, p, 3))
-    ok = text.rlike(p) & ~(text.contains("【") & text.contains("】")) & (product != "") & (a != "") & (b != "")
-    return F.when(ok, F.struct(product.alias("product"), a.alias("sales_attr1"), b.alias("sales_attr2")))
+    got = F.struct(compact(F.regexp_extract(text, p, 1)).alias("product"), remove_field_label(F.regexp_extract(text, p, 2)).alias("sales_attr1"), normalize_size(F.regexp_extract(text, p, 3)).alias("sales_attr2"))
+    return F.when(text.rlike(p), _fields(got, ~(text.contains("【") & text.contains("】"))))
 
 
 def parse_items(rows: DataFrame, text: str, fallback_quantity: Column | None = None, remark: Column | None = None, keywords: list[tuple[str, str]] = (), default_quantity: int | None = None) -> DataFrame:
@@ -81,8 +96,8 @@ def parse_items(rows: DataFrame, text: str, fallback_quantity: Column | None = N
     labels = F.when(~text_value(F.col("__text")).rlike(r"[\r\n]"), labelled(head))
     staged = staged.withColumns({"__labels": labels, "__title": F.regexp_extract(head, r"^【([^】]+)】(.*)$", 1), "__tail": compact(F.regexp_extract(head, r"^【([^】]+)】(.*)$", 2)), "__fields": F.coalesce(delimited(head), semicolon(head))})
     empty = F.lit("")
-    whole = F.struct(compact(head).alias("product"), attr_tail(head, False)["sales_attr1"].alias("sales_attr1"), attr_tail(head, False)["sales_attr2"].alias("sales_attr2"))
-    titled = F.struct(compact(F.col("__title")).alias("product"), attr_tail(F.col("__tail"), True)["sales_attr1"].alias("sales_attr1"), attr_tail(F.col("__tail"), True)["sales_attr2"].alias("sales_attr2"))
+    whole = let(attr_tail(head, False), lambda a: F.struct(compact(head).alias("product"), a["sales_attr1"].alias("sales_attr1"), a["sales_attr2"].alias("sales_attr2")))
+    titled = let(attr_tail(F.col("__tail"), True), lambda a: F.struct(compact(F.col("__title")).alias("product"), a["sales_attr1"].alias("sales_attr1"), a["sales_attr2"].alias("sales_attr2")))
     only = F.struct(empty.alias("product"), F.col("__labels.sales_attr1").alias("sales_attr1"), F.col("__labels.sales_attr2").alias("sales_attr2"))
     none = F.struct(empty.alias("product"), empty.alias("sales_attr1"), empty.alias("sales_attr2"))
     got = F.when(F.col("__special").isNotNull(), none).when(F.col("__labels").isNotNull(), only).when(F.col("__title") != "", titled).when(F.col("__fields").isNotNull(), F.col("__fields")).otherwise(whole)

@@ -436,5 +436,5 @@ def special_keyword(spark, sf_dir):
 def heuristic_parse(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     size = (F.col("p_size") % 30 + 20).cast("string")
-    t = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("【"), "p_name", F.lit("】"), "p_brand", F.lit("/"), size, F.lit(" *2"))).otherwise(F.concat("p_name", F.lit("，颜色: "), "p_brand", F.lit("，"), size, F.lit("码 x2")))
+    t = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("【"), "p_name", F.lit("】"), "p_brand", F.lit("/"), size, F.lit(" *2"))).otherwise(F.concat("p_name", F.lit("，"), "p_brand", F.lit("，"), size, F.lit("码 x2")))
     return A.parse_items(part.withColumn("item", t), "item").select("p_partkey", "product", "sales_attr1", "sales_attr2", "quantity", "status")

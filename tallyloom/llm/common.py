@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,23 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Lets Spark put a Bloom filter of the smaller side's keys, of its usual bounded size, on the larger side's scan at any size.
+_RUNTIME_FILTER = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1B"}
+
+
+@contextlib.contextmanager
+def runtime_filters(spark: SparkSession):
+    """While it is open, queries that run join a few keys with long rows without shuffling the rows that surely do not match."""
+    before = {k: spark.conf.get(k, None) for k in _RUNTIME_FILTER}
+    for k, v in _RUNTIME_FILTER.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def slices(lengths: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose lengths sum to at most `most`, or that hold one row."""
     lo = size = 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import col, map_texts, mixed, token_hashes, work_dir, written
+from tallyloom.llm.common import col, map_texts, mixed, runtime_filters, token_hashes, work_dir, written
 from tallyloom.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -206,14 +206,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     members = written(members.join(classes.select("rep", "n", "digest"), "rep"), f"{top}/members")
 
     # each class goes to the block pairs of its group that it has a part in
-    texts = rows.join(members.withColumnRenamed("rep", "id"), "id").withColumnRenamed("digest", "want")
+    texts = rows.join(members.where("blocks > 0").withColumnRenamed("rep", "id"), "id").withColumnRenamed("digest", "want")
     full = map_texts(texts, "text", ["id", "gid", "blocks", "n", "want"], SETS, lambda: _sets, CALL_BYTES).where("digest = want").dropDuplicates(["id", "gid"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("gid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("id").alias("rep"), (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "signature", "shingles")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     pairs = dealt.repartition(parts, "gid", "x", "y").sortWithinPartitions("gid", "x", "y")
-    found = written(pairs.mapInArrow(_compared(threshold), COMPARED), f"{top}/found")
+    with runtime_filters(spark):  # most texts are in no group
+        found = written(pairs.mapInArrow(_compared(threshold), COMPARED), f"{top}/found")
 
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_rows").alias("n_rows"))

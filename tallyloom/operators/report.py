@@ -118,7 +118,7 @@ def normalized_layout(layout: dict | str | None) -> dict:
     return {"columns": columns, "stack_sales_attr1": bool(layout.get("stack_sales_attr1", True)), "stack_sales_attr2": bool(layout.get("stack_sales_attr2", False))}
 
 
-def apply_layout(lines: DataFrame, layout: dict | str | None = None) -> DataFrame:
-    """The visible columns under their labels; the image column is always empty text."""
+def apply_layout(lines: DataFrame, layout: dict | str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The visible columns under their labels, after the columns `keep`; the image column is always empty text."""
     source = {"product_name": "product_name", "sales_attr1": "spec", "sales_attr2": "size_text", "quantity": "quantity", "remark": "remark", "image_match_text": "image_match_text"}
-    return lines.select(*[(F.col(source[c["key"]]) if c["key"] in source else F.lit("")).alias(c["label"]) for c in normalized_layout(layout)["columns"] if c["visible"]])
+    return lines.select(*(keep or []), *[(F.col(source[c["key"]]) if c["key"] in source else F.lit("")).alias(c["label"]) for c in normalized_layout(layout)["columns"] if c["visible"]])

@@ -8,7 +8,8 @@ windows with one anchor are neighbours and make a block. Blocks are compared in
 2. the distinct blocks at each other anchor go to one task, which sorts the suffixes that start at the blocks' windows. The
    sort is a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
    hashes; neighbours that share LENGTH bytes, which are then compared byte for byte, repeat;
-3. anchors with more than MOST distinct blocks are not brought together: their windows' hashes (128 bits) are counted.
+3. anchors with more than MOST distinct blocks are not brought together: hashes (128 bits) of what runs of RUN windows share
+   are counted, then those of single windows where that leaves it open.
 
 Texts are compared as UTF-8 bytes, matches never cross texts. Equal texts are handled once: if they have LENGTH bytes, all of
 them repeat. Null and empty texts have no bytes. Rows with a null id are treated as any other.
@@ -27,7 +28,9 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import col, mixed, powers, prefix_hashes, slices, span_hashes, work_dir, written
 
 LENGTH, GRAM = 200, 32
-MOST = 100
+MOST = 16
+#: Windows that are hashed as one at first, at anchors with more blocks.
+RUN = 8
 CALL_BYTES = 1_500_000
 #: Suffixes in one sort.
 SORT_ROWS = 400_000
@@ -216,23 +219,41 @@ def _sorted_blocks(length: int):
     return run
 
 
-WINDOWS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("block", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+HASHED = T.StructType([*[T.StructField(n, T.LongType()) for n in ("anchor", "block")], *[T.StructField(n, T.IntegerType()) for n in ("a", "b")], *[T.StructField(n, T.LongType()) for n in ("h1", "h2", "whole")]])
 
 
-def _window_rows(length: int):
+def _hashed(length: int, run_of: int):
+    """Over (anchor, block, windows, offset, body[, runs]): for each run of `run_of` windows of a block (only those in `runs`, if given),
+    its first and last window, 128 bits of the bytes that all of them share, and the hash of all its bytes."""
+
     def run(batches):
         for batch in batches:
-            for anchor, block, windows, offset, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list[np.ndarray]] = [[] for _ in HASHED]
+            for anchor, block, windows, offset, body, *only in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(body, np.uint8)
-                t = np.arange(windows)
-                first = span_hashes(prefix_hashes(data), t, t + length)
-                other = span_hashes(prefix_hashes(data[::-1]), len(data) - t - length, len(data) - t)
-                h1 = mixed(first + mixed((offset - t).astype(np.uint64) + np.uint64(anchor & (2**64 - 1))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(windows, anchor)), pa.array(np.full(windows, block)), pa.array(t.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(other.view(np.int64))], WINDOWS.names)
+                # runs lie on a grid of the anchor's offset, so that equal windows of two blocks are in runs of one kind
+                t = np.concatenate([np.arange(o["a"], o["b"] + 1) for o in only[0]]) if only else np.arange(windows)
+                grid = np.unique((offset - t) // run_of) * run_of
+                a, b = np.maximum(offset - grid - run_of + 1, 0), np.minimum(offset - grid, windows - 1)
+                prefix, back = prefix_hashes(data), prefix_hashes(data[::-1])
+                lo, hi = offset - grid, offset - grid - run_of + 1 + length  # what the run's windows have in common
+                h1 = mixed(span_hashes(prefix, lo, hi) + mixed(grid.astype(np.uint64) + np.uint64(anchor & (2**64 - 1))))
+                h2 = span_hashes(back, len(data) - hi, len(data) - lo)
+                whole = span_hashes(prefix, a, b + length)
+                for o, v in zip(out, (np.full(len(a), anchor), np.full(len(a), block), a.astype(np.int32), b.astype(np.int32), h1.view(np.int64), h2.view(np.int64), whole.view(np.int64)), strict=True):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], HASHED.names)
 
     return run
 
 
+def _shared(hashed: DataFrame, path: str) -> DataFrame:
+    """The rows of _hashed() whose shared bytes stand in another block too, with same: whether all bytes of the runs are equal there."""
+    twice = hashed.groupBy("h1", "h2").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("b0 != b1")
+    twice = written(twice.select("h1", "h2", (F.col("w0") == F.col("w1")).alias("same")), path)
+    return hashed.join(twice, ["h1", "h2"]).select("anchor", "block", F.struct("a", "b").alias("s"), "same")
+
+
 BLOCKS = T.StructType([*[ANCHORS[c] for c in ("anchor", "block", "windows", "offset")], T.StructField("body", T.BinaryType())])
 
 
@@ -286,7 +307,7 @@ def _keep(with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = True, most: int = MOST) -> DataFrame:
     """For each row of docs: id, n_bytes, n_removed, spans (maximal removed runs), kept (the remaining bytes; null unless with_bytes) and kept_sha256."""
     spark = docs.sparkSession
     top = work_dir(spark)
@@ -309,13 +330,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # copies of a text hold the same blocks: one of them is cut
     single = wanted.join(rows.select("k1", "k2", "text"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     blocks = written(single.select("text", "wanted").mapInArrow(_cut(length), BLOCKS), f"{top}/blocks")
-    few = blocks.join(crowd.where(F.col("n") <= MOST), "anchor").select(*BLOCKS.names[:2], "windows", "offset", "body")
-    many = blocks.join(crowd.where(F.col("n") > MOST), "anchor").select(*BLOCKS.names[:2], "windows", "offset", "body")
+    few = blocks.join(crowd.where(F.col("n") <= most), "anchor").select(*BLOCKS.names)
+    many = written(blocks.join(crowd.where(F.col("n") > most), "anchor").select(*BLOCKS.names), f"{top}/many")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(length), COVERED)
-    windows = written(many.mapInArrow(_window_rows(length), WINDOWS), f"{top}/windows")
-    twice = written(windows.groupBy("h1", "h2").agg(F.min("block").alias("b0"), F.max("block").alias("b1")).where("b0 != b1").select("h1", "h2"), f"{top}/twice")
-    counted = windows.join(twice, ["h1", "h2"]).groupBy("anchor", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("t").alias("a"), F.col("t").alias("b")))).alias("spans"))
+    # runs of RUN windows first: if what they share stands in one block only, none of them repeats; if their bytes agree, all do
+    runs = written(_shared(written(many.mapInArrow(_hashed(length, RUN), HASHED), f"{top}/hashed"), f"{top}/twice"), f"{top}/runs")
+    open_ = runs.where("not same").groupBy("anchor", "block").agg(F.collect_list("s").alias("runs"))
+    windows = written(many.join(open_, ["anchor", "block"]).select(*BLOCKS.names, "runs").mapInArrow(_hashed(length, 1), HASHED), f"{top}/windows")
+    found_ = runs.where("same").select("anchor", "block", "s").unionByName(_shared(windows, f"{top}/twice1").select("anchor", "block", "s"))
+    counted = found_.groupBy("anchor", "block").agg(F.collect_list("s").alias("spans"))
     covered = written(sorted_.unionByName(counted), f"{top}/covered")
 
     # what is removed of each text that has no copies

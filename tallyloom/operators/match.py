@@ -114,11 +114,17 @@ def term_score(actual: Column, term: Column, bidirectional: bool = False) -> Col
 
 
 def sku_scores(rows: DataFrame, skus: DataFrame, row_id: list[str], fields: list[str]) -> DataFrame:
-    """The best score of each SKU (product_id, sku_id, terms) for each row (product_id and the fields), by equi-join on the product."""
-    text = rows.select(*row_id, "product_id", F.array_distinct(F.array(*[F.col(f) for f in fields])).alias("values"))
-    pairs = text.join(skus, "product_id")
-    best = F.array_max(F.flatten(F.transform("values", lambda v: F.transform("terms", lambda t: term_score(v, t, True)))))
-    return pairs.select(*row_id, "product_id", "sku_id", best.alias("score")).where("score > 0")
+    """The best score of each SKU (product_id, sku_id, terms) that can be a row's best (rows: row_id, product_id and the fields).
+
+    Equal terms are found by equi-join. Only rows without one, for which lower scores count, are compared term by term with
+    the SKUs of their product. All texts are brought to their compared form once."""
+    value = rows.select(*row_id, "product_id", F.explode(F.array_distinct(F.array(*[match_text(F.col(f)) for f in fields]))).alias("value")).where("value != ''")
+    term = skus.select("product_id", "sku_id", F.explode(F.array_distinct(F.transform("terms", match_text))).alias("term")).where("term != ''")
+    equal = value.join(term.withColumnRenamed("term", "value"), ["product_id", "value"]).groupBy(*row_id, "product_id", "sku_id").agg((F.max(F.length("value")) + 10000).alias("score"))
+    rest = value.join(equal.select(*row_id).distinct(), row_id, "left_anti")
+    inside = rest.join(term, "product_id").where(F.col("value").contains(F.col("term")) | F.col("term").contains(F.col("value")))
+    score = F.when(F.col("value").contains(F.col("term")), F.length("term") + 5000).otherwise(F.length("value") + 1000)
+    return equal.unionByName(inside.groupBy(*row_id, "product_id", "sku_id").agg(F.max(score).alias("score")))
 
 
 def top_sku(scores: DataFrame, row_id: list[str]) -> DataFrame:
@@ -169,10 +175,10 @@ def rule_preview(rows: DataFrame, rules: list[dict]) -> DataFrame:
     spec = [normalized_rule(r) for r in rules]
     dim = F.explode(F.array(*[F.struct(F.lit(r["id"]).cast("bigint").alias("rule_id"), F.lit(r["product_id"] or -1).cast("bigint").alias("p"), F.lit(r["sku_id"] or -1).cast("bigint").alias("s"), F.lit(r["image_id"] or -1).cast("bigint").alias("i")) for r in spec])).alias("d")
     each = rows.sparkSession.range(1).select(dim).select("d.*")
-    # a row for each target: both sides are as few as the rules
-    own = each.join(live.where("not none"), (F.col("p") == F.col("t.product_id")) & (F.col("s") == F.col("t.sku_id")) & (F.col("i") == F.col("t.image_id")), "left").groupBy("rule_id").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("matched_count"), F.coalesce(F.sum("c"), F.lit(0)).alias("conflict_count"))
-    lost = live.where("none").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unmatched_count"))
-    return own.join(F.broadcast(lost))  # one row
+    # both sides are a few rows: the rules, and the counts of each target
+    same = ~F.col("none") & (F.col("p") == F.col("t.product_id")) & (F.col("s") == F.col("t.sku_id")) & (F.col("i") == F.col("t.image_id"))
+    total = lambda c, n: F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0))
+    return each.join(live, F.lit(True), "left").groupBy("rule_id").agg(total(same, "m").alias("matched_count"), total(same, "c").alias("conflict_count"), total(F.col("none"), "n").alias("unmatched_count"))
 
 
 def status_samples(rows: DataFrame, order: list[str], limit: int = 5) -> DataFrame:

@@ -52,9 +52,9 @@ def _first_seen(pairs: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda p: p["v"] != "")), lambda p: p["v"]), "\n")
 
 
-def stacked(items: DataFrame, order: list[str], stack_sizes: bool = False) -> DataFrame:
+def stacked(items: DataFrame, order: list[str], stack_sizes: bool = False, with_texts: bool = True) -> DataFrame:
     """Lines of one stall, product, SKU (or spec) and image as one: quantities add up, specs and remarks are distinct, sizes stand
-    once for each piece, or once if stack_sizes. `order` gives the rows' places.
+    once for each piece, or once if stack_sizes. `order` gives the rows' places. with_texts=False leaves the match texts empty.
 
     The first aggregation keeps a row for each distinct (group, spec, size, remark, text), with map-side combine, so that hot
     groups shrink before the second one gathers their values."""
@@ -65,6 +65,7 @@ def stacked(items: DataFrame, order: list[str], stack_sizes: bool = False) -> Da
         "k_image": F.coalesce(positive_int(F.col("image_id")).cast("string"), F.lit("0")),
     }
     at = F.struct(*order)
+    items = items if with_texts else items.withColumn("image_match_text", F.lit(""))
     # a line of quantity 0 shows its size once
     pieces = F.greatest(F.col("n"), F.when(F.col("n") > 0, F.col("n")).otherwise(1))
     one = items.withColumns(key).groupBy(*key, "spec", "size_text", "remark", "image_match_text").agg(F.sum("n").alias("n"), F.sum(pieces).alias("pieces"), F.min(at).alias("at"), F.min_by(F.struct("stall_name", "product_name"), at).alias("first"))

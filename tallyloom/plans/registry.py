@@ -158,13 +158,13 @@ ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedpric
 
 @query(f"{LINES_SQL} SELECT stall_name, product_name, spec, string_agg(size_text, ' ' ORDER BY CAST(size_text AS INT)) AS size_text, CAST(sum(n) AS BIGINT) AS quantity, remark FROM (SELECT stall_name, product_name, spec, size_text, n, (SELECT string_agg(r, chr(10) ORDER BY a) FROM (SELECT remark AS r, min(ord) AS a FROM lines_ j WHERE (j.stall_name, j.product_name, j.spec, j.image_id) = (g.stall_name, g.product_name, g.spec, g.image_id) GROUP BY remark)) AS remark FROM (SELECT stall_name, product_name, spec, image_id, size_text, sum(n) AS n FROM lines_ GROUP BY ALL) g) GROUP BY stall_name, product_name, spec, remark")
 def report_by_stall(spark, sf_dir):
-    lines = L.stacked(report_lines(spark, sf_dir), ORDER, stack_sizes=True)
+    lines = L.stacked(report_lines(spark, sf_dir), ORDER, stack_sizes=True, with_texts=False)
     return L.natural_order(lines).select("stall_name", "product_name", "spec", "size_text", "quantity", "remark")
 
 
 @query(f"{LINES_SQL} SELECT stall_name, product_name, spec, string_agg(repeat(size_text || ' ', n), '' ORDER BY CAST(size_text AS INT)) AS sizes FROM (SELECT stall_name, product_name, spec, image_id, size_text, CAST(sum(n) AS INT) AS n FROM lines_ WHERE stall_id < 3 GROUP BY ALL) GROUP BY stall_name, product_name, spec, image_id")
 def report_sizes_repeated(spark, sf_dir):
-    lines = L.stacked(report_lines(spark, sf_dir).where("stall_id < 3"), ORDER)
+    lines = L.stacked(report_lines(spark, sf_dir).where("stall_id < 3"), ORDER, with_texts=False)
     return lines.select("stall_name", "product_name", "spec", F.concat("size_text", F.lit(" ")).alias("sizes"))
 
 
@@ -175,7 +175,7 @@ def report_unstacked(spark, sf_dir):
 
 @query(f"{LINES_SQL} SELECT stall_name, count(*) AS n_lines, CAST(sum(q) AS BIGINT) AS quantity FROM (SELECT stall_name, product_name, spec, image_id, sum(n) AS q FROM lines_ GROUP BY ALL) GROUP BY stall_name")
 def stall_partition_counts(spark, sf_dir):
-    return L.by_stall(L.stacked(report_lines(spark, sf_dir), ORDER, stack_sizes=True))
+    return L.by_stall(L.stacked(report_lines(spark, sf_dir), ORDER, stack_sizes=True, with_texts=False))
 
 
 @query(f"{LINES_SQL} SELECT stall_name, string_agg(spec, '|' ORDER BY a) AS specs FROM (SELECT stall_name, spec, min(ord) AS a FROM lines_ GROUP BY ALL) GROUP BY stall_name")

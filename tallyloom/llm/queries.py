@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, pieces, quality, repeats, secrets, toxicity, warc
 from tallyloom.llm.common import table, work_dir
+from tallyloom.llm.oracles import ORACLE_SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

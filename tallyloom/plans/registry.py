@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.operators import coverage as C
+from tallyloom.operators import evidence as V
 from tallyloom.operators import fingerprint as P
 from tallyloom.operators import match as M
 from tallyloom.operators import parse as A
@@ -386,6 +387,19 @@ def xml_text_blocks(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", R.xml_texts(html).alias("x")).select("page_id", F.size("x").cast("bigint").alias("n_texts"), F.sha2(F.array_join("x", "|"), 256).alias("texts_sha256"))
 
 
+@query("WITH t AS (SELECT p_partkey, p_brand AS b, length(p_brand) AS n, CAST(10 + p_size % 80 AS VARCHAR) AS z, 10 + p_size % 80 BETWEEN 25 AND 59 AS sized FROM part WHERE NOT regexp_matches(p_brand, '(^|[^0-9])[2-5][0-9]($|[^0-9])')) SELECT p_partkey, 'text' AS token_class, CAST(0 AS BIGINT) AS start, CAST(n + 4 AS BIGINT) AS end, b || '/' || z || '双' AS original_text FROM t UNION ALL SELECT p_partkey, 'delimiter_segment', 0, n, b FROM t UNION ALL SELECT p_partkey, 'positive_integer_quantity', n + 1, n + 3, z FROM t UNION ALL SELECT p_partkey, 'shoe_size_like_numeric_segment', n + 1, n + 3, z FROM t WHERE sized")
+def evidence_spans(spark, sf_dir):
+    part = load(spark, sf_dir, "part").where("not p_brand rlike '(^|[^0-9])[2-5][0-9]($|[^0-9])'")
+    t = part.select("p_partkey", F.concat("p_brand", F.lit("/"), (F.col("p_size") % 80 + 10).cast("string"), F.lit("双")).alias("t"))
+    return V.spans(t, F.lit("part[0].text"), "t").select("p_partkey", "token_class", "start", "end", "original_text")
+
+
+@query("SELECT event_id, 'items[' || i || '].k' AS value_path, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events, (VALUES ('0'), ('1')) v(i)")
+def structured_path_values(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"items": ['), "props", F.lit(", "), "props", F.lit(', {"z": 1}]}')).alias("payload"))
+    return V.values_at_path(e, "payload", "items[].k").select("event_id", "value_path", "value")
+
+
 # ---- declarative rules and parsing ----
 
 TEXT_STEPS = [{"op": "split", "source": "text", "delimiter": " ", "targets": ["product", "sales_attr1"]}, {"op": "strip_prefix", "source": "brand", "target": "sales_attr2", "literal": "Brand#"}, {"op": "to_positive_int", "source": "size", "target": "quantity"}]

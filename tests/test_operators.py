@@ -190,3 +190,30 @@ def test_hash_chain_and_multisets(spark):
     got = {r.g: (r.n, r.chain) for r in S.hash_chain(df, "g", ["i"], F.col("c"), 1).collect()}
     assert got[1] == (2, None) and got[2][0] == 1 and len(got[2][1]) == 64
     assert S.multiset_difference(df.select("c"), df.select("c")).count() == 0
+
+
+def test_evidence_spans(spark):
+    from tallyloom.operators import evidence as V
+
+    df = spark.createDataFrame([("p[0].a", "红 鞋，42 *２双\n7"), ("p[0].b", None), ("p[1].a", " ")], "p string, t string")
+    found = V.spans(df, F.col("p"), "t").orderBy("p", "span_order")
+    got = [(r.token_class, r.start, r.end, r.original_text) for r in found.collect()]
+    assert got == [
+        ("text", 0, 10, "红 鞋，42 *２双"),
+        ("delimiter_segment", 0, 3, "红 鞋"),
+        ("positive_integer_quantity", 8, 9, "２"),
+        ("shoe_size_like_numeric_segment", 4, 6, "42"),
+        ("text", 11, 12, "7"),
+        ("positive_integer_quantity", 11, 12, "7"),
+    ]
+    groups = V.candidate_groups(found, []).collect()
+    assert [(g.item_path, len(g.span_ids)) for g in groups] == [("p[0]", 6)]
+    assert all(r.span_id.startswith("span-") and len(r.span_id) == 25 for r in found.collect())
+
+
+def test_values_at_path(spark):
+    from tallyloom.operators import evidence as V
+
+    df = spark.createDataFrame([(1, '{"task": {"documents": [{"a": {"x": "1"}}, {"a": {"x": null}}, {"b": 2}]}}'), (2, "{}"), (3, None)], "i int, p string")
+    got = V.values_at_path(df, "p", "task.documents[].a.x").orderBy("value_path").collect()
+    assert [(r.i, r.value_path, r.value) for r in got] == [(1, "task.documents[0].a.x", "1"), (1, "task.documents[1].a.x", None)]

@@ -17,6 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,9 @@ MODEL = "piece_bpe_32k.model"
 UNIT = 64
 #: Inverse temperature: at 0 all paths are alike, with more the likelier pieces win.
 ALPHA = 1.0
-CALL_BYTES = 1_000_000
-#: Units of one lattice batch.
-UNITS = 150_000
+CALL_BYTES = 600_000
+#: Units of one lattice batch, and units whose lattices a task keeps.
+UNITS, POOL = 100_000, 60_000
 _UNITS = re.compile(rb" *[^ \n]+|\n| +")
 _MARK = "▁"
 
@@ -85,7 +86,7 @@ def lattice(units: list[str], pieces: Pieces):
     """For each character of each unit: cumulative probabilities of the length of the piece that ends there, and the ids.
 
     An id of -2 stands for the byte pieces of one character."""
-    lengths = np.array([len(u) for u in units])
+    lengths = np.array([len(u) for u in units], np.int64)
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
     n, most = len(points), min(pieces.longest, int(lengths.max(initial=1)))
     ends = np.cumsum(lengths)
@@ -169,13 +170,57 @@ def sample(which: np.ndarray, seeds: np.ndarray, made, pieces: Pieces) -> tuple[
     return out, done
 
 
+class Lattices:
+    """Lattices of units. Those of up to POOL units that came up more than once are kept for later calls."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.number: dict[str, int] = {}
+        self.kept = lattice([], pieces)
+
+    def draw(self, units: list[str], which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a path for each occurrence units[which], one after the other, and how many each has."""
+        used, place, times = np.unique(which, return_inverse=True, return_counts=True)
+        texts = [units[k] for k in used.tolist()]
+        known = np.array([self.number.get(t, -1) for t in texts], np.int64)
+        new = np.flatnonzero(known < 0)
+        made = lattice([texts[k] for k in new.tolist()], self.pieces)
+        fresh = np.full(len(texts), -1, np.int64)
+        fresh[new] = np.arange(len(new))
+        old = known[place] >= 0
+        parts = []
+        for mask, index, lattices in ((old, known, self.kept), (~old, fresh, made)):
+            at = np.flatnonzero(mask)
+            parts.append((at, *sample(index[place[at]], seeds[at], lattices, self.pieces)))
+        counts = np.zeros(len(which), np.int64)
+        for at, _, n in parts:
+            counts[at] = n
+        base = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for at, ids, n in parts:
+            out[np.repeat(base[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        self._keep(texts, new[times[new] > 1])
+        return out, counts
+
+    def _keep(self, texts: list[str], which: np.ndarray) -> None:
+        add = [texts[k] for k in which.tolist()][: POOL - len(self.number)]
+        if add:
+            for t in add:
+                self.number[t] = len(self.number)
+            ends, points, ids, share = self.kept
+            more = lattice(add, self.pieces)
+            wide = lambda x, fill: np.pad(x, ((0, 0), (0, self.pieces.longest - x.shape[1])), constant_values=fill)
+            self.kept = (np.concatenate((ends, more[0] + len(points))), np.concatenate((points, more[1])), np.concatenate((wide(ids, -1), wide(more[2], -1))), np.concatenate((wide(share, 2.0), wide(more[3], 2.0))))
+
+
 def _cut(unit: bytes) -> list[str]:
     text = unit.decode()
     return [text[k : k + UNIT] for k in range(0, len(text), UNIT)]
 
 
-def encode_texts(texts: list[bytes], keys: list[str], pieces: Pieces, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[bytes], keys: list[str], pieces: Pieces, seed: int = 0, lattices: Lattices | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one text after the other, and the number of each text's ids."""
+    lattices = lattices or Lattices(pieces)
     units: list[str] = []
     parts: list[tuple[int, int]] = []  # of each distinct run: its first unit and how many
 
@@ -188,12 +233,9 @@ def encode_texts(texts: list[bytes], keys: list[str], pieces: Pieces, seed: int
             return len(parts) - 1
 
     number = Numbers()
-    flat, counts = [], []
-    for t in texts:
-        found = np.array([number[u] for u in _UNITS.findall(b" " + t)] if t else [], np.int64)
-        flat.append(found)
-        counts.append(len(found))
-    runs = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+    found = [[number[u] for u in _UNITS.findall(b" " + t)] if t else [] for t in texts]
+    counts = np.array([len(f) for f in found], np.int64)
+    runs = np.array([k for f in found for k in f], np.int64)
     first, many = np.array(parts, np.int64).reshape(-1, 2).T
     n = many[runs]
     which = np.repeat(first[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -201,55 +243,61 @@ def encode_texts(texts: list[bytes], keys: list[str], pieces: Pieces, seed: int
     sizes = np.bincount(text_of, minlength=len(texts))
     inner = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     seeds = np.array([xxhash.xxh64_intdigest(k.encode(), seed) for k in keys], np.uint64)[text_of] + inner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-    out, done = [], []
+    out, done = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for lo in range(0, len(which), UNITS):
-        w = which[lo : lo + UNITS]
-        used, place = np.unique(w, return_inverse=True)
-        ids, each = sample(place, mixed(seeds[lo : lo + UNITS]), lattice([units[k] for k in used.tolist()], pieces), pieces)
+        ids, each = lattices.draw(units, which[lo : lo + UNITS], mixed(seeds[lo : lo + UNITS]))
         out.append(ids)
         done.append(each)
-    each = np.concatenate(done) if done else np.zeros(0, np.int64)
-    return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.bincount(text_of, each, len(texts)).astype(np.int64)
+    return np.concatenate(out), np.bincount(text_of, np.concatenate(done), len(texts)).astype(np.int64)
+
+
+def spell(ids: np.ndarray, bytes_of: list[bytes]) -> bytes:
+    """The text of ids, without the space in front."""
+    return b"".join(map(bytes_of.__getitem__, ids.tolist()))[1:]
+
 
+def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, model: str | None = None, alpha: float = ALPHA, seed: int = 0, out_col: str = "ids", check_col: str | None = None) -> DataFrame:
+    """The columns `keep` of docs (all but the text, if None) and out_col: the ids of a sampled segmentation.
 
-def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, model: str | None = None, alpha: float = ALPHA, seed: int = 0, out_col: str = "ids") -> DataFrame:
-    """The columns `keep` of docs (all but the text, if None) and out_col: the ids of a sampled segmentation."""
-    kept = [c for c in (others(docs, text_col) if keep is None else keep) if c != out_col]
-    spark = docs.sparkSession
-    pieces = spark.sparkContext.broadcast(Pieces(model or model_path(), alpha))  # the model's pieces, of fixed size
+    With check_col, each row's ids are decoded again in the task, and it says whether that gave the text (null for null texts)."""
+    kept = [c for c in (others(docs, text_col) if keep is None else keep) if c not in (out_col, check_col)]
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(model or model_path(), alpha))  # the model's pieces, of fixed size
     src = docs.select(*[col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.coalesce(col(key_col).cast("string"), F.lit("\0null")).alias("key"), col(text_col).cast("string").alias("t"))
-    schema = T.StructType([*src.schema.fields[: len(kept)], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*src.schema.fields[: len(kept)], T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("same", T.BooleanType())] if check_col else [])])
     names = schema.names
 
     def run(batches):
         p = pieces.value
+        lattices = Lattices(p)
         for batch in batches:
-            texts = batch.column(len(kept) + 1).cast(pa.binary()).to_pylist()
-            keys = batch.column(len(kept)).to_pylist()
-            for lo, hi in slices([len(t or b"") for t in texts], CALL_BYTES):
-                ids, counts = encode_texts([t or b"" for t in texts[lo:hi]], keys[lo:hi], p, seed)
+            column, keys = batch.column(len(kept) + 1).cast(pa.binary()), batch.column(len(kept))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            for lo, hi in slices(sizes, CALL_BYTES):
+                texts = column.slice(lo, hi - lo).to_pylist()
+                ids, counts = encode_texts([t or b"" for t in texts], keys.slice(lo, hi - lo).to_pylist(), p, seed, lattices)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                null = np.array([t is None for t in texts[lo:hi]] + [False])
+                null = np.array([t is None for t in texts] + [False])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=null) if null.any() else pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), lists], names)
+                check = [pa.array([None if t is None else spell(ids[a:b], p.bytes_of) == t for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)], pa.bool_())] if check_col else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), lists, *check], names)
 
-    return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("ids").alias(out_col))
+    got = src.mapInArrow(run, schema)
+    return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("ids").alias(out_col), *([F.col("same").alias(check_col)] if check_col else []))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str | None = None) -> DataFrame:
     """rows with out_col, the text that ids_col spells, in place of a column of that name."""
     kept = [c for c in rows.columns if c != out_col]
-    spelled = rows.sparkSession.sparkContext.broadcast(Pieces(model or model_path()).bytes_of)
+    bytes_of = rows.sparkSession.sparkContext.broadcast(Pieces(model or model_path()).bytes_of)
     src = rows.select(*[col(c).alias(f"k{i}") for i, c in enumerate(kept)], col(ids_col).cast("array<int>").alias("ids"))
     schema = T.StructType([*src.schema.fields[: len(kept)], T.StructField("decoded", T.StringType())])
     names = schema.names
 
     def run(batches):
-        get = spelled.value.__getitem__
         for batch in batches:
             lists = batch.column(len(kept))
-            values, offsets, valid = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
-            texts = [b"".join(map(get, values[a:b].tolist()))[1:].decode() if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)]
+            offsets, values, valid = lists.offsets.to_pylist(), lists.values, lists.is_valid().to_pylist()
+            texts = [spell(values.slice(a, b - a).to_numpy(zero_copy_only=False), bytes_of.value).decode() if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names)
 
     return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("decoded").alias(out_col))

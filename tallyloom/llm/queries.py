@@ -17,10 +17,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
-    decoded = pieces.decode(pieces.encode(docs), out_col="decoded")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check_col="lossless")
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), ids.alias("ids_sha256"), "text_sha256", F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("lossless"))
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), ids.alias("ids_sha256"), F.coalesce("lossless", F.lit(True)).alias("lossless"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,9 +41,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of a sampled segmentation, and whether decoding gives the text back."""
-    hashed = docs.withColumn("text_sha256", F.sha2("text", 256))
-    decoded = pieces.decode(pieces.encode(hashed, keep=["doc_id", "lang", "source", "text_sha256"]), out_col="decoded")
-    return decoded.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("lossless"))
+    encoded = pieces.encode(docs, keep=["doc_id", "lang", "source"], check_col="lossless")
+    return encoded.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.coalesce("lossless", F.lit(True)).alias("lossless"))
 
 
 STAGES = [

@@ -48,10 +48,11 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a work folder through the file system that Spark uses for it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def remove(spark: SparkSession, top: str, *tables: str) -> None:
+    """Deletes work tables that nothing reads any more, through the file system that Spark uses for them."""
+    for t in tables:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{t}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Lets Spark put a Bloom filter of the smaller side's keys, of its usual bounded size, on the larger side's scan at any size.

@@ -11,7 +11,6 @@ are each judged; item ids that repeat count once. Null item ids are left out of
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame

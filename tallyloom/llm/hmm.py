@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import col, mixed, slices, token_hashes, work_dir, written
+from tallyloom.llm.common import col, mixed, remove, slices, token_hashes, work_dir, written
 
 LOWER_SPACED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 TOP, SHAPES = 512, 64
@@ -313,6 +313,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     texts = spark.read.schema(TOKENS).parquet(f"{top}/tokens").where("ids is not null").select("chunk", "id", "held_out", "ids")
     coded = entries.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_coder(total, distinct, shape_total, shape_distinct), CODED)
     coded = written(coded, f"{top}/coded")
+    remove(spark, top, "tokens", "counts")
 
     model = train(coded, frequency, states, rounds)
     out = T.StructType([*CODED.fields[:-1], T.StructField("class_score", T.DoubleType())])

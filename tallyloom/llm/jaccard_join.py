@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import col, map_texts, mixed, runtime_filters, token_hashes, work_dir, written
+from tallyloom.llm.common import col, map_texts, mixed, remove, runtime_filters, token_hashes, work_dir, written
 from tallyloom.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -174,8 +174,9 @@ def _compared(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(texts[hit]), pa.array(docs[hit].astype(np.int64)), pa.array(root[hit])], COMPARED.names)
 
         key, rows = None, []
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        # a thousand rows at a time are taken out of a batch, whose sets are long
+        for part in (batch.slice(lo, 1000) for batch in batches for lo in range(0, batch.num_rows, 1000)):
+            for r in zip(*(part.column(c).to_pylist() for c in names), strict=True):
                 if r[:3] != key:
                     if len(rows) > 1:
                         yield judged(rows)
@@ -216,6 +217,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     with runtime_filters(spark):  # most texts are in no group
         found = written(pairs.mapInArrow(_compared(threshold), COMPARED), f"{top}/found")
 
+    remove(spark, top, "members")
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_rows").alias("n_rows"))
     known = classes.select("digest", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

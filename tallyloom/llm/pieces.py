@@ -29,9 +29,9 @@ MODEL = "piece_bpe_32k.model"
 UNIT = 64
 #: Inverse temperature: at 0 all paths are alike, with more the likelier pieces win.
 ALPHA = 1.0
-CALL_BYTES = 600_000
+CALL_BYTES = 400_000
 #: Units of one lattice batch, and units whose lattices a task keeps.
-UNITS, POOL = 100_000, 60_000
+UNITS, POOL = 50_000, 20_000
 _UNITS = re.compile(rb" *[^ \n]+|\n| +")
 _MARK = "▁"
 

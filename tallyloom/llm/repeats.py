@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import col, mixed, powers, prefix_hashes, slices, span_hashes, work_dir, written
+from tallyloom.llm.common import col, mixed, powers, prefix_hashes, remove, slices, span_hashes, work_dir, written
 
 LENGTH, GRAM = 200, 32
 MOST = 16
@@ -347,14 +347,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wholes = distinct.where("whole").select("anchor", "block")
     same = found2.where("same").select("k1", "k2", "start", every.alias("spans"))
     mixed_ = found2.where("not same").select("k1", "k2", "anchor", "block", "start", "windows")
-    whole = mixed_.join(wholes, ["anchor", "block"]).select("k1", "k2", "start", every.alias("spans"))
-    part = mixed_.join(covered.join(wholes, ["anchor", "block"], "left_anti"), ["anchor", "block"]).select("k1", "k2", "start", "spans")
+    # each join is a job of its own, in which Spark splits a block that very many texts have
+    whole = written(mixed_.join(wholes, ["anchor", "block"]).select("k1", "k2", "start", every.alias("spans")), f"{top}/whole")
+    rest = written(covered.join(wholes, ["anchor", "block"], "left_anti"), f"{top}/rest")
+    part = written(mixed_.join(rest, ["anchor", "block"]).select("k1", "k2", "start", "spans"), f"{top}/part")
     each = same.unionByName(whole).unionByName(part).withColumn("s", F.explode("spans"))
     ranges = each.select("k1", "k2", F.struct((F.col("start") + F.col("s.a")).cast("long").alias("start"), (F.col("start") + F.col("s.b") + length).cast("long").alias("end")).alias("r"))
     removed = ranges.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
     removed = removed.join(copies, ["k1", "k2"], "left_anti").withColumn("whole", F.lit(False))
     removed = removed.unionByName(copies.select("k1", "k2", F.lit(None).cast(removed.schema["ranges"].dataType).alias("ranges"), F.lit(True).alias("whole")))
     removed = written(removed, f"{top}/removed")
+    remove(spark, top, "copies", "state", "found", "distinct", "crowd", "blocks", "many", "hashed", "twice", "runs", "windows", "twice1", "covered", "whole", "rest", "part")
     final = rows.join(removed, ["k1", "k2"], "left").select("id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
     out = T.StructType([final.schema["id"], *KEPT, T.StructField("kept_sha256", T.StringType())])
     return final.mapInArrow(_keep(with_bytes), out).withColumnRenamed("id", id_col)

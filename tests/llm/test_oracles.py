@@ -18,4 +18,4 @@ def test_query(spark, data, name):
         if name in ORACLE_SQL:
             assert got == sorted((list(r) for r in c.sql(ORACLE_SQL[name]).select(*[f'"{x}"' for x in cols]).fetchall()), key=repr)
         else:
-            assert len(got) == c.sql("SELECT count(*) FROM documents").fetchone()[0]
+            assert len(got) == c.sql("SELECT count(*) FROM documents").fetchall()[0][0]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 TEXT = "__text"
 #: Bytes of text that one call of a mapping function gets, unless a single text is longer.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], out: T.StructType,
                 cols = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
                 cols += [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], types[n]) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, [*(f"k{i}" for i in range(len(kept))), *names])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     mapped = src.mapInArrow(run, schema)
     return mapped.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *[F.col(n) for n in names])

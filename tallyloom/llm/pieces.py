@@ -29,9 +29,9 @@ MODEL = "piece_bpe_32k.model"
 UNIT = 64
 #: Inverse temperature: at 0 all paths are alike, with more the likelier pieces win.
 ALPHA = 1.0
-CALL_BYTES = 400_000
+CALL_BYTES = 600_000
 #: Units of one lattice batch, and units whose lattices a task keeps.
-UNITS, POOL = 50_000, 20_000
+UNITS, POOL = 100_000, 60_000
 _UNITS = re.compile(rb" *[^ \n]+|\n| +")
 _MARK = "▁"
 
@@ -213,30 +213,23 @@ class Lattices:
             self.kept = (np.concatenate((ends, more[0] + len(points))), np.concatenate((points, more[1])), np.concatenate((wide(ids, -1), wide(more[2], -1))), np.concatenate((wide(share, 2.0), wide(more[3], 2.0))))
 
 
-def _cut(unit: bytes) -> list[str]:
-    text = unit.decode()
-    return [text[k : k + UNIT] for k in range(0, len(text), UNIT)]
-
-
 def encode_texts(texts: list[bytes], keys: list[str], pieces: Pieces, seed: int = 0, lattices: Lattices | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one text after the other, and the number of each text's ids."""
     lattices = lattices or Lattices(pieces)
-    units: list[str] = []
-    parts: list[tuple[int, int]] = []  # of each distinct run: its first unit and how many
-
-    class Numbers(dict):
-        def __missing__(self, run: bytes) -> int:
-            cut = _cut(run) if len(run) > UNIT else [run.decode()]
-            parts.append((len(units), len(cut)))
-            units.extend(cut)
-            self[run] = len(parts) - 1
-            return len(parts) - 1
-
-    number = Numbers()
-    found = [[number[u] for u in _UNITS.findall(b" " + t)] if t else [] for t in texts]
+    found = [_UNITS.findall(b" " + t) if t else [] for t in texts]
     counts = np.array([len(f) for f in found], np.int64)
-    runs = np.array([k for f in found for k in f], np.int64)
-    first, many = np.array(parts, np.int64).reshape(-1, 2).T
+    number = dict.fromkeys(r for f in found for r in f)  # distinct runs, a line end last: no other run holds one
+    ended = number.pop(b"\n", True) is None
+    units = b"\n".join(number).decode().split("\n") if number else []
+    if ended:
+        number[b"\n"] = None
+        units.append("\n")
+    number = dict(zip(number, range(len(units)), strict=True))
+    runs = np.fromiter((number[r] for f in found for r in f), np.int64, int(counts.sum()))
+    many = np.array([-(-len(u) // UNIT) for u in units], np.int64)  # units of each distinct run
+    first = np.cumsum(many) - many
+    if len(units) and many.max() > 1:
+        units = [u[k : k + UNIT] for u in units for k in range(0, len(u), UNIT)]
     n = many[runs]
     which = np.repeat(first[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     text_of = np.repeat(np.repeat(np.arange(len(texts)), counts), n)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- scans ----
 
@@ -111,14 +115,35 @@ def pending_profile(rows: DataFrame, source: str, rowid: str, time: str, cursors
     return F.broadcast(cursors).join(got, source, "left").join(later, source, "left").select(source, F.greatest(F.coalesce("max_rowid", F.lit(0)) - F.col("cursor"), F.lit(0)).cast("bigint").alias("pending"), "first_time", "last_time")
 
 
-def hash_chain(rows: DataFrame, group: str, order: list[str], content: Column, most: int) -> DataFrame:
-    """For each group, h = sha256(h, place, sha256(content)) over its rows in order; groups of more than `most` rows have a null hash.
-
-    The rows of a group are folded in one place, hence the bound; n says how many there are."""
-    sized = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    few = sized.groupBy(group).agg(F.max("__n").cast("bigint").alias("n"), F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("__n", F.sha2(content, 256).alias("h"))))).alias("hs"))
-    chain = F.aggregate("hs", F.lit(""), lambda h, r: F.sha2(F.concat(h, r["__n"].cast("string"), F.lit("\0"), r["h"]), 256))
-    return few.select(group, "n", F.when(F.col("n") <= most, chain).alias("chain"))
+def hash_chain(rows: DataFrame, group: str, order: list[str], content: Column, most: int | None = None) -> DataFrame:
+    """For each group, n and h = sha256(h, place, sha256(content)) over its n rows in order; a null content makes its group's chain null, as do
+    more than `most` rows where a bound is given.
+
+    Rows meet as (group, order, 32 bytes), sorted by Spark, and a task folds them with one digest of state, so groups can be of any length."""
+    hashed = rows.select(F.col(group).alias("g"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.unhex(F.sha2(content, 256)).alias("h"))
+    dealt = hashed.repartition("g").sortWithinPartitions("g", *[f"o{i}" for i in range(len(order))]).select("g", "h")
+    schema = T.StructType([dealt.schema["g"], T.StructField("n", T.LongType()), T.StructField("chain", T.StringType())])
+
+    def fold(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        key, n, h = None, 0, ""
+        for batch in batches:
+            done = []
+            for g, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and g != key:
+                    done.append((key, n, h))
+                    n, h = 0, ""
+                key, n = g, n + 1
+                h = None if h is None or one is None else hashlib.sha256(f"{h}{n}\0{one.hex()}".encode()).hexdigest()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), out.types, strict=True)], schema=out)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((key, n, h), out.types, strict=True)], schema=out)
+
+    chain = F.col("chain") if most is None else F.when(F.col("n") <= most, F.col("chain"))
+    return dealt.mapInArrow(fold, schema).select(F.col("g").alias(group), "n", chain.alias("chain"))
 
 
 # ---- precedence, anti joins, sets ----

@@ -320,7 +320,7 @@ def pending_profile(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS n, CASE WHEN count(*) <= 100 THEN list_reduce(list_prepend('', list(CAST(rn AS VARCHAR) || chr(0) || sha256(props) ORDER BY rn)), lambda h, r: sha256(h || r)) END AS chain FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) GROUP BY user_id")
 def hash_chain(spark, sf_dir):
-    return S.hash_chain(load(spark, sf_dir, "events"), "user_id", ["event_id"], F.col("props"), 100)
+    return S.hash_chain(load(spark, sf_dir, "events"), "user_id", ["event_id"], F.col("props"))
 
 
 # ---- reading ----

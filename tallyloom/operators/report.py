@@ -47,6 +47,12 @@ def _natural(values: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.transform(values, lambda v: F.struct(natural_key(v).alias("k"), v.alias("v")))), lambda s: s["v"]), " ")
 
 
+def _repeated(sizes: Column) -> Column:
+    """The size_text of each struct as often as its pieces say, in natural order, joined by spaces; the texts are sorted before they are repeated."""
+    keyed = F.array_sort(F.transform(sizes, lambda s: F.struct(natural_key(s["size_text"]).alias("k"), s["size_text"].alias("v"), s["pieces"].alias("n"))))
+    return F.array_join(F.transform(keyed, lambda s: F.concat(F.repeat(F.concat(s["v"], F.lit(" ")), (s["n"] - 1).cast("int")), s["v"])), " ")
+
+
 def _first_seen(pairs: Column) -> Column:
     """Non-empty texts by their first place, joined by line feeds."""
     return F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda p: p["v"] != "")), lambda p: p["v"]), "\n")
@@ -79,8 +85,8 @@ def stacked(items: DataFrame, order: list[str], stack_sizes: bool = False, with_
         F.sum("n").alias("quantity"),
     )
     distinct_first = lambda c: F.aggregate(F.array_sort(c), F.array().cast(two.schema[c].dataType), lambda done, p: F.when(F.exists(done, lambda d: d["v"] == p["v"]), done).otherwise(F.concat(done, F.array(p))))
-    sizes = F.array_distinct(F.transform("sizes", lambda s: s["size_text"])) if stack_sizes else F.flatten(F.transform("sizes", lambda s: F.array_repeat(s["size_text"], s["pieces"].cast("int"))))
-    return two.select("first.stall_name", "first.product_name", _natural(F.col("specs")).alias("spec"), _natural(sizes).alias("size_text"), F.col("quantity").cast("bigint").alias("quantity"), _first_seen(distinct_first("remarks")).alias("remark"), _first_seen(distinct_first("texts")).alias("image_match_text"))
+    sizes = _natural(F.array_distinct(F.transform("sizes", lambda s: s["size_text"]))) if stack_sizes else _repeated(F.col("sizes"))
+    return two.select("first.stall_name", "first.product_name", _natural(F.col("specs")).alias("spec"), sizes.alias("size_text"), F.col("quantity").cast("bigint").alias("quantity"), _first_seen(distinct_first("remarks")).alias("remark"), _first_seen(distinct_first("texts")).alias("image_match_text"))
 
 
 def natural_order(lines: DataFrame) -> DataFrame:

@@ -169,6 +169,12 @@ def report_sizes_repeated(spark, sf_dir):
     return lines.select("stall_name", "product_name", "spec", F.concat("size_text", F.lit(" ")).alias("sizes"))
 
 
+@query(f"{LINES_SQL} SELECT stall_name, product_name, spec, string_agg(repeat(size_text || ' ', n), '' ORDER BY CAST(size_text AS INT)) AS sizes FROM (SELECT stall_name, product_name, spec, image_id, size_text, CAST(sum(n) AS INT) AS n FROM lines_ GROUP BY ALL) GROUP BY stall_name, product_name, spec, image_id")
+def report_sizes_repeated_all(spark, sf_dir):
+    lines = L.stacked(report_lines(spark, sf_dir), ORDER, with_texts=False)
+    return lines.select("stall_name", "product_name", "spec", F.concat("size_text", F.lit(" ")).alias("sizes"))
+
+
 @query(f"{LINES_SQL} SELECT stall_name, product_name, spec, size_text, n AS quantity, remark FROM lines_")
 def report_unstacked(spark, sf_dir):
     return report_lines(spark, sf_dir).select("stall_name", "product_name", "spec", "size_text", F.col("n").alias("quantity"), "remark")

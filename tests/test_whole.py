@@ -19,3 +19,13 @@ def test_hash_chain_of_long_groups(spark, tmp_path):
             h = hashlib.sha256(f"{h}{place}\0{hashlib.sha256(f'é{event}'.encode()).hexdigest()}".encode()).hexdigest()
         want[u] = (n, h)
     assert {r.user_id: (r.n, r.chain) for r in registry.QUERIES["hash_chain"](spark, str(tmp_path)).collect()} == want
+
+
+def test_sizes_are_repeated_over_all_stalls(spark, data):
+    lines = registry.report_lines(spark, data)
+    want = {}
+    for r in lines.select("stall_name", "product_name", "spec", "image_id", "size_text", "n").collect():
+        want.setdefault((r.stall_name, r.product_name, r.spec, r.image_id), []).extend([r.size_text] * r.n)
+    assert len({k[0] for k in want}) > 3
+    found = sorted((r.stall_name, r.product_name, r.spec, r.sizes) for r in registry.QUERIES["report_sizes_repeated_all"](spark, data).collect())
+    assert found == sorted((*k[:3], " ".join(sorted(v, key=int)) + " ") for k, v in want.items())

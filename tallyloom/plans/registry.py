@@ -198,6 +198,12 @@ def safe_cell(spark, sf_dir):
     return docs.unionByName(cust.select(F.col("c_custkey").alias("doc_id"), X.safe_cell(F.round("c_acctbal").cast("int").cast("string")).alias("cell")))
 
 
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[ \\t\\r\\n]*[=+\\-@]') THEN '''' || text ELSE text END AS cell FROM documents UNION ALL SELECT c_custkey, CASE WHEN r < 0 THEN '''' ELSE '' END || CAST(r AS VARCHAR) FROM (SELECT c_custkey, CAST(sign(c_acctbal) * floor(abs(c_acctbal) + 0.5) AS INT) AS r FROM customer)")
+def safe_cell_all(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", X.safe_cell(F.col("text")).alias("cell"))
+    return docs.unionByName(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), X.safe_cell(F.round("c_acctbal").cast("int").cast("string")).alias("cell")))
+
+
 # ---- coverage ----
 
 COVER_SQL = "rows_ AS (SELECT l_orderkey AS raw, l_returnflag <> 'R' AS ok, l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber > 6 AS mute, (l_partkey, l_quantity, l_returnflag) AS body FROM lineitem), p_ AS (SELECT raw, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE mute) AS n_mute, count(*) - count(DISTINCT body) AS dup FROM rows_ GROUP BY raw), j_ AS (SELECT o_orderkey, p_.* FROM orders FULL JOIN p_ ON o_orderkey = raw), o_ AS (SELECT *, CASE WHEN n IS NULL THEN NULL WHEN n_ok = n THEN 'normal' WHEN n_mute = 0 THEN 'exception' ELSE 'mute' END AS outcome FROM j_)"
@@ -276,6 +282,14 @@ def content_hash_dedupe_assets(spark, sf_dir):
     return S.merge_assets(old, docs.where("doc_id % 2 = 0 and lang = 'en'"), "key", "content", ["doc_id"])
 
 
+@query("WITH old AS (SELECT source AS key, min(text) AS c FROM documents WHERE doc_id % 2 = 1 GROUP BY 1), new AS (SELECT source AS key, arg_min(text, doc_id) AS c FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT key, coalesce(sha256(new.c), sha256(old.c)) AS content_hash, CASE WHEN new.c IS NULL THEN 'kept' WHEN old.c IS NULL THEN 'imported' WHEN old.c = new.c THEN 'duplicated' ELSE 'updated' END AS outcome FROM old FULL JOIN new USING (key)")
+def content_hash_dedupe_assets_all(spark, sf_dir):
+    """Every document stands on one side: odd ids are the current assets, even ones come in."""
+    docs = load(spark, sf_dir, "documents").withColumnsRenamed({"source": "key", "text": "content"})
+    old = docs.where("doc_id % 2 = 1").groupBy("key").agg(F.min("content").alias("content"))
+    return S.merge_assets(old, docs.where("doc_id % 2 = 0"), "key", "content", ["doc_id"])
+
+
 # ---- numbering, capture, events ----
 
 
@@ -353,14 +367,46 @@ def document_lines(spark, sf_dir):
     return R.document_lines(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_number", "start", "end", F.sha2("line", 256).alias("line_sha256"))
 
 
-@query(r"SELECT p_partkey, string_agg(s, '#' ORDER BY i) AS parts FROM (SELECT p_partkey, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_name, p_brand, CAST(p_size AS VARCHAR)] WHEN p_partkey % 3 = 1 THEN [p_name || '/' || p_brand || ' ' || p_type] ELSE [p_name, '*' || CAST(p_size AS VARCHAR)] END AS x FROM part WHERE p_size >= 10)) GROUP BY p_partkey")
-def segment_split(spark, sf_dir):
-    part = load(spark, sf_dir, "part").where("p_size >= 10")
+#: SQL of segments() over a text t: its trimmed parts between delimiters, then before a quantity mark or a size at the end; RE2 has no look-around.
+SPACE_SQL = r"[\s\x{0B}\x{85}\p{Z}]"
+TRIM_SQL = rf"^{SPACE_SQL}+|{SPACE_SQL}+$"
+
+
+def clean_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '[\x00-\x08\x0B-\x1F]|\p{{Cf}}', '', 'g'), '{TRIM_SQL}', '', 'g')"
+
+
+LABELLED_SQL = "^\\s*(?:颜色分类|颜色|色号|鞋码|尺码|码数|号码|规格|款式)\\s*[:：]"
+SEGMENTS_SQL = rf"""
+cut_ AS (SELECT id, i, j, {clean_sql("p")} AS p FROM (SELECT id, i, unnest(x) AS p, generate_subscripts(x, 1) AS j FROM (SELECT id, i, regexp_split_to_array(l, CASE WHEN regexp_matches(l, '{LABELLED_SQL}') THEN '[,，、|]+' ELSE '[,，、|/]+' END) AS x FROM (SELECT id, i, {clean_sql("l")} AS l FROM (SELECT id, unnest(y) AS l, generate_subscripts(y, 1) AS i FROM (SELECT id, regexp_split_to_array(regexp_replace({clean_sql("t")}, '[；;]\s*', chr(10), 'g'), '\n+') AS y FROM texts_)))))),
+marked_ AS (SELECT id, i, j, p, regexp_matches(p, '^.+?\s*[*xX×]\s*\d+(?:\.\d+)?$') AS q, regexp_split_to_array(p, '\s+') AS w FROM cut_ WHERE p <> ''),
+tail_ AS (SELECT *, array_to_string(w[:-2], ' ') AS head, len(w) >= 2 AND regexp_matches(w[-1], '(?i)^(?:[1-9]\d(?:\.\d)?|[SMLX]{{1,4}}|均码|加大码|大码|小码)$') AS ok FROM marked_),
+pieces_ AS (SELECT id, i, j, CASE WHEN q THEN [{clean_sql("regexp_extract(p, '^(.+?)\\s*([*xX×]\\s*\\d+(?:\\.\\d+)?)$', 1)")}, regexp_replace(regexp_extract(p, '^(.+?)\s*([*xX×]\s*\d+(?:\.\d+)?)$', 2), '\s+', '', 'g')] WHEN ok AND length(head) >= 2 THEN [head, w[-1]] ELSE [p] END AS z FROM tail_),
+segments_ AS (SELECT id, list(s ORDER BY i, j, k) AS found FROM (SELECT id, i, j, unnest(z) AS s, generate_subscripts(z, 1) AS k FROM pieces_) WHERE s <> '' GROUP BY id)"""
+
+
+def part_segments(part):
     size = F.col("p_size").cast("string")
     line = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" ，"), "p_brand", F.lit(" "), size)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("颜色: "), "p_name", F.lit("/"), "p_brand", F.lit(" "), "p_type")).otherwise(F.concat("p_name", F.lit(" * "), size))
     return part.select("p_partkey", F.regexp_replace(F.array_join(R.segments(line), "#"), "^颜色: ", "").alias("parts"))
 
 
+@query(r"SELECT p_partkey, string_agg(s, '#' ORDER BY i) AS parts FROM (SELECT p_partkey, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_name, p_brand, CAST(p_size AS VARCHAR)] WHEN p_partkey % 3 = 1 THEN [p_name || '/' || p_brand || ' ' || p_type] ELSE [p_name, '*' || CAST(p_size AS VARCHAR)] END AS x FROM part WHERE p_size >= 10)) GROUP BY p_partkey")
+def segment_split(spark, sf_dir):
+    return part_segments(load(spark, sf_dir, "part").where("p_size >= 10"))
+
+
+@query(r"SELECT p_partkey, string_agg(s, '#' ORDER BY i) AS parts FROM (SELECT p_partkey, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size >= 10 THEN [p_name, p_brand, CAST(p_size AS VARCHAR)] WHEN p_partkey % 3 = 0 THEN [p_name, p_brand || ' ' || p_size] WHEN p_partkey % 3 = 1 THEN [p_name || '/' || p_brand || ' ' || p_type] ELSE [p_name, '*' || CAST(p_size AS VARCHAR)] END AS x FROM part)) GROUP BY p_partkey")
+def segment_split_all(spark, sf_dir):
+    return part_segments(load(spark, sf_dir, "part"))
+
+
+@query(f"WITH texts_ AS (SELECT doc_id AS id, text AS t FROM documents), {SEGMENTS_SQL} SELECT doc_id, CAST(coalesce(len(found), 0) AS BIGINT) AS n_segments, sha256(coalesce(array_to_string(found, '#'), '')) AS segments_sha256 FROM documents LEFT JOIN segments_ ON id = doc_id")
+def segment_split_documents(spark, sf_dir):
+    found = load(spark, sf_dir, "documents").select("doc_id", R.segments(F.col("text")).alias("found"))
+    return found.select("doc_id", F.size("found").cast("bigint").alias("n_segments"), F.sha2(F.array_join("found", "#"), 256).alias("segments_sha256"))
+
+
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS quantity, p_name AS head, CAST(p_size AS VARCHAR) AS digits FROM part")
 def quantity_extract(spark, sf_dir):
     part = load(spark, sf_dir, "part")
@@ -393,11 +439,20 @@ def xml_text_blocks(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", R.xml_texts(html).alias("x")).select("page_id", F.size("x").cast("bigint").alias("n_texts"), F.sha2(F.array_join("x", "|"), 256).alias("texts_sha256"))
 
 
+def part_spans(part):
+    t = part.select("p_partkey", F.concat("p_brand", F.lit("/"), (F.col("p_size") % 80 + 10).cast("string"), F.lit("双")).alias("t"))
+    return V.spans(t, F.lit("part[0].text"), "t").select("p_partkey", "token_class", "start", "end", "original_text")
+
+
 @query("WITH t AS (SELECT p_partkey, p_brand AS b, length(p_brand) AS n, CAST(10 + p_size % 80 AS VARCHAR) AS z, 10 + p_size % 80 BETWEEN 25 AND 59 AS sized FROM part WHERE NOT regexp_matches(p_brand, '(^|[^0-9])[2-5][0-9]($|[^0-9])')) SELECT p_partkey, 'text' AS token_class, CAST(0 AS BIGINT) AS start, CAST(n + 4 AS BIGINT) AS end, b || '/' || z || '双' AS original_text FROM t UNION ALL SELECT p_partkey, 'delimiter_segment', 0, n, b FROM t UNION ALL SELECT p_partkey, 'positive_integer_quantity', n + 1, n + 3, z FROM t UNION ALL SELECT p_partkey, 'shoe_size_like_numeric_segment', n + 1, n + 3, z FROM t WHERE sized")
 def evidence_spans(spark, sf_dir):
     part = load(spark, sf_dir, "part").where("not p_brand rlike '(^|[^0-9])[2-5][0-9]($|[^0-9])'")
-    t = part.select("p_partkey", F.concat("p_brand", F.lit("/"), (F.col("p_size") % 80 + 10).cast("string"), F.lit("双")).alias("t"))
-    return V.spans(t, F.lit("part[0].text"), "t").select("p_partkey", "token_class", "start", "end", "original_text")
+    return part_spans(part)
+
+
+@query("WITH t AS (SELECT p_partkey, p_brand AS b, length(p_brand) AS n, CAST(10 + p_size % 80 AS VARCHAR) AS z, 10 + p_size % 80 BETWEEN 25 AND 59 AS sized, regexp_matches(p_brand, '(^|[^0-9])(2[5-9]|[3-5][0-9])$') AS branded FROM part) SELECT p_partkey, 'text' AS token_class, CAST(0 AS BIGINT) AS start, CAST(n + 4 AS BIGINT) AS end, b || '/' || z || '双' AS original_text FROM t UNION ALL SELECT p_partkey, 'delimiter_segment', 0, CASE WHEN branded THEN n - 2 ELSE n END, CASE WHEN branded THEN left(b, n - 2) ELSE b END FROM t UNION ALL SELECT p_partkey, 'positive_integer_quantity', n + 1, n + 3, z FROM t UNION ALL SELECT p_partkey, 'shoe_size_like_numeric_segment', n + 1, n + 3, z FROM t WHERE sized UNION ALL SELECT p_partkey, 'shoe_size_like_numeric_segment', n - 2, n, right(b, 2) FROM t WHERE branded")
+def evidence_spans_all(spark, sf_dir):
+    return part_spans(load(spark, sf_dir, "part"))
 
 
 @query("SELECT event_id, 'items[' || i || '].k' AS value_path, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events, (VALUES ('0'), ('1')) v(i)")
@@ -443,7 +498,7 @@ def parent_completeness(spark, sf_dir):
 
 @query(r"SELECT conv_id, turn, CAST(i - 1 AS INT) AS item_order, item FROM (SELECT conv_id, turn, unnest(x) AS item, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> '') AS x FROM conversations WHERE NOT contains(text, ';')))")
 def item_split_explode(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").where("not contains(text, ';')")
+    c = load(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.posexplode(A.split_items(F.col("text"))).alias("item_order", "item"))
 
 

@@ -29,3 +29,20 @@ def test_sizes_are_repeated_over_all_stalls(spark, data):
     assert len({k[0] for k in want}) > 3
     found = sorted((r.stall_name, r.product_name, r.spec, r.sizes) for r in registry.QUERIES["report_sizes_repeated_all"](spark, data).collect())
     assert found == sorted((*k[:3], " ".join(sorted(v, key=int)) + " ") for k, v in want.items())
+
+
+def test_items_are_cut_at_semicolons(spark, tmp_path):
+    texts = ["鞋 *1; 袜 *2；帽", "a;b\n c ;; d", "x", "颜色:黑; 2双"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {}
+    for r in registry.QUERIES["item_split_explode"](spark, str(tmp_path)).orderBy("conv_id", "item_order").collect():
+        got.setdefault(r.conv_id, []).append(r.item)
+    assert got == {0: ["鞋 *1", "袜 *2", "帽"], 1: ["a", "b", "c", "d"], 2: ["x"], 3: ["颜色:黑; 2双"]}
+
+
+def test_no_row_of_a_table_is_left_out(spark, data):
+    for name, table, key in (("segment_split_all", "part", "p_partkey"), ("segment_split_documents", "documents", "doc_id"), ("evidence_spans_all", "part", "p_partkey")):
+        keys = lambda df, key=key: {r[0] for r in df.select(key).distinct().collect()}
+        assert keys(registry.QUERIES[name](spark, data)) == keys(spark.read.parquet(f"{data}/{table}.parquet")), name
+    n = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("documents", "customer"))
+    assert registry.QUERIES["safe_cell_all"](spark, data).count() == n

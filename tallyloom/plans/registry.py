@@ -484,6 +484,11 @@ def source_projection_profile(spark, sf_dir):
     return S.nth_per_class(c, ["conv_id"], "role", ["turn"], "head", {"first_user": ("user", 0), "second_assistant": ("assistant", 1)})
 
 
+@query("SELECT conv_id, coalesce(max(CASE WHEN role = 'user' AND rn = 1 THEN text END), '') AS first_user, coalesce(max(CASE WHEN role = 'assistant' AND rn = 2 THEN text END), '') AS second_assistant FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id")
+def source_projection_whole_texts(spark, sf_dir):
+    return S.nth_per_class(load(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn"], "text", {"first_user": ("user", 0), "second_assistant": ("assistant", 1)})
+
+
 @query("SELECT conv_id, CASE WHEN count(DISTINCT r) = 0 THEN 'format_profile_missing' WHEN count(DISTINCT r) > 1 THEN 'profile_ambiguous' ELSE 'parsed' END AS status, CASE WHEN count(DISTINCT r) = 1 THEN CAST(max(turn) FILTER (WHERE r IS NOT NULL) AS BIGINT) END AS turn FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR conv_id % 5 = 0 THEN NULL ELSE role END AS r FROM conversations) GROUP BY conv_id")
 def profile_resolution(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").withColumn("r", F.when(~((F.col("turn") % 3 == 0) | (F.col("conv_id") % 5 == 0)), F.col("role")))

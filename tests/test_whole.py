@@ -46,3 +46,13 @@ def test_no_row_of_a_table_is_left_out(spark, data):
         assert keys(registry.QUERIES[name](spark, data)) == keys(spark.read.parquet(f"{data}/{table}.parquet")), name
     n = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("documents", "customer"))
     assert registry.QUERIES["safe_cell_all"](spark, data).count() == n
+
+
+def test_projected_texts_are_whole(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want = {}
+    for r in turns:
+        want.setdefault(r.conv_id, {"user": [], "assistant": []}).setdefault(r.role, []).append(r.text)
+    assert any(len(t) > 20 for v in want.values() for t in v["user"])
+    got = {r.conv_id: (r.first_user, r.second_assistant) for r in registry.QUERIES["source_projection_whole_texts"](spark, data).collect()}
+    assert got == {k: ((v["user"] or [""])[0], (v["assistant"][1:] or [""])[0]) for k, v in want.items()}

@@ -2,10 +2,12 @@ r"""Secret scans: three base patterns, and candidates that are reported only whe
 
 Base, leftmost and non-overlapping for each kind: assign, access and hex. The method adds, after decoding:
 
-* pem: an armoured private key whose base64 body is a DER value with lengths that nest exactly, or an openssh key;
-* key: a run of base64 or hex that decodes to a DER private key or to an SSH public key blob with exact nested lengths;
+* pem: an armoured private key whose base64 body is a DER value with lengths that nest exactly, an openssh key, or, below DEK-Info, whole cipher blocks;
+* key: base64 or hex, in one line or over several, that decodes to a DER private key or to an SSH public key blob with exact nested lengths;
 * jwt: three base64url parts of which the header is JSON with "alg" and the payload is JSON.
 
+Line breaks and slashes within keys may be escaped, as in JSON strings.
+
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are each scanned.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -28,11 +31,24 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+#: A line break as it is, or escaped as in JSON strings.
+BREAK = r"(?:[\r\n]|\\+(?:[nrt]|u000[aAdD9]))"
+#: Headers, as in encrypted keys, then base64 with white space, escaped or real, and escaped slashes.
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\s|{BREAK})*+((?:[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n\\])*+(?:[ \t]*{BREAK})++[ \t]*+)*+)((?:[A-Za-z0-9+/=\s]|{BREAK}|\\+(?=/))++)-----END \1-----")
+CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*([0-9A-Fa-f]+)")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: DER begins with a sequence (0x30) and SSH blobs with a four-byte length, so base64 of keys begins with M or AAAA.
-BLOB64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]{63,}|AAAA[A-Za-z0-9+/]{60,})={0,2}")
-BLOB16 = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{62,}(?![0-9a-fA-F])")
+#: What joins the lines of one key: breaks with the blanks around them, and the backslash of an escaped slash.
+JOIN = rf"(?:(?:[ \t]*{BREAK})+[ \t]*|\\+(?=/))"
+JOINS = re.compile(JOIN)
+#: Not within a word, but right after an escaped line break.
+EDGE = r"(?:(?<![{0}])|(?<=\\[nrt])|(?<=\\u000[aAdD9]))"
+#: DER begins with a sequence (0x30) of a short or a long length, SSH blobs with a four-byte length, so base64 of keys begins with MA to MI or AAAA.
+START64, RUN64 = re.compile(EDGE.format("A-Za-z0-9+/") + "(?:M[A-I]|AAAA)"), re.compile(f"[A-Za-z0-9+/]++(?:{JOIN}[A-Za-z0-9+/]++)*+")
+START16, RUN16 = re.compile(EDGE.format("0-9a-fA-F") + "(?:30|000000)"), re.compile(f"[0-9a-fA-F]++(?:{JOIN}[0-9a-fA-F]++)*+")
+#: Characters of a key at least.
+LEAST = 64
+#: Fields of SSH public keys by type; those of other types, as certificates, go as far as they fill lines.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 
 KINDS = ("assign", "access", "hex", "pem", "key", "jwt")
 OUT = T.StructType([T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
@@ -60,7 +76,7 @@ def der_items(data: bytes, lo: int, hi: int, depth: int = 0) -> list[tuple[int,
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1, SEC 1 and PKCS#8 private keys: a sequence that fills the data and begins with a small version number."""
+    """PKCS#1, SEC 1, DSA and PKCS#8 private keys: a sequence that fills the data and begins with a small version number."""
     top = der_items(data, 0, len(data)) if data[:1] == b"0" else None
     if not top or len(top) != 1:
         return False
@@ -68,23 +84,85 @@ def is_der_key(data: bytes) -> bool:
     if not inner or len(inner) < 3 or inner[0][0] != 2 or inner[0][2] - inner[0][1] != 1 or data[inner[0][1]] > 1:
         return False
     tags = [t for t, *_ in inner]
-    return tags[1] == 4 or tags[1:3] == [48, 4] or (len(tags) >= 9 and set(tags[:9]) == {2})
+    return tags[1] == 4 or tags[1:3] == [48, 4] or (len(tags) >= 9 and set(tags[:9]) == {2}) or tags == [2] * 6
+
+
+def der_end(data: bytes, at: int) -> int | None:
+    """Where the sequence at `at` ends by its header, if it begins with a number as keys do."""
+    if len(data) - at < 4 or data[at] != 48:
+        return None
+    n, lo = data[at + 1], at + 2
+    if n >= 128:
+        k = n & 127
+        if not 1 <= k <= 4:
+            return None
+        n, lo = int.from_bytes(data[lo : lo + k], "big"), lo + k
+    return lo + n if data[lo : lo + 1] == b"\2" else None
 
 
-def is_ssh_blob(data: bytes) -> bool:
-    """Length-prefixed fields that fill the data, the first of them the name of a key type."""
-    at, fields = 0, []
-    while at < len(data):
+def ssh_ends(data: bytes, at: int) -> list[int]:
+    """Where an SSH public key at `at` may end, the likeliest first: length-prefixed fields, the first of them the name of a key type."""
+    ends, kind = [], None
+    while len(data) - at >= 4:
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data) or len(data) - at < 4:
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
+        if at + 4 + n > len(data):
+            break
+        if kind is None:
+            kind = data[at + 4 : at + 4 + n] if n <= 100 else b""
+            if not re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", kind):
+                return []
         at += 4 + n
-    return len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+        ends.append(at)
+    n = SSH_FIELDS.get(kind, len(ends))
+    return ends[n - 1 : n] + ends[:0:-1]
+
+
+def keys(text: str, start: re.Pattern, run: re.Pattern, bits: int) -> list[tuple[int, int]]:
+    """Spans of the keys in lines of base64 (6 bits a character) or hex (4) that begin where `start` matches and end, by their own lengths, where a line does."""
+    spans, lo, hi, done, unit = [], 0, 0, 0, 4 if bits == 6 else 2
+    chars, places, froms, decoded = "", [], [], {}
+    for m in start.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if at >= hi:
+            lo, hi = run.match(text, at).span()
+            parts, places, froms, n, a = [], [], [], 0, lo
+            for j in [*JOINS.finditer(text, lo, hi), None]:
+                b = j.start() if j else hi
+                parts.append(text[a:b])
+                places.append(n)
+                froms.append(a)
+                n, a = n + b - a, j.end() if j else hi
+            chars, decoded = "".join(parts), {}
+        line = bisect.bisect_right(froms, at) - 1
+        first = places[line] + at - froms[line]
+        if len(chars) - first < LEAST:
+            continue
+        phase = first % unit
+        if phase not in decoded:
+            whole = chars[phase:]
+            decoded[phase] = (unbase64(whole[: len(whole) - 1] if len(whole) % 4 == 1 else whole) if bits == 6 else bytes.fromhex(whole[: len(whole) & ~1])) or b""
+        data, byte = decoded[phase], (first - phase) * bits // 8
+        der = data[byte : byte + 1] == b"0"
+        for end in [der_end(data, byte)] if der else ssh_ends(data, byte):
+            if end is None or end > len(data):
+                continue
+            last = first + -(-(end - byte) * 8 // bits)
+            k = bisect.bisect_left(places, last) - 1
+            whole = last == len(chars) or (k + 1 < len(places) and places[k + 1] == last)
+            if not whole or last - first < LEAST or (der and not is_der_key(data[byte:end])):
+                continue
+            done = froms[k] + last - places[k]
+            if bits == 6:
+                done += len(re.match("={0,2}", text[done : done + 2])[0])
+            spans.append((at, done))
+            break
+    return spans
 
 
 def unbase64(text: str, url: bool = False) -> bytes | None:
-    text = re.sub(r"\s", "", text).rstrip("=")
+    text = re.sub(rf"\s|{BREAK}|\\+(?=/)", "", text).rstrip("=")
     if len(text) % 4 == 1:
         return None
     try:
@@ -93,6 +171,11 @@ def unbase64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
+def is_enciphered(data: bytes, iv: str) -> bool:
+    """Whole blocks of the size of the start value, 8 or 16 bytes."""
+    return len(iv) in (16, 32) and len(data) >= 32 and len(data) % (len(iv) // 2) == 0
+
+
 def is_token(head: str, body: str) -> bool:
     try:
         header, payload = json.loads(unbase64(head, True) or b""), json.loads(unbase64(body, True) or b"")
@@ -106,16 +189,13 @@ def confirmed(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     spans = []
     if b"PRIVATE KEY-----" in raw:
         for m in PEM.finditer(text):
-            data = unbase64(m[2])
-            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0") or (m[1].startswith("ENCRYPTED") and len(der_items(data, 0, len(data)) or []) == 1)):
+            data, cipher = unbase64(m[3]), CIPHER.search(m[2])
+            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0") or (m[1].startswith("ENCRYPTED") and len(der_items(data, 0, len(data)) or []) == 1) or (cipher and is_enciphered(data, cipher[1]))):
                 spans.append((m.start(), 3, m.end()))
-    for m in BLOB64.finditer(text) if b"M" in raw or b"AAAA" in raw else ():
-        data = unbase64(m[0])
-        if data and (is_der_key(data) or is_ssh_blob(data)):
-            spans.append((m.start(), 4, m.end()))
-    for m in BLOB16.finditer(text) if b"30" in raw else ():
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            spans.append((m.start(), 4, m.end()))
+    if b"M" in raw or b"AAAA" in raw:
+        spans += [(a, 4, b) for a, b in keys(text, START64, RUN64, 6)]
+    if b"30" in raw or b"000000" in raw:
+        spans += [(a, 4, b) for a, b in keys(text, START16, RUN16, 4)]
     if b"eyJ" in raw:
         spans += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
     return spans

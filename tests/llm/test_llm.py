@@ -477,3 +477,43 @@ def test_secrets(spark):
     clean = by_id(secrets.redact(docs(spark, texts)))
     assert clean[3].text == "k [secret] ." and clean[10].text is None and clean[0].text.startswith("é [secret]' token=short")
     assert secrets.find(empty(spark)).count() == 0
+
+
+def test_secrets_in_other_wrappings(spark):
+    number = lambda i, n=32: der(2, bytes([1 + i] * n))
+    rsa, dsa = (der(0x30, der(2, b"\0") + b"".join(number(i) for i in range(n))) for n in (8, 5))
+    b64 = base64.b64encode(rsa).decode()
+    wrap = lambda t, n, by: by.join(t[i : i + n] for i in range(0, len(t), n))
+    pem = lambda body, head="": f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----\n"
+    ssh = b"".join(len(p).to_bytes(4, "big") + p for p in (b"ssh-rsa", b"\1\0\1", b"\0" + b"\xfe" * 128))
+    ssh64, dsa64 = base64.b64encode(ssh).decode(), base64.b64encode(dsa).decode()
+    sealed = base64.b64encode(bytes(range(256)) * 2).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+    slashed = base64.b64encode(der(0x30, der(2, b"\0") + b"".join(der(2, b"\x7f\xff\xff" * 11) for _ in range(8)))).decode()
+    texts = {
+        "json pem": (json.dumps({"private_key": pem(wrap(b64, 64, "\n"))}), ["pem", "key"]),
+        "twice escaped": (json.dumps(json.dumps({"private_key": pem(wrap(b64, 64, "\r\n"))})), ["pem", "key"]),
+        "encrypted": (pem(wrap(sealed, 64, "\n"), head), ["pem"]),
+        "encrypted json": (json.dumps(pem(wrap(sealed, 64, "\n"), head)), ["pem"]),
+        "encrypted cut": (pem(wrap(sealed[:-8], 64, "\n"), head), []),
+        "dsa": (pem(dsa64).replace("RSA", "DSA"), ["pem", "key"]),
+        "dsa bare": (f"k {dsa64} .", ["key"]),
+        "wrapped": (f"k\n{wrap(b64, 76, chr(10))}\nand more words\n", ["key"]),
+        "wrapped short": (f"  {wrap(b64.rstrip('='), 40, chr(13) + chr(10) + '  ')}\nhello", ["key"]),
+        "wrapped cut": (wrap(b64[:-8], 64, "\n") + "\nhello", []),
+        "two": (f"{wrap(ssh64, 70, chr(10))}\n{wrap(dsa64, 64, chr(10))}\n{ssh64}", ["key"] * 3),
+        "json base64": (json.dumps({"k": "a\n" + wrap(b64, 64, "\n")}), ["key"]),
+        "slashes": (json.dumps({"k": slashed}).replace("/", "\\/"), ["key"]),
+        "ssh hex": (f"x {ssh.hex().upper()} y", ["key"]),
+        "hex cut": (f"x {ssh.hex().upper()[:-2]} y", []),
+    }
+    assert "/" in slashed
+    clean = by_id(secrets.redact(docs(spark, [t for t, _ in texts.values()])))
+    for i, (name, (text, want)) in enumerate(texts.items()):
+        found = [s for s in secrets.scan([text.encode()])["found"][0] if s["kind"] in ("pem", "key")]
+        assert [s["kind"] for s in found] == want, name
+        assert ("[secret]" in clean[i].text) == bool(want), name
+    assert clean[list(texts).index("wrapped")].text == "k\n[secret]\nand more words\n"
+    assert clean[list(texts).index("wrapped short")].text == "  [secret]\nhello"
+    assert clean[list(texts).index("two")].text == "[secret]\n[secret]\n[secret]"
+    assert json.loads(clean[0].text) == {"private_key": "[secret]\n"}

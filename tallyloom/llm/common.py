@@ -31,9 +31,13 @@ _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor reaches; a temporary one where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, which every executor reaches.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own; a cluster is refused, as its executors share none."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tallyloom-"))
         top = _own[0]
@@ -44,7 +48,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a written table: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = path or work_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -164,12 +168,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_428_361_577
+_prime_powers: list[np.ndarray] = []
+
+
+def _folded(x: np.ndarray, times: int) -> np.ndarray:
+    for _ in range(times):
+        x = (x & _PRIME) + (x >> np.uint64(31))
+    return x
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime 2 ** 31 - 1, the first n of each."""
+    if not _prime_powers or len(_prime_powers[0]) < n:
+        size = max(n, 1 << 16)
+        tables = []
+        for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME))):
+            out, done = np.ones(size, np.uint64), 1
+            while done < size:
+                more = min(done, size - done)
+                out[done : done + more] = out[:more] * np.uint64(pow(base, done, int(_PRIME))) % _PRIME
+                done += more
+            tables.append(out)
+        _prime_powers[:] = tables
+    return _prime_powers[0][:n], _prime_powers[1][:n]
+
+
 def token_hashes(texts: list[bytes], table: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs that `table` does not map to spaces), and the number of words of each text."""
+    """Hashes of all words (runs that `table` does not map to spaces), and the number of words of each text.
+
+    Polynomials modulo 2 ** 64 alone are equal for known pairs of long words whatever their base, so one modulo a prime is mixed in."""
     data = np.frombuffer(b" ".join(texts).translate(table) + b" ", np.uint8)
     prefix = prefix_hashes(data)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], data != 32, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     bounds = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, bounds))))
-    return span_hashes(prefix, starts, ends), counts
+    first = (prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts]
+    up, down = prime_powers(len(data))
+    np.cumsum(_folded((data.astype(np.uint64) + np.uint64(1)) * up, 1), out=prefix[1:])
+    second = _folded(_folded(prefix[ends] - prefix[starts], 2) * down[starts], 3)
+    second[second >= _PRIME] -= _PRIME
+    return mixed(first + second * np.uint64(0xD1342543DE82EF95)), counts

@@ -3,11 +3,14 @@
 Labels are given for documents, so tokens are labelled first: a token of a toxic text is toxic if its features (the word, or
 its beginning) stand in toxic training texts and hardly ever in others. The field has two states; a state's weight at a
 token is the sum of its hashed features' weights, transitions have a weight each. It is trained by gradient ascent on the
-likelihood of sequences of SEQUENCE tokens, into which whole texts are cut, and forward-backward gives each token's marginal.
-A logistic curve over sums of a document's marginals, fitted on training texts that the field hasn't seen, gives the score.
-
-The model is fitted on the driver from a bounded sample of the labelled training rows (SAMPLE for each label, chosen by hash);
-every text is scored whole. Null and empty texts have the score of a text without tokens. Repeated rows are scored alike.
+likelihood of whole texts, each of which is one chain, and forward-backward over the whole text (chains.py) gives each token's
+marginal. A logistic curve over sums of a document's marginals, fitted on training texts that the field hasn't seen, gives the
+score.
+
+The model is fitted on the driver from a bounded sample of the labelled training rows: for each label those with the smallest
+hashes of their ids, SAMPLE rows and SAMPLE_BYTES bytes of whole texts at most. Every text is scored whole. Null and empty texts
+have the score of a text without tokens. Repeated rows are scored alike. Ids may be of any type; kept columns with the name of a
+result go.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.llm.chains import Chains
 from tallyloom.llm.common import LOWER_BYTES, col, map_texts, others
 
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 2500
-#: The sample takes whole texts of at most so many bytes.
-SAMPLE_TEXT_BYTES = 60_000
+#: Bytes of their texts for each label, at most; a text that goes beyond what is left of them is passed over.
+SAMPLE_BYTES = 10_000_000
 BUCKETS = 1 << 20
-SEQUENCE = 64
 #: Least log-likelihood ratio of a feature that labels tokens; tens of thousands of features are tried.
 WEAK_RATIO = 13.0
 THRESHOLD = 0.3
@@ -54,47 +57,19 @@ def features(token: bytes) -> tuple[int, int, int]:
     return zlib.crc32(b"w" + w) % BUCKETS, zlib.crc32(b"4" + w[:4] + b"." * (len(w) < 5)) % BUCKETS, zlib.crc32(b"5" + w[:5] + b"." * (len(w) < 6)) % BUCKETS
 
 
-def marginals(emit: np.ndarray, valid: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """Forward-backward over rows of log weights of state 1 (state 0 has 0): marginals of state 1, log partition, pair sums.
-
-    emit, valid: (rows, steps); a row's valid steps come first. trans: log weights [from, to]."""
-    n, steps = emit.shape
-    w = np.stack([np.ones_like(emit), np.exp(np.clip(emit, -30, 30))], 2)
-    m = np.exp(trans)
-    alpha, scale = np.empty((steps, n, 2)), np.ones((steps, n))
-    a = None
-    for t in range(steps):
-        a_new = w[:, t] if a is None else (a @ m) * w[:, t]
-        z = a_new.sum(1)
-        keep = valid[:, t]
-        scale[t] = np.where(keep, z, 1.0)
-        a = np.where(keep[:, None], a_new / z[:, None], a if a is not None else 0.5)
-        alpha[t] = a
-    beta = np.ones((n, 2))
-    out = np.zeros((n, steps))
-    sums = np.zeros((2, 2))
-    for t in range(steps - 1, -1, -1):
-        g = alpha[t] * beta
-        out[:, t] = np.where(valid[:, t], g[:, 1] / np.maximum(g.sum(1), 1e-300), 0)
-        back = (w[:, t] * beta) @ m.T
-        back /= np.maximum(scale[t], 1e-300)[:, None]
-        if pairs and t:
-            right = np.where(valid[:, t, None], w[:, t] * beta / scale[t][:, None], 0)
-            sums += (alpha[t - 1].T @ right) * m
-        beta = np.where(valid[:, t, None], back, beta)
-    return out, np.log(np.maximum(scale, 1e-300)).sum(), sums
-
-
-def padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts cut into rows of SEQUENCE tokens: places of the tokens in a flat array (the last + 1 where there's none), and the text of each row."""
-    rows = -(-lengths // SEQUENCE)
-    text = np.repeat(np.arange(len(lengths)), rows)
-    first = np.cumsum(rows) - rows
-    row = np.arange(len(text)) - first[text]
-    start = (np.cumsum(lengths) - lengths)[text] + row * SEQUENCE
-    left = np.minimum(SEQUENCE, lengths[text] - row * SEQUENCE)
-    at = start[:, None] + np.arange(SEQUENCE)
-    return np.where(np.arange(SEQUENCE) < left[:, None], at, int(lengths.sum())), text
+def chains(logits: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> Chains:
+    """Texts whose tokens have log weights `logits` of state 1 (state 0 has 0); trans: log weights [from, to]."""
+    weights = np.exp(np.clip(logits, -30, 30))
+    return Chains(lengths, lambda at: np.stack([np.ones(len(at)), weights[at]], 1), np.ones(2), np.exp(trans))
+
+
+def marginals(logits: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's probability of state 1, and the expected number of steps from state to state."""
+    out, steps = np.zeros(len(logits)), np.zeros((2, 2))
+    for at, share, _, moves, _ in chains(logits, lengths, trans).marginals():
+        out[at] = share[:, 1]
+        steps += moves
+    return out, steps
 
 
 def unlike(feats: list[np.ndarray]) -> np.ndarray:
@@ -136,27 +111,25 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25, rate: float = 0.3) -> di
         return model
     single = np.flatnonzero(train & unlike(feats))
     marked = weak_labels([feats[i] for i in single], toxic[single])
-    ids = [i for i in single if len(feats[i])]
-    flat = np.concatenate([feats[i] for i in ids])
-    lengths = np.array([len(feats[i]) for i in ids])
-    gold = marked[flat].any(1) & np.repeat(toxic[ids] == 1, lengths)
-    at, _ = padded(lengths)
-    valid = at < len(flat)
-    used, place = np.unique(flat, return_inverse=True)
-    place = place.reshape(flat.shape)
-    y = np.append(gold, False)[at]
+    flat = np.concatenate([feats[i] for i in single])
+    lengths = np.array([len(feats[i]) for i in single])
+    gold = marked[flat].any(1) & np.repeat(toxic[single] == 1, lengths)
+    used = np.flatnonzero(np.bincount(flat.ravel(), minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    place = number[flat]
+    del flat
+    inner = np.repeat(np.arange(len(lengths)), lengths)
+    inner = inner[1:] == inner[:-1]
     w, bias, trans = np.zeros(len(used)), -3.0, np.zeros((2, 2))
-    both = valid[:, 1:]
-    want = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], float)
-    n_want = np.bincount(place.ravel(), np.repeat(gold.astype(float), 3), len(used))
+    want = np.bincount((2 * gold[:-1] + gold[1:])[inner], minlength=4).reshape(2, 2).astype(float)
+    count = lambda x: sum(np.bincount(place[:, k], x, len(used)) for k in range(3))
+    n_want = count(gold.astype(float))
     s_w, s_b, s_t = np.full(len(used), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(steps):  # AdaGrad on the mean log-likelihood, with a small L2 penalty
-        e = np.append(w[place].sum(1) + bias, 0.0)[at]
-        mu, _, sums = marginals(e, valid, trans, True)
-        flat_mu = np.zeros(len(flat) + 1)
-        flat_mu[at.ravel()] = mu.ravel()
-        g = n_want - np.bincount(place.ravel(), np.repeat(flat_mu[:-1], 3), len(used)) - 1e-3 * w
-        gb, gt = float(gold.sum() - flat_mu[:-1].sum()), want - sums - 1e-3 * trans
+        mu, moves = marginals(w[place[:, 0]] + w[place[:, 1]] + w[place[:, 2]] + bias, lengths, trans)
+        g = n_want - count(mu) - 1e-3 * w
+        gb, gt = float(gold.sum() - mu.sum()), want - moves - 1e-3 * trans
         s_w, s_b, s_t = s_w + g * g, s_b + gb * gb, s_t + gt * gt
         w, bias, trans = w + rate * 3 * g / np.sqrt(s_w), bias + rate * gb / np.sqrt(s_b), trans + 0.1 * gt / np.sqrt(s_t)
     model["weights"][used] = w
@@ -164,7 +137,7 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25, rate: float = 0.3) -> di
     rest = [i for i in range(len(rows)) if not train[i]]
     lengths = np.array([len(feats[i]) for i in rest])
     logits = model["weights"][np.concatenate([feats[i] for i in rest])].sum(1) + model["bias"]
-    x = document_features(sequence_marginals(logits, lengths, model), lengths)
+    x = document_features(marginals(logits, lengths, model["trans"])[0], lengths)
     model["curve"] = logistic(x, toxic[rest])
     return model
 
@@ -175,15 +148,7 @@ def token_marginals(texts: list[list[bytes]], model: dict) -> tuple[np.ndarray,
     ids: dict[bytes, int] = {}
     number = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t), np.int64, int(lengths.sum()))
     buckets = np.array([features(w) for w in ids], np.int64).reshape(-1, 3)
-    return sequence_marginals((model["weights"][buckets].sum(1) + model["bias"])[number], lengths, model), lengths
-
-
-def sequence_marginals(logits: np.ndarray, lengths: np.ndarray, model: dict) -> np.ndarray:
-    at, _ = padded(lengths)
-    out = np.zeros(len(logits) + 1)
-    mu, _, _ = marginals(np.append(logits, 0.0)[at], at < len(logits), model["trans"])
-    out[at.ravel()] = mu.ravel()
-    return out[:-1]
+    return marginals((model["weights"][buckets].sum(1) + model["bias"])[number], lengths, model["trans"])[0], lengths
 
 
 def document_features(mu: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -207,16 +172,22 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """At most `sample` labelled rows of each label, those with the smallest hash of their id."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """Labelled rows of each label, those with the smallest hashes of their ids: at most `sample` of them, and `sample_bytes` of text."""
     lab = labels.select(col(id_col).alias("__id"), col(label_col).cast("int").alias("__y")).where("__y in (0, 1) and __id is not null").dropDuplicates(["__id"])
     picked = None
     for y in (1, 0):
         part = lab.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    small = F.broadcast(picked)  # 2 * sample rows of two numbers
-    text = docs.select(col(id_col).alias("__id"), col(text_col).cast("string").alias("__t"))
-    rows = text.where((F.octet_length("__t") > 0) & (F.octet_length("__t") <= SAMPLE_TEXT_BYTES)).join(small, "__id").select("__id", "__t", "__y")
+    text = docs.select(col(id_col).alias("__id"), col(text_col).cast("string").alias("__t")).where(F.octet_length("__t") > 0)
+    sizes = text.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.sum(F.octet_length("__t")).alias("__n"))  # 2 * sample rows
+    left, chosen = {0: sample_bytes, 1: sample_bytes}, []
+    for i, y, n, _ in sizes.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").collect():
+        if n <= left[y]:
+            left[y] -= n
+            chosen.append((i, y))
+    small = F.broadcast(docs.sparkSession.createDataFrame(chosen, picked.schema))  # 2 * sample rows of an id and a label
+    rows = text.join(small, "__id").select("__id", "__t", "__y")
     got = sorted((zlib.crc32(str(i).encode()), str(i), t.encode(), y) for i, t, y in rows.toLocalIterator())
     return [(t, y) for *_, t, y in got]
 

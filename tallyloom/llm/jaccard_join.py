@@ -2,14 +2,16 @@
 
 Texts are sets of hashed runs of SHINGLE words (a text of fewer words, but not none, is one run). Texts of equal sets form a
 class and are handled once. Classes that share a band of MinHash values may be similar; what bands connect forms a group, and
-a group's classes are compared in blocks of at most BLOCK. Within a task, pairs are compared STEP MinHash values at a time,
+a group's classes are compared in blocks of BLOCK or so (fewer long ones). Within a task, pairs are compared STEP MinHash values at a time,
 and dropped when the posterior probability of reaching the threshold, under a uniform prior, is below TOLERANCE; what is left
 is verified exactly on the sets. Tasks return counts and local roots for each class, never pairs, so a group of n near
 copies makes rows in proportion to n (n * n / BLOCK at most), not to its pairs.
 
 A pair of exactly the threshold is missed with probability (1 - 0.8 ** 6) ** 42 = 3e-6 by the bands and less than TOLERANCE
-at each step by pruning. Null and empty texts and rows without id are in no class but their own and have no links. Repeated
-rows are copies of each other. Columns of the input other than id and text are not read.
+at each step by pruning. Runs are identified by 64-bit hashes of their words' hashes (token_hashes), sets by 128 bits of BLAKE2b.
+Null and empty texts and rows without id are in no class but their own and have no links. Repeated rows are copies of each
+other; rows of one id but different texts are in the classes of their texts. Ids may be of any type that can be ordered. Columns
+of the input other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 42
 STEP, TOLERANCE = 42, 1e-6
 BLOCK = 128
+#: Bytes of the sets in one block, on average.
+BLOCK_BYTES = 4_000_000
 #: Bytes of text in one call, so that its arrays stay small.
 CALL_BYTES = 1_500_000
 
 _MULTIPLY = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
-PRINT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.BinaryType())])
+PRINT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.BinaryType()), T.StructField("size", T.LongType())])
 SETS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
 
@@ -81,7 +85,7 @@ def _prints(texts: list[bytes]) -> dict:
     keys = np.full((len(texts), BANDS), 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
-    return {"digest": [_digest(s) for s in sets], "bands": [k.tobytes() if len(s) else None for k, s in zip(keys, sets, strict=True)]}
+    return {"digest": [_digest(s) for s in sets], "bands": [k.tobytes() if len(s) else None for k, s in zip(keys, sets, strict=True)], "size": [len(s) for s in sets]}
 
 
 def _sets(texts: list[bytes]) -> dict:
@@ -137,21 +141,22 @@ def similar_pairs(a_sig, a_sets, b_sig, b_sets, same: bool, threshold: float = T
     return i[yes], j[yes]
 
 
-COMPARED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n_texts", T.LongType()), T.StructField("n_rows", T.LongType()), T.StructField("root", T.LongType())])
+COMPARED = T.StructType([T.StructField("node", T.LongType()), T.StructField("n_texts", T.LongType()), T.StructField("n_rows", T.LongType()), T.StructField("root", T.LongType())])
 
 
 def _compared(threshold: float):
     """Over rows sorted by (gid, x, y): what each block pair finds, a row for each class of it with links."""
-    names = ["gid", "x", "y", "rep", "side", "n", "signature", "shingles"]
+    names = ["gid", "x", "y", "side", "node", "n", "signature", "shingles"]
 
     def run(batches):
         least = least_matches(threshold)
 
         def judged(rows):
+            rows = list({r[3:5]: r for r in rows}.values())  # a class comes twice if rows of its id and text repeat
             sig = np.stack([np.frombuffer(r[6], np.uint32) for r in rows])
             sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-            rep, n = np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
-            side = np.array([r[4] for r in rows])
+            node, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+            side = np.array([r[3] for r in rows])
             if (side == 0).all():
                 a = b = np.arange(len(rows))
                 i, j = similar_pairs(sig, sets, sig, sets, True, threshold, least)
@@ -161,7 +166,7 @@ def _compared(threshold: float):
             i, j = a[i], b[j]
             texts = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
             docs = np.bincount(i, n[j], len(rows)) + np.bincount(j, n[i], len(rows))
-            root = rep.copy()
+            root = node.copy()
             while True:
                 low = np.minimum(root[i], root[j])
                 new = root.copy()
@@ -171,7 +176,7 @@ def _compared(threshold: float):
                     break
                 root = new
             hit = np.flatnonzero(texts)
-            return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(texts[hit]), pa.array(docs[hit].astype(np.int64)), pa.array(root[hit])], COMPARED.names)
+            return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(texts[hit]), pa.array(docs[hit].astype(np.int64)), pa.array(root[hit])], COMPARED.names)
 
         key, rows = None, []
         # a thousand rows at a time are taken out of a batch, whose sets are long
@@ -188,39 +193,69 @@ def _compared(threshold: float):
     return run
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: id, copy_id (the smallest id with the same set), class_id (the smallest id that links lead to),
-    n_links (other rows whose similarity reaches the threshold) and n_texts (other classes of them)."""
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, extra: dict | None = None) -> DataFrame:
+    """A row for each row of docs: id, the columns `extra`, rep (the smallest id with the same set), n (rows with that set), root (a number
+    for all that links connect; null without id or words), class_id (the smallest id there), n_texts and n_rows (classes and rows linked)."""
     spark = docs.sparkSession
     top = work_dir(spark)
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    prints = written(map_texts(rows, "text", ["id"], PRINT, lambda: _prints, CALL_BYTES), f"{top}/prints")
-    classes = written(prints.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), f"{top}/classes")
+    extra = extra or {}
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), *[c.alias(n) for n, c in extra.items()])
+    prints = written(map_texts(rows, "text", ["id", *extra], PRINT, lambda: _prints, CALL_BYTES), f"{top}/prints")
+    classes = prints.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    # the number of a class is written with it, and so stays what it is
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), f"{top}/classes")
 
     # groups: classes that bands connect, by way of the smallest class of each band value
-    keyed = classes.select("rep", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "bands").select("rep", F.substring("bands", F.col("i") * 8 + 1, F.lit(8)).alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
-    edges = keyed.join(firsts, "key").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    groups = connected_components(edges)
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = groups.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("gid"), "blocks")
-    members = written(members.join(classes.select("rep", "n", "digest"), "rep"), f"{top}/members")
+    keyed = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "bands").select("node", F.substring("bands", F.col("i") * 8 + 1, F.lit(8)).alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
+    edges = keyed.join(firsts, "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = connected_components(edges).join(classes.select("node", "rep", "n", "digest", "size"), "node")
+    groups = written(groups, f"{top}/groups")
+    sizes = groups.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), 8 * F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    members = written(groups.join(sizes, "root").select("node", F.col("root").alias("gid"), "blocks", "rep", "n", F.col("digest").alias("want")), f"{top}/members")
 
     # each class goes to the block pairs of its group that it has a part in
-    texts = rows.join(members.where("blocks > 0").withColumnRenamed("rep", "id"), "id").withColumnRenamed("digest", "want")
-    full = map_texts(texts, "text", ["id", "gid", "blocks", "n", "want"], SETS, lambda: _sets, CALL_BYTES).where("digest = want").dropDuplicates(["id", "gid"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    texts = rows.select("id", "text").join(members, F.col("id") == F.col("rep"))
+    full = map_texts(texts, "text", ["node", "gid", "blocks", "n", "want"], SETS, lambda: _sets, CALL_BYTES).where("digest = want")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("id").alias("rep"), (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "signature", "shingles")
+    dealt = dealt.select("gid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "signature", "shingles")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     pairs = dealt.repartition(parts, "gid", "x", "y").sortWithinPartitions("gid", "x", "y")
     with runtime_filters(spark):  # most texts are in no group
         found = written(pairs.mapInArrow(_compared(threshold), COMPARED), f"{top}/found")
+    remove(spark, top, "members", "groups")
 
-    remove(spark, top, "members")
-    roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_rows").alias("n_rows"))
-    known = classes.select("digest", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select(F.col("digest").alias("d"), "rep", "n", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("root", "rep").alias("root"))
-    done = prints.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(known, F.col("digest") == F.col("d"), "left")
-    return done.select(F.col("id").alias(id_col), F.coalesce("rep", "id").alias("copy_id"), F.coalesce("root", "id").alias("class_id"), (F.coalesce(F.col("n_rows") + F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+    roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_rows").alias("n_rows"))
+    known = classes.select("digest", "rep", "n", "node").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = known.where("n_texts > 0").groupBy("root").agg(F.min("rep").alias("class_id"))
+    known = written(known.join(least, "root", "left").select(F.col("digest").alias("d"), "rep", "n", "root", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")), f"{top}/known")
+    remove(spark, top, "classes", "found")
+    own_digest = F.when(F.col("id").isNotNull(), F.col("digest"))
+    return prints.select("id", *extra, own_digest.alias("digest")).join(known, F.col("digest") == F.col("d"), "left").drop("digest", "d")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """A row for each row of docs: id, copy_id (the smallest id with the same set), class_id (the smallest id that links lead to),
+    n_links (other rows whose similarity reaches the threshold) and n_texts (other classes of them)."""
+    n_links = F.coalesce(F.col("n_rows") + F.col("n") - 1, F.lit(0)).cast("long")
+    found = classified(docs, id_col, text_col, threshold, block)
+    return found.select(F.col("id").alias(id_col), F.coalesce("rep", "id").alias("copy_id"), F.coalesce("class_id", "id").alias("class_id"), n_links.alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs without those that have a similar one with a smaller id (the smaller text hash, if the ids are equal); of rows that
+    repeat id and text one stays. Rows without id stay. All columns stay, whatever their names."""
+    spark = docs.sparkSession
+    sha = F.sha2(col(text_col).cast("string"), 256)
+    found = classified(docs, id_col, text_col, threshold, extra={"sha": sha}).where("id is not null")
+    pairs = written(found.groupBy("id", "sha").agg(F.first("root").alias("root"), F.count("*").alias("times")))
+    best = pairs.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "sha")).alias("best"))
+    judged = pairs.join(best, "root", "left").select("id", "sha", "times", (F.col("best").isNull() | (F.col("best") == F.struct("id", "sha"))).alias("stays"))
+    judged = written(judged.where("not stays or times > 1"))
+    same = [col(id_col) == F.col("__id"), sha.eqNullSafe(F.col("__sha"))]
+    key = judged.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), "stays")
+    alone = docs.join(key.drop("stays"), same, "left_anti")
+    repeated = docs.withColumn("__key", F.struct(col(id_col), sha)).join(key.where("stays").drop("stays"), same).dropDuplicates(["__key"])
+    return alone.unionByName(repeated.select(*[col(c) for c in docs.columns]))

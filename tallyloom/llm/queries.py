@@ -24,8 +24,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
-    warc.build_index(warc.write_archives(table(spark, sf_dir, "pages"), path), path)
-    return warc.read_archives(spark, path, with_payload=False).drop("payload", "url")
+    pages = table(spark, sf_dir, "pages")
+    warc.build_index(warc.write_archives(pages, path), path)
+    return warc.lookup(pages, path, with_payload=False).drop("payload", "url")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

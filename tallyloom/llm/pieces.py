@@ -6,14 +6,15 @@ keeps decoding lossless. A path's probability is in proportion to exp of its pie
 paths to each place, backward sampling draws the last piece, then the one before it. Draws are hashes of the row key, the
 unit's number and the step, so a row has the same sample wherever and however often it is encoded.
 
-The lattice falls apart at line ends and before runs of spaces, which no piece crosses; units of more than UNIT characters are
-cut there too. Equal units share one lattice. Null texts have null ids and decode to null, empty texts have none. A null row
-key is a key of its own. Repeated rows have equal samples.
+The lattice falls apart at line ends and before runs of spaces, which no piece crosses (a model with other pieces is refused),
+and at no other place. Equal units of up to LONG characters share one lattice. Those of more are filtered and sampled one by
+one, with only the sums held for each character. Null texts have null ids and decode to null, empty texts have none. A null
+row key is a key of its own. Repeated rows have equal samples. Kept columns with the name of a result go.
 """
 
 from __future__ import annotations
 
-import re
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,13 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import col, mixed, others, prefix_hashes, slices, span_hashes
 
 MODEL = "piece_bpe_32k.model"
-UNIT = 64
+#: Characters of a unit whose lattice is built as a table.
+LONG = 256
 #: Inverse temperature: at 0 all paths are alike, with more the likelier pieces win.
 ALPHA = 1.0
 CALL_BYTES = 600_000
 #: Units of one lattice batch, and units whose lattices a task keeps.
 UNITS, POOL = 100_000, 60_000
-_UNITS = re.compile(rb" *[^ \n]+|\n| +")
 _MARK = "▁"
 
 
@@ -63,23 +64,53 @@ class Pieces:
                 self.spelled[piece.replace(_MARK, " ")] = i
                 self.bytes_of[i] = piece.replace(_MARK, " ").encode()
             scores[i] = sp.get_score(i)
+        for piece in self.spelled:
+            if "\n" in piece[1:] or piece[:1] == "\n" != piece or " " in piece.lstrip(" "):
+                raise ValueError(f"{piece!r} crosses white space")
         plain = scores[list(self.spelled.values())]
         ranks = bool((plain == np.round(plain)).all())
         weights = -alpha * np.log(2.0 - scores) if ranks else alpha * scores
         self.byte_weight = float(weights[list(self.spelled.values())].min()) - 1.0
         self.longest = max(len(p) for p in self.spelled)
-        # hashes of the pieces of each length, in order, with their ids and weights
-        self.tables = []
-        for size in range(1, self.longest + 1):
-            own = [(p, i) for p, i in self.spelled.items() if len(p) == size]
-            points = np.frombuffer("".join(p for p, _ in own).encode("utf-32-le"), np.uint32)
-            at = np.arange(len(own)) * size
-            h = span_hashes(prefix_hashes(points), at, at + size) if own else np.zeros(0, np.uint64)
-            ids = np.array([i for _, i in own], np.int32)
-            order = np.argsort(h)
-            maybe = np.zeros(1 << 18, bool)  # by the hash's low bits, to pass over most runs that are no piece
-            maybe[h & np.uint64((1 << 18) - 1)] = True
-            self.tables.append((h[order], ids[order], weights[ids[order]].astype(np.float32) if own else np.zeros(0, np.float32), maybe))
+        self.edges = {p: (i, float(weights[i])) for p, i in self.spelled.items()}
+        self._trie(weights)
+
+    def _trie(self, weights: np.ndarray) -> None:
+        """The pieces' beginnings as nodes; steps from node to node by a character are in a table with open addressing."""
+        steps: dict[int, int] = {}
+        ends = {}
+        for piece, i in self.spelled.items():
+            node = 0
+            for ch in piece:
+                node = steps.setdefault(node << 21 | ord(ch), len(steps) + 1)
+            ends[node] = i
+        self.piece_at = np.full(len(steps) + 1, -1, np.int32)
+        self.piece_at[list(ends)] = list(ends.values())
+        self.weight_at = np.where(self.piece_at >= 0, weights[self.piece_at], 0).astype(np.float32)
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        for slot, key, node in zip(self._slots(np.array(list(steps), np.int64)).tolist(), steps, steps.values(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.nodes[slot] = key, node
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to, -1 where no piece goes on so."""
+        key = nodes << 21 | points
+        slot = self._slots(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.nodes[slot], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.nodes[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
 
 
 def lattice(units: list[str], pieces: Pieces):
@@ -88,45 +119,51 @@ def lattice(units: list[str], pieces: Pieces):
     An id of -2 stands for the byte pieces of one character."""
     lengths = np.array([len(u) for u in units], np.int64)
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n, most = len(points), min(pieces.longest, int(lengths.max(initial=1)))
+    n, most, width = len(points), min(pieces.longest, int(lengths.max(initial=1))), pieces.longest
     ends = np.cumsum(lengths)
-    inner = np.arange(n) - np.repeat(ends - lengths, lengths)  # place in its unit
-    prefix = prefix_hashes(points)
-    ids = np.full((n, most), -1, np.int32)
-    weight = np.full((n, most), -np.inf, np.float32)
+    ids = np.full((n, width), -1, np.int32)
+    weight = np.full((most, n), -np.inf, np.float32)
+    # all places of all units walk the pieces side by side, as long as some piece goes on
+    wide, at, node = points.astype(np.int64), np.arange(n), np.zeros(n, np.int64)
+    stop = np.repeat(ends, lengths)
     for size in range(1, most + 1):
-        h, own, w, maybe = pieces.tables[size - 1]
-        at = np.flatnonzero(inner >= size - 1)  # places where a piece of this length can end
-        if not len(h) or not len(at):
-            continue
-        want = span_hashes(prefix, at - size + 1, at + 1)
-        some = maybe[want & np.uint64((1 << 18) - 1)]
-        at, want = at[some], want[some]
-        k = np.minimum(np.searchsorted(h, want), len(h) - 1)
-        hit = h[k] == want
-        ids[at[hit], size - 1], weight[at[hit], size - 1] = own[k[hit]], w[k[hit]]
+        node = pieces.step(node, wide[at + size - 1])
+        on = np.flatnonzero(node >= 0)
+        at, node = at[on], node[on].astype(np.int64)
+        piece = pieces.piece_at[node]
+        whole = np.flatnonzero(piece >= 0)
+        to = at[whole] + size - 1
+        ids[to, size - 1] = piece[whole]
+        weight[size - 1, to] = pieces.weight_at[node[whole]]
+        on = np.flatnonzero(at + size < stop[at])
+        at, node = at[on], node[on]
+        if not len(at):
+            break
     bare = np.flatnonzero((ids[:, 0] < 0) | (points == ord(_MARK)))
     ids[bare, 0] = -2
-    weight[bare, 0] = _utf8_size(points[bare]) * pieces.byte_weight
+    weight[0, bare] = _utf8_size(points[bare]) * pieces.byte_weight
     # forward filtering, all units at once, place by place
     order = np.argsort(-lengths, kind="stable")
     begin, count = (ends - lengths)[order], lengths[order]
-    sums = np.zeros((len(units), most), np.float32)  # log sums of the last places, a ring of `most`; place -1 has 0
-    share = np.empty((n, most), np.float32)
+    sums = np.zeros((most, len(units)), np.float32)  # log sums of the last places, a ring of `most`
+    share = np.full((n, width), 2.0, np.float32)
     for p in range(int(lengths.max(initial=0))):
         alive = int(np.searchsorted(-count, -p, "left"))
         at = begin[:alive] + p
-        back = min(p + 1, most)
-        before = sums[:alive][:, [(p - s) % most for s in range(1, back + 1)]]
-        if back == p + 1:
-            before[:, -1] = 0.0
-        x = before + weight[at, :back]
-        top = x.max(1)
-        e = np.exp(x - top[:, None])
-        c = np.cumsum(e, 1)
-        sums[:alive, p % most] = top + np.log(c[:, -1])
-        share[at, :back] = c / c[:, -1:]
-        share[at, back:] = 2.0
+        x = []
+        for size in range(1, min(p + 1, most) + 1):
+            w = weight[size - 1, at]
+            x.append(w if size == p + 1 else w + sums[(p - size) % most, :alive])
+        top = x[0]
+        for v in x[1:]:
+            top = np.maximum(top, v)
+        total, upto = 0.0, []
+        for v in x:
+            total = total + np.exp(v - top)
+            upto.append(total)
+        sums[p % most, :alive] = top + np.log(total)
+        for k, c in enumerate(upto):
+            share[at, k] = c / total
     return ends, points, ids, share
 
 
@@ -138,6 +175,7 @@ def sample(which: np.ndarray, seeds: np.ndarray, made, pieces: Pieces) -> tuple[
     """Draws a path for each unit occurrence: all ids one after the other, and how many each occurrence has."""
     ends, points, ids, share = made
     starts = np.concatenate(([0], ends[:-1]))
+    flat, width = share.ravel(), share.shape[1]
     floor, at = starts[which], ends[which] - 1
     done = np.zeros(len(which), np.int64)
     live = np.arange(len(which))
@@ -146,7 +184,10 @@ def sample(which: np.ndarray, seeds: np.ndarray, made, pieces: Pieces) -> tuple[
     while len(live):
         u = (mixed(seeds[live] + np.uint64(step * 0x51ED270B2F1D)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
         j = at[live]
-        size = (share[j] <= u[:, None]).sum(1)
+        size, cell, beyond = np.zeros(len(live), np.int64), j * width, np.arange(len(live))
+        while len(beyond):  # the first length whose cumulative probability is above u
+            beyond = beyond[flat[cell[beyond] + size[beyond]] <= u[beyond]]
+            size[beyond] += 1
         piece = ids[j, size]
         n = np.where(piece == -2, _utf8_size(points[j]), 1)
         done[live] += n
@@ -170,28 +211,92 @@ def sample(which: np.ndarray, seeds: np.ndarray, made, pieces: Pieces) -> tuple[
     return out, done
 
 
+def long_sample(unit: str, seed: int, pieces: Pieces) -> list[int]:
+    """The ids of a path of one unit of any length. Each character keeps its log sum only; its edges are found again on the way back."""
+
+    def edges(p: int):
+        for size in range(1, min(pieces.longest, p) + 1):
+            part = unit[p - size : p]
+            hit = pieces.edges.get(part)
+            if size == 1 and (hit is None or part == _MARK):
+                own = part.encode()
+                yield 1, [pieces.byte_ids[b] for b in reversed(own)], sums[p - 1] + len(own) * pieces.byte_weight
+            elif hit is not None:
+                yield size, hit[:1], sums[p - size] + hit[1]
+
+    sums = np.zeros(len(unit) + 1)
+    for p in range(1, len(unit) + 1):
+        logs = [w for _, _, w in edges(p)]
+        top = max(logs)
+        sums[p] = top + math.log(sum(math.exp(w - top) for w in logs))
+    back: list[int] = []
+    p, step, draws = len(unit), 0, np.zeros(0)
+    while p:
+        if step % 4096 == 0:
+            draws = (mixed(np.uint64(seed) + np.arange(step, step + 4096, dtype=np.uint64) * np.uint64(0x51ED270B2F1D)) >> np.uint64(40)) / float(1 << 24)
+        left = draws[step % 4096]
+        for size, own, w in edges(p):
+            left -= math.exp(w - sums[p])
+            last = size, own
+            if left < 0:
+                break
+        back += last[1]
+        p, step = p - last[0], step + 1
+    return back[::-1]
+
+
+def units_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct units of texts (a space is put in front of those that are not empty), the unit at each place, and each text's number of places."""
+    data = np.frombuffer(b"".join(b" " + t if t else b"" for t in texts), np.uint8)
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    line, space = data == 10, data == 32
+    first = line.copy()  # line ends are units; so is what follows one, and a run of spaces with the characters behind it
+    first[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    bounds = np.cumsum(sizes)
+    first[(bounds - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(starts, np.concatenate(([0], bounds))))
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    _, one, which = np.unique(span_hashes(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
+    body = data.tobytes()
+    # equal hashes are verified on the bytes
+    shift = starts[one][which] - starts
+    if not ((ends - starts) == (ends - starts)[one][which]).all() or not (data[np.arange(len(data)) + np.repeat(shift, ends - starts)] == data).all():
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(body[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        return list(number), which, counts
+    return [body[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], which, counts
+
+
 class Lattices:
     """Lattices of units. Those of up to POOL units that came up more than once are kept for later calls."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.number: dict[str, int] = {}
-        self.kept = lattice([], pieces)
+        self.number: dict[bytes, int] = {}
+        self.n_points = 0
+        self.kept = [np.zeros(POOL, np.int64), *(np.zeros((1 << 16, *x.shape[1:]), x.dtype) for x in lattice([], pieces)[1:])]
 
-    def draw(self, units: list[str], which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def draw(self, units: list[bytes], which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a path for each occurrence units[which], one after the other, and how many each has."""
         used, place, times = np.unique(which, return_inverse=True, return_counts=True)
-        texts = [units[k] for k in used.tolist()]
-        known = np.array([self.number.get(t, -1) for t in texts], np.int64)
+        known = np.array([self.number.get(units[k], -1) for k in used.tolist()], np.int64)
         new = np.flatnonzero(known < 0)
-        made = lattice([texts[k] for k in new.tolist()], self.pieces)
-        fresh = np.full(len(texts), -1, np.int64)
-        fresh[new] = np.arange(len(new))
-        old = known[place] >= 0
+        texts = [units[k].decode() for k in used[new].tolist()]
+        long_ = np.array([len(t) > LONG for t in texts], bool)
+        fresh = np.full(len(used), -1, np.int64)
+        short = new[~long_]
+        fresh[short] = np.arange(len(short))
+        made = lattice([t for t, many in zip(texts, long_.tolist(), strict=True) if not many], self.pieces)
         parts = []
-        for mask, index, lattices in ((old, known, self.kept), (~old, fresh, made)):
-            at = np.flatnonzero(mask)
+        for index, lattices in ((known, self.kept), (fresh, made)):
+            at = np.flatnonzero(index[place] >= 0)
             parts.append((at, *sample(index[place[at]], seeds[at], lattices, self.pieces)))
+        if long_.any():
+            text_of = dict(zip(new[long_].tolist(), (t for t, many in zip(texts, long_.tolist(), strict=True) if many), strict=True))
+            at = np.flatnonzero(np.isin(place, new[long_]))
+            paths = [long_sample(text_of[k], s, self.pieces) for k, s in zip(place[at].tolist(), seeds[at].tolist(), strict=True)]
+            parts.append((at, np.array([i for path in paths for i in path], np.int32), np.array([len(path) for path in paths], np.int64)))
         counts = np.zeros(len(which), np.int64)
         for at, _, n in parts:
             counts[at] = n
@@ -199,41 +304,32 @@ class Lattices:
         out = np.empty(int(counts.sum()), np.int32)
         for at, ids, n in parts:
             out[np.repeat(base[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-        self._keep(texts, new[times[new] > 1])
+        self._keep([units[k] for k in used[short].tolist()], np.flatnonzero(times[short] > 1), made)
         return out, counts
 
-    def _keep(self, texts: list[str], which: np.ndarray) -> None:
-        add = [texts[k] for k in which.tolist()][: POOL - len(self.number)]
-        if add:
-            for t in add:
-                self.number[t] = len(self.number)
-            ends, points, ids, share = self.kept
-            more = lattice(add, self.pieces)
-            wide = lambda x, fill: np.pad(x, ((0, 0), (0, self.pieces.longest - x.shape[1])), constant_values=fill)
-            self.kept = (np.concatenate((ends, more[0] + len(points))), np.concatenate((points, more[1])), np.concatenate((wide(ids, -1), wide(more[2], -1))), np.concatenate((wide(share, 2.0), wide(more[3], 2.0))))
+    def _keep(self, units: list[bytes], which: np.ndarray, made) -> None:
+        which = which[: POOL - len(self.number)]
+        if not len(which):
+            return
+        ends = made[0]
+        size = np.diff(ends, prepend=0)[which]
+        at = np.repeat(ends[which] - np.cumsum(size), size) + np.arange(int(size.sum()))
+        need = self.n_points + len(at)
+        for k in (1, 2, 3):
+            if need > len(self.kept[k]):
+                self.kept[k] = np.concatenate((self.kept[k], np.zeros((max(need, 2 * len(self.kept[k])) - len(self.kept[k]), *self.kept[k].shape[1:]), self.kept[k].dtype)))
+            self.kept[k][self.n_points : need] = made[k][at]
+        first = len(self.number)
+        self.kept[0][first : first + len(which)] = self.n_points + np.cumsum(size)
+        self.number.update(zip((units[k] for k in which.tolist()), range(first, first + len(which)), strict=True))
+        self.n_points = need
 
 
 def encode_texts(texts: list[bytes], keys: list[str], pieces: Pieces, seed: int = 0, lattices: Lattices | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one text after the other, and the number of each text's ids."""
     lattices = lattices or Lattices(pieces)
-    found = [_UNITS.findall(b" " + t) if t else [] for t in texts]
-    counts = np.array([len(f) for f in found], np.int64)
-    number = dict.fromkeys(r for f in found for r in f)  # distinct runs, a line end last: no other run holds one
-    ended = number.pop(b"\n", True) is None
-    units = b"\n".join(number).decode().split("\n") if number else []
-    if ended:
-        number[b"\n"] = None
-        units.append("\n")
-    number = dict(zip(number, range(len(units)), strict=True))
-    runs = np.fromiter((number[r] for f in found for r in f), np.int64, int(counts.sum()))
-    many = np.array([-(-len(u) // UNIT) for u in units], np.int64)  # units of each distinct run
-    first = np.cumsum(many) - many
-    if len(units) and many.max() > 1:
-        units = [u[k : k + UNIT] for u in units for k in range(0, len(u), UNIT)]
-    n = many[runs]
-    which = np.repeat(first[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    text_of = np.repeat(np.repeat(np.arange(len(texts)), counts), n)
-    sizes = np.bincount(text_of, minlength=len(texts))
+    units, which, sizes = units_of(texts)
+    text_of = np.repeat(np.arange(len(texts)), sizes)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     seeds = np.array([xxhash.xxh64_intdigest(k.encode(), seed) for k in keys], np.uint64)[text_of] + inner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
     out, done = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that the results depend on.
@@ -20,6 +20,7 @@ QUANTITY_TAIL = rf"(?U)\s*(?:(?:{STAR_QUANTITY}|{LETTER_QUANTITY})|{COUNT_QUANTI
 LOGISTICS_TAIL = r"(?iU)\s*(?:运单号|物流单号|快递单号)\s*[:：]\s*(?:\[[^\]]*\]|【[^】]*】|[A-Z]{1,8}\d[\w,，\-\s]*)\s*$"
 SHOE_SIZE = r"(?U)^((?:2[0-9]|3[0-9]|4[0-9]|5[0-5])(?:\.\d)?)(?:\s*(?:码|[（(].*[）)]?|[,，;；/].*|偏.*|建议.*))?$"
 NOISY_SHOE_SIZE = r"(?U)^((?:2[0-9]|3[0-9]|4[0-9]|5[0-5])(?:\.\d)?)(?=\s*(?:[*xX×]\s*\d+|\d+\s*(?:件|双|雙)|运单号|物流单号|快递单号|$))"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FIELD_LABEL = r"(?U)(颜色分类|颜色|鞋码|尺码|规格|款式)\s*[:：]\s*"
 
 
@@ -28,9 +29,24 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with the column c, computed once for each row: filters and projections above do not copy its expression."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def runs(c: Column) -> Column:
+    """The distinct runs of one to three characters in a text; firsts() of any text that it contains is one of them."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(*[F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
+
+
+def firsts(c: Column) -> Column:
+    """Up to three characters at the beginning of a text."""
+    return F.substring(c, 1, 3)
+
+
 def plain(c: Column) -> Column:
     """The value as text without white space at its ends; null is empty."""
-    return F.coalesce(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.btrim(c.cast("string"), F.lit(WHITE)), F.lit(""))
 
 
 def text_value(c: Column) -> Column:

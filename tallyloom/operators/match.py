@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import match_text, plain, positive_int
+from tallyloom.functions.text import firsts, match_text, once, plain, positive_int, runs
 
 FIELDS = ("product", "sales_attr1", "sales_attr2", "quantity", "remark")
 # Every status that a row can have; image_unmatched is listed though nothing gives it.
@@ -76,26 +76,29 @@ def rule_hits(rows: DataFrame, rules: list[dict]) -> DataFrame:
     ordered = sorted((normalized_rule(r) for r in rules), key=lambda r: (r["priority"], r["id"] or 0))
     if len(ordered) > MOST_FOLDED:
         raise ValueError(f"{len(ordered)} rules: use rule_hits_joined() for more than {MOST_FOLDED}")
-    keyed = rows.withColumns({f"__{f}": match_text(F.col(f)) for f in FIELDS})
-    actual = {f: F.col(f"__{f}") for f in FIELDS}
-    hits = F.array_compact(F.array(*[F.when(rule_condition(r, actual), _hit(r)) for r in ordered])) if ordered else F.array().cast("array<struct<priority:int,rule_id:bigint,product_id:bigint,sku_id:bigint,image_id:bigint>>")
-    return keyed.withColumn("hits", hits).drop(*[f"__{f}" for f in FIELDS])
+    # only fields that rules look at are brought to their compared form, and both steps are computed once for each row
+    used = [f for f in FIELDS if any(f in r["fields"] for r in ordered if r["enabled"])]
+    if not used:
+        return rows.withColumn("hits", F.array().cast("array<struct<priority:int,rule_id:bigint,product_id:bigint,sku_id:bigint,image_id:bigint>>"))
+    keyed = once(rows, "__fields", F.struct(*[match_text(F.col(f)).alias(f) for f in used]))
+    actual = {f: F.col(f"__fields.{f}") for f in used}
+    return once(keyed, "hits", F.array_compact(F.array(*[F.when(rule_condition(r, actual), _hit(r)) for r in ordered if r["enabled"]]))).drop("__fields")
 
 
 def rule_hits_joined(rows: DataFrame, rules: DataFrame, row_id: str) -> DataFrame:
     """(row_id, hits) for any number of keyword rules (id, field, keyword, kind, priority, product_id, sku_id, image_id; a row for each field).
 
-    Exact rules join on the value. Contained keywords join on their first three characters (or fewer) with the values' runs of as
-    many, then are verified, so that the plan has equi-joins only."""
+    Rules are matched with the distinct values of each field, not with rows. Exact rules join on the value. Contained keywords join
+    on their first three characters (or fewer) with the values' runs of as many, then are verified: the plan has equi-joins only."""
     values = rows.select(row_id, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), match_text(F.col(f)).alias("value")) for f in FIELDS])).alias("v")).select(row_id, "v.*").where("value != ''")
+    each = values.select("field", "value").distinct()
     want = rules.withColumn("keyword", match_text(F.col("keyword"))).where("keyword != ''")
-    exact = values.join(want.where("kind = 'exact'"), (values["field"] == want["field"]) & (values["value"] == want["keyword"]))
-    part = want.where("kind != 'exact'").withColumn("gram", F.substring("keyword", 1, 3))
-    grams = values.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.array(*[F.col("value").substr(i, F.lit(n)) for n in (1, 2, 3)]))))))
-    some = grams.join(part, (grams["field"] == part["field"]) & (grams["gram"] == part["gram"])).where(F.col("value").contains(F.col("keyword")))
     hit = F.struct("priority", F.col("id").alias("rule_id"), "product_id", "sku_id", "image_id").alias("hit")
-    both = exact.select(row_id, hit).unionByName(some.select(row_id, hit))
-    return both.groupBy(row_id).agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    exact = each.join(want.where("kind = 'exact'").withColumnRenamed("keyword", "value"), ["field", "value"])
+    part = want.where("kind != 'exact'").withColumn("gram", firsts(F.col("keyword")))
+    some = each.withColumn("gram", F.explode(runs(F.col("value")))).join(part, ["field", "gram"]).where(F.col("value").contains(F.col("keyword")))
+    both = exact.select("field", "value", hit).unionByName(some.select("field", "value", hit)).groupBy("field", "value").agg(F.collect_set("hit").alias("found"))
+    return values.join(both, ["field", "value"]).groupBy(row_id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("hits"))
 
 
 def match_status(rows: DataFrame, status_col: str = "parse_status") -> DataFrame:
@@ -103,28 +106,28 @@ def match_status(rows: DataFrame, status_col: str = "parse_status") -> DataFrame
     targets = F.array_distinct(F.transform("hits", lambda h: F.struct(h["product_id"], h["sku_id"], h["image_id"])))
     parse = F.lower(plain(F.col(status_col))) if status_col in rows.columns else F.lit("")
     status = F.when(parse == "special", "special").when((parse != "") & (parse != "draft"), "pending").when(F.size("hits") == 0, "product_unmatched").when(F.size(targets) > 1, "conflict").otherwise("hit")
-    return rows.withColumn("match_status", status).withColumn("rule", F.when(F.col("match_status").isin("conflict", "hit"), F.col("hits")[0]))
-
-
-def term_score(actual: Column, term: Column, bidirectional: bool = False) -> Column:
-    """Equal texts score 10000 and the length, contained terms 5000, and containing ones, if asked for, 1000."""
-    a, t = match_text(actual), match_text(term)
-    inside = F.when(t.contains(a), 1000 + F.length(a)) if bidirectional else F.when(F.lit(False), F.lit(0))
-    return F.when((a == "") | (t == ""), 0).when(a == t, 10000 + F.length(t)).when(a.contains(t), 5000 + F.length(t)).otherwise(F.coalesce(inside, F.lit(0)))
+    found = once(rows, "match_status", status)
+    return found.withColumn("rule", F.when(F.col("match_status").isin("conflict", "hit"), F.col("hits")[0]))
 
 
 def sku_scores(rows: DataFrame, skus: DataFrame, row_id: list[str], fields: list[str]) -> DataFrame:
     """The best score of each SKU (product_id, sku_id, terms) that can be a row's best (rows: row_id, product_id and the fields).
 
-    Equal terms are found by equi-join. Only rows without one, for which lower scores count, are compared term by term with
-    the SKUs of their product. All texts are brought to their compared form once."""
+    All is done on the distinct values of each product, then joined with the rows. Equal terms are found by equi-join. Only
+    values of rows without one, for which lower scores count, are compared by containment: the contained text's first characters
+    have to be among the runs of the other, which makes that an equi-join too, and no product's terms meet all its values."""
     value = rows.select(*row_id, "product_id", F.explode(F.array_distinct(F.array(*[match_text(F.col(f)) for f in fields]))).alias("value")).where("value != ''")
     term = skus.select("product_id", "sku_id", F.explode(F.array_distinct(F.transform("terms", match_text))).alias("term")).where("term != ''")
     equal = value.join(term.withColumnRenamed("term", "value"), ["product_id", "value"]).groupBy(*row_id, "product_id", "sku_id").agg((F.max(F.length("value")) + 10000).alias("score"))
     rest = value.join(equal.select(*row_id).distinct(), row_id, "left_anti")
-    inside = rest.join(term, "product_id").where(F.col("value").contains(F.col("term")) | F.col("term").contains(F.col("value")))
-    score = F.when(F.col("value").contains(F.col("term")), F.length("term") + 5000).otherwise(F.length("value") + 1000)
-    return equal.unionByName(inside.groupBy(*row_id, "product_id", "sku_id").agg(F.max(score).alias("score")))
+    v, t = rest.select("product_id", "value").distinct(), term.select("product_id", "term").distinct()
+    gram = lambda df, c, f: df.withColumn("gram", F.explode(f(F.col(c))) if f is runs else f(F.col(c)))
+    holds = gram(v, "value", runs).join(gram(t, "term", firsts), ["product_id", "gram"]).where(F.col("value").contains(F.col("term"))).withColumn("score", F.length("term") + 5000)
+    held = gram(v, "value", firsts).join(gram(t, "term", runs), ["product_id", "gram"]).where(F.col("term").contains(F.col("value"))).withColumn("score", F.length("value") + 1000)
+    pairs = holds.unionByName(held).groupBy("product_id", "value", "term").agg(F.max("score").alias("score"))
+    best = pairs.join(term, ["product_id", "term"]).groupBy("product_id", "value", "sku_id").agg(F.max("score").alias("score"))
+    inside = rest.join(best, ["product_id", "value"]).groupBy(*row_id, "product_id", "sku_id").agg(F.max("score").alias("score"))
+    return equal.unionByName(inside)
 
 
 def top_sku(scores: DataFrame, row_id: list[str]) -> DataFrame:

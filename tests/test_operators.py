@@ -206,6 +206,17 @@ def test_evidence_spans(spark):
         ("text", 11, 12, "7"),
         ("positive_integer_quantity", 11, 12, "7"),
     ]
+    df2 = spark.createDataFrame([("a[0].t", "x2 件, y/37；12"), ("a[1].t", "３８.5|12\r\n 9 "), ("b", "12 3\n12 3\n5件 6件"), ("c", "12x3 *4个a")], "p string, t string")
+    got2 = sorted((r.p, r.span_order, r.token_class, r.original_text) for r in V.spans(df2, F.col("p"), "t").collect() if r.token_class != "text")
+    assert [(p, c[:4], t) for p, _, c, t in got2] == [("a[0].t", "deli", "y"), ("a[0].t", "posi", "2"), ("a[0].t", "shoe", "37"), ("a[1].t", "shoe", "３８.5"), ("a[1].t", "posi", "9"), ("b", "posi", "5"), ("b", "posi", "6"), ("c", "posi", "3"), ("c", "posi", "4")]
+    kinds = {}
+    for r in V.grouped_spans(V.spans(df2, F.col("p"), "t"), [], ["a"]).collect():
+        kinds.setdefault(r.kind, []).append((r.group_path, len(r.span_ids)))
+    assert sorted(kinds["structured_list_item"]) == [("a[0]", 1), ("a[1]", 2)]
+    assert sorted(kinds["repeated_line_or_array_group"]) == [("a", 3), ("b", 2), ("b", 2), ("c", 2)] and len(kinds["line"]) == 7
+    tests = [("红", "text", True), (" ", "text", False), ("12", "positive_integer_quantity", True), ("012", "positive_integer_quantity", False), (" ４２.5", "shoe_size_like_numeric_segment", True), ("60", "shoe_size_like_numeric_segment", False), ("a/b", "delimiter_segment", False), ("x", "other", False), (None, "text", False)]
+    judged = spark.createDataFrame(tests, "v string, c string, want boolean").select("want", V.matches_class(F.col("v"), F.col("c")).alias("got")).collect()
+    assert all(r.want == r.got for r in judged)
     groups = V.candidate_groups(found, []).collect()
     assert [(g.item_path, len(g.span_ids)) for g in groups] == [("p[0]", 6)]
     assert all(r.span_id.startswith("span-") and len(r.span_id) == 25 for r in found.collect())

@@ -3,13 +3,15 @@ r"""Hidden Markov language model of whole texts, beside an additively smoothed u
 Tokens are runs of [^\x20\x09-\x0D] with A-Z lower-cased, then one end. Each token has a class: the TOP most frequent
 training tokens have one each, others share SHAPES classes by their last two bytes. The model draws a state sequence, a class
 from each state and a token from each class: log10 P(text) = log10 P(classes), which the scaled forward recursion computes
-exactly, + the sum of log10 P(token | class), smoothed as the base is. Baum-Welch runs over all training texts, in sequences
-of at most SEGMENT tokens; each task adds up its expected counts, and their sums over the tasks make the next model.
+exactly, + the sum of log10 P(token | class), smoothed as the base is. Baum-Welch runs over all whole training texts (see
+chains.py); each task adds up its expected counts, and their sums over the tasks make the next model. It ends when a round
+gains less than GAIN (natural logarithm, for each token), after ROUNDS rounds at the latest.
 
 Texts are taken in chunks of CHUNK tokens. A chunk's distinct tokens, not its tokens, are joined with the corpus counts, and
 come back to the chunk as its dictionary, so neither a vocabulary nor a frequent token is ever gathered in one place.
 
-Null and empty texts are one end. Rows with a null id are training rows. Repeated rows count and are scored each.
+Null and empty texts are one end. Rows with a null id are training rows. Repeated rows count and are scored each. Ids may be of
+any type. Columns of the input other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,34 +22,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.llm.chains import Chains
 from tallyloom.llm.common import col, mixed, remove, slices, token_hashes, work_dir, written
 
 LOWER_SPACED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-TOP, SHAPES = 512, 64
-STATES, ROUNDS, SEGMENT = 8, 4, 256
-CHUNK = 4_000_000
-CALL_BYTES = 1_500_000
-#: Tokens in one call of the recursions.
-BATCH = 1_000_000
+TOP, SHAPES = 4096, 256
+STATES, ROUNDS, GAIN = 8, 4, 0.002
+CHUNK = 1_500_000
+CALL_BYTES = 1_000_000
+#: Tokens of whole texts that a recursion is called for, unless a single text is longer; it holds a part of them at a time.
+CALL_TOKENS = 1_000_000
 END = np.uint64(1)
 CLASSES = TOP + SHAPES
 
-TOKENS = T.StructType(
-    [
-        T.StructField("chunk", T.LongType()),
-        T.StructField("token", T.LongType()),  # of the chunk's dictionary, else null
-        T.StructField("local", T.IntegerType()),
-        T.StructField("shape", T.IntegerType()),
-        T.StructField("n_train", T.LongType()),
-        T.StructField("id", T.LongType()),  # of its texts, else null
-        T.StructField("held_out", T.BooleanType()),
-        T.StructField("ids", T.BinaryType()),  # local numbers in four planes of bytes, low ones first
-    ]
-)
-CODED = T.StructType([T.StructField("id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_sum", T.DoubleType()), T.StructField("word_sum", T.DoubleType()), T.StructField("classes", T.BinaryType())])
-
-
-def shapes_of(tokens: np.ndarray, last: np.ndarray) -> np.ndarray:
+
+def tokens_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("chunk", T.LongType()),
+            T.StructField("token", T.LongType()),  # of the chunk's dictionary, else null
+            T.StructField("local", T.IntegerType()),
+            T.StructField("shape", T.IntegerType()),
+            T.StructField("n_train", T.LongType()),
+            T.StructField("id", id_type),  # of its texts, else null
+            T.StructField("held_out", T.BooleanType()),
+            T.StructField("ids", T.BinaryType()),  # local numbers in four planes of bytes, low ones first; null in the dictionary
+        ]
+    )
+
+
+def coded_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_sum", T.DoubleType()), T.StructField("word_sum", T.DoubleType()), T.StructField("classes", T.BinaryType())])
+
+
+def shapes_of(last: np.ndarray) -> np.ndarray:
     """Shape numbers from the last two bytes."""
     return (mixed(last + np.uint64(77)) % np.uint64(SHAPES)).astype(np.int32)
 
@@ -60,88 +68,103 @@ def last_bytes(texts: list[bytes]) -> np.ndarray:
     return np.where(before == 32, 0, before).astype(np.uint64) * np.uint64(256) + data[ends].astype(np.uint64)
 
 
-def _tokenize(batches):
+def _tokenize(schema: T.StructType):
     """Dictionary rows and text rows of each chunk."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    state = {"n": 0}
-    held: list = []  # (ids, held_out, tokens, lasts, counts)
-
-    def flush():
-        chunk = part * 1_000_000 + state["n"]
-        state["n"] += 1
-        tokens = np.concatenate([h[2] for h in held])
-        lasts = np.concatenate([h[3] for h in held])
-        counts = np.concatenate([h[4] for h in held])
-        ids = [i for h in held for i in h[0]]
-        out = np.array([o for h in held for o in h[1]], bool)
-        train = np.repeat(~out, counts)
-        types, first, place = np.unique(tokens, return_index=True, return_inverse=True)
-        total = np.bincount(place)
-        order = np.argsort(-total, kind="stable")  # frequent types get small numbers, whose high bytes are zero
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        local = rank[place].astype("<u4")
-        n_train = np.bincount(place, train, len(types)).astype(np.int64)[order]
-        types, shape = types[order], shapes_of(types, lasts[first])[order]
-        for lo in range(0, len(types), 100_000):
-            n = len(types[lo : lo + 100_000])
-            yield _rows(n, chunk=np.full(n, chunk), token=types[lo : lo + n].view(np.int64), local=np.arange(lo, lo + n, dtype=np.int32), shape=shape[lo : lo + n], n_train=n_train[lo : lo + n])
-        planes = local.view(np.uint8).reshape(-1, 4)
-        ends = np.cumsum(counts)
-        bodies = [planes[e - c : e].T.tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-        for lo in range(0, len(ids), 2000):
-            n = len(ids[lo : lo + 2000])
-            yield _rows(n, chunk=np.full(n, chunk), id=ids[lo : lo + n], held_out=out[lo : lo + n], ids=bodies[lo : lo + n])
-        held.clear()
-
-    size = 0
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        for lo, hi in slices([len(t) for t in texts], CALL_BYTES):
-            part_texts = texts[lo:hi]
-            tokens, counts = token_hashes(part_texts, LOWER_SPACED)
-            lasts = last_bytes(part_texts)
-            ends = np.cumsum(counts)
-            tokens, lasts, counts = np.insert(tokens, ends, END), np.insert(lasts, ends, 0), counts + 1
-            held.append((batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), tokens, lasts, counts))
-            size += len(tokens)
-            if size >= CHUNK:
-                yield from flush()
-                size = 0
-    if held:
-        yield from flush()
-
-
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrays = [pa.array(columns[f.name], to_arrow_type(f.dataType)) if f.name in columns else pa.nulls(n, to_arrow_type(f.dataType)) for f in TOKENS]
-    return pa.RecordBatch.from_arrays(arrays, TOKENS.names)
-
-
-def _coder(total: int, distinct: int, shape_total: list[int], shape_distinct: list[int]):
-    """Over the dictionary and the texts of a chunk: sums of log10 probabilities and class sequences."""
-
-    def run(words: pa.Table, texts: pa.Table) -> pa.Table:
-        n = words.num_rows
-        local = words.column("local").to_numpy()
-        count, cls = np.zeros(n), np.zeros(n, np.int64)
-        count[local] = words.column("count").to_numpy()
-        cls[local] = words.column("cls").to_numpy()
-        base = np.log10(count + 0.1) - np.log10(total + 0.1 * (distinct + 1))
-        shape = np.maximum(cls - TOP, 0)
-        word = np.where(cls < TOP, 0.0, np.log10(count + 0.1) - np.log10(np.array(shape_total)[shape] + 0.1 * (np.array(shape_distinct)[shape] + 1)))
-        known = (count > 0).astype(np.int64)
-        out: list[list] = [[], [], [], [], []]
-        for body in texts.column("ids").to_pylist():
-            p = np.frombuffer(body, np.uint8).reshape(4, -1).astype(np.int64)
-            ids = p[0] | p[1] << 8 | p[2] << 16 | p[3] << 24
-            for o, v in zip(out, (len(ids), int(known[ids].sum()), float(base[ids].sum()), float(word[ids].sum()), cls[ids].astype("<u2").tobytes()), strict=True):
-                o.append(v)
-        arrays = [texts.column("id").combine_chunks(), texts.column("held_out").combine_chunks(), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.binary())]
-        return pa.table(arrays, names=CODED.names)
+
+    def run(batches):
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = {f.name: to_arrow_type(f.dataType) for f in schema}
+        part, n_chunks, size = TaskContext.get().partitionId(), 0, 0
+        held: list = []  # (ids, held_out, tokens, lasts, counts)
+
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([(columns[f] if isinstance(columns[f], pa.Array) else pa.array(columns[f], t)) if f in columns else pa.nulls(n, t) for f, t in types.items()], list(types))
+
+        def flush():
+            chunk = part * 1_000_000 + n_chunks
+            ids, out = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            tokens, lasts, counts = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
+            held.clear()
+            words, first, place = np.unique(tokens, return_index=True, return_inverse=True)
+            lasts, place = lasts[first], place.astype(np.int32)
+            del tokens, first
+            order = np.argsort(-np.bincount(place), kind="stable")  # frequent ones get small numbers, whose high bytes are zero
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
+            n_train = np.bincount(place[np.repeat(~out, counts)], minlength=len(words))[order]
+            local = rank[place]
+            del place
+            words, shape = words[order], shapes_of(lasts)[order]
+            for lo in range(0, len(words), 50_000):
+                n = len(words[lo : lo + 50_000])
+                yield rows(n, chunk=np.full(n, chunk), token=words[lo : lo + n].view(np.int64), local=np.arange(lo, lo + n, dtype=np.int32), shape=shape[lo : lo + n], n_train=n_train[lo : lo + n])
+            planes, ends = local.view(np.uint8).reshape(-1, 4), np.cumsum(counts)
+            for a, b in slices((4 * counts).tolist(), 4_000_000):
+                bodies = [planes[e - c : e].T.tobytes() for c, e in zip(counts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                yield rows(b - a, chunk=np.full(b - a, chunk), id=ids.slice(a, b - a), held_out=out[a:b], ids=bodies)
+
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for lo, hi in slices([len(t) if t else 0 for t in texts.to_pylist()], CALL_BYTES):
+                part_texts = [t or b"" for t in texts.slice(lo, hi - lo).to_pylist()]
+                tokens, counts = token_hashes(part_texts, LOWER_SPACED)
+                ends = np.cumsum(counts)
+                held.append((batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool), np.insert(tokens, ends, END), np.insert(last_bytes(part_texts), ends, 0), counts + 1))
+                size += len(tokens) + len(counts)
+                if size >= CHUNK:
+                    yield from flush()
+                    n_chunks, size = n_chunks + 1, 0
+        if held:
+            yield from flush()
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _coder(schema: T.StructType, total: int, distinct: int, shape_total: list[int], shape_distinct: list[int]):
+    """Over rows sorted by chunk, each chunk's dictionary (local, count, cls) before its texts: sums of log10 probabilities and class sequences."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in schema]
+        n_shape, v_shape = np.array(shape_total), np.array(shape_distinct)
+        chunk, words, tables = None, [], None
+
+        def dictionary():
+            """Arrays by local number: base and word log10 probabilities, whether known, class."""
+            local, count, cls = (np.concatenate([w[k] for w in words]) for k in range(3))
+            by = np.empty(len(local), np.int64)
+            by[local] = np.arange(len(local))
+            count, cls = count[by].astype(float), cls[by].astype("<u2")
+            shape = np.maximum(cls.astype(np.int64) - TOP, 0)
+            logs = np.log10(count + 0.1)
+            word = np.where(cls < TOP, 0.0, logs - np.log10(n_shape[shape] + 0.1 * (v_shape[shape] + 1)))
+            return logs - np.log10(total + 0.1 * (distinct + 1)), word, count > 0, cls
+
+        for batch in batches:
+            chunks = batch.column(0).to_numpy()
+            is_text = batch.column(batch.num_columns - 1).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1]), [True])))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
+                if chunks[lo] != chunk:
+                    chunk, words, tables = chunks[lo], [], None
+                if not is_text[lo]:
+                    words.append([part.column(c).to_numpy() for c in (1, 2, 3)])
+                    continue
+                if tables is None:
+                    tables, words = dictionary(), []
+                base, word, known, cls = tables
+                out: list[list] = [[], [], [], [], []]
+                for body in part.column(6).to_pylist():
+                    p = np.frombuffer(body, np.uint8).reshape(4, -1)
+                    ids = np.ascontiguousarray(p.T).view("<u4").ravel()
+                    for o, v in zip(out, (len(ids), int(known[ids].sum()), float(base[ids].sum()), float(word[ids].sum()), cls[ids].tobytes()), strict=True):
+                        o.append(v)
+                yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), *(pa.array(o, t) for o, t in zip(out, types[2:], strict=True))], schema.names)
 
     return run
 
@@ -163,76 +186,38 @@ def next_model(counts: np.ndarray, states: int, classes: int) -> dict:
     return {"start": norm(start, 0.1), "trans": norm(trans.reshape(states, states), 0.1), "emit": norm(emit.reshape(states, classes), 0.01)}
 
 
-def _steps(sequences: list[np.ndarray]):
-    """Sequences by falling length as a flat array, step by step: the order, lengths, and the start of each step in the flat array."""
-    lengths = np.array([len(s) for s in sequences])
-    order = np.argsort(-lengths, kind="stable")
-    lengths = lengths[order]
-    alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")  # sequences that have a step t
-    starts = np.concatenate(([0], np.cumsum(alive)))
-    flat = np.empty(starts[-1], np.int64)
-    for rank, o in enumerate(order.tolist()):
-        flat[starts[: lengths[rank]] + rank] = sequences[o]
-    return order, alive, starts, flat
+def chains(sequences: list[np.ndarray], model: dict, kind=np.float64) -> tuple[np.ndarray, Chains]:
+    """The classes of all sequences, one after the other, and their chains, at the precision `kind`."""
+    flat = np.concatenate(sequences)
+    emit = np.ascontiguousarray(model["emit"].T, kind)
+    return flat, Chains(np.array([len(s) for s in sequences]), lambda at: emit[flat[at]], model["start"], model["trans"])
 
 
 def forward(sequences: list[np.ndarray], model: dict) -> np.ndarray:
-    """log10 P(sequence) of each; sequences are not empty."""
-    order, alive, starts, flat = _steps(sequences)
-    emit, trans = np.ascontiguousarray(model["emit"].T), model["trans"]
-    total = np.zeros(len(sequences))
-    a = np.broadcast_to(model["start"], (len(sequences), len(trans)))
-    for t, n in enumerate(alive.tolist()):
-        a = a[:n] @ trans if t else a
-        a = a * emit[flat[starts[t] : starts[t + 1]]]
-        z = a.sum(1)
-        a /= z[:, None]
-        total[:n] += np.log10(z)
-    out = np.empty(len(sequences))
-    out[order] = total
-    return out
+    """log10 P(sequence) of each."""
+    return chains(sequences, model)[1].log_sums() / np.log(10)
 
 
 def expected_counts(sequences: list[np.ndarray], model: dict) -> np.ndarray:
-    """Baum-Welch counts of starts, transitions and emissions, flat."""
-    _, alive, starts, flat = _steps(sequences)
-    emit, trans = np.ascontiguousarray(model["emit"].T), model["trans"]
-    k = len(trans)
-    alpha = np.empty((len(flat), k))
-    b = emit[flat]
-    scale = np.empty(len(flat))
-    for t, n in enumerate(alive.tolist()):
-        lo, hi = starts[t], starts[t + 1]
-        a = (alpha[starts[t - 1] : starts[t - 1] + n] @ trans if t else model["start"]) * b[lo:hi]
-        scale[lo:hi] = a.sum(1)
-        alpha[lo:hi] = a / scale[lo:hi, None]
-    gamma = alpha
-    moves = np.zeros((k, k))
-    beta = np.ones((alive[-1], k))
-    for t in range(len(alive) - 1, -1, -1):
-        lo, hi, n = starts[t], starts[t + 1], alive[t]
-        if len(beta) < n:
-            beta = np.concatenate((beta, np.ones((n - len(beta), k))))
-        right = b[lo:hi] * beta / scale[lo:hi, None]
-        gamma[lo:hi] *= beta
-        if t:
-            before = gamma[starts[t - 1] : starts[t - 1] + n]
-            moves += (before.T @ right) * trans
-            beta = right @ trans.T
-    emits = np.stack([np.bincount(flat, gamma[:, s], model["emit"].shape[1]) for s in range(k)])
-    return np.concatenate((gamma[: starts[1]].sum(0), moves.ravel(), emits.ravel()))
-
-
-def _batches(column, cut: int | None):
-    """Lists of sequences of BATCH tokens or so, from a column of class bytes."""
+    """Baum-Welch counts of starts, transitions and emissions, then the log-likelihood and the number of tokens, flat."""
+    flat, of = chains(sequences, model, np.float32)
+    k, classes = model["emit"].shape
+    starts, steps, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
+    for at, share, first, moves, z in of.marginals():
+        starts, steps, log = starts + first, steps + moves, log + z
+        here = flat[at]
+        for s in range(k):
+            emits[s] += np.bincount(here, share[:, s], classes)
+    return np.concatenate((starts, steps.ravel(), emits.ravel(), [log, len(flat)]))
+
+
+def _calls(bodies, most: int = CALL_TOKENS):
+    """Lists of whole sequences of `most` tokens or so, from class bytes."""
     group, size = [], 0
-    for body in column:
-        s = np.frombuffer(body, "<u2").astype(np.int64)
-        for lo in range(0, len(s), cut or len(s)):
-            part = s[lo : lo + cut] if cut else s
-            group.append(part)
-            size += len(part)
-        if size >= BATCH:
+    for body in bodies:
+        group.append(np.frombuffer(body, "<u2"))
+        size += len(group[-1])
+        if size >= most:
             yield group
             group, size = [], 0
     if group:
@@ -242,11 +227,11 @@ def _batches(column, cut: int | None):
 def _expect(model: dict):
     def run(batches):
         total = 0.0
-        bodies = (body for batch in batches for body in batch.column(0).to_pylist())
-        for group in _batches(bodies, SEGMENT):
+        for group in _calls(body.as_py() for batch in batches for body in batch.column(0)):
             total = total + expected_counts(group, model)
         if isinstance(total, np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -254,34 +239,30 @@ def _expect(model: dict):
 def _score(model: dict):
     def run(batches):
         for batch in batches:
-            bodies = batch.column(batch.num_columns - 1).to_pylist()
-            scores, group, size = [], [], 0
-            for body in bodies:
-                group.append(np.frombuffer(body, "<u2").astype(np.int64))
-                size += len(group[-1])
-                if size >= 4 * BATCH:
-                    scores.append(forward(group, model))
-                    group, size = [], 0
-            if group:
-                scores.append(forward(group, model))
+            scores = [forward(group, model) for group in _calls(body.as_py() for body in batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], "class_score"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def train(coded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> dict:
-    """Baum-Welch over the class sequences of the training rows."""
+def train(coded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> dict:
+    """Baum-Welch over the class sequences of the training rows, until a round's gain is below `gain` for each token."""
     model = first_model(frequency, states)
-    size = states + states * states + states * CLASSES
+    size = states + states * states + states * CLASSES + 2
     sequences = coded.where("not held_out").select("classes")
+    before = -np.inf
     for _ in range(rounds):
-        sums = sequences.mapInArrow(_expect(model), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # `size` rows at most
+        sums = sequences.mapInArrow(_expect(model), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # `size` rows at most
+        if not sums.num_rows:
+            break
         counts = np.zeros(size)
-        for i, v in sums:
-            counts[i] = v
-        if not len(sums):
+        counts[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
+        model = next_model(counts[:-2], states, CLASSES)
+        mean = counts[-2] / counts[-1]
+        if mean - before < gain:
             break
-        model = next_model(counts, states, CLASSES)
+        before = mean
     return model
 
 
@@ -293,9 +274,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     spark = docs.sparkSession
     top = work or work_dir(spark)
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).select("id", held_out("id").alias("held_out"), "text")
-    tokens = written(rows.mapInArrow(_tokenize, TOKENS), f"{top}/tokens")
-    words = tokens.where("token is not null")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).select("id", held_out("id").alias("held_out"), "text")
+    schema, coded_as = tokens_schema(rows.schema["id"].dataType), coded_schema(rows.schema["id"].dataType)
+    tokens = written(rows.mapInArrow(_tokenize(schema), schema), f"{top}/tokens")
+    words = tokens.where("ids is null")
     counts = written(words.groupBy("token").agg(F.sum("n_train").alias("count"), F.max("shape").alias("shape")).where("count > 0"), f"{top}/counts")
 
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
@@ -310,12 +292,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     cls = F.coalesce("top", F.col("shape") + TOP)
     entries = words.select("chunk", "token", "local", "shape").join(counts.select("token", "count"), "token", "left").join(F.broadcast(number), "token", "left")
     entries = entries.select("chunk", "local", F.coalesce("count", F.lit(0)).alias("count"), cls.alias("cls"))
-    texts = spark.read.schema(TOKENS).parquet(f"{top}/tokens").where("ids is not null").select("chunk", "id", "held_out", "ids")
-    coded = entries.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_coder(total, distinct, shape_total, shape_distinct), CODED)
-    coded = written(coded, f"{top}/coded")
+    texts = spark.read.schema(schema).parquet(f"{top}/tokens").where("ids is not null").select("chunk", "id", "held_out", "ids")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = entries.unionByName(texts, allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("ids").isNotNull())
+    coded = written(both.select("chunk", "local", "count", "cls", "id", "held_out", "ids").mapInArrow(_coder(coded_as, total, distinct, shape_total, shape_distinct), coded_as), f"{top}/coded")
     remove(spark, top, "tokens", "counts")
 
     model = train(coded, frequency, states, rounds)
-    out = T.StructType([*CODED.fields[:-1], T.StructField("class_score", T.DoubleType())])
-    scored = coded.mapInArrow(_score(model), out)
+    scored = coded.mapInArrow(_score(model), T.StructType([*coded_as.fields[:-1], T.StructField("class_score", T.DoubleType())]))
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), (F.col("class_score") + F.col("word_sum")).alias("score"))

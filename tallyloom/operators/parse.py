@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import FIELD_LABEL, compact, let, nonempty, normalize_size, plain, quantity_from_text, remove_field_label, strip_logistics_tail, strip_trailing_quantity, text_value
+from tallyloom.functions.text import FIELD_LABEL, compact, let, nonempty, normalize_size, once, plain, quantity_from_text, remove_field_label, strip_logistics_tail, strip_trailing_quantity, text_value
 
 ATTR1 = r"(?:颜色分类|颜色|规格|款式)"
 ATTR2 = r"(?:鞋码|尺码)"
@@ -83,43 +83,65 @@ def semicolon(text: Column) -> Column:
     return F.when(text.rlike(p), _fields(got, ~(text.contains("【") & text.contains("】"))))
 
 
-def parse_items(rows: DataFrame, text: str, fallback_quantity: Column | None = None, remark: Column | None = None, keywords: list[tuple[str, str]] = (), default_quantity: int | None = None) -> DataFrame:
-    """rows with the fields of the item in column `text`: special keyword, labels only, bracket title, comma fields, semicolon size, tail.
+def parse_items(rows: DataFrame, text: str, fallback_quantity: Column | None = None, remark: Column | None = None, keywords: list[tuple[str, str]] = (), policy: dict | None = None, default_quantity: int | None = None) -> DataFrame:
+    """rows with the fields of the item in column `text`, by the first reading that fits: special keyword, labels only, two lines, attribute
+    and size before or behind the product, bracket title, comma fields, semicolon size, tail.
 
-    A missing product or quantity makes the row needs_review."""
+    Remark lines at the end go to the remark first. A missing product or quantity makes the row needs_review, unless the policy says otherwise."""
+    from tallyloom.operators import readings as R
+
+    if default_quantity is not None:
+        policy = {"quantity": {"default_if_missing": default_quantity}} | (policy or {})
     fallback = fallback_quantity if fallback_quantity is not None else F.lit("")
     note = compact(remark) if remark is not None else F.lit("")
-    staged = rows.withColumn("__text", strip_logistics_tail(F.col(text)))
-    staged = staged.withColumns({"original_text": compact(F.col("__text")), "__special": special_reason(F.col("__text"), keywords)})
-    staged = staged.withColumn("__cut", strip_trailing_quantity(F.col("original_text"), order=True))
-    head = F.col("__cut.head")
-    labels = F.when(~text_value(F.col("__text")).rlike(r"[\r\n]"), labelled(head))
-    staged = staged.withColumns({"__labels": labels, "__title": F.regexp_extract(head, r"^【([^】]+)】(.*)$", 1), "__tail": compact(F.regexp_extract(head, r"^【([^】]+)】(.*)$", 2)), "__fields": F.coalesce(delimited(head), semicolon(head))})
     empty = F.lit("")
-    whole = let(attr_tail(head, False), lambda a: F.struct(compact(head).alias("product"), a["sales_attr1"].alias("sales_attr1"), a["sales_attr2"].alias("sales_attr2")))
-    titled = let(attr_tail(F.col("__tail"), True), lambda a: F.struct(compact(F.col("__title")).alias("product"), a["sales_attr1"].alias("sales_attr1"), a["sales_attr2"].alias("sales_attr2")))
-    only = F.struct(empty.alias("product"), F.col("__labels.sales_attr1").alias("sales_attr1"), F.col("__labels.sales_attr2").alias("sales_attr2"))
-    none = F.struct(empty.alias("product"), empty.alias("sales_attr1"), empty.alias("sales_attr2"))
-    got = F.when(F.col("__special").isNotNull(), none).when(F.col("__labels").isNotNull(), only).when(F.col("__title") != "", titled).when(F.col("__fields").isNotNull(), F.col("__fields")).otherwise(whole)
-    staged = staged.withColumn("__got", got)
-    found = quantity_from_text(F.col("__cut.quantity"), fallback, F.col("original_text"))
-    label_only = F.col("__labels").isNotNull()
-    quantity = F.coalesce(found, F.when(label_only, F.lit(1)), F.lit(default_quantity).cast("bigint"))
-    staged = staged.withColumns(
-        {
-            "product": F.col("__got.product"),
-            "sales_attr1": remove_field_label(F.col("__got.sales_attr1")),
-            "sales_attr2": normalize_size(F.col("__got.sales_attr2")),
-            "quantity": F.when(F.col("__special").isNull(), quantity),
-            "remark": F.when(F.col("__special").isNull(), note).otherwise(""),
-        }
-    )
-    missing = F.array_join(F.array_compact(F.array(F.when((F.col("product") == "") & ~label_only, "product"), F.when(F.col("quantity").isNull(), "quantity"))), ",")
-    reason = F.coalesce("__special", missing)
-    status = F.when(F.col("__special").isNotNull(), "special").when(missing != "", "needs_review").otherwise("draft")
-    joined = compact(F.array_join(F.filter(F.array("product", "sales_attr1", "sales_attr2", F.coalesce(F.col("quantity").cast("string"), empty), "remark"), lambda t: t != ""), " "))
-    shown = F.when(F.col("__special").isNotNull(), F.col("original_text")).otherwise(joined)
-    return staged.withColumns({"status": status, "review_reason": reason, "image_match_text": shown}).drop("__text", "__special", "__cut", "__labels", "__title", "__tail", "__fields", "__got")
+    # each step is computed once for a row, however often later ones use it
+    staged = once(rows, "__given", F.struct(strip_logistics_tail(F.col(text)).alias("text"), fallback.cast("string").alias("fallback"), note.alias("note")))
+    fallback = F.col("__given.fallback")
+    staged = once(staged, "__split", R.without_remarks(R.lines_of(F.col("__given.text")), fallback))
+    lines = F.col("__split.base")
+    base = F.when(F.size("__split.remarks") > 0, F.array_join(lines, "\n")).otherwise(F.col("__given.text"))
+    staged = once(staged, "__base", F.struct(compact(base).alias("text"), (F.size(lines) > 1).alias("many"), special_reason(compact(F.col("__given.text")), keywords).alias("special")))
+    whole, many, special = F.col("__base.text"), F.col("__base.many"), F.col("__base.special")
+    staged = once(staged, "__cut", let(strip_trailing_quantity(whole, order=True), lambda c: F.struct(c["head"].alias("head"), quantity_from_text(c["quantity"], fallback, whole).alias("quantity"))))
+    head, quantity = F.col("__cut.head"), F.col("__cut.quantity")
+
+    def only(v: Column) -> Column:
+        first = F.when((v["sales_attr1"] == "") & (v["sales_attr2"] != ""), R.label_prefix(head)).otherwise(v["sales_attr1"])
+        return F.when(v.isNotNull(), R.struct_of(empty, first, v["sales_attr2"], F.coalesce(quantity, F.lit(1))))
+
+    titled = F.regexp_extract(head, r"^【([^】]+)】(.*)$", 1)
+    by_title = let(attr_tail(compact(F.regexp_extract(head, r"^【([^】]+)】(.*)$", 2)), True), lambda a: R.struct_of(compact(titled), a["sales_attr1"], a["sales_attr2"], quantity))
+    by_fields = let(F.coalesce(delimited(head), semicolon(head)), lambda f: F.when(f.isNotNull(), R.struct_of(f["product"], f["sales_attr1"], f["sales_attr2"], quantity)))
+    by_tail = let(attr_tail(head, False), lambda a: R.struct_of(compact(head), a["sales_attr1"], a["sales_attr2"], quantity))
+    none = R.struct_of(empty, empty, empty, F.lit(None))
+    one_line = lambda reading: F.when(~many, reading(head, quantity))
+    labels = F.when(~many, let(labelled(head), only))
+    read = F.coalesce(labels, R.two_lines(lines, fallback), one_line(R.leading), one_line(R.trailing), one_line(R.suffixed), F.when(titled != "", by_title), by_fields, by_tail)
+    staged = once(staged, "__got", F.when(special.isNotNull(), none).otherwise(read))
+    remarks = F.array_join(F.filter(F.concat(F.array(F.col("__given.note")), F.col("__split.remarks")), lambda t: t != ""), "；")
+    label_only = (F.col("__got.product") == "") & special.isNull()
+    missing = F.array_join(F.array_compact(F.array(F.when((F.col("__got.product") == "") & ~(label_only & ((F.col("__got.sales_attr1") != "") | (F.col("__got.sales_attr2") != ""))), "product"), F.when(F.col("__got.quantity").isNull(), "quantity"))), ",")
+    fields = {
+        "product": F.col("__got.product"),
+        "sales_attr1": remove_field_label(F.col("__got.sales_attr1")),
+        "sales_attr2": normalize_size(F.col("__got.sales_attr2")),
+        "quantity": F.col("__got.quantity"),
+        "remark": F.when(special.isNull(), remarks).otherwise(""),
+    }
+    joined = compact(F.array_join(F.filter(F.array(fields["product"], fields["sales_attr1"], fields["sales_attr2"], F.coalesce(fields["quantity"].cast("string"), empty), fields["remark"]), lambda t: t != ""), " "))
+    fields |= {
+        "status": F.when(special.isNotNull(), "special").when(missing != "", "needs_review").otherwise("draft"),
+        "review_reason": F.coalesce(special, missing),
+        "image_match_text": F.when(special.isNotNull(), compact(F.col("__given.text"))).otherwise(joined),
+    }
+    original = F.when(F.size("__split.remarks") > 0, text_value(F.col(text))).otherwise(whole)
+    out = once(staged, "__row", F.struct(*[c.alias(n) for n, c in fields.items()], original.alias("original_text")))
+    names = [*fields, "original_text"]
+    row = {n: F.col(f"__row.{n}") for n in names}
+    if policy:
+        row |= {n: F.when(special.isNull(), c).otherwise(row[n]) for n, c in R.with_policy({n: row[n] for n in fields}, policy, whole, fallback).items()}
+    return out.withColumns(row).drop("__given", "__split", "__base", "__cut", "__got", "__row")
 
 
 def split_items(text: Column) -> Column:

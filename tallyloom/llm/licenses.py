@@ -2,10 +2,12 @@ r"""License scans: a generalised suffix automaton of licence words, matching sta
 
 The automaton holds the words of every template. A text's words stream through it: at each word, the length of the longest
 run that ends there and stands in some template, and the templates and places it stands at. Runs of LEAST words or more that
-cannot be extended are anchors; anchors of a template whose places go forward in both, with gaps of at most GAP words, make a
-chain. A chain that covers COVER of its template gives its label. The base phrases are templates of their own, found whole.
+cannot be extended are anchors, at every place that they have in a template; anchors of a template whose places go forward in
+both, with gaps of at most GAP words, make a chain. Chains that cover COVER of their template give its label: the heaviest one,
+then those beside it that share no word with it. The base phrases are templates of their own, found whole.
 
-Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased. Null and empty texts have none. Repeated rows are each scanned.
+Templates are opening words, notices and whole texts of public licences; others can be given as a list or table of texts and
+labels, MOST_TEMPLATE_WORDS words at most, as every task holds them. Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased. Null and empty texts have none. Repeated rows are each scanned. Kept columns with the name of a result go.
 """
 
 from __future__ import annotations
@@ -36,7 +38,57 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("copyright all rights reserved no part of this publication may be reproduced", "reserved"),
+    (
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal
+        in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies
+        of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any
+        kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+        shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising
+        from out of or in connection with the software or the use or other dealings in the software""",
+        "mit",
+    ),
+    (
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1
+        redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary
+        form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials
+        provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any
+        express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are
+        disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential
+        damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused
+        and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this
+        software even if advised of the possibility of such damage""",
+        "bsd-3-clause",
+    ),
+    (
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright
+        notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this
+        software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or
+        consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+        tortious action arising out of or in connection with the use or performance of this software""",
+        "isc",
+    ),
+    (
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the
+        use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+        redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote
+        the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2
+        altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed
+        or altered from any source distribution""",
+        "zlib",
+    ),
+    (
+        """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
+        software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that
+        recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make
+        this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law""",
+        "unlicense",
+    ),
 )
+#: Words of all templates, at most.
+MOST_TEMPLATE_WORDS = 1_000_000
 #: Words of the shortest anchor, words between anchors of a chain, and the part of a template that a chain must cover.
 LEAST, GAP, COVER = 4, 8, 0.75
 
@@ -45,27 +97,26 @@ OUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("base"
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of word sequences; ends[state] maps a template to where its first such run ends."""
+    """Generalised suffix automaton of word sequences; ends[state] has (sequence, place) of every end of its runs of `least` words or more."""
 
-    def __init__(self, sequences: list[list[int]]) -> None:
+    def __init__(self, sequences: list[list[int]], least: int = LEAST) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for t, sequence in enumerate(sequences):
             last = 0
             for place, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(t, place)
+                self.ends[last].add((t, place))
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            up = self.ends[self.link[s]]
-            for t, place in self.ends[s].items():
-                up[t] = min(place, up.get(t, place))
+            if self.length[self.link[s]] >= least:
+                self.ends[self.link[s]] |= self.ends[s]
 
     def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.next) - 1
 
     def _split(self, above: int, word: int) -> int:
@@ -103,15 +154,15 @@ class SuffixAutomaton:
             yield n, s
 
 
-def scanner():
-    """A function from texts to the columns of OUT."""
+def scanner(given: tuple[tuple[str, str], ...] = TEMPLATES):
+    """A function from texts to the columns of OUT, for templates of texts and labels."""
     vocabulary: dict[bytes, int] = {}
-    number = lambda text: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in text.encode().split()]
+    number = lambda text: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text.encode())]
     phrases = [(number(p), label) for p, label in BASE]
-    templates = [(number(p), label) for p, label in TEMPLATES]
+    templates = [(number(p), label) for p, label in given]
     automaton = SuffixAutomaton([p for p, _ in templates])
     # runs of LEAST words that stand in a template: the automaton's anchors lie around these
-    grams = np.unique([_key(np.array(p[i : i + LEAST]))[0] for p, _ in templates for i in range(len(p) - LEAST + 1)])
+    grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(_key(np.array(p, np.int64)) for p, _ in templates if len(p) >= LEAST)]))
 
     def scan(texts: list[bytes]) -> dict:
         words = [words_of(t) for t in texts]
@@ -164,34 +215,54 @@ def _chains(automaton: SuffixAutomaton, templates, words: list[int], offset: int
     anchors: dict[int, list[tuple[int, int, int]]] = {}
     for i, (n, s) in enumerate(stats):
         if n >= LEAST and (i + 1 == len(stats) or stats[i + 1][0] <= n):
-            for t, place in automaton.ends[s].items():
+            for t, place in sorted(automaton.ends[s]):
                 anchors.setdefault(t, []).append((i - n + 1, place - n + 1, n))
     out = []
     for t, found in anchors.items():
-        # heaviest chain of anchors that go forward in the text and in the template; a region has few anchors
-        best: list[tuple[int, int]] = []
-        for k, (a, b, n) in enumerate(found):
-            value, back = n, -1
-            for j in range(k - 1, -1, -1):
-                x, y, m = found[j]
-                if a - x - m > GAP:
-                    break
-                if x + m <= a and y + m <= b and best[j][0] + n > value:
-                    value, back = best[j][0] + n, j
-            best.append((value, back))
-        k = max(range(len(best)), key=lambda k: best[k][0])
-        cover = best[k][0] / len(templates[t][0])
-        if cover >= COVER:
-            last = found[k][0] + found[k][2] - 1
-            while best[k][1] >= 0:
-                k = best[k][1]
-            out.append({"label": templates[t][1], "first": offset + found[k][0], "last": offset + last, "cover": cover})
-    return sorted(out, key=lambda s: (s["first"], s["label"]))
-
-
-def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+        open_ = [found]
+        while open_:  # the heaviest chain, then those on both sides of it
+            rest = open_.pop()
+            weight, first, last = _heaviest(rest)
+            if weight >= COVER * len(templates[t][0]):
+                out.append({"label": templates[t][1], "first": offset + first, "last": offset + last, "cover": weight / len(templates[t][0])})
+                sides = [x for x in rest if x[0] + x[2] <= first], [x for x in rest if x[0] > last]
+                open_ += [side for side in sides if side]
+    return sorted(out, key=lambda s: (s["first"], s["label"], s["last"]))
+
+
+def _heaviest(anchors: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Words, first and last place of the heaviest chain of anchors (place in the text, in the template, words) that go forward in both."""
+    best: list[tuple[int, int]] = []
+    for k, (a, b, n) in enumerate(anchors):
+        value, back = n, -1
+        for j in range(k - 1, -1, -1):
+            x, y, m = anchors[j]
+            if a - x - m > GAP:  # anchors come by their ends in the text
+                break
+            if x + m <= a and y + m <= b and best[j][0] + n > value:
+                value, back = best[j][0] + n, j
+        best.append((value, back))
+    k = max(range(len(best)), key=lambda k: best[k][0])
+    weight, last = best[k][0], anchors[k][0] + anchors[k][2] - 1
+    while best[k][1] >= 0:
+        k = best[k][1]
+    return weight, anchors[k][0], last
+
+
+def checked(templates) -> tuple[tuple[str, str], ...]:
+    """Templates from a list, or from a table (text, label) whose size is checked before it is read."""
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        if size > 12 * MOST_TEMPLATE_WORDS:
+            raise ValueError(f"templates of {size} characters: a task holds at most {12 * MOST_TEMPLATE_WORDS}")
+        templates = [(r.text, r.label) for r in templates.where("text is not null and label is not null").select("text", "label").collect()]
+    return tuple((str(t), str(label)) for t, label in templates)
+
+
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates=TEMPLATES) -> DataFrame:
     """The columns `keep` of docs (all but the text, if None), n_words, base (phrase places) and chains (covered template spans)."""
-    return map_texts(docs, text_col, others(docs, text_col) if keep is None else keep, OUT, scanner)
+    given = checked(templates)
+    return map_texts(docs, text_col, others(docs, text_col) if keep is None else keep, OUT, lambda: scanner(given))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import components, decontaminate, hmm, jaccard_join, licenses, pieces, quality, repeats, secrets, toxicity, warc
-from tallyloom.llm.common import token_hashes, work_dir, words_of
+from tallyloom.llm.chains import Chains
+from tallyloom.llm.common import mixed, token_hashes, work_dir, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,20 +101,56 @@ def test_toxicity_without_labels_or_rows(spark):
 
 def test_marginals_are_those_of_all_paths():
     r = np.random.default_rng(0)
-    emit, trans = r.normal(size=(1, 5)), r.normal(size=(2, 2))
+    emit, trans = r.normal(size=(2, 5)), r.normal(size=(2, 2))
     total, sums = 0.0, np.zeros(5)
     for k in range(32):
         y = [(k >> i) & 1 for i in range(5)]
         w = math.exp(sum(emit[0, i] * y[i] for i in range(5)) + sum(trans[y[i], y[i + 1]] for i in range(4)))
         total += w
         sums += w * np.array(y)
-    mu, logz, _ = toxicity.marginals(emit, np.ones((1, 5), bool), trans)
-    assert np.allclose(mu[0], sums / total) and math.isclose(logz, math.log(total))
+    mu, steps = toxicity.marginals(emit.ravel(), np.array([5, 0, 5]), trans)
+    assert np.allclose(mu[:5], sums / total) and math.isclose(steps.sum(), 8)
+    assert math.isclose(toxicity.chains(emit.ravel(), np.array([5, 0, 5]), trans).log_sums()[0], math.log(total))
+
+
+@pytest.mark.parametrize(("piece", "batch"), [(1, 3), (3, 4), (7, 50)])
+def test_pieces_of_chains_lose_nothing(piece, batch):
+    r = np.random.default_rng(3)
+    lengths = np.array([20, 0, 1, 7, 3, 0])
+    w, start, trans = r.gamma(1, 1, (31, 3)), r.gamma(1, 1, 3), r.gamma(1, 1, (3, 3))
+    whole, cut = Chains(lengths, lambda at: w[at], start, trans), Chains(lengths, lambda at: w[at], start, trans, piece, batch)
+    assert np.allclose(whole.log_sums(), cut.log_sums()) and whole.log_sums()[1] == 0
+
+    def summed(c):
+        shares, first, moves, log = np.zeros((31, 3)), 0, 0, 0
+        for at, share, f, m, z in c.marginals():
+            shares[at] = share
+            first, moves, log = first + f, moves + m, log + z
+        return shares, first, moves, log
+
+    assert all(np.allclose(a, b) for a, b in zip(summed(whole), summed(cut), strict=True))
+    low = Chains(lengths, lambda at: w[at].astype(np.float32), start, trans, piece, batch)
+    assert all(np.allclose(a, b, 1e-4, 1e-4) for a, b in zip(summed(whole), summed(low), strict=True))
+
+
+def test_toxic_sample_is_bounded_by_rows_and_bytes(spark):
+    d = docs(spark, ["a" * 10, "b" * 30, "c" * 5, None, "", "d" * 12])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    take = lambda n, size: sorted(t[:1] for t, _ in toxicity.training_sample(d, labels, "doc_id", "text", "toxic", n, size))
+    assert take(9, 100) == [b"a", b"b", b"c", b"d"] and take(9, 20) in ([b"a", b"c", b"d"],) and len(take(1, 100)) <= 2
+
+
+def test_words_of_one_hash_modulo_a_power_of_two_differ():
+    word, other = b"a", bytes.maketrans(b"ab", b"ba")
+    for _ in range(12):
+        word += word.translate(other)
+    hashes, _ = token_hashes([word, word.translate(other), b"x " + word])
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[3]
 
 
 # ---- sentencepiece ----
 
-ODD = ["a▁b  c\n\n\x00 \U0001f600", "x" * 300, " ", "  \n ", "ü é ß ￿"]
+ODD = [" " * 700 + "x", "ab" * 3000, "é" * 257, "a▁b  c\n\n\x00 \U0001f600", "x" * 300, " ", "  \n ", "ü é ß ￿"]
 
 
 def test_pieces_round_trip_and_seeds(spark):
@@ -156,6 +193,27 @@ def test_pieces_follow_the_lattice():
     assert set(seen) <= set(paths) and max(abs(seen[p] / n - math.exp(w) / z) for p, w in paths.items()) < 0.015
 
 
+def test_units_are_runs_of_spaces_and_characters_or_line_ends():
+    texts = [b"a  b\n\n  c \n ", b"", b"  ", b"x" * 70, b"\n", "é  ▁\tz".encode()]
+    units, which, counts = pieces.units_of(texts)
+    want = [re.findall(rb" *[^ \n]+|\n| +", b" " + t) if t else [] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and [units[k] for k in which] == [u for w in want for u in w] and len(set(units)) == len(units)
+
+
+def test_long_units_are_sampled_as_short_ones_are():
+    model = pieces.Pieces(pieces.model_path())
+    n = 20_000
+    seen = collections.Counter(tuple(pieces.long_sample(" inger", s, model)) for s in mixed(np.arange(n, dtype=np.uint64)).tolist())
+    ids, counts = pieces.encode_texts([b"inger"] * n, [str(i) for i in range(n)], model)
+    ends = np.cumsum(counts)
+    other = collections.Counter(tuple(ids[e - c : e].tolist()) for c, e in zip(counts, ends, strict=True))
+    assert all(abs(seen[p] - other[p]) < 0.02 * n for p in seen | other)
+    # a piece may cross any place of a long unit
+    unit = "e" + "inger" * 100
+    path = [model.bytes_of[i].decode() for i in pieces.long_sample(unit, 5, model)]
+    assert "".join(path) == unit and max(map(len, path)) > 1
+
+
 # ---- warc ----
 
 
@@ -176,6 +234,8 @@ def test_warc(spark):
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload) if r.payload is not None else None) for r in got], key=repr) == sorted(want, key=repr)
     urls = spark.createDataFrame([("http://example.com/a?x=1",), ("http://z.org/",), ("http://absent.org",), (None,)], "url string")
     found = sorted((r.url or "-", r.page_id if r.page_id is not None else -1) for r in warc.lookup(urls, path).collect())
+    every = warc.lookup(df, path).collect()
+    assert sorted(map(repr, every)) == sorted(map(repr, got))
     assert found == sorted([("http://Example.com/a?x=1#f", 0), ("http://example.com/a?x=1", 4), ("http://z.org", -1), ("http://z.org", -1), ("-", 2)])
 
 
@@ -189,6 +249,13 @@ def test_warc_of_no_pages_and_many_blocks(spark):
     assert blocks.count() > 4
     found = warc.lookup(spark.createDataFrame([("http://h3.org/10",)], "url string"), path).collect()
     assert {r.page_id for r in found} == {i for i in range(9000) if i % 7 == 3 and i % 500 == 10}
+    assert sorted(r.page_id for r in warc.lookup(many, path).collect()) == list(range(9000))
+    path = work_dir(spark)
+    named = many.limit(20).withColumn("page_id", F.concat(F.lit("p:"), "page_id")).withColumn("html", F.lit("same"))
+    warc.build_index(warc.write_archives(named, path), path)
+    got = warc.lookup(named, path, id_type="string").collect()
+    top = max(r.page_id for r in got)
+    assert len(got) == 20 and all(r.refers_to == (None if r.page_id == top else top) for r in got)
 
 
 # ---- jaccard join ----
@@ -228,6 +295,18 @@ def test_jaccard_join_of_odd_rows(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(d).collect()), key=repr)
     assert got == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (None, None, 0)]
+    # two texts of one id, each with a near copy
+    words = [" ".join(f"{p}{k}" for k in range(60)) for p in "ab"]
+    d = spark.createDataFrame([("1", words[0]), ("1", words[1]), ("2", words[0] + " zz"), ("3", words[1] + " zz")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in jaccard_join.join(d).collect()) == [("1", "1", "1", 1, 1), ("1", "1", "1", 1, 1), ("2", "2", "1", 1, 1), ("3", "3", "1", 1, 1)]
+    kept = jaccard_join.one_of_each(d.union(d).withColumn("stays", F.lit(7)).withColumn("id", F.lit(8)))
+    assert sorted(tuple(r) for r in kept.collect()) == [("1", words[0], 7, 8), ("1", words[1], 7, 8)]
+    # long words that polynomials modulo a power of two take for one
+    word, other = b"a", bytes.maketrans(b"ab", b"ba")
+    for _ in range(12):
+        word += word.translate(other)
+    d = spark.createDataFrame([(i, f"{w} x y z u v") for i, w in enumerate((word.decode(), word.translate(other).decode()))], "doc_id long, text string")
+    assert {r.class_id for r in jaccard_join.join(d).collect()} == {0, 1}
     assert jaccard_join.join(empty(spark)).count() == 0
 
 
@@ -301,12 +380,38 @@ def test_repeats(spark, most):
 
 def test_suffixes_sort_as_bytes_do():
     r = random.Random(3)
-    data = bytes(r.choice(b"ab") for _ in range(700))
-    s = repeats.Suffixes(data, 50)
-    at = np.arange(600)
-    group = np.repeat([0, 1, 2], 200)
-    order = s.sort(at, group)
-    assert order.tolist() == sorted(range(600), key=lambda i: (group[i], data[i : i + 50], i))
+    data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(700)), np.uint8)
+    at, group = np.arange(600), np.repeat([0, 1, 2], 200)
+    extent = np.array([r.randint(0, 50) for _ in at])
+    text = [data[i : i + n].tobytes() for i, n in zip(at, extent, strict=True)]
+    order, shared = repeats.Suffixes(data, at, extent).ordered(group)
+    assert order.tolist() == sorted(range(600), key=lambda i: (group[i], text[i], i))
+    common = lambda x, y: next((n for n, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+    assert shared.tolist() == [-1 if not k or group[i] != group[order[k - 1]] else common(text[order[k - 1]], text[i]) for k, i in enumerate(order)]
+
+
+def test_blocks_whose_hashes_agree_are_compared_by_bytes():
+    word, other = b"a", bytes.maketrans(b"ab", b"ba")
+    for _ in range(11):
+        word += word.translate(other)
+    data = word + word.translate(other) + word + b"c" + word.translate(other) + b"b"
+    at = np.array([0, 2048, 4096, 6145])
+    s = repeats.Suffixes(np.frombuffer(data, np.uint8), at, np.array([2048, 2048, 2049, 2049]))
+    assert s.common(np.array([0]), np.array([1]))[0] > 0  # hashes modulo a power of two agree on these
+    order, shared = s.ordered(np.zeros(4, np.int64))
+    assert order.tolist() == [0, 2, 1, 3] and shared.tolist() == [-1, 2048, 0, 2048]
+
+
+def test_long_texts_are_cut_into_parts_without_losing_windows(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    text = "".join(r.choice("abc") for _ in range(3000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array([text, text[:250]])], ["k1", "k2", "text"])
+    monkeypatch.setattr(repeats, "CALL_BYTES", 700)
+    rows = [x for out in repeats._anchors(200)([batch]) for x in out.to_pylist()]
+    windows = sorted((x["k1"], x["start"] + k) for x in rows for k in range(x["windows"]))
+    assert windows == [(1, k) for k in range(2801)] + [(2, k) for k in range(51)]
 
 
 # ---- decontamination ----
@@ -330,7 +435,7 @@ def brute_items(text):
     return len(w), len(hit), len(items), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 1])
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 250])
 def test_decontamination(spark, block_bytes):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = decontaminate.find(docs(spark, MIXED), bench, block_bytes=block_bytes)
@@ -339,6 +444,8 @@ def test_decontamination(spark, block_bytes):
     spans = {r.doc_id: [MIXED[r.doc_id][h.start : h.end] for h in r.hits] for r in found.collect()}
     assert spans[0] == ["ONE, two three four five six seven eight nine ten", "kurz-und-GUT kurz und gut"] and spans[6] == ["kurz und gut"]
     assert decontaminate.find(empty(spark), bench).count() == 0
+    named = decontaminate.find(docs(spark, MIXED).withColumn("hits", F.lit(1)), bench.withColumn("item_id", F.concat(F.lit("i"), "item_id")), block_bytes=block_bytes)
+    assert {r.doc_id: r["items"] for r in named.collect()}[0] == ["i1", "i2"]
     none = decontaminate.digest(decontaminate.find(docs(spark, MIXED), bench.limit(0)))
     assert none.where("contaminated").count() == 0
 
@@ -359,6 +466,8 @@ def test_language_model(spark):
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
         assert r.score < 0
     assert hmm.score(empty(spark)).count() == 0
+    named = d.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    assert {r.doc_id for r in hmm.score(named).collect()} == {f"n{i}" for i in tokens}
 
 
 def test_forward_and_counts_are_those_of_all_paths():
@@ -380,7 +489,8 @@ def test_forward_and_counts_are_those_of_all_paths():
                 sums[12 + 5 * a + b] += p
         want += sums / total
         assert math.isclose(hmm.forward(seqs, model)[k], math.log10(total))
-    assert np.allclose(hmm.expected_counts(seqs, model), want)
+    got = hmm.expected_counts(seqs, model)
+    assert np.allclose(got[:-2], want, 1e-4) and got[-1] == 11 and math.isclose(got[-2] / math.log(10), hmm.forward(seqs, model).sum(), rel_tol=1e-5)
 
 
 def test_latent_states_help(spark):
@@ -404,14 +514,73 @@ def test_licenses(spark):
     assert licenses.find(empty(spark)).count() == 0
 
 
+def brute_spans(words, templates):
+    """Chains by trying every set of anchors' predecessors, over matches found by comparing all places."""
+    runs = []
+    longest = [max([n for n in range(len(words) + 1) if n <= i + 1 and any(words[i - n + 1 : i + 1] == t[p : p + n] for t, _ in templates for p in range(len(t) - n + 1))]) if words else 0 for i in range(len(words))]
+    for i, n in enumerate(longest):
+        if n >= licenses.LEAST and (i + 1 == len(words) or longest[i + 1] <= n):
+            runs += [(k, i - n + 1, p, n) for k, (t, _) in enumerate(templates) for p in range(len(t) - n + 1) if t[p : p + n] == words[i - n + 1 : i + 1]]
+    out = []
+    for k, (t, label) in enumerate(templates):
+        sides = [[r[1:] for r in runs if r[0] == k]]
+        while sides:
+            rest = sides.pop()
+            best = (0,)
+
+            def grow(chain, rest=rest):
+                nonlocal best
+                weight = sum(c[2] for c in chain)
+                if weight > best[0]:
+                    best = (weight, chain[0][0], chain[-1][0] + chain[-1][2] - 1)
+                a, b, n = chain[-1]
+                for x in rest:
+                    if a + n <= x[0] <= a + n + licenses.GAP and x[1] >= b + n:
+                        grow([*chain, x])
+
+            for r in rest:
+                grow([r])
+            if best[0] >= licenses.COVER * len(t):
+                out.append((label, best[0] / len(t)))
+                sides += [s for s in ([r for r in rest if r[0] + r[2] <= best[1]], [r for r in rest if r[0] > best[2]]) if s]
+    return sorted(out)
+
+
+def test_license_chains_are_those_of_brute_force(spark):
+    r = random.Random(11)
+    for seed in range(6):
+        templates = [(" ".join(r.choice("abcd") for _ in range(r.randint(5, 12))), f"t{k}") for k in range(3)]
+        texts = []
+        for _ in range(20):
+            w = []
+            for _ in range(r.randint(1, 3)):
+                t = r.choice(templates)[0].split()
+                if r.random() < 0.6:
+                    t[r.randrange(len(t))] = "z"
+                w += t + ["x"] * r.choice([0, 1, 9])
+            texts.append(" ".join(w))
+        got = licenses.scanner(tuple(templates))([t.encode() for t in texts])
+        split = [(t.split(), label) for t, label in templates]
+        for t, chains in zip(texts, got["chains"], strict=True):
+            want = brute_spans(t.split(), split)
+            assert sorted((c["label"], c["cover"]) for c in chains) == want, (seed, t, templates)
+    notice = "Licensed under the Apache License, Version 2.0. "
+    table = spark.createDataFrame([("House rules apply to all of these files", "house"), (None, "x")], "text string, label string")
+    d = docs(spark, [notice * 2, "x " + licenses.TEMPLATES[-1][0], "The HOUSE rules apply to all of these files; all rights reserved"])
+    two = by_id(licenses.find(d))
+    assert [(c.label, c.first, c.last) for c in two[0].chains] == [("apache-2.0", 0, 7), ("apache-2.0", 8, 15)] and {c.label for c in two[1].chains} == {"unlicense"} and not two[2].chains
+    own = by_id(licenses.digest(licenses.find(d, templates=table)))
+    assert own[2].labels == "house,reserved" and own[0].labels == ""
+
+
 def test_matching_statistics():
     r = random.Random(2)
     sequences = [[r.randrange(4) for _ in range(30)] for _ in range(5)]
     automaton = licenses.SuffixAutomaton(sequences)
     text = [r.randrange(4) for _ in range(300)]
     for i, (n, s) in enumerate(automaton.statistics(text)):
-        runs = lambda k: {t: next(e for e in range(k - 1, 30) if q[e - k + 1 : e + 1] == text[i - k + 1 : i + 1]) for t, q in enumerate(sequences) if any(q[e - k + 1 : e + 1] == text[i - k + 1 : i + 1] for e in range(k - 1, 30))}  # noqa: B023, E731
-        assert runs(n) and automaton.ends[s] == runs(n) and (n == i + 1 or n == 30 or not runs(n + 1))
+        places = lambda k: {(t, e) for t, q in enumerate(sequences) for e in range(k - 1, 30) if q[e - k + 1 : e + 1] == text[i - k + 1 : i + 1]}  # noqa: B023, E731
+        assert places(n) and (n < licenses.LEAST or automaton.ends[s] == places(n)) and (n == i + 1 or n == 30 or not places(n + 1))
 
 
 # ---- quality ----

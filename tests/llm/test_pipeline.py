@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tallyloom.llm import decontaminate, jaccard_join, secrets, toxicity
@@ -47,6 +48,16 @@ def test_odd_rows_pass(spark, data):
     assert sorted(got, key=str) == [1, 2, 3, None] and docs.count() == 4 and got[2].ids == [] and got[None].ids is None
 
 
+def test_clashing_columns_pass_unchanged(spark, data):
+    names = ["score", "n_tokens", "expected", "spans", "n_words", "hits", "items", "digest", "stays", "found", "__sha", "N_Words2"]
+    docs = table(spark, data, "documents").limit(40)
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for _, stage in P.STAGES[:-1]:
+        wide = written(stage(spark, wide, data))
+    rows = wide.collect()
+    assert wide.columns == [*docs.columns, *names] and rows and all(r[n] == i for r in rows for i, n in enumerate(names))
+
+
 def test_thresholds_are_the_stated_ones():
     assert (toxicity.THRESHOLD, jaccard_join.SHINGLE, jaccard_join.THRESHOLD, decontaminate.WINDOW) == (0.3, 5, 0.8, 10)
     assert re.fullmatch(r"[a-z_]+", P.STAGES[0][0])

@@ -64,4 +64,41 @@ f AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 *
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 > 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
-ORACLE_SQL = {"op3_warc": OP3, "op4_jaccard_join": OP4, "op6_decontaminate": OP6, "op9_quality": OP9}
+#: CRC-32 of an id's digits, byte by byte.
+_CRC = "xor(CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(k AS BIGINT) for k in range(8)]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)) AS BIGINT), CAST(4294967295 AS BIGINT))"
+
+#: What op7 and op8 find before their methods add to it, and the counts of op5 and op10.
+LANGUAGE_MODEL_BASE = rf"""
+WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+'), chr(0)) AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, CAST(round(1000 * sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1))))) AS BIGINT) AS base_millis
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out, n
+"""
+
+LICENSE_BASE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, k - 1 AS pos, CASE WHEN w[k:k + 1] = ['cc', 'by'] THEN 'cc-by' WHEN w[k:k + 2] = ['general', 'public', 'license'] THEN 'gpl' WHEN w[k:k + 2] = ['all', 'rights', 'reserved'] THEN 'reserved' END AS label
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+f AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN f USING (doc_id)
+"""
+
+SECRET_COUNTS = r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda s: length(s) >= 8)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda s: length(s) >= 16)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda s: length(s) >= 32)) AS BIGINT) AS n_hex
+FROM documents
+"""
+
+REPEAT_COUNTS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 400)) AS x FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 199 AS BIGINT))) AS p FROM d WHERE length(h) >= 400)),
+r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY x) AS c FROM w) WHERE c > 1),
+g AS (SELECT doc_id, lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p AS step FROM r),
+s AS (SELECT doc_id, CAST(sum(least(coalesce(step, 200), 200)) AS BIGINT) AS n_removed, count(*) FILTER (WHERE step IS NULL OR step > 200) AS n_spans FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_warc": OP3, "op4_jaccard_join": OP4, "op6_decontaminate": OP6, "op9_quality": OP9, "language_model_base": LANGUAGE_MODEL_BASE, "license_base": LICENSE_BASE, "secret_counts": SECRET_COUNTS, "repeat_counts": REPEAT_COUNTS}

@@ -57,6 +57,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+# What the queries above return and SQL can express, as queries of their own.
+
+
+def repeat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_repeats(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans")
+
+
+def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round(F.col("base_score") * 1000).cast("long").alias("base_millis"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -68,6 +87,10 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "repeat_counts": repeat_counts,
+    "language_model_base": language_model_base,
+    "license_base": license_base,
+    "secret_counts": secret_counts,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

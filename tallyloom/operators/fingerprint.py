@@ -88,6 +88,9 @@ def grammar(text: Column, exact: bool = True) -> Column:
 
 
 def grammar_signature(texts: Column, exact: bool = True) -> Column:
-    """Signature of an array of texts: distinct grammars in order, as JSON, hashed."""
-    grams = F.array_distinct(F.transform(texts, lambda t: grammar(t, False))) if not exact else texts
+    """Signature of an array of texts: distinct grammars in order, as JSON, hashed. exact normalises by NFKC, all texts of a row at once."""
+    given = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
+    if exact:
+        given = F.when(F.size(texts) > 0, F.split(nfkc(F.array_join(given, "\0")), "\0", -1)).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(F.transform(given, lambda t: grammar(t, False)))
     return F.concat(F.lit("grammar-v1:sha256:"), F.sha2(F.to_json(grams), 256))

@@ -77,17 +77,21 @@ def inside_window(time: Column, start: Column, end: Column) -> Column:
     return time.isNull() | (F.coalesce(time >= F.date_trunc("second", start), F.lit(True)) & F.coalesce(time <= end, F.lit(True)))
 
 
-#: Windows that are broadcast as one table; more must come as an equi-join key too.
-MOST_WINDOWS = 10_000
+def held_by(events: DataFrame, windows: DataFrame, time: str, start: Column | None = None) -> DataFrame:
+    """events joined with the windows (window_id, started_at, ended_at and others) that hold their time, from `start` (started_at, if None) on;
+    events in none stay, with nulls. An equi-join on days, then verified; windows without end reach to the newest event's day."""
+    start = F.col("started_at") if start is None else start
+    day = lambda c: F.date_trunc("day", c).cast("date")
+    last = events.agg(F.max(time).alias("__last"))
+    open_to = F.greatest(F.coalesce(day(F.col("ended_at")), day(F.col("__last"))), day(start))
+    by_day = windows.join(F.broadcast(last), how="cross").withColumn("__to", F.least(open_to, F.greatest(day(F.col("__last")), day(start)))).withColumn("__day", F.explode(F.sequence(day(start), F.col("__to")))).drop("__last", "__to")  # `last` is one row
+    inside = (F.col("__at") == F.col("__day")) & (F.col(time) >= start) & F.coalesce(F.col(time) <= F.col("ended_at"), F.lit(True))
+    return events.withColumn("__at", day(F.col(time))).join(by_day, inside, "left").drop("__at", "__day")
 
 
 def assign_windows(events: DataFrame, windows: DataFrame, time: str, key: list[str]) -> DataFrame:
     """events with window_id: of the windows (window_id, started_at, ended_at) that hold its time, the newest. Times that no window holds have none."""
-    n = windows.count()
-    if n > MOST_WINDOWS:
-        raise ValueError(f"{n} windows: the interval join takes {MOST_WINDOWS}")
-    held = events.join(F.broadcast(windows), (F.col(time) >= F.col("started_at")) & (F.coalesce(F.col(time) <= F.col("ended_at"), F.lit(True))), "left")
-    return held.groupBy(*key).agg(F.max("window_id").alias("window_id"))
+    return held_by(events.select(*key, time), windows, time).groupBy(*key).agg(F.max("window_id").alias("window_id"))
 
 
 def event_key(workspace: Column, collector: Column, component: Column, index: Column) -> Column:
@@ -111,8 +115,8 @@ def classify(time: Column, valid: Column, start: Column, end: Column, completed:
 def pending_profile(rows: DataFrame, source: str, rowid: str, time: str, cursors: DataFrame) -> DataFrame:
     """For each source: rows beyond its cursor, and their earliest and latest time."""
     got = rows.groupBy(source).agg(F.max(rowid).alias("max_rowid"))
-    later = rows.join(F.broadcast(cursors), source).where(F.col(rowid) > F.col("cursor")).groupBy(source).agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"))
-    return F.broadcast(cursors).join(got, source, "left").join(later, source, "left").select(source, F.greatest(F.coalesce("max_rowid", F.lit(0)) - F.col("cursor"), F.lit(0)).cast("bigint").alias("pending"), "first_time", "last_time")
+    later = rows.join(cursors, source).where(F.col(rowid) > F.col("cursor")).groupBy(source).agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"))
+    return cursors.join(got, source, "left").join(later, source, "left").select(source, F.greatest(F.coalesce("max_rowid", F.lit(0)) - F.col("cursor"), F.lit(0)).cast("bigint").alias("pending"), "first_time", "last_time")
 
 
 def hash_chain(rows: DataFrame, group: str, order: list[str], content: Column, most: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators.reading import document_id
-from tallyloom.operators.records import MOST_WINDOWS, classify, event_key, first_of_each
+from tallyloom.operators.records import classify, event_key, first_of_each, held_by
 
 TARGET = "event_key string, workspace string, collector string, source_component string, source_index string, document_id string, raw_payload string, captured_at timestamp_ntz, window_id long, kind string, batch_id long"
 REJECTED = ("rejected",)
@@ -37,12 +37,11 @@ def records(rows: DataFrame, workspace: str, collector: str, component: str) ->
 
 def assigned(batch: DataFrame, windows: DataFrame) -> DataFrame:
     """batch with window_id and kind: the newest window that holds the time; unknown times go to the newest window and are quarantined."""
-    n = windows.count()
-    if n > MOST_WINDOWS:
-        raise ValueError(f"{n} windows: the interval join takes {MOST_WINDOWS}")
-    w = F.broadcast(windows.select("window_id", "started_at", "ended_at", "completed"))
-    inside = F.col("captured_at").isNull() | ((F.col("captured_at") >= F.date_trunc("second", "started_at")) & F.coalesce(F.col("captured_at") <= F.col("ended_at"), F.lit(True)))
-    held = batch.join(w, inside, "left").groupBy("event_key").agg(F.max(F.struct("window_id", "completed")).alias("w"))
+    w = windows.select("window_id", "started_at", "ended_at", "completed")
+    timed = held_by(batch.where(F.col("captured_at").isNotNull()).select("event_key", "captured_at"), w, "captured_at", F.date_trunc("second", "started_at"))
+    held = timed.groupBy("event_key").agg(F.max(F.struct("window_id", "completed")).alias("w"))
+    newest = w.agg(F.max(F.struct("window_id", "completed")).alias("w"))  # one row
+    held = held.unionByName(batch.where(F.col("captured_at").isNull()).select("event_key").distinct().join(F.broadcast(newest), how="cross"))
     kind = classify(F.lit(None).cast("timestamp_ntz"), F.col("captured_at").isNotNull(), F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz"), F.coalesce(F.col("w.completed"), F.lit(False)))
     out = batch.join(held, "event_key").withColumn("window_id", F.col("w.window_id"))
     ambiguous = F.col("capture_assignment") == "source_history_ambiguous"
@@ -54,7 +53,10 @@ def store_batch(batch: DataFrame, batch_id: int, windows: DataFrame, target: str
     """Adds the batch's new events to the target (Parquet, a folder for each batch); returns the counts of what became of its rows."""
     spark = batch.sparkSession
     once = first_of_each(batch, "event_key", ["source_index"])
-    judged = assigned(once, windows)
+    # the judged batch is written first, beside the target: the stream's rows are read once
+    staged = f"{target}-staged/batch_id={batch_id}"
+    assigned(once, windows).write.mode("overwrite").parquet(staged)
+    judged = spark.read.parquet(staged)
     known = spark.read.schema(TARGET).parquet(target) if _exists(spark, target) else spark.createDataFrame([], TARGET)
     # the batch's own folder is written anew when it runs again
     new = judged.where(~F.col("kind").isin(*REJECTED)).join(known.where(F.col("batch_id") != batch_id).select("event_key"), "event_key", "left_anti")
@@ -62,6 +64,7 @@ def store_batch(batch: DataFrame, batch_id: int, windows: DataFrame, target: str
     new.select(*columns).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
     counts = {r.kind: r["count"] for r in judged.groupBy("kind").count().collect()}  # a row for each kind
     inserted = spark.read.parquet(f"{target}/batch_id={batch_id}").count()
+    _delete(spark, staged)
     return {"inserted": inserted, "duplicates": sum(counts.values()) - counts.get("rejected", 0) - inserted, "rejected": counts.get("rejected", 0)}
 
 
@@ -70,6 +73,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def start(stream: DataFrame, windows: DataFrame, target: str, checkpoint: str, workspace: str, collector: str, component: str, available_now: bool = False) -> StreamingQuery:
     """Runs the ingestion of a stream of spool rows."""
     writer = records(stream, workspace, collector, component).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, windows, target) and None)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import parse as A
+from tallyloom.operators import profiles as D
 from tallyloom.operators import readings as R
+from tallyloom.operators import tasks as K
 from tallyloom.plans.registry import query
 from tallyloom.plans.tables import load
 
@@ -92,3 +94,47 @@ def attribute_lines(spark, sf_dir):
     rows = spark.createDataFrame([(t,) for t in ("红/42", "红 色 38.5", "颜色:红", "【新】跑鞋 ", "【一二三四五六七八九】跑鞋")], "text string")
     got = R.simple_attrs(F.col("text"))
     return rows.select("text", got["sales_attr1"].alias("sales_attr1"), got["sales_attr2"].alias("sales_attr2"), R.normalized_product(F.col("text")).alias("product"))
+
+
+# ---- profiles ----
+
+PROFILES = [
+    {"strategy": "structured_items_v1", "fingerprint": "A", "items_path": "data.items[]", "fields": {"product": "n", "quantity": "q"}},
+    {"strategy": "text_pipeline_v1", "fingerprint": "B", "grammar": "g", "text_path": "text", "steps": [{"op": "split", "source": "text", "delimiter": "|", "targets": ["product", "quantity"]}, {"op": "to_positive_int", "source": "quantity", "target": "quantity"}], "field_roles": {"quantity": "positive_integer_quantity"}},
+    {"strategy": "source_projection_v1", "fingerprint": "B", "grammar": "g", "text_path": "text", "rows": [{"product": ["delimiter_segment", 0, []], "quantity": ["positive_integer_quantity", 0, [{"op": "extract_quantity"}]]}]},
+    {"strategy": "structured_items_v1", "fingerprint": "C", "items_path": "data.items[]", "fields": {"product": "n", "quantity": "q"}},
+    {"strategy": "structured_items_v1", "fingerprint": "C", "items_path": "data.items[]", "fields": {"product": "q", "quantity": "q"}},
+]
+DOCS_SQL = "d AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS f, p_name AS n, p_brand AS b, p_size AS q FROM part)"
+
+
+def profile_docs(spark, sf_dir):
+    item = lambda name, q: F.struct(name.alias("n"), q.cast("string").alias("q"))
+    payload = F.to_json(F.struct(F.struct(F.array(item(F.col("p_name"), F.col("p_size")), item(F.col("p_brand"), F.lit(2))).alias("items")).alias("data"), F.concat("p_name", F.lit("|"), "p_size", F.lit("件")).alias("text")))
+    kind = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("p_size") % 4 + 1).cast("int"))
+    return load(spark, sf_dir, "part").select("p_partkey", payload.alias("payload"), kind.alias("fingerprint"), F.lit("g").alias("grammar"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT p_partkey, CASE f WHEN 'A' THEN 'parsed' WHEN 'B' THEN 'parsed' WHEN 'C' THEN 'profile_ambiguous' ELSE 'format_profile_missing' END AS status, CASE f WHEN 'A' THEN 0 WHEN 'B' THEN 2 END AS position FROM d")
+def profile_statuses(spark, sf_dir):
+    return D.parse_profiles(profile_docs(spark, sf_dir), "p_partkey", PROFILES)[0]
+
+
+@query(f"WITH {DOCS_SQL} SELECT p_partkey, 0 AS item, n AS product, CAST(q AS BIGINT) AS quantity, 'draft' AS row_status FROM d WHERE f IN ('A', 'B') UNION ALL SELECT p_partkey, 1, b, 2, 'draft' FROM d WHERE f = 'A'")
+def profile_rows(spark, sf_dir):
+    rows = D.parse_profiles(profile_docs(spark, sf_dir), "p_partkey", PROFILES)[1]
+    return rows.select("p_partkey", F.coalesce(F.element_at("place", -1), F.lit(0)).alias("item"), "product", "quantity", F.col("status").alias("row_status"))
+
+
+@query("SELECT count(*) FILTER (WHERE p_size % 3 > 0) AS passed, count(*) AS total, bool_and(p_size % 3 > 0) AS ok FROM part WHERE p_size % 4 = 0")
+def profile_replay(spark, sf_dir):
+    docs = profile_docs(spark, sf_dir)
+    want = load(spark, sf_dir, "part").where("p_size % 4 = 0").select("p_partkey", F.array(F.concat("p_name", F.lit("|||"), "p_size", F.lit("|")), F.concat("p_brand", F.lit("|||"), F.when(F.col("p_size") % 3 > 0, "2").otherwise("9"), F.lit("|"))).alias("rows"))
+    return K.replay_summary(D.replay_profile(docs, "p_partkey", PROFILES[0], want))
+
+
+@query("SELECT p_partkey, 'v2:CN-PACKAGE-ITEMS:sha256:' || sha256('{\"fingerprint_code\":\"CN-PACKAGE-ITEMS\",\"shape\":{\"fields\":[' || CASE WHEN p_size % 2 = 0 THEN '[[\"n\",\"str\"],[\"q\",\"int\"]],' ELSE '' END || '[[\"n\",\"str\"],[\"q\",\"str\"]]]},\"source_component\":\"cainiao\"}') AS fingerprint FROM part")
+def business_fingerprints(spark, sf_dir):
+    text = lambda q: F.concat(F.lit('{"x":1,"n":"'), "p_name", F.lit('","q":'), q, F.lit("}"))
+    items = F.array(text(F.concat(F.lit('"'), "p_size", F.lit('"'))), text(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise('"a"')))
+    return load(spark, sf_dir, "part").select("p_partkey", D.business_fingerprint(F.lit("CN-PACKAGE-ITEMS"), F.lit(" CaiNiao"), items, ["q", "n", "absent"]).alias("fingerprint"))

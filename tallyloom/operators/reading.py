@@ -165,3 +165,71 @@ def payload_documents(rows: DataFrame, payload: str) -> DataFrame:
 def document_id(payload: Column, task_id: Column, fallback: Column) -> Column:
     """The first document's id, else the task's, else the fallback."""
     return F.coalesce(nonempty(F.get_json_object(payload, "$.task.documents[0].documentID")), nonempty(task_id), fallback)
+
+
+# ---- samples ----
+
+
+def source_texts(rows: DataFrame, keep: list[str], payload: str, prefix: Column) -> DataFrame:
+    """(keep, path, text, text_order) of what a payload shows: the texts of print XML, and other leaves that no filter hides."""
+    leaves = walk_leaves(rows.select(*keep, payload), payload)
+    xml = F.col("path").rlike(r"(?:^|\.)printXML$")
+    blocks = leaves.where(xml).select(*keep, "leaf_order", "path", F.posexplode(xml_texts(F.col("text"))).alias("block", "value"))
+    printed = blocks.select(*keep, F.concat(prefix, "path", F.lit(".text["), F.col("block").cast("string"), F.lit("]")).alias("path"), F.col("value").alias("text"), F.struct("leaf_order", "block").alias("text_order"))
+    shown = leaves.where(~xml & field_filter_reason(F.col("path"), F.col("text")).isNull())
+    return shown.select(*keep, F.concat(prefix, "path").alias("path"), "text", F.struct("leaf_order", F.lit(0).alias("block")).alias("text_order")).unionByName(printed)
+
+
+def reading_samples(records: DataFrame, key: str, payload: str, columns: list[str] = ()) -> DataFrame:
+    """A row for each document of a record: document_pos, sample_number (from 1 within the record), texts (path, text in order) and state.
+
+    Texts are those of the record's own columns, then of the document. A document without any stays as `empty`. A record without
+    documents is read as a whole (`fallback`), or is `empty` too."""
+    docs = payload_documents(records, payload).withColumn("__whole", F.col("document") == F.col(payload))
+    prefix = F.when(F.col("__whole"), "").otherwise(F.concat(F.lit("task.documents["), F.col("document_pos").cast("string"), F.lit("].")))
+    found = source_texts(docs.select(key, "document_pos", "__whole", "document"), [key, "document_pos", "__whole"], "document", prefix)
+    own = [F.struct(F.lit(f"record.{c}").alias("path"), text_value(F.col(c)).alias("text")) for c in columns]
+    grouped = found.groupBy(key, "document_pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("text_order", "path", "text"))), lambda t: F.struct(t["path"].alias("path"), t["text"].alias("text"))).alias("__texts"))
+    out = docs.join(grouped, [key, "document_pos"], "left")
+    mine = F.filter(F.array(*own), lambda t: t["text"] != "") if own else F.array().cast("array<struct<path:string,text:string>>")
+    texts = F.concat(mine, F.coalesce("__texts", F.array().cast("array<struct<path:string,text:string>>")))
+    state = F.when(F.size("texts") == 0, "empty").when(F.col("__whole"), "fallback").otherwise("read")
+    return out.select(key, "document_pos", (F.col("document_pos") + 1).cast("bigint").alias("sample_number"), texts.alias("texts"), "__whole").withColumn("state", state).drop("__whole")
+
+
+def sample_blocks(samples: DataFrame, key: str) -> DataFrame:
+    """A row for each line of each text of a sample, with its path, number, offsets in the text and selectable segments."""
+    each = samples.select(key, "sample_number", F.explode("texts").alias("t"))
+    each = each.select(F.struct(key, "sample_number", F.col("t.path").alias("path")).alias("at"), F.col("t.text").alias("text"))
+    lines = document_lines(each, "at", "text")
+    return lines.select(F.col(f"at.{key}").alias(key), "at.sample_number", F.col("at.path").alias("source_path"), "line_number", "start", "end", "line", segments(F.col("line")).alias("segments"))
+
+
+def area_texts(xml: Column) -> Column:
+    """struct(text, marked) of each <text> element of print XML: marked inside an element whose tag, attribute or attribute value reads CUSTOMAREA.
+
+    Elements are followed by their depth, tag by tag, so documents with several roots and unclosed ends can be read; comments and
+    declarations are passed over. Text that holds no tag is null."""
+    parts = F.regexp_extract_all(xml, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[^>]*>|[^<]+"), F.lit(0))
+    letters = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("area"), F.lit(-1).alias("node"), F.lit("").alias("now"), F.array().cast("array<struct<text:string,marked:boolean>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        data, tag = p.startswith("<![CDATA["), p.startswith("<") & ~p.startswith("<!") & ~p.startswith("<?")
+        closes, single = tag & p.startswith("</"), tag & p.endswith("/>")
+        opens = tag & ~closes
+        words = F.transform(F.regexp_extract_all(p, F.lit(r"""^<\s*([^\s/>]+)|([\w:.-]+)(?=\s*=)|=\s*["']([^"']*)["']"""), F.lit(0)), letters)
+        area = opens & F.exists(words, lambda w: w == "CUSTOMAREA")
+        is_text = p.rlike(r"^</?(?:[\w.-]+:)?text[\s/>]")
+        depth = s["depth"] + F.when(opens & ~single, 1).when(closes, -1).otherwise(0)
+        begins, ends = opens & ~single & is_text & (s["node"] < 0), closes & (depth == s["node"])
+        body = F.when(data, F.substring(p, F.lit(10), F.length(p) - 12)).when(tag | p.startswith("<"), "").otherwise(unescape(p))
+        return F.struct(
+            depth.alias("depth"),
+            F.when(area & ~single & (s["area"] < 0), s["depth"]).when(closes & (depth <= s["area"]), -1).otherwise(s["area"]).alias("area"),
+            F.when(begins, s["depth"]).when(ends, -1).otherwise(s["node"]).alias("node"),
+            F.when(begins, "").when(s["node"] >= 0, F.concat(s["now"], body)).otherwise(s["now"]).alias("now"),
+            F.when(ends, F.concat(s["out"], F.array(F.struct(s["now"].alias("text"), (s["area"] >= 0).alias("marked"))))).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.when(xml.rlike("<[A-Za-z]"), F.aggregate(parts, start, step, lambda s: s["out"]))

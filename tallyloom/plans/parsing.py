@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import parse as A
 from tallyloom.operators import profiles as D
+from tallyloom.operators import reading as G
 from tallyloom.operators import readings as R
 from tallyloom.operators import tasks as K
 from tallyloom.plans.registry import query
@@ -138,3 +139,41 @@ def business_fingerprints(spark, sf_dir):
     text = lambda q: F.concat(F.lit('{"x":1,"n":"'), "p_name", F.lit('","q":'), q, F.lit("}"))
     items = F.array(text(F.concat(F.lit('"'), "p_size", F.lit('"'))), text(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise('"a"')))
     return load(spark, sf_dir, "part").select("p_partkey", D.business_fingerprint(F.lit("CN-PACKAGE-ITEMS"), F.lit(" CaiNiao"), items, ["q", "n", "absent"]).alias("fingerprint"))
+
+
+# ---- samples ----
+
+SAMPLES_SQL = "e AS (SELECT event_id, user_id, event_id % 3 AS kind, event_type AS t FROM events), s AS (SELECT event_id, 0 AS pos, CASE kind WHEN 1 THEN 'fallback' ELSE 'read' END AS state, CASE kind WHEN 1 THEN [{'path': 'product', 'text': '红鞋 ' || t}] WHEN 0 THEN [{'path': 'task.documents[0].data.product', 'text': '红鞋,' || t}, {'path': 'task.documents[0].printXML.text[0]', 'text': '第一' || t}, {'path': 'task.documents[0].printXML.text[1]', 'text': '第二'}] ELSE [] END AS texts FROM e UNION ALL SELECT event_id, 1, 'read', [] FROM e WHERE kind = 0)"
+
+
+def samples(spark, sf_dir):
+    kind, t = F.col("event_id") % 3, F.col("event_type")
+    doc = F.concat(F.lit('{"task":{"documents":[{"data":{"product":"红鞋,'), t, F.lit('"},"printXML":"<a><text><![CDATA[第一'), t, F.lit(']]></text><text>第二</text></a>"},{"rowid":"7"}]}}'))
+    payload = F.when(kind == 0, doc).when(kind == 1, F.concat(F.lit('{"product":"红鞋 '), t, F.lit('"}'))).otherwise("no JSON")
+    rows = load(spark, sf_dir, "events").select("event_id", payload.alias("payload"), F.when(F.col("user_id") % 2 == 0, " memo").otherwise("").alias("memo"))
+    return G.reading_samples(rows, "event_id", "payload", ["memo"])
+
+
+@query(f"WITH {SAMPLES_SQL} SELECT event_id, CAST(pos AS INT) AS document_pos, CAST(len(texts) + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_texts, CASE WHEN len(texts) = 0 AND user_id % 2 <> 0 THEN 'empty' WHEN kind = 2 THEN 'fallback' ELSE state END AS state FROM s JOIN e USING (event_id)")
+def reading_samples(spark, sf_dir):
+    return samples(spark, sf_dir).select("event_id", F.col("document_pos").cast("int").alias("document_pos"), F.size("texts").cast("bigint").alias("n_texts"), "state")
+
+
+@query(f"WITH {SAMPLES_SQL}, x AS (SELECT event_id, pos, unnest(texts) AS x FROM s UNION ALL SELECT s.event_id, pos, {{'path': 'record.memo', 'text': 'memo'}} FROM s JOIN e USING (event_id) WHERE user_id % 2 = 0) SELECT event_id, CAST(pos + 1 AS BIGINT) AS sample_number, x.path AS source_path, x.text AS line, CAST(0 AS BIGINT) AS start, CAST(length(x.text) AS BIGINT) AS end, replace(x.text, ',', '|') AS segments FROM x")
+def sample_blocks(spark, sf_dir):
+    return G.sample_blocks(samples(spark, sf_dir), "event_id").select("event_id", "sample_number", "source_path", "line", "start", "end", F.array_join("segments", "|").alias("segments"))
+
+
+AREAS = [
+    ('<page><layout id="CUSTOM_AREA"><text>a<b>b</b></text></layout><text>c</text></page>', "ab+|c-"),
+    ("<x><text>1</text></x><custom-area><y><text><![CDATA[<2>]]></text></y></custom-area><text>3 &amp; 4</text>", "1-|<2>+|3 & 4-"),
+    ("<r><!-- <text>no</text> --><ns:text k='v'>5</ns:text><text/></r>", "5-"),
+    ("plain", None),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_values(AREAS)}) v(xml, texts)")
+def xml_area_texts(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x, _ in AREAS], "xml string")
+    shown = F.transform(G.area_texts(F.col("xml")), lambda t: F.concat(t["text"], F.when(t["marked"], "+").otherwise("-")))
+    return rows.select("xml", F.array_join(shown, "|").alias("texts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import drafts as T
 from tallyloom.operators import parse as A
 from tallyloom.operators import profiles as D
 from tallyloom.operators import reading as G
@@ -177,3 +178,53 @@ def xml_area_texts(spark, sf_dir):
     rows = spark.createDataFrame([(x,) for x, _ in AREAS], "xml string")
     shown = F.transform(G.area_texts(F.col("xml")), lambda t: F.concat(t["text"], F.when(t["marked"], "+").otherwise("-")))
     return rows.select("xml", F.array_join(shown, "|").alias("texts"))
+
+
+# ---- drafts ----
+
+DRAFT_SQL = "d AS (SELECT p_partkey, p_size % 4 AS kind, p_name AS n, p_size AS q FROM part)"
+
+
+@query(f"WITH {DRAFT_SQL} SELECT p_partkey, CAST(1 AS INT) AS row_index, CASE kind WHEN 0 THEN n WHEN 1 THEN n || 'a' ELSE '' END AS product, CASE kind WHEN 0 THEN CAST(2 AS BIGINT) WHEN 1 THEN CAST(1 AS BIGINT) END AS quantity, CASE WHEN kind < 2 THEN 'draft' ELSE 'needs_review' END AS status, CASE kind WHEN 2 THEN 'no_readable_waybill_text' WHEN 3 THEN 'no_product_text' ELSE '' END AS review_reason FROM d UNION ALL SELECT p_partkey, 2, n || 'b', 1, 'draft', '' FROM d WHERE kind = 1")
+def draft_rows(spark, sf_dir):
+    kind = F.col("p_size") % 4
+    two = F.concat(F.col("p_name"), F.lit(" *2\n颜色: 红 尺码: 40"))
+    four = F.concat(F.col("p_name"), F.lit("a\n"), F.col("p_name"), F.lit("b\n颜色:黑\n颜色:白"))
+    parents = load(spark, sf_dir, "part").select("p_partkey", F.when(kind == 0, two).when(kind == 1, four).when(kind == 2, " ").otherwise("auto").alias("text"))
+    return T.draft_rows(parents, "p_partkey", "text").select("p_partkey", F.col("row_index").cast("int").alias("row_index"), "product", "quantity", "status", "review_reason")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'a.productInfo' WHEN p_size % 3 = 1 THEN 'x.printXML.text[0]' ELSE 'other' END AS path, CASE WHEN p_size % 3 = 2 THEN CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS n FROM part")
+def preferred_texts(spark, sf_dir):
+    third = F.col("p_size") % 3
+    paths = F.when(third == 0, F.array(F.lit("x.printXML.text[0]"), F.lit("a.productInfo"), F.lit("a.productInfo"))).when(third == 1, F.array(F.lit("other"), F.lit("x.printXML.text[0]"), F.lit("x.printXML.text[0]"), F.lit("x.printXML.text[1]"))).otherwise(F.array(F.lit("other")))
+    blocks = load(spark, sf_dir, "part").select("p_partkey", F.posexplode(paths).alias("place", "path"))
+    return T.preferred_texts(blocks, ["p_partkey"], "path", ["place"]).groupBy("p_partkey", "path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(i AS INT) AS document, 'source_history_ambiguous' AS reason, 0 AS child_count FROM orders, LATERAL (SELECT unnest(range(1, greatest(o_orderkey % 3, 1) + 1)) AS i) WHERE o_orderstatus = 'P'")
+def quarantined_parents(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "source_history_ambiguous").otherwise(" ").alias("warning"), (F.col("o_orderkey") % 3).alias("n"))
+    return T.quarantined(rows, "o_orderkey", "warning", "n").withColumn("document", F.col("document").cast("int"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || '/short/' || p_size || '|' || p_brand || '//3' ELSE p_name || '/short/' || p_size || '|' || p_brand || '//-' END AS items, CASE WHEN p_size % 2 = 0 THEN CAST(p_size + 3 AS BIGINT) WHEN p_size % 3 = 0 THEN CAST(7 AS BIGINT) END AS total FROM part")
+def zipped_items(spark, sf_dir):
+    even = F.col("p_size") % 2 == 0
+    counts = F.concat(F.col("p_size").cast("string"), F.when(even, F.lit("\n3件")).otherwise("\nmany"))
+    items = T.zipped_items(F.concat("p_name", F.lit("\n"), "p_brand"), F.lit("short"), counts)
+    rows = load(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", items.alias("items"), F.when(~even & (F.col("p_size") % 3 == 0), "共7件").otherwise("").alias("stated"))
+    shown = F.array_join(F.transform("items", lambda i: F.concat_ws("/", i["product"], i["short"], F.coalesce(i["quantity"].cast("string"), F.lit("-")))), "|")
+    return rows.select("p_partkey", shown.alias("items"), T.total_quantity(F.col("stated"), F.col("items")).alias("total"))
+
+
+@query("SELECT p_partkey, left(sha1('{\"brand\":' || (p_size % 2 = 0) || ',\"name\":true}'), 12) AS structure FROM part")
+def structure_keys(spark, sf_dir):
+    brand = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
+    return load(spark, sf_dir, "part").select("p_partkey", T.structure_key({"name": F.col("p_name"), "brand": brand}).alias("structure"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS product FROM part")
+def content_texts(spark, sf_dir):
+    values = F.create_map(F.lit("short"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" "), F.lit("full"), F.col("p_name"))
+    return load(spark, sf_dir, "part").select("p_partkey", T.first_of_keys(values, ["missing", "short", "full"]).alias("product"))

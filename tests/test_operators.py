@@ -230,3 +230,13 @@ def test_values_at_path(spark):
     df = spark.createDataFrame([(1, '{"task": {"documents": [{"a": {"x": "1"}}, {"a": {"x": null}}, {"b": 2}]}}'), (2, "{}"), (3, None)], "i int, p string")
     got = V.values_at_path(df, "p", "task.documents[].a.x").orderBy("value_path").collect()
     assert [(r.i, r.value_path, r.value) for r in got] == [(1, "task.documents[0].a.x", "1"), (1, "task.documents[1].a.x", None)]
+
+
+def test_rule_packs_are_judged_before_use():
+    from tallyloom.operators import drafts
+
+    good = {"strategy": "structured_items_v1", "fingerprint": "f", "items_path": "a[]", "fields": {"product": "n"}}
+    pack = {"code": "c", "name": "n", "version": "1", "parser_policy": {"format_profiles": [good, good, {"strategy": "other"}, 7], "colour": {}}}
+    errors, warnings = drafts.pack_findings(pack)
+    assert errors == ["parser_policy.format_profiles[2].strategy", "parser_policy.format_profiles[3].profile"]
+    assert len(warnings) == 2 and drafts.pack_findings({}) == (["code", "name", "version", "parser_policy"], [])

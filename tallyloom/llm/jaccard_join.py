@@ -215,7 +215,8 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(groups.join(sizes, "root").select("node", F.col("root").alias("gid"), "blocks", "rep", "n", F.col("digest").alias("want")), f"{top}/members")
 
     # each class goes to the block pairs of its group that it has a part in
-    texts = rows.select("id", "text").join(members, F.col("id") == F.col("rep"))
+    # (the filter, which all pass, is what lets Spark put a Bloom filter of the members on the texts; the hint deals texts alike at any size)
+    texts = rows.select("id", "text").join(members.where("blocks > 0").hint("merge"), F.col("id") == F.col("rep"))
     full = map_texts(texts, "text", ["node", "gid", "blocks", "n", "want"], SETS, lambda: _sets, CALL_BYTES).where("digest = want")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,15 +248,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without those that have a similar one with a smaller id (the smaller text hash, if the ids are equal); of rows that
     repeat id and text one stays. Rows without id stay. All columns stay, whatever their names."""
-    spark = docs.sparkSession
-    sha = F.sha2(col(text_col).cast("string"), 256)
+    sha = F.coalesce(F.sha2(col(text_col).cast("string"), 256), F.lit(""))
     found = classified(docs, id_col, text_col, threshold, extra={"sha": sha}).where("id is not null")
     pairs = written(found.groupBy("id", "sha").agg(F.first("root").alias("root"), F.count("*").alias("times")))
-    best = pairs.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "sha")).alias("best"))
-    judged = pairs.join(best, "root", "left").select("id", "sha", "times", (F.col("best").isNull() | (F.col("best") == F.struct("id", "sha"))).alias("stays"))
-    judged = written(judged.where("not stays or times > 1"))
-    same = [col(id_col) == F.col("__id"), sha.eqNullSafe(F.col("__sha"))]
-    key = judged.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), "stays")
-    alone = docs.join(key.drop("stays"), same, "left_anti")
-    repeated = docs.withColumn("__key", F.struct(col(id_col), sha)).join(key.where("stays").drop("stays"), same).dropDuplicates(["__key"])
-    return alone.unionByName(repeated.select(*[col(c) for c in docs.columns]))
+    best = pairs.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "sha")).alias("b")).select("b.id", "b.sha", F.lit(True).alias("best"))
+    judged = pairs.join(best, ["id", "sha"], "left").select("id", "sha", "times", (F.col("root").isNull() | F.coalesce("best", F.lit(False))).alias("stays"))
+    judged = written(judged.where("not stays or times > 1").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), "stays").withColumnRenamed("stays", "__stays"))
+    # the texts are dealt by id and hash once, at any size, and rows that repeat both meet there too
+    rows = docs.withColumns({"__own": col(id_col), "__hash": sha})
+    both = rows.join(judged.hint("merge"), (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__sha")), "left")
+    both = both.withColumn("__n", F.row_number().over(Window.partitionBy("__own", "__hash").orderBy(F.lit(1))))
+    kept = both.where(F.col("__own").isNull() | (F.coalesce("__stays", F.lit(True)) & (F.col("__n") == 1)))
+    return kept.select(*[col(c) for c in docs.columns])

@@ -101,4 +101,32 @@ s AS (SELECT doc_id, CAST(sum(least(coalesce(step, 200), 200)) AS BIGINT) AS n_r
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN s USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_warc": OP3, "op4_jaccard_join": OP4, "op6_decontaminate": OP6, "op9_quality": OP9, "language_model_base": LANGUAGE_MODEL_BASE, "license_base": LICENSE_BASE, "secret_counts": SECRET_COUNTS, "repeat_counts": REPEAT_COUNTS}
+#: The checksum's table, by its rule.
+_CRC_TABLE = []
+for _b in range(256):
+    for _ in range(8):
+        _b = _b >> 1 ^ (3988292384 if _b & 1 else 0)
+    _CRC_TABLE.append(_b)
+#: CRC-32 of the UTF-8 bytes of s, of code points up to U+07FF.
+_CRC_TEXT = f"""xor(CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(s, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)] ELSE [CAST(192 + (ord(ch) >> 6) AS BIGINT), CAST(128 + (ord(ch) & 63) AS BIGINT)] END))),
+  lambda c, b: xor(list_extract(CAST({_CRC_TABLE} AS BIGINT[]), 1 + (xor(c, b) & 255)), c >> 8)) AS BIGINT), CAST(4294967295 AS BIGINT))"""
+
+OP11 = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT concat(doc_id, ':', run) AS s, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_CRC_TEXT} AS h FROM counted),
+slipped AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS hole FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v)),
+near AS (SELECT DISTINCT word, n, other, other_n FROM (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.hole = b.hole AND a.word <> b.word
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+  UNION ALL SELECT b.word, b.n, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word)),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word, n),
+f AS (SELECT word, n, n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM best),
+way AS (SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL),
+r AS (SELECT word, last(root ORDER BY step) AS root FROM way GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN f ON f.word = v.word LEFT JOIN r ON r.word = v.word
+"""
+
+ORACLE_SQL = {"op3_warc": OP3, "op4_jaccard_join": OP4, "op6_decontaminate": OP6, "op9_quality": OP9, "language_model_base": LANGUAGE_MODEL_BASE, "license_base": LICENSE_BASE, "secret_counts": SECRET_COUNTS, "repeat_counts": REPEAT_COUNTS, "op11_spelling": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, pieces, quality, repeats, secrets, toxicity, warc
+from tallyloom.llm import decontaminate, hmm, jaccard_join, licenses, pieces, quality, repeats, secrets, spelling, toxicity, warc
 from tallyloom.llm.common import table, work_dir
 from tallyloom.llm.oracles import ORACLE_SQL
 
@@ -57,6 +57,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 # What the queries above return and SQL can express, as queries of their own.
 
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
     "repeat_counts": repeat_counts,
     "language_model_base": language_model_base,
     "license_base": license_base,

@@ -52,6 +52,21 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, id_col: str = "id", path: str | None = None) -> DataFrame:
+    """df as a written table with a number from 1 on for each row: its place in its file, after the rows of the files before.
+
+    What goes to the driver and back is a row for each written file."""
+    spark, path = df.sparkSession, path or work_dir(df.sparkSession)
+    written(df, path)
+    rows = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    before, offsets = 1, []
+    for r in rows.groupBy("__file").count().orderBy("__file").collect():
+        offsets.append((r["__file"], before))
+        before += r["count"]
+    firsts = spark.createDataFrame(offsets, "__file string, __first long")
+    return rows.join(F.broadcast(firsts), "__file").withColumn(id_col, F.col("__first") + F.col("__row")).drop("__file", "__row", "__first")
+
+
 def remove(spark: SparkSession, top: str, *tables: str) -> None:
     """Deletes work tables that nothing reads any more, through the file system that Spark uses for them."""
     for t in tables:

@@ -129,4 +129,20 @@ r AS (SELECT word, last(root ORDER BY step) AS root FROM way GROUP BY word)
 SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN f ON f.word = v.word LEFT JOIN r ON r.word = v.word
 """
 
-ORACLE_SQL = {"op3_warc": OP3, "op4_jaccard_join": OP4, "op6_decontaminate": OP6, "op9_quality": OP9, "language_model_base": LANGUAGE_MODEL_BASE, "license_base": LICENSE_BASE, "secret_counts": SECRET_COUNTS, "repeat_counts": REPEAT_COUNTS, "op11_spelling": OP11}
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS x FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY lang, x HAVING count(*) >= 30),
+cand AS (SELECT lang, x, c AS a FROM g WHERE len(x) > 1),
+cuts AS (SELECT lang, x, a, k, x[1:k] AS x1, x[k + 1:] AS x2 FROM (SELECT *, unnest(range(1, len(x))) AS k FROM cand)),
+s AS (SELECT cuts.lang, cuts.x, a, k, f1.c AS l, f2.c AS r, CAST((2000000::HUGEINT * a) // (f1.c::HUGEINT + f2.c) AS BIGINT) AS score
+      FROM cuts JOIN g f1 ON f1.lang = cuts.lang AND f1.x = cuts.x1 JOIN g f2 ON f2.lang = cuts.lang AND f2.x = cuts.x2),
+best AS (SELECT lang, x, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+inner_x AS (SELECT lang, x[i:i + m - 1] AS x, max(a) AS most FROM (SELECT lang, x, a, m, unnest(range(1, len(x) - m + 2)) AS i FROM (SELECT lang, x, a, unnest(range(2, len(x))) AS m FROM cand)) GROUP BY ALL),
+kept AS (SELECT best.lang, array_to_string(best.x, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN inner_x i ON i.lang = best.lang AND i.x = best.x WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op3_warc": OP3, "op4_jaccard_join": OP4, "op6_decontaminate": OP6, "op9_quality": OP9, "language_model_base": LANGUAGE_MODEL_BASE, "license_base": LICENSE_BASE, "secret_counts": SECRET_COUNTS, "repeat_counts": REPEAT_COUNTS, "op11_spelling": OP11, "op12_collocations": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hmm, jaccard_join, language, licenses, pieces, quality, repeats, secrets, spelling, toxicity, warc
+from tallyloom.llm import collocations, decontaminate, hmm, jaccard_join, language, licenses, pieces, quality, repeats, secrets, spelling, toxicity, warc
 from tallyloom.llm.common import table, work_dir
 from tallyloom.llm.oracles import ORACLE_SQL
 
@@ -61,6 +61,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.learn(docs), keep=["doc_id"])
@@ -98,6 +102,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
     "op11_spelling": op11_spelling,
+    "op12_collocations": op12_collocations,
     "op13_language": op13_language,
     "repeat_counts": repeat_counts,
     "language_model_base": language_model_base,

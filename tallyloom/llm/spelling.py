@@ -5,7 +5,8 @@ dynamic programming, are its pivots. One edit spoils at most one of two disjoint
 far from the start (edit behind it) or from the end (edit before it). It is among the other word's first bigrams, up to the rank of
 its third: one edit adds two bigrams at most, so the first five occurrences in order of (rank, position) always hold it. What lies
 on the pivot's clean side, and the first or second half of what lies on the edited side, is equal as well, so that all of it goes
-into the join key, and words that share a frequent beginning do not meet. Pairs are verified on the words themselves.
+into the join key, and words that share a frequent beginning do not meet. Words that meet are compared by the parities of their
+letter and bigram counts, of which one edit turns two and four at most, and pairs are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LOWER_BYTES, col, mixed, prefix_hashes, remove, slices, span_hashes, work_dir, written
+from tallyloom.llm.common import LOWER_BYTES, col, mixed, numbered, prefix_hashes, remove, slices, span_hashes, work_dir, written
 
 #: Words have so many code points and occurrences at least.
 SHORTEST, LEAST = 5, 3
@@ -142,16 +143,17 @@ def ordered(batch: list[str], counts: np.ndarray):
 
 
 def keys(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, of: np.ndarray, at: np.ndarray, differences: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a bigram at `at` in word `of`, as those of a pivot in a word that is longer by each of `differences`: (key, row of `of`).
+    """Keys of a bigram at `at` in word `of`, as those of the same bigram in a word that is longer by each of `differences`: (key, row of `of`).
 
-    Four for each: edit behind or before the bigram, and the half of that side, of the pivot's word, that the edit left alone."""
+    Four for each: edit behind or before the bigram, and the half of that side, as the other word has it, that the edit left alone.
+    There are fewer pivots than other first bigrams, so that the pivots have keys for all three lengths and the others for their own."""
     prefix = prefix_hashes(letters)
     begin, size = starts[of], sizes[of]
     found, row = [], []
     for d in differences:
         m = size + d
         for side in range(2):
-            # the pivot's place in its word, and the length of the side with the edit: behind it or before it
+            # the bigram's place in the other word, and the length of the side with the edit: behind it or before it
             p = at if side == 0 else at + d
             side_size = m - p - 2 if side == 0 else p
             half = side_size // 2
@@ -170,6 +172,21 @@ def keys(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, of: np.ndar
     return np.concatenate(found), np.concatenate(row)
 
 
+def parities(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits of each word: which of 32 classes of letters, and of 32 classes of bigrams, it has an odd number of."""
+    of, _, code = bigrams(letters, starts, sizes)
+    one = np.uint64(1)
+    own = np.bitwise_xor.reduceat(one << (letters.astype(np.uint64) % np.uint64(32)), starts)
+    pairs = np.bitwise_xor.reduceat(one << (np.uint64(32) + mixed(code.astype(np.uint64)) % np.uint64(32)), np.searchsorted(of, np.arange(len(sizes))))
+    return own ^ pairs
+
+
+def _alike(a: str, b: str):
+    """Whether two words' parities differ as one edit lets them: in two letters and four bigrams at most."""
+    turned = F.col(a).bitwiseXOR(F.col(b))
+    return (F.bit_count(turned.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2) & (F.bit_count(F.shiftrightunsigned(turned, 32)) <= 4)
+
+
 def _keyed(counts: np.ndarray, pivots: bool):
     def run(batches):
         for batch in batches:
@@ -181,9 +198,9 @@ def _keyed(counts: np.ndarray, pivots: bool):
                 letters, starts, sizes, of, at, last, two = ordered(texts[lo:hi], counts)
                 if pivots:
                     of, at = np.tile(np.arange(len(sizes)), 2), np.concatenate(two)
-                key, row = keys(letters, starts, sizes, of, at, (0,) if pivots else (-1, 0, 1))
-                word = of[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo:hi][word]), pa.array(last[word])], ["key", "id", "last"])
+                key, row = keys(letters, starts, sizes, of, at, (-1, 0, 1) if pivots else (0,))
+                word, parity = of[row], parities(letters, starts, sizes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo:hi][word]), pa.array(last[word]), pa.array(parity[word])], ["key", "id", "last", "parity"])
 
     return run
 
@@ -192,15 +209,13 @@ def _keyed(counts: np.ndarray, pivots: bool):
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
-    """(word, n, other, other_n) for the words of vocabulary (word, n) that are one edit apart, each pair both ways."""
+    """(word, n, other, other_n) for the words of vocabulary (id, word, n) that are one edit apart, each pair both ways."""
     counts = gram_counts(vocabulary)
-    named = vocabulary.select("word", "n", F.xxhash64("word").alias("id"))
-    schema = "key long, id long, last long"
-    pivots, grams = (named.select("word", "id").mapInArrow(_keyed(counts, p), schema).alias(a) for p, a in ((True, "p"), (False, "g")))
-    met = pivots.join(grams, (F.col("p.key") == F.col("g.key")) & (F.col("p.last") <= F.col("g.last")) & (F.col("p.id") != F.col("g.id")))
+    schema = "key long, id long, last long, parity long"
+    pivots, grams = (vocabulary.select("word", "id").mapInArrow(_keyed(counts, p), schema).alias(a) for p, a in ((True, "p"), (False, "g")))
+    met = pivots.join(grams, (F.col("p.key") == F.col("g.key")) & (F.col("p.last") <= F.col("g.last")) & (F.col("p.id") != F.col("g.id")) & _alike("p.parity", "g.parity"))
     pairs = met.select(F.least("p.id", "g.id").alias("a"), F.greatest("p.id", "g.id").alias("b")).distinct()
-    # ids are hashes: where two words share one, both are verified
-    one, two = (named.select(F.col("id").alias(x), F.struct("word", "n").alias(f"w{x}")) for x in "ab")
+    one, two = (vocabulary.select(F.col("id").alias(x), F.struct("word", "n").alias(f"w{x}")) for x in "ab")
     near = pairs.join(one, "a").join(two, "b").where(F.levenshtein("wa.word", "wb.word", 1) == 1)
     both = F.explode(F.array(F.struct(F.col("wa").alias("x"), F.col("wb").alias("y")), F.struct(F.col("wb").alias("x"), F.col("wa").alias("y"))))
     return near.select(both.alias("s")).select("s.x.word", "s.x.n", F.col("s.y.word").alias("other"), F.col("s.y.n").alias("other_n"))
@@ -234,8 +249,8 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     Null and empty texts have no words, a null id stands as an empty one, repeated rows count again, other columns are not read. A
     text of one letter run of any length is one run. An empty table gives no rows. Of near words of equal n the smallest is the form."""
     top = work_dir(df.sparkSession)
-    vocabulary = written(words(df, id_col, text_col), f"{top}/words")
+    vocabulary = numbered(words(df, id_col, text_col), "id", f"{top}/words")
     found = written(forms(vocabulary), f"{top}/forms")
     followed = roots(found.where("form is not null").select("word", "form"))
-    got = vocabulary.join(found.drop("n"), "word", "left").join(followed, "word", "left")
+    got = vocabulary.drop("id").join(found.drop("n"), "word", "left").join(followed, "word", "left")
     return got.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import compact, nonempty, once, plain, quantity_from_text, strip_logistics_tail, text_value
-from tallyloom.operators import readings as R
-from tallyloom.operators.parse import parse_items, split_items
+from tallyloom.functions.text import compact, nonempty, plain, quantity_from_text, text_value
+from tallyloom.operators.parse import item_texts, parse_items
 
 # Sources of item texts by priority, and reasons of parents without rows.
 SOURCES = ("productShortInfo", "productInfo", "ITEM_INFO", "customContent", "printXML")
 NO_PRODUCT, NO_TEXT = "no_product_text", "no_readable_waybill_text"
 
 
+def lines_of(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text_value(text), r"[\r\n]+"), compact), lambda t: t != "")
+
+
 def first_of_keys(values: Column, keys: list[str]) -> Column:
     """The first text that isn't blank of a map's keys, in the keys' order; else empty."""
     return F.coalesce(*[nonempty(plain(F.element_at(values, k))) for k in keys], F.lit(""))
@@ -31,21 +34,10 @@ def preferred_texts(blocks: DataFrame, key: list[str], path: str, order: list[st
     return blocks.join(best, [*key, path], "left_semi")
 
 
-def item_texts(text: Column, fallback: Column) -> Column:
-    """The items of a product text: the whole of it where two lines, or a titled line with attribute and size, are read as one; else pairs
-    of product and label lines; else its lines."""
-    whole = strip_logistics_tail(text)
-    lines = R.lines_of(whole)
-    head = compact(whole)
-    one = R.two_lines(lines, fallback).isNotNull() | ((F.size(lines) == 1) & R.suffixed(head, quantity_from_text(head, fallback)).isNotNull())
-    pairs = R.paired_lines(whole)
-    return F.when(one, F.array(whole)).when(F.size(pairs) > 0, pairs).otherwise(split_items(whole))
-
-
 def draft_rows(parents: DataFrame, key: str, text: str, quantity: str | None = None, remark: str | None = None, **options) -> DataFrame:
     """Rows of parse_items() for every item of each parent, numbered from 1; a parent without items has one row that needs review."""
     fallback = F.col(quantity) if quantity else F.lit("")
-    items = once(parents, "__items", item_texts(F.col(text), fallback))
+    items = parents.withColumn("__items", item_texts(F.col(text), fallback))
     each = items.select("*", F.posexplode_outer("__items").alias("__pos", "__item")).drop("__items")
     read = parse_items(each, "__item", F.when(F.col("__pos").isNotNull(), fallback).otherwise(""), F.col(remark) if remark else None, **options)
     none = F.col("__pos").isNull()
@@ -63,7 +55,7 @@ def quarantined(records: DataFrame, key: str, warning: str, n_documents: str) ->
 
 def zipped_items(products: Column, shorts: Column, counts: Column) -> Column:
     """struct(product, short, quantity) of lines with the same place; missing lines are empty, and only lines with a product or short count."""
-    both = F.arrays_zip(R.lines_of(products).alias("p"), R.lines_of(shorts).alias("s"), R.lines_of(counts).alias("c"))
+    both = F.arrays_zip(lines_of(products).alias("p"), lines_of(shorts).alias("s"), lines_of(counts).alias("c"))
     each = F.transform(both, lambda z: F.struct(F.coalesce(z["p"], F.lit("")).alias("product"), F.coalesce(z["s"], F.lit("")).alias("short"), quantity_from_text(F.coalesce(z["c"], F.lit("")), F.coalesce(z["p"], F.lit(""))).alias("quantity")))
     return F.filter(each, lambda i: (i["product"] != "") | (i["short"] != ""))
 

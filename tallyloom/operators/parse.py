@@ -1,18 +1,21 @@
-"""The order text parser: an ordered chain of readings of one item text, as column expressions."""
+"""The order text parser as columns: items of texts, and the row of each item by an ordered chain of readings.
+
+Every column here is one Arrow function, so that the chain takes no room in the plan, and equal texts of a batch are read once.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import FIELD_LABEL, compact, let, nonempty, normalize_size, once, plain, quantity_from_text, remove_field_label, strip_logistics_tail, strip_trailing_quantity, text_value
+from tallyloom.functions.arrow import per_text
+from tallyloom.functions.text import FIELD_LABEL, compact, nonempty
+from tallyloom.operators import readings as R
 
-ATTR1 = r"(?:颜色分类|颜色|规格|款式)"
-ATTR2 = r"(?:鞋码|尺码)"
-ANY_LABEL = r"(?:颜色分类|颜色|鞋码|尺码|规格|款式)\s*[:：]"
-#: Commas that no bracket closes over.
-OUTER_COMMA = r"[，,](?![^(\[{（【]*[)\]}）】])"
-SEPARATORS = " ，,;；"
+ROW = "product string, sales_attr1 string, sales_attr2 string, quantity bigint, remark string, status string, review_reason string, image_match_text string, original_text string"
+ITEMS = "array<string>"
+#: A text's items and what set them apart.
+BOUNDED = "items array<string>, boundary string"
 
 
 def special_reason(text: Column, keywords: list[tuple[str, str]]) -> Column:
@@ -21,134 +24,44 @@ def special_reason(text: Column, keywords: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(t.contains(k), r or "special_waybill") for k, r in keywords], F.lit(None).cast("string"))
 
 
-def labelled(text: Column) -> Column:
-    """struct(sales_attr1, sales_attr2) of a text with field labels, the first of each kind; null without either."""
-
-    def value(t, label):
-        return F.btrim(compact(F.regexp_extract(t, rf"(?U){label}\s*[:：]\s*(.*?)\s*(?:{ANY_LABEL}|$)", 1)), F.lit(SEPARATORS))
-
-    def one(v: Column) -> Column:
-        size = F.when(v["b"] == "", "").otherwise(normalize_size(v["b"]))
-        return F.when((v["a"] != "") | (v["b"] != ""), F.struct(remove_field_label(v["a"]).alias("sales_attr1"), size.alias("sales_attr2")))
-
-    return let(text, lambda t: let(F.struct(value(t, ATTR1).alias("a"), value(t, ATTR2).alias("b")), one))
-
-
-def attr_tail(text: Column, titled: bool) -> Column:
-    """struct(sales_attr1, sales_attr2) of the text after a title: at the last slash, before a bracket at the end, else at the last space."""
-
-    def first(v: Column) -> Column:
-        clean = plain(F.regexp_replace(compact(v), r"(?U)[，,、;；:\s]+$", ""))
-        if titled:
-            return plain(F.regexp_replace(clean, r"[/／\\]+$", ""))
-
-        def last_word(w: Column) -> Column:
-            tail, head = F.regexp_extract(w, r"^(.*) (\S+)$", 2), F.regexp_extract(w, r"^(.*) (\S+)$", 1)
-            return F.when((tail != "") & (F.length(F.replace(head, F.lit(" "), F.lit(""))) >= 12), tail).otherwise(w)
-
-        left = lambda c: F.coalesce(nonempty(plain(F.get(F.split(c, r"[/／\\]", 2), F.lit(0)))), c)
-        return let(let(clean, left), last_word)
-
-    slash, bracket, space = r"^(.*)[/／\\]([^/／\\]*)$", r"^(.+) (\S+\s*[(（][^(（]*[)）])$", r"^(.*) (\S+)$"
-
-    def cut(t: Column) -> Column:
-        pattern = F.when(t.rlike(slash), F.lit(slash)).when(t.rlike(bracket), F.lit(bracket)).when(t.rlike(space), F.lit(space))
-        whole = F.struct(t.alias("a"), F.lit("").alias("b"))
-        return F.coalesce(*[F.when(pattern == p, F.struct(F.regexp_extract(t, p, 1).alias("a"), plain(F.regexp_extract(t, p, 2)).alias("b"))) for p in (slash, bracket, space)], whole)
-
-    return let(let(strip_trailing_quantity(text)["head"], cut), lambda p: F.struct(first(p["a"]).alias("sales_attr1"), p["b"].alias("sales_attr2")))
-
+def parse_items(rows: DataFrame, text: str, fallback_quantity: Column | None = None, remark: Column | None = None, keywords: list[tuple[str, str]] = (), policy: dict | None = None, default_quantity: int | None = None) -> DataFrame:
+    """rows with the fields of the item in column `text`, by the first reading that fits: special keyword, labels only, two lines, attribute
+    and size before or behind the product, bracket title, comma fields, semicolon size, tail.
 
-def _fields(parts: Column, ok: Column) -> Column:
-    return let(parts, lambda p: F.when(ok & (p["product"] != "") & (p["sales_attr1"] != "") & (p["sales_attr2"] != ""), p))
+    Remark lines at the end go to the remark first. A missing product or quantity makes the row needs_review, unless the policy says otherwise."""
+    if default_quantity is not None:
+        policy = {"quantity": {"default_if_missing": default_quantity}} | (policy or {})
+    keywords = list(keywords)
+    read = per_text(lambda t, f, n: R.read_item(t, f, n, keywords, policy), ROW)
+    empty = F.lit("")
+    got = rows.withColumn("__row", read(F.col(text), empty if fallback_quantity is None else fallback_quantity, empty if remark is None else remark))
+    return got.withColumns({f.split(" ")[0]: F.col(f"__row.{f.split(' ')[0]}") for f in ROW.split(", ")}).drop("__row")
 
 
-def delimited(text: Column) -> Column:
-    """struct of `product，attr1，attr2` by the commas outside brackets; null if the text has fewer, a title or a leading label."""
-    titled = text.contains("【") & text.contains("】")
+#: Columns of texts: their items; items with their boundary; N products and N label lines as N items; comma fields outside brackets.
+split_items = per_text(R.split_items, ITEMS)
+boundary_items = per_text(lambda t: dict(zip(("items", "boundary"), R.boundary_items(t), strict=True)), BOUNDED)
+item_texts = per_text(R.item_texts, ITEMS)
+paired_lines = per_text(R.paired_lines, ITEMS)
+comma_parts = per_text(lambda t: R.comma_parts(t or ""), ITEMS)
+normalized_product = per_text(lambda t: R.normalized_product(t or ""), "string")
 
-    def one(parts: Column) -> Column:
-        n = F.size(parts)
-        product = F.array_join(F.slice(parts, 1, F.greatest(n - 2, F.lit(1))), "，")
-        got = F.struct(product.alias("product"), remove_field_label(F.get(parts, n - 2)).alias("sales_attr1"), normalize_size(F.get(parts, n - 1)).alias("sales_attr2"))
-        return F.when((n >= 3) & ~F.get(parts, F.lit(0)).rlike(f"^{ANY_LABEL}"), _fields(got, ~titled))
 
-    return let(F.filter(F.transform(F.split(text, OUTER_COMMA, -1), compact), lambda p: p != ""), one)
+def _named(read, *names: str):
+    """A column of a reading as a struct; null where it doesn't fit."""
+    return per_text(lambda t: dict(zip(names, got, strict=True)) if (got := read(t or "")) else None, ", ".join(f"{n} string" for n in names))
 
 
-def semicolon(text: Column) -> Column:
-    """struct of `product attr1;size`; null otherwise."""
-    p = r"^(.+)\s+([^;；]+)[;；]\s*(\d+(?:\.\d+)?)$"
-    got = F.struct(compact(F.regexp_extract(text, p, 1)).alias("product"), remove_field_label(F.regexp_extract(text, p, 2)).alias("sales_attr1"), normalize_size(F.regexp_extract(text, p, 3)).alias("sales_attr2"))
-    return F.when(text.rlike(p), _fields(got, ~(text.contains("【") & text.contains("】"))))
+semicolon_size = _named(R.semicolon_size, "rest", "size")
+attr1_suffix = _named(R.attr1_suffix, "product", "sales_attr1")
+simple_attrs = _named(R.simple_attrs, "sales_attr1", "sales_attr2")
+labelled = _named(R.labelled, "sales_attr1", "sales_attr2")
 
 
-def parse_items(rows: DataFrame, text: str, fallback_quantity: Column | None = None, remark: Column | None = None, keywords: list[tuple[str, str]] = (), policy: dict | None = None, default_quantity: int | None = None) -> DataFrame:
-    """rows with the fields of the item in column `text`, by the first reading that fits: special keyword, labels only, two lines, attribute
-    and size before or behind the product, bracket title, comma fields, semicolon size, tail.
+def candidate_texts(lines: Column) -> Column:
+    """The lines (an array, of one sample) put together to items of one to three lines."""
+    joined = F.array_join(F.transform(lines, lambda t: F.regexp_replace(t, r"[\r\n]+", " ")), "\n")
+    return per_text(lambda t: R.candidate_texts((t or "").split("\n")), ITEMS)(joined)
 
-    Remark lines at the end go to the remark first. A missing product or quantity makes the row needs_review, unless the policy says otherwise."""
-    from tallyloom.operators import readings as R
 
-    if default_quantity is not None:
-        policy = {"quantity": {"default_if_missing": default_quantity}} | (policy or {})
-    fallback = fallback_quantity if fallback_quantity is not None else F.lit("")
-    note = compact(remark) if remark is not None else F.lit("")
-    empty = F.lit("")
-    # each step is computed once for a row, however often later ones use it
-    staged = once(rows, "__given", F.struct(strip_logistics_tail(F.col(text)).alias("text"), fallback.cast("string").alias("fallback"), note.alias("note")))
-    fallback = F.col("__given.fallback")
-    staged = once(staged, "__split", R.without_remarks(R.lines_of(F.col("__given.text")), fallback))
-    lines = F.col("__split.base")
-    base = F.when(F.size("__split.remarks") > 0, F.array_join(lines, "\n")).otherwise(F.col("__given.text"))
-    staged = once(staged, "__base", F.struct(compact(base).alias("text"), (F.size(lines) > 1).alias("many"), special_reason(compact(F.col("__given.text")), keywords).alias("special")))
-    whole, many, special = F.col("__base.text"), F.col("__base.many"), F.col("__base.special")
-    staged = once(staged, "__cut", let(strip_trailing_quantity(whole, order=True), lambda c: F.struct(c["head"].alias("head"), quantity_from_text(c["quantity"], fallback, whole).alias("quantity"))))
-    head, quantity = F.col("__cut.head"), F.col("__cut.quantity")
-
-    def only(v: Column) -> Column:
-        first = F.when((v["sales_attr1"] == "") & (v["sales_attr2"] != ""), R.label_prefix(head)).otherwise(v["sales_attr1"])
-        return F.when(v.isNotNull(), R.struct_of(empty, first, v["sales_attr2"], F.coalesce(quantity, F.lit(1))))
-
-    titled = F.regexp_extract(head, r"^【([^】]+)】(.*)$", 1)
-    by_title = let(attr_tail(compact(F.regexp_extract(head, r"^【([^】]+)】(.*)$", 2)), True), lambda a: R.struct_of(compact(titled), a["sales_attr1"], a["sales_attr2"], quantity))
-    by_fields = let(F.coalesce(delimited(head), semicolon(head)), lambda f: F.when(f.isNotNull(), R.struct_of(f["product"], f["sales_attr1"], f["sales_attr2"], quantity)))
-    by_tail = let(attr_tail(head, False), lambda a: R.struct_of(compact(head), a["sales_attr1"], a["sales_attr2"], quantity))
-    none = R.struct_of(empty, empty, empty, F.lit(None))
-    one_line = lambda reading: F.when(~many, reading(head, quantity))
-    labels = F.when(~many, let(labelled(head), only))
-    read = F.coalesce(labels, R.two_lines(lines, fallback), one_line(R.leading), one_line(R.trailing), one_line(R.suffixed), F.when(titled != "", by_title), by_fields, by_tail)
-    staged = once(staged, "__got", F.when(special.isNotNull(), none).otherwise(read))
-    remarks = F.array_join(F.filter(F.concat(F.array(F.col("__given.note")), F.col("__split.remarks")), lambda t: t != ""), "；")
-    label_only = (F.col("__got.product") == "") & special.isNull()
-    missing = F.array_join(F.array_compact(F.array(F.when((F.col("__got.product") == "") & ~(label_only & ((F.col("__got.sales_attr1") != "") | (F.col("__got.sales_attr2") != ""))), "product"), F.when(F.col("__got.quantity").isNull(), "quantity"))), ",")
-    fields = {
-        "product": F.col("__got.product"),
-        "sales_attr1": remove_field_label(F.col("__got.sales_attr1")),
-        "sales_attr2": normalize_size(F.col("__got.sales_attr2")),
-        "quantity": F.col("__got.quantity"),
-        "remark": F.when(special.isNull(), remarks).otherwise(""),
-    }
-    joined = compact(F.array_join(F.filter(F.array(fields["product"], fields["sales_attr1"], fields["sales_attr2"], F.coalesce(fields["quantity"].cast("string"), empty), fields["remark"]), lambda t: t != ""), " "))
-    fields |= {
-        "status": F.when(special.isNotNull(), "special").when(missing != "", "needs_review").otherwise("draft"),
-        "review_reason": F.coalesce(special, missing),
-        "image_match_text": F.when(special.isNotNull(), compact(F.col("__given.text"))).otherwise(joined),
-    }
-    original = F.when(F.size("__split.remarks") > 0, text_value(F.col(text))).otherwise(whole)
-    out = once(staged, "__row", F.struct(*[c.alias(n) for n, c in fields.items()], original.alias("original_text")))
-    names = [*fields, "original_text"]
-    row = {n: F.col(f"__row.{n}") for n in names}
-    if policy:
-        row |= {n: F.when(special.isNull(), c).otherwise(row[n]) for n, c in R.with_policy({n: row[n] for n in fields}, policy, whole, fallback).items()}
-    return out.withColumns(row).drop("__given", "__split", "__base", "__cut", "__got", "__row")
-
-
-def split_items(text: Column) -> Column:
-    """The item texts of a text: one for each line, cut at semicolons outside labels, without blank, `auto`, placeholder and bare quantity lines."""
-    parts = F.flatten(F.transform(F.split(text_value(text), r"[\r\n]+"), lambda t: F.split(t, r"[;；]+(?!\s*\d)")))
-    clean = F.filter(F.transform(parts, compact), lambda p: p != "")
-    return F.filter(clean, lambda p: ~F.lower(p).isin("auto") & ~p.rlike(r"^[xXｘＸ]{3,}(?:\s*[*×]\s*\d+)?$") & ~p.rlike(r"^(?:[*×xX]\s*)?\d+\s*(?:件|双|雙|个|個)?$"))
-
-
-__all__ = ["FIELD_LABEL", "attr_tail", "delimited", "labelled", "nonempty", "parse_items", "semicolon", "special_reason", "split_items"]
+__all__ = ["FIELD_LABEL", "boundary_items", "candidate_texts", "item_texts", "labelled", "nonempty", "paired_lines", "parse_items", "special_reason", "split_items"]

@@ -8,43 +8,35 @@ from tallyloom.operators import drafts as T
 from tallyloom.operators import parse as A
 from tallyloom.operators import profiles as D
 from tallyloom.operators import reading as G
-from tallyloom.operators import readings as R
 from tallyloom.operators import tasks as K
 from tallyloom.plans.registry import query
-from tallyloom.plans.tables import load
+from tallyloom.plans.tables import cases, cases_sql, load
 
 #: Texts of every reading, with product, attributes, quantity, remark, status and review reason.
 READ = [
-    ("黑色, 42 新款跑步鞋男 x2", "新款跑步鞋男", "黑色", "42", 2, "", "draft", ""),
-    ("新款透气跑步鞋男款 黑色/42", "新款透气跑步鞋男款", "黑色", "42", 1, "", "draft", ""),
+    ("黑色, 42 新款甲 x2", "新款甲", "黑色", "42", 2, "", "draft", ""),
+    ("新款透气跑步鞋甲 黑色/42", "新款透气跑步鞋甲", "黑色", "42", 1, "", "draft", ""),
     ("【春款】跑步鞋，黑色，42 *1", "【春款】跑步鞋", "黑色", "42", 1, "", "draft", ""),
     ("【春季】新款网面跑步鞋 黑白，41 x1", "【春季】新款网面跑步鞋", "黑白", "41", 1, "", "draft", ""),
     ("【春季】新款网面跑步鞋 黑白;41 x1", "【春季】新款网面跑步鞋", "黑白", "41", 1, "", "draft", ""),
     ("【春季】新款网面跑步鞋黑白\n41 x1", "【春季】新款网面跑步鞋", "黑白", "41", 1, "", "draft", ""),
     ("黑色 42\n【春】跑步鞋 *2", "春-跑步鞋", "黑色", "42", 2, "", "draft", ""),
     ("跑步鞋 *2\n颜色: 黑 尺码: 40", "跑步鞋", "黑", "40", 2, "", "draft", ""),
-    ("新款透气跑步鞋男款 黑色/42 x3\n请尽快发货", "新款透气跑步鞋男款", "黑色", "42", 3, "请尽快发货", "draft", ""),
+    ("新款透气跑步鞋甲 黑色/42 x3\n请尽快发货", "新款透气跑步鞋甲", "黑色", "42", 3, "请尽快发货", "draft", ""),
     ("透气黑 鞋码: 42", "", "透气黑", "42", 1, "", "draft", ""),
-    ("【跑鞋】黑色/42 *2", "跑鞋", "黑色", "42", 2, "", "draft", ""),
+    ("【甲】黑色/42 *2", "甲", "黑色", "42", 2, "", "draft", ""),
     ("新款跑步鞋，黑（加绒，厚），42码 x1", "新款跑步鞋", "黑（加绒，厚）", "42", 1, "", "draft", ""),
     ("补差价 专用", "", "", "", None, "", "special", "price_gap"),
     ("鞋", "鞋", "鞋", "", None, "", "needs_review", "quantity"),
 ]
 
 
-def _values(rows) -> str:
-    cell = lambda v: "NULL" if v is None else "CAST('" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "' AS VARCHAR)" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS BIGINT)"
-    return ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows)
-
-
 READ_COLUMNS = "product, sales_attr1, sales_attr2, quantity, remark, status, review_reason"
 
 
-@query(f"SELECT c_custkey, {READ_COLUMNS} FROM customer JOIN (VALUES {_values([(i, *r[1:]) for i, r in enumerate(READ)])}) v(i, {READ_COLUMNS}) ON c_custkey % {len(READ)} = i")
+@query(cases_sql(READ_COLUMNS, [r[1:] for r in READ]))
 def text_readings(spark, sf_dir):
-    texts = spark.createDataFrame([(i, r[0]) for i, r in enumerate(READ)], "i long, item string")
-    rows = load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(READ)).alias("i")).join(F.broadcast(texts), "i")  # a row for each text
-    return A.parse_items(rows, "item", keywords=[("补差价", "price_gap")]).select("c_custkey", *READ_COLUMNS.split(", "))
+    return A.parse_items(cases(spark, sf_dir, [r[0] for r in READ]), "item", keywords=[("补差价", "price_gap")]).select("p_partkey", *READ_COLUMNS.split(", "))
 
 
 POLICY = {
@@ -55,17 +47,17 @@ POLICY = {
     "non_shoe": {"allow_non_numeric_sales_attr2": False},
 }
 POLICED = [
-    ("鞋", "鞋", "鞋", "", 3, "draft", ""),
+    ("甲", "甲", "甲", "", 3, "draft", ""),
     ("规格: 色系-黑", "", "黑", "", 5, "needs_review", "product"),
-    ("新款透气跑步鞋男款 色:白/42（偏小） x2", "新款透气跑步鞋男款", "白", "42（偏小）", 2, "needs_review", "sales_attr2_non_numeric"),
+    ("新款透气跑步鞋甲 色:白/42（偏小） x2", "新款透气跑步鞋甲", "白", "42（偏小）", 2, "needs_review", "sales_attr2_non_numeric"),
     ("甲 乙，红，大 *1", "甲 乙", "红", "大", 1, "needs_review", "sales_attr2_non_numeric"),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {_values(POLICED)}) v(item, product, sales_attr1, sales_attr2, quantity, status, review_reason)")
+@query(cases_sql("item, product, sales_attr1, sales_attr2, quantity, status, review_reason", POLICED))
 def output_policy(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0],) for r in POLICED], "item string")
-    return A.parse_items(rows, "item", policy=POLICY).select("item", "product", "sales_attr1", "sales_attr2", "quantity", "status", "review_reason")
+    rows = cases(spark, sf_dir, [r[0] for r in POLICED])
+    return A.parse_items(rows, "item", policy=POLICY).select("p_partkey", "item", "product", "sales_attr1", "sales_attr2", "quantity", "status", "review_reason")
 
 
 @query("SELECT p_partkey, CAST(i AS INT) AS place, p_name || i || chr(10) || '颜色:' || p_brand || ' 尺码:' || (30 + i) AS item FROM part, (VALUES (0), (1)) t(i) WHERE p_size % 2 = 0")
@@ -73,29 +65,79 @@ def paired_items(spark, sf_dir):
     name = lambda i: F.concat("p_name", F.lit(str(i)))
     label = lambda i: F.concat(F.lit("颜色:"), "p_brand", F.lit(f" 尺码:{30 + i}"))
     text = F.when(F.col("p_size") % 2 == 0, F.array_join(F.array(name(0), name(1), label(0), label(1)), "\n")).otherwise(F.array_join(F.array(name(0), label(0), name(1), label(1)), "\r\n"))
-    return load(spark, sf_dir, "part").select("p_partkey", F.posexplode(R.paired_lines(text)).alias("place", "item"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.posexplode(A.paired_lines(text)).alias("place", "item"))
+
 
+BRACKETS = [("甲，b(c,d)，e", "甲|b(c,d)|e", ""), ("x【甲,（z,w）,】,v;42", "x【甲,（z,w）,】|v;42", "x【甲,（z,w）,】,v|42"), ("),甲", ")|甲", ""), ("", "", ""), ("(a;41);甲", "(a;41);甲", ""), ("甲;(黑);38码", "甲;(黑);38码", "甲;(黑)|38码")]
 
-@query(f"SELECT * FROM (VALUES {_values([('a，b(c,d)，e', 'a|b(c,d)|e', ''), ('x【y,（z,w）,】,v;42', 'x【y,（z,w）,】|v;42', 'x【y,（z,w）,】,v|42'), ('),a', ')|a', ''), ('', '', ''), ('(a;41);b', '(a;41);b', ''), ('鞋;(黑);38码', '鞋;(黑);38码', '鞋;(黑)|38码')])}) v(text, parts, size)")
+
+@query(cases_sql("text, parts, size", BRACKETS))
 def bracket_splits(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("a，b(c,d)，e", "x【y,（z,w）,】,v;42", "),a", "", "(a;41);b", "鞋;(黑);38码")], "text string")
-    at = R.semicolon_size(F.col("text"))
-    return rows.select("text", F.array_join(R.comma_parts(F.col("text")), "|").alias("parts"), F.coalesce(F.concat(at["rest"], F.lit("|"), at["size"]), F.lit("")).alias("size"))
+    rows = cases(spark, sf_dir, [r[0] for r in BRACKETS], "text").withColumn("at", A.semicolon_size(F.col("text")))
+    return rows.select("p_partkey", "text", F.array_join(A.comma_parts(F.col("text")), "|").alias("parts"), F.coalesce(F.concat("at.rest", F.lit("|"), "at.size"), F.lit("")).alias("size"))
 
 
 @query("SELECT p_partkey, '新款透气跑步鞋' || p_brand AS product, CASE p_size % 3 WHEN 0 THEN '黑白' WHEN 1 THEN '低帮深卡其' ELSE '深灰色' END AS sales_attr1 FROM part")
 def colour_suffixes(spark, sf_dir):
     third, product = F.col("p_size") % 3, F.concat(F.lit("新款透气跑步鞋"), "p_brand")
     line = F.when(third == 0, F.concat(product, F.lit("，黑白"))).when(third == 1, F.concat(product, F.lit("低帮深卡其"))).otherwise(F.concat(product, F.lit(" 颜色:深灰色")))
-    got = R.attr1_suffix(line)
+    got = A.attr1_suffix(line)
     return load(spark, sf_dir, "part").select("p_partkey", got["product"].alias("product"), got["sales_attr1"].alias("sales_attr1"))
 
 
-@query(f"SELECT * FROM (VALUES {_values([('红/42', '红', '42', '红/42'), ('红 色 38.5', '红 色', '38.5', '红 色 38.5'), ('颜色:红', '红', '', '颜色:红'), ('【新】跑鞋 ', '【新】跑鞋', '', '新-跑鞋'), ('【一二三四五六七八九】跑鞋', '【一二三四五六七八九】跑鞋', '', '一二三四五六七八九】跑鞋')])}) v(text, sales_attr1, sales_attr2, product)")
+LINES = [("甲/42", "甲", "42", "甲/42"), ("红甲 38.5", "红甲", "38.5", "红甲 38.5"), ("颜色:甲", "甲", "", "颜色:甲"), ("【新】甲，", "【新】甲", "", "新-甲"), ("【一二三四五六七八九】甲鞋，", "【一二三四五六七八九】甲鞋", "", "一二三四五六七八九】甲鞋")]
+
+
+@query(cases_sql("text, product", [(r[0], r[3]) for r in LINES]))
+def normalized_products(spark, sf_dir):
+    rows = cases(spark, sf_dir, [r[0] for r in LINES], "text")
+    return rows.select("p_partkey", "text", A.normalized_product(F.col("text")).alias("product"))
+
+
+ATTRS = [("甲/42", "甲", "42"), ("红甲|38.5码", "红甲", "38.5"), ("颜色:甲，40 偏小", "甲", "40"), ("甲", "甲", ""), ("甲 42码", "甲", "42")]
+
+
+@query(cases_sql("text, sales_attr1, sales_attr2", ATTRS))
 def attribute_lines(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("红/42", "红 色 38.5", "颜色:红", "【新】跑鞋 ", "【一二三四五六七八九】跑鞋")], "text string")
-    got = R.simple_attrs(F.col("text"))
-    return rows.select("text", got["sales_attr1"].alias("sales_attr1"), got["sales_attr2"].alias("sales_attr2"), R.normalized_product(F.col("text")).alias("product"))
+    rows = cases(spark, sf_dir, [r[0] for r in ATTRS], "text").withColumn("got", A.simple_attrs(F.col("text")))
+    return rows.select("p_partkey", "text", "got.sales_attr1", "got.sales_attr2")
+
+
+#: Texts of one and more items, the items, and what sets them apart.
+BOUNDED = [
+    ("【甲】黑 42 1件；【甲】白 39 1件；【甲】黑 42 1件", "【甲】黑 42 1件|【甲】白 39 1件|【甲】黑 42 1件", "semicolon_repeated_title"),
+    ("【甲】黑 42 *1【乙】白 39 *2", "【甲】黑 42 *1|【乙】白 39 *2", "repeated_title"),
+    ("甲 黑 42 x1 / 甲 白 39 x2", "甲 黑 42 x1|甲 白 39 x2", "repeated_quantity"),
+    ("甲 黑 42 x1 / 甲 白 39 x2 急件", "甲 黑 42 x1 / 甲 白 39 x2 急件", "single_item"),
+    ("甲 黑 42；乙 39 1件；丙 2件 急", "甲 黑 42；乙 39 1件；丙 2件 急", "single_item"),
+    ("甲；【乙】白", "甲|【乙】白", "semicolon"),
+    ("甲 黑 42 x1\n2件", "甲 黑 42 x1", "newline_quantity_summary"),
+    ("甲 黑\n乙 x1 丙 x2", "甲 黑|乙 x1|丙 x2", "newline+repeated_quantity"),
+    ("甲 黑\r\n乙 白", "甲 黑|乙 白", "newline"),
+    (" \n", "", "empty"),
+]
+
+
+@query(cases_sql("items, boundary", [r[1:] for r in BOUNDED]))
+def item_boundaries(spark, sf_dir):
+    rows = cases(spark, sf_dir, [r[0] for r in BOUNDED]).withColumn("got", A.boundary_items(F.col("item")))
+    return rows.select("p_partkey", F.array_join("got.items", "|").alias("items"), "got.boundary")
+
+
+#: Lines of samples, and the items that they make.
+GROUPED = [
+    ("甲 x2\n颜色: 黑 尺码: 40\n请尽快发货\n【新】甲，黑，41 *1\nauto", "甲 x2/颜色: 黑 尺码: 40/请尽快发货|【新】甲，黑，41 *1"),
+    ("黑色，42\n甲 x1\n甲 x3\n白色/41\n甲 *1\n速发", "黑色，42/甲 x1|甲 x3|白色/41/甲 *1/速发"),
+    ("甲一\n甲二\n颜色:黑\n颜色:白", "甲一/颜色:黑|甲二/颜色:白"),
+    ("甲 *2\n颜色: 红 尺码: 40", "甲 *2/颜色: 红 尺码: 40"),
+    ("xxx*1\n2件", ""),
+]
+
+
+@query(cases_sql("items", [r[1:] for r in GROUPED]))
+def sample_groups(spark, sf_dir):
+    rows = cases(spark, sf_dir, [r[0] for r in GROUPED])
+    return rows.select("p_partkey", F.array_join(F.transform(A.candidate_texts(F.split("item", "\n")), lambda t: F.replace(t, F.lit("\n"), F.lit("/"))), "|").alias("items"))
 
 
 # ---- profiles ----
@@ -166,18 +208,18 @@ def sample_blocks(spark, sf_dir):
 
 
 AREAS = [
-    ('<page><layout id="CUSTOM_AREA"><text>a<b>b</b></text></layout><text>c</text></page>', "ab+|c-"),
+    ('<page><layout id="CUSTOM_AREA"><text>甲<b>b</b></text></layout><text>c</text></page>', "甲b+|c-"),
     ("<x><text>1</text></x><custom-area><y><text><![CDATA[<2>]]></text></y></custom-area><text>3 &amp; 4</text>", "1-|<2>+|3 & 4-"),
-    ("<r><!-- <text>no</text> --><ns:text k='v'>5</ns:text><text/></r>", "5-"),
-    ("plain", None),
+    ("<r><!-- <text>no</text> --><ns:text k='v'>甲</ns:text><text/></r>", "甲-"),
+    ("甲", None),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {_values(AREAS)}) v(xml, texts)")
+@query(cases_sql("xml, texts", AREAS))
 def xml_area_texts(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x, _ in AREAS], "xml string")
+    rows = cases(spark, sf_dir, [x for x, _ in AREAS], "xml")
     shown = F.transform(G.area_texts(F.col("xml")), lambda t: F.concat(t["text"], F.when(t["marked"], "+").otherwise("-")))
-    return rows.select("xml", F.array_join(shown, "|").alias("texts"))
+    return rows.select("p_partkey", "xml", F.array_join(shown, "|").alias("texts"))
 
 
 # ---- drafts ----
@@ -213,7 +255,7 @@ def zipped_items(spark, sf_dir):
     even = F.col("p_size") % 2 == 0
     counts = F.concat(F.col("p_size").cast("string"), F.when(even, F.lit("\n3件")).otherwise("\nmany"))
     items = T.zipped_items(F.concat("p_name", F.lit("\n"), "p_brand"), F.lit("short"), counts)
-    rows = load(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", items.alias("items"), F.when(~even & (F.col("p_size") % 3 == 0), "共7件").otherwise("").alias("stated"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", items.alias("items"), F.when(~even & (F.col("p_size") % 3 == 0), "共7件").otherwise("").alias("stated"))
     shown = F.array_join(F.transform("items", lambda i: F.concat_ws("/", i["product"], i["short"], F.coalesce(i["quantity"].cast("string"), F.lit("-")))), "|")
     return rows.select("p_partkey", shown.alias("items"), T.total_quantity(F.col("stated"), F.col("items")).alias("total"))
 

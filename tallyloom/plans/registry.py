@@ -472,11 +472,16 @@ def evidence_build(spark, sf_dir):
     return V.build_evidence(leaves, ["p_partkey"], {"name": "contents[].data.name", "type": "contents[].data.type"}, ["name"])
 
 
-@query("SELECT t.* FROM (VALUES ('12', true, true, false), ('42.5', true, false, true), ('60', true, true, false), ('a;b', true, false, false), (' ', false, false, false), ('３８', true, true, true)) t(value, is_text, is_quantity, is_size)")
+TOKENS_SQL = "v AS (SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN p_size || '' WHEN 1 THEN p_size || '.5' WHEN 2 THEN p_name || ';' || p_size WHEN 3 THEN ' ' ELSE translate(p_size || '', '0123456789', '０１２３４５６７８９') END AS value FROM part)"
+
+
+@query(f"WITH {TOKENS_SQL} SELECT p_partkey, value, p_size % 5 <> 3 AS is_text, p_size % 5 IN (0, 4) AS is_quantity, p_size % 5 IN (0, 1, 4) AND p_size >= 25 AS is_size FROM v")
 def token_classes(spark, sf_dir):
-    values = spark.createDataFrame([(v,) for v in ("12", "42.5", "60", "a;b", " ", "３８")], "value string")
+    size, kind = F.col("p_size").cast("string"), F.col("p_size") % 5
+    value = F.when(kind == 0, size).when(kind == 1, F.concat(size, F.lit(".5"))).when(kind == 2, F.concat("p_name", F.lit(";"), size)).when(kind == 3, " ").otherwise(F.translate(size, "0123456789", "０１２３４５６７８９"))
+    values = load(spark, sf_dir, "part").select("p_partkey", value.alias("value"))
     of = lambda c, n: V.matches_class(F.col("value"), F.lit(c)).alias(n)
-    return values.select("value", of("text", "is_text"), of("positive_integer_quantity", "is_quantity"), of("shoe_size_like_numeric_segment", "is_size"))
+    return values.select("p_partkey", "value", of("text", "is_text"), of("positive_integer_quantity", "is_quantity"), of("shoe_size_like_numeric_segment", "is_size"))
 
 
 @query("SELECT doc_id, kind, count(*) AS n, CAST(sum(m) AS BIGINT) AS n_spans FROM (SELECT doc_id, 'line' AS kind, 1 AS m FROM documents, LATERAL (SELECT unnest(regexp_extract_all(text, '[^\\r\\n]+')) AS l) WHERE trim(l) <> '' UNION ALL SELECT doc_id, 'repeated_line_or_array_group', count(*) FROM documents, LATERAL (SELECT unnest(regexp_extract_all(text, '[^\\r\\n]+')) AS l) WHERE trim(l) <> '' GROUP BY doc_id, trim(regexp_replace(l, '\\s+', ' ', 'g')) HAVING count(*) > 1) GROUP BY doc_id, kind")
@@ -520,9 +525,9 @@ def parent_completeness(spark, sf_dir):
     return U.completeness(rows, ["l_orderkey"]).select(F.col("l_orderkey").alias("o_orderkey"), "complete")
 
 
-@query(r"SELECT conv_id, turn, CAST(i - 1 AS INT) AS item_order, item FROM (SELECT conv_id, turn, unnest(x) AS item, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> '') AS x FROM conversations WHERE NOT contains(text, ';')))")
+@query(r"SELECT conv_id, turn, CAST(i - 1 AS INT) AS item_order, item FROM (SELECT conv_id, turn, unnest(x) AS item, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, ',', ';'), ';(\s*[0-9])', chr(1) || '\1', 'g'), '[\r\n;]+'), lambda t: replace(trim(regexp_replace(t, '\s+', ' ', 'g')), chr(1), ';')), lambda t: t <> '' AND lower(t) <> 'auto') AS x FROM conversations))")
 def item_split_explode(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations")
+    c = load(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit(","), F.lit(";")))
     return c.select("conv_id", "turn", F.posexplode(A.split_items(F.col("text"))).alias("item_order", "item"))
 
 
@@ -537,8 +542,3 @@ def heuristic_parse(spark, sf_dir):
     size = (F.col("p_size") % 30 + 20).cast("string")
     t = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("【"), "p_name", F.lit("】"), "p_brand", F.lit("/"), size, F.lit(" *2"))).otherwise(F.concat("p_name", F.lit("，"), "p_brand", F.lit("，"), size, F.lit("码 x2")))
     return A.parse_items(part.withColumn("item", t), "item").select("p_partkey", "product", "sales_attr1", "sales_attr2", "quantity", "status")
-
-
-#: Names under which queries over whole tables were registered beside partial ones, which are gone.
-for _name, _same in (("safe_cell_all", "safe_cell"), ("content_hash_dedupe_assets_all", "content_hash_dedupe_assets"), ("segment_split_all", "segment_split"), ("evidence_spans_all", "evidence_spans"), ("source_projection_whole_texts", "source_projection_profile"), ("report_sizes_repeated_all", "report_sizes_repeated")):
-    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_same], ORACLE_SQL[_same]

@@ -25,6 +25,28 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cell(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "CAST('" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "' AS VARCHAR)"
+    return str(v).lower() if isinstance(v, bool) else f"CAST({v} AS BIGINT)"
+
+
+def cases_sql(names: str, rows: list[tuple], own: str = "甲") -> str:
+    """SQL of parts with the values `names` of the case that each is dealt; `own` in a text stands for the part's name, with hyphens for its spaces."""
+    cols = names.split(", ")
+    shown = [f"replace({c}, '{own}', replace(p_name, ' ', '-')) AS {c}" if any(isinstance(r[i], str) for r in rows) else c for i, c in enumerate(cols)]
+    values = ", ".join("(" + ", ".join(map(_cell, (i, *r))) + ")" for i, r in enumerate(rows))
+    return f"SELECT p_partkey, {', '.join(shown)} FROM part JOIN (VALUES {values}) v(i, {names}) ON p_partkey % {len(rows)} = i"
+
+
+def cases(spark: SparkSession, sf_dir: str, texts: list[str], name: str = "item", own: str = "甲") -> DataFrame:
+    """All parts (p_partkey) with the text of the case that each is dealt, in which the part's name, with hyphens for its spaces, stands for `own`."""
+    of = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts) + 1).cast("int"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.replace(of, F.lit(own), F.replace("p_name", F.lit(" "), F.lit("-"))).alias(name))
+
+
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as order rows with the five fields: part gives product and attributes."""
     line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")

@@ -148,12 +148,12 @@ def active_packs(spark, sf_dir):
     return K.active_pack(packs, "workspace")
 
 
-@query("WITH p AS (SELECT p_brand AS fingerprint, CASE WHEN p_size % 2 = 0 THEN 'structured_items_v1' ELSE 'text_pipeline_v1' END AS strategy, p_type AS fields, p_name AS grammar, max(p_size) AS revision FROM part WHERE p_size <= 25 GROUP BY 1, 2, 3, 4), n AS (SELECT DISTINCT p_brand AS fingerprint, CASE WHEN p_size % 2 = 0 THEN 'structured_items_v1' ELSE 'text_pipeline_v1' END AS strategy, p_type AS fields, p_name AS grammar FROM part WHERE p_size > 40), m AS (SELECT fingerprint, max(revision) AS last FROM p GROUP BY 1) SELECT fingerprint, strategy, fields, grammar, revision FROM p WHERE NOT EXISTS (SELECT 1 FROM n WHERE (n.fingerprint, n.strategy, n.fields) = (p.fingerprint, p.strategy, p.fields) AND (p.strategy = 'structured_items_v1' OR n.grammar = p.grammar)) UNION ALL SELECT n.*, coalesce(last, 0) + 1 FROM n LEFT JOIN m USING (fingerprint)")
+@query("WITH p AS (SELECT p_brand AS fingerprint, CASE WHEN p_size % 2 = 0 THEN 'structured_items_v1' ELSE 'text_pipeline_v1' END AS strategy, p_type AS fields, p_name AS grammar, max(p_size) AS revision FROM part WHERE p_size <= 25 GROUP BY 1, 2, 3, 4), n AS (SELECT DISTINCT p_brand AS fingerprint, CASE WHEN p_size % 2 = 0 THEN 'structured_items_v1' ELSE 'text_pipeline_v1' END AS strategy, p_type AS fields, p_name AS grammar FROM part WHERE p_size > 25), m AS (SELECT fingerprint, max(revision) AS last FROM p GROUP BY 1) SELECT fingerprint, strategy, fields, grammar, revision FROM p WHERE NOT EXISTS (SELECT 1 FROM n WHERE (n.fingerprint, n.strategy, n.fields) = (p.fingerprint, p.strategy, p.fields) AND (p.strategy = 'structured_items_v1' OR n.grammar = p.grammar)) UNION ALL SELECT n.*, coalesce(last, 0) + 1 FROM n LEFT JOIN m USING (fingerprint)")
 def revised_profiles(spark, sf_dir):
     part = load(spark, sf_dir, "part").withColumn("strategy", F.when(F.col("p_size") % 2 == 0, "structured_items_v1").otherwise("text_pipeline_v1"))
     named = part.select(F.col("p_brand").alias("fingerprint"), "strategy", F.col("p_type").alias("fields"), F.col("p_name").alias("grammar"), "p_size")
     old = named.where("p_size <= 25").groupBy("fingerprint", "strategy", "fields", "grammar").agg(F.max("p_size").alias("revision"))
-    new = named.where("p_size > 40").drop("p_size").distinct().withColumn("revision", F.lit(None).cast("int"))
+    new = named.where("p_size > 25").drop("p_size").distinct().withColumn("revision", F.lit(None).cast("int"))
     return K.revised(old, new).withColumn("revision", F.col("revision").cast("int"))
 
 
@@ -260,11 +260,13 @@ def report_preview(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", K.preview_spec(sku, attr, F.col("p_name")).alias("spec"), K.preview_quantity(quantity).alias("quantity"))
 
 
-@query("SELECT v.* FROM (VALUES ('2024-03-01T10:00:00Z', TIMESTAMP '2024-03-01 10:00:00', TIMESTAMP '2024-03-01 10:00:00', '2024-03-01 18:00:00'), ('2024-03-01T10:00:00.250+08:00', TIMESTAMP '2024-03-01 02:00:00.25', TIMESTAMP '2024-03-01 02:00:00.25', '2024-03-01 10:00:00'), ('2024-03-01 10:00', TIMESTAMP '2024-03-01 10:00:00', TIMESTAMP '2024-03-01 02:00:00', '2024-03-01 18:00:00'), ('2024-03-01', TIMESTAMP '2024-03-01', TIMESTAMP '2024-02-29 16:00:00', '2024-03-01 08:00:00'), ('2024-02-30T00:00:00Z', NULL, NULL, NULL), ('soon', NULL, NULL, NULL), ('2024-03-01T10:00:00-03:30', TIMESTAMP '2024-03-01 13:30:00', TIMESTAMP '2024-03-01 13:30:00', '2024-03-01 21:30:00')) v(text, utc, collector, local)")
+@query("WITH e AS (SELECT event_id, event_id % 4 AS kind, date_trunc('second', CAST(ts AS TIMESTAMP)) AS t FROM events) SELECT event_id, CASE kind WHEN 0 THEN t WHEN 1 THEN t - INTERVAL 8 HOUR WHEN 2 THEN date_trunc('minute', t) END AS utc, CASE kind WHEN 0 THEN t WHEN 1 THEN t - INTERVAL 8 HOUR WHEN 2 THEN date_trunc('minute', t) - INTERVAL 8 HOUR END AS collector, strftime(CASE kind WHEN 0 THEN t + INTERVAL 8 HOUR WHEN 1 THEN t WHEN 2 THEN date_trunc('minute', t) + INTERVAL 8 HOUR END, '%Y-%m-%d %H:%M:%S') AS local FROM e")
 def iso_times(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("2024-03-01T10:00:00Z", "2024-03-01T10:00:00.250+08:00", "2024-03-01 10:00", "2024-03-01", "2024-02-30T00:00:00Z", "soon", "2024-03-01T10:00:00-03:30")], "text string")
+    kind, shown = F.col("event_id") % 4, lambda form: F.date_format("ts", form)
+    text = F.when(kind == 0, shown("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 1, shown("yyyy-MM-dd'T'HH:mm:ss'+08:00'")).when(kind == 2, shown("yyyy-MM-dd HH:mm")).otherwise(shown("yyyy-02-30'T'HH:mm:ss'Z'"))
+    rows = load(spark, sf_dir, "events").select("event_id", text.alias("text"))
     utc = K.utc_time(F.col("text"))
-    return rows.select("text", utc.alias("utc"), K.utc_time(F.col("text"), "+08:00").alias("collector"), K.local_text(utc).alias("local"))
+    return rows.select("event_id", utc.alias("utc"), K.utc_time(F.col("text"), "+08:00").alias("collector"), K.local_text(utc).alias("local"))
 
 
 @query("SELECT p_partkey, CAST(least(greatest(p_size, 8), 60) AS INT) AS width, CASE WHEN p_size * 9 >= 61 THEN round_even((p_size * 9 - 5) / 7.0, 2) ELSE 8.0 END AS units FROM part")

@@ -240,3 +240,31 @@ def test_rule_packs_are_judged_before_use():
     errors, warnings = drafts.pack_findings(pack)
     assert errors == ["parser_policy.format_profiles[2].strategy", "parser_policy.format_profiles[3].profile"]
     assert len(warnings) == 2 and drafts.pack_findings({}) == (["code", "name", "version", "parser_policy"], [])
+
+
+def test_repeated_titles_become_children(spark):
+    from tallyloom.operators import drafts as T
+
+    title = "【登山鞋涉水鞋防水机能户外徒步男鞋女鞋休闲防滑溯溪越野鞋跑步鞋】"
+    df = spark.createDataFrame([(1, f"{title}低帮黑白 42 1件；{title}低帮深卡其 39 1件；{title}低帮黑白 42 1件"), (2, f"{title}4.0灰蓝 42.5 1件"), (3, None), (4, " \n")], "i int, t string")
+    got = T.draft_rows(df, "i", "t").orderBy("i", "row_index").collect()
+    assert [(r.i, r.sales_attr1, r.sales_attr2, r.quantity, r.remark, r.status) for r in got if r.i < 3] == [(1, "低帮黑白", "42", 1, "", "draft"), (1, "低帮深卡其", "39", 1, "", "draft"), (1, "低帮黑白", "42", 1, "", "draft"), (2, "4.0灰蓝", "42.5", 1, "", "draft")]
+    assert {r.product for r in got if r.i < 3} == {title.strip("【】")}
+    assert [(r.i, r.status, r.review_reason) for r in got if r.i > 2] == [(3, "needs_review", "no_readable_waybill_text"), (4, "needs_review", "no_readable_waybill_text")]
+
+
+def test_candidate_texts_take_every_line_once():
+    from tallyloom.operators import readings as R
+
+    lines = ["甲鞋 x2", "颜色: 黑 尺码: 40", "请发顺丰"] * 400 + ["乙 x1"] * 50
+    got = R.candidate_texts(lines)
+    assert [t for g in got for t in g.split("\n")] == lines
+    assert got[:2] == ["甲鞋 x2\n颜色: 黑 尺码: 40\n请发顺丰"] * 2 and got[-1] == "乙 x1"
+    assert R.candidate_texts(None) == R.candidate_texts(["", " ", "auto", "xxx*1"]) == []
+
+
+def test_parser_plans_are_small(spark):
+    df = spark.createDataFrame([(1, "甲鞋 x2")], "i int, t string")
+    for policy in (None, {"quantity": {"default_if_missing": 1}, "label_cleanup": {"strip_prefixes": ["色"]}}):
+        plan = A.parse_items(df, "t", keywords=[("补差价", "price_gap")], policy=policy)._jdf.queryExecution().executedPlan().toString()
+        assert len(plan) < 20_000

@@ -27,7 +27,7 @@ def test_sizes_are_repeated_over_all_stalls(spark, data):
     for r in lines.select("stall_name", "product_name", "spec", "image_id", "size_text", "n").collect():
         want.setdefault((r.stall_name, r.product_name, r.spec, r.image_id), []).extend([r.size_text] * r.n)
     assert len({k[0] for k in want}) > 3
-    found = sorted((r.stall_name, r.product_name, r.spec, r.sizes) for r in registry.QUERIES["report_sizes_repeated_all"](spark, data).collect())
+    found = sorted((r.stall_name, r.product_name, r.spec, r.sizes) for r in registry.QUERIES["report_sizes_repeated"](spark, data).collect())
     assert found == sorted((*k[:3], " ".join(sorted(v, key=int)) + " ") for k, v in want.items())
 
 
@@ -41,11 +41,11 @@ def test_items_are_cut_at_semicolons(spark, tmp_path):
 
 
 def test_no_row_of_a_table_is_left_out(spark, data):
-    for name, table, key in (("segment_split_all", "part", "p_partkey"), ("segment_split_documents", "documents", "doc_id"), ("evidence_spans_all", "part", "p_partkey")):
+    for name, table, key in (("segment_split", "part", "p_partkey"), ("segment_split_documents", "documents", "doc_id"), ("evidence_spans", "part", "p_partkey")):
         keys = lambda df, key=key: {r[0] for r in df.select(key).distinct().collect()}
         assert keys(registry.QUERIES[name](spark, data)) == keys(spark.read.parquet(f"{data}/{table}.parquet")), name
     n = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("documents", "customer"))
-    assert registry.QUERIES["safe_cell_all"](spark, data).count() == n
+    assert registry.QUERIES["safe_cell"](spark, data).count() == n
 
 
 def test_projected_texts_are_whole(spark, data):
@@ -54,5 +54,5 @@ def test_projected_texts_are_whole(spark, data):
     for r in turns:
         want.setdefault(r.conv_id, {"user": [], "assistant": []}).setdefault(r.role, []).append(r.text)
     assert any(len(t) > 20 for v in want.values() for t in v["user"])
-    got = {r.conv_id: (r.first_user, r.second_assistant) for r in registry.QUERIES["source_projection_whole_texts"](spark, data).collect()}
+    got = {r.conv_id: (r.first_user, r.second_assistant) for r in registry.QUERIES["source_projection_profile"](spark, data).collect()}
     assert got == {k: ((v["user"] or [""])[0], (v["assistant"][1:] or [""])[0]) for k, v in want.items()}

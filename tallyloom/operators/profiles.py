@@ -101,26 +101,4 @@ def replay_profile(docs: DataFrame, key: str, profile: dict, expected: DataFrame
     return replay(rows.select(key, "place", value.alias("value")), [key], expected)
 
 
-def layouts(items: Column, fields: list[str]) -> Column:
-    """The distinct layouts of JSON objects, sorted: for each of the fields that an object has, its name and the kind of its value."""
-    kinds = (("OBJECT", "dict"), ("ARRAY", "list"), ("BOOLEAN", "bool"), ("STRING", "str"), ("VOID", "null"), ("BIGINT", "int"))
-
-    def one(item: Column) -> Column:
-        def field(name: str) -> Column:
-            typed = F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), f"$.{name}", "variant"))
-            named = F.coalesce(*[F.when(typed.startswith(k), v) for k, v in kinds], F.when(typed.isNull(), "null"), F.when(typed.rlike(r"^DECIMAL\(\d+,0\)$"), "int"), F.lit("float"))
-            return F.when(F.array_contains(F.json_object_keys(item), name), F.array(F.lit(name), named))
-
-        return F.array_compact(F.array(*[field(n) for n in sorted(fields)]))
-
-    return F.array_sort(F.array_distinct(F.transform(items, one)))
-
-
-def business_fingerprint(code: Column, component: Column, items: Column, fields: list[str]) -> Column:
-    """v2:CODE:sha256:… over the set of layouts of a payload's business objects; print XML counts by its format alone."""
-    shape = F.when(code == "CN-PRINT-XML", '["printXML"]').otherwise(F.to_json(layouts(items, fields)))
-    text = F.concat(F.lit('{"fingerprint_code":"'), code, F.lit('","shape":{"fields":'), shape, F.lit('},"source_component":"'), F.lower(text_value(component)), F.lit('"}'))
-    return F.concat(F.lit("v2:"), code, F.lit(":sha256:"), F.sha2(text, 256))
-
-
-__all__ = ["COLUMNS", "ROW_FIELDS", "business_fingerprint", "compatible", "layouts", "parse_profiles", "profile_rows", "replay_profile"]
+__all__ = ["COLUMNS", "ROW_FIELDS", "compatible", "parse_profiles", "profile_rows", "replay_profile"]

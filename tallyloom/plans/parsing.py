@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import drafts as T
+from tallyloom.operators import fingerprint as P
 from tallyloom.operators import parse as A
 from tallyloom.operators import profiles as D
 from tallyloom.operators import reading as G
@@ -181,7 +182,43 @@ def profile_replay(spark, sf_dir):
 def business_fingerprints(spark, sf_dir):
     text = lambda q: F.concat(F.lit('{"x":1,"n":"'), "p_name", F.lit('","q":'), q, F.lit("}"))
     items = F.array(text(F.concat(F.lit('"'), "p_size", F.lit('"'))), text(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise('"a"')))
-    return load(spark, sf_dir, "part").select("p_partkey", D.business_fingerprint(F.lit("CN-PACKAGE-ITEMS"), F.lit(" CaiNiao"), items, ["q", "n", "absent"]).alias("fingerprint"))
+    return load(spark, sf_dir, "part").select("p_partkey", P.business_fingerprint(F.lit("CN-PACKAGE-ITEMS"), F.lit(" CaiNiao"), F.transform(items, F.parse_json), ["q", "n", "absent"]).alias("fingerprint"))
+
+
+# ---- fingerprints of nested payloads ----
+
+#: The payloads' data objects by kind, as JSON with the event's props in it, and their formats and business shapes.
+NESTED = [
+    ('{"ITEM_INFO":"鞋 x1","SELLER_MEMO":"","extra":@}', "CN-ITEM-INFO", '{"fields":[[["ITEM_INFO","str"],["SELLER_MEMO","str"]]]}'),
+    ('{"productInfo":"鞋","p":@},"printXML":"<a><text>一 二</text><text/></a>"', "CN-PRINT-XML", '{"fields":["printXML"]}'),
+    ('{"customContent":[@],"ITEM_INFO":[]}', "CN-CUSTOM-CONTENT", '{"fields":[[["customContent","list"]]]}'),
+    ('{"packageItemDetail":[{"itemName":"鞋","itemNum":1,"x":@},{"itemName":null,"skuSize":2.5},{"itemNum":7,"itemName":"帽"}]}', "CN-PACKAGE-ITEMS", '{"fields":[[["itemName","null"],["skuSize","float"]],[["itemName","str"],["itemNum","int"]]]}'),
+    ('{"productInfo":@,"remark":true},"printXML":" "', "CLOUD-PRODUCT-INFO", '{"fields":[[["productInfo","dict"],["remark","bool"]]]}'),
+    ('[@,@,1,null]', "UNKNOWN", '{"task":{"documents":{"items":[{"contents":{"items":[{"data":{"items":[{"k":{"type":"scalar"}},{"type":"scalar"},{"type":"null"}],"type":"list"}}],"type":"list"}}],"type":"list"}}}'),
+]
+
+
+def nested_payloads(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit('{"task":{"documents":[{"contents":[{"data":' + t + "}]}]}}") for t, _, _ in NESTED]), (F.col("event_id") % len(NESTED) + 1).cast("int"))
+    return load(spark, sf_dir, "events").select("event_id", F.replace(kind, F.lit("@"), F.col("props")).alias("payload"), F.col("event_type").alias("component"))
+
+
+NESTED_SQL = "n(i, code, shape) AS (VALUES " + ", ".join(f"({i}, '{c}', '{x}')" for i, (_, c, x) in enumerate(NESTED)) + ")"
+
+
+@query(f"WITH {NESTED_SQL} SELECT event_id, code AS format_code, 'v2:' || code || ':sha256:' || sha256('{{\"fingerprint_code\":\"' || code || '\",\"shape\":' || shape || ',\"source_component\":\"' || lower(event_type) || '\"}}') AS fingerprint FROM events JOIN n ON event_id % {len(NESTED)} = i")
+def fingerprint_dispatch(spark, sf_dir):
+    return P.fingerprints(nested_payloads(spark, sf_dir), "payload", "component", "business_shape_v2").select("event_id", "format_code", "fingerprint")
+
+
+@query(f"SELECT event_id, 'sha256:' || sha256('{{\"payload\":' || '{NESTED[5][2]}' || ',\"source_component\":\"' || lower(event_type) || '\"}}') AS fingerprint FROM events WHERE event_id % {len(NESTED)} = 5")
+def structural_dispatch(spark, sf_dir):
+    return P.fingerprints(nested_payloads(spark, sf_dir), "payload", "component").where("format_code = 'UNKNOWN'").select("event_id", "fingerprint")
+
+
+@query(f"SELECT event_id, field, value FROM (SELECT event_id, event_id % {len(NESTED)} AS kind, replace(props, ' ', '') AS p FROM events), LATERAL (SELECT * FROM (VALUES (0, 'ITEM_INFO', '\"鞋 x1\"'), (0, 'SELLER_MEMO', ''), (0, 'BUYER_MEMO', ''), (0, 'ITEM_TOTAL_COUNT', ''), (1, 'printXML', '\"一 二\"'), (2, 'customContent', '[' || p || ']'), (3, 'itemName', '\"鞋\"/\"帽\"'), (3, 'simpleName', ''), (3, 'skuFullName', ''), (3, 'specName', ''), (3, 'specSimpleName', ''), (3, 'skuSize', '2.5'), (3, 'itemNum', '1/7'), (4, 'productInfo', p), (4, 'productShortInfo', ''), (4, 'sPInfo', ''), (4, 'sPSInfo', ''), (4, 'remark', 'true'), (4, 'buyerRemark', ''), (4, 'productCount', '')) v(i, field, value) WHERE i = kind)")
+def inspected_fields(spark, sf_dir):
+    return P.inspected(nested_payloads(spark, sf_dir), "payload").select("event_id", "field", F.array_join("values", "/").alias("value"))
 
 
 # ---- samples ----

@@ -434,7 +434,8 @@ def grammar_signature(spark, sf_dir):
 
 @query("SELECT event_id, 'sha256:' || sha256('{\"payload\":{\"k\":{\"type\":\"scalar\"}},\"source_component\":\"' || lower(event_type) || '\"}') AS fingerprint FROM events")
 def structure_signature(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", P.structural_fingerprint(F.col("props"), F.upper("event_type")).alias("fingerprint"))
+    rows = load(spark, sf_dir, "events").select("event_id", "props", F.upper("event_type").alias("component"))
+    return P.fingerprints(rows, "props", "component").select("event_id", "fingerprint")
 
 
 @query("SELECT page_id, CASE WHEN contains(html, '<table') THEN 'CN-ITEM-INFO' WHEN contains(html, '<aside') THEN 'CN-PRINT-XML' WHEN contains(html, '<ul') THEN 'CN-CUSTOM-CONTENT' WHEN contains(html, '<h1') THEN 'CN-PACKAGE-ITEMS' WHEN contains(html, '<p') THEN 'CLOUD-PRODUCT-INFO' ELSE 'UNKNOWN' END AS format FROM pages")

@@ -154,7 +154,7 @@ def test_leaves_documents_and_filters(spark):
 
 def test_fingerprints(spark):
     a = spark.createDataFrame([('{"b": [1, 2], "a": "x"}', "C "), ('{"a": "y", "b": [3]}', "c"), ('{"a": {}}', "c"), ("[1]", "c")], "p string, c string")
-    got = [r.f for r in a.select(P.structural_fingerprint(F.col("p"), F.col("c")).alias("f")).collect()]
+    got = [r.f for r in a.select(P.structural_fingerprint(F.col("p"), F.col("c"), 4).alias("f")).collect()]
     assert got[0] == got[1] != got[2] and got[3] is None
     exact = values(spark, ["①鞋，红 ２双！", "1鞋，红 2双!"], lambda c: P.grammar_signature(F.array(c, c)))
     assert exact[0] == exact[1] and exact[0] != values(spark, ["x"], lambda c: P.grammar_signature(F.array(c)))[0]

@@ -32,7 +32,7 @@ def parse_items(rows: DataFrame, text: str, fallback_quantity: Column | None = N
     if default_quantity is not None:
         policy = {"quantity": {"default_if_missing": default_quantity}} | (policy or {})
     keywords = list(keywords)
-    read = per_text(lambda t, f, n: R.read_item(t, f, n, keywords, policy), ROW)
+    read = per_text(lambda t, f, n: R.read_safely(t, f, n, keywords, policy), ROW)
     empty = F.lit("")
     got = rows.withColumn("__row", read(F.col(text), empty if fallback_quantity is None else fallback_quantity, empty if remark is None else remark))
     return got.withColumns({f.split(" ")[0]: F.col(f"__row.{f.split(' ')[0]}") for f in ROW.split(", ")}).drop("__row")

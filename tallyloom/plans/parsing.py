@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import functions as F
 
+from tallyloom.operators import batch as B
 from tallyloom.operators import drafts as T
 from tallyloom.operators import fingerprint as P
 from tallyloom.operators import parse as A
@@ -221,6 +224,54 @@ def inspected_fields(spark, sf_dir):
     return P.inspected(nested_payloads(spark, sf_dir), "payload").select("event_id", "field", F.array_join("values", "/").alias("value"))
 
 
+# ---- batches ----
+
+ITEM_SHAPE = '{"fingerprint_code":"CN-PACKAGE-ITEMS","shape":{"fields":[[["itemName","str"],["itemNum","str"]]]},"source_component":"cainiao"}'
+PACK = {
+    "code": "p", "name": "pack", "version": "1",
+    "parser_policy": {
+        "order_row_parser": "declarative_v1", "fingerprint_strategy": "business_shape_v2",
+        "format_profiles": [{"strategy": "structured_items_v1", "fingerprint": "v2:CN-PACKAGE-ITEMS:sha256:" + sha256(ITEM_SHAPE.encode()).hexdigest(), "items_path": "task.documents[].contents[].data.packageItemDetail[]", "fields": {"product": "itemName", "quantity": "itemNum"}, "defaults": {"sales_attr1": "-", "sales_attr2": "-"}}],
+    },
+}
+ITEM_DOC = '{"contents":[{"data":{"packageItemDetail":[{"itemName":"@","itemNum":"2"},{"itemName":"@ b","itemNum":"1"}]}}]}'
+TEXT_DOC = '{"contents":[{"data":{"productInfo":"@，红，42 x2","other":1}}]}'
+RECORDS = ['{"task":{"documents":[' + ITEM_DOC + "]}}", '{"task":{"documents":[' + ITEM_DOC + "," + TEXT_DOC + "]}}", '{"task":', '{"task":{"documents":[{},{}]}}', "[" * 30 + "]" * 30, '{"task":{"documents":[]},"x":1}']
+
+
+def raw_records(spark, sf_dir):
+    """All parts as records of twelve tasks: good, half good, broken, quarantined, too deep and unknown payloads."""
+    kind = F.col("p_partkey") % len(RECORDS)
+    payload = F.replace(F.element_at(F.array(*[F.lit(r) for r in RECORDS]), (kind + 1).cast("int")), F.lit("@"), F.col("p_name"))
+    warning = F.when(kind == 3, "source_history_ambiguous")
+    return load(spark, sf_dir, "part").select((F.col("p_partkey") % 12).alias("task_id"), F.col("p_partkey").alias("record_id"), F.lit("CaiNiao ").alias("component"), payload.alias("payload"), warning.alias("warning"))
+
+
+RECORDS_SQL = "r AS (SELECT p_partkey % 12 AS task_id, p_partkey AS record_id, p_partkey % 6 AS kind, p_name FROM part)"
+
+
+@query(f"WITH {RECORDS_SQL} SELECT task_id, record_id, CAST(0 AS BIGINT) AS document, i AS row_index, '面单 ' || record_id || '-子项 ' || i AS child_label, CASE i WHEN 1 THEN p_name ELSE p_name || ' b' END AS product, 3 - i AS quantity, 'draft' AS status FROM r, (SELECT unnest([1, 2]) AS i) WHERE kind < 2")
+def batch_rows(spark, sf_dir):
+    return B.parse_batch(raw_records(spark, sf_dir), PACK).rows.select("task_id", "record_id", "document", "row_index", "child_label", "product", "quantity", "status")
+
+
+@query(f"WITH {RECORDS_SQL} SELECT task_id, record_id, CAST(i AS BIGINT) AS document, CASE WHEN kind = 1 AND i = 1 OR kind = 5 THEN 'format_profile_missing' WHEN kind = 2 THEN 'payload_not_json' WHEN kind = 3 THEN 'source_history_ambiguous' WHEN kind = 4 THEN 'payload_too_deep' END AS reason FROM r, (SELECT unnest([0, 1]) AS i) WHERE i = 0 OR kind IN (1, 3)")
+def batch_diagnostics(spark, sf_dir):
+    return B.parse_batch(raw_records(spark, sf_dir), PACK).diagnostics.select("task_id", "record_id", "document", "reason")
+
+
+@query(f"WITH {RECORDS_SQL} SELECT task_id, CASE kind WHEN 0 THEN 'parsed' WHEN 3 THEN 'capture_source_exception' WHEN 2 THEN 'format_profile_incomplete' WHEN 4 THEN 'format_profile_incomplete' ELSE 'format_profile_missing' END AS parse_status, count(*) * CASE WHEN kind IN (1, 3) THEN 2 ELSE 1 END AS parent_count, count(*) * CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS unresolved_count, count(*) * CASE WHEN kind < 2 THEN 2 ELSE 0 END AS child_count FROM r GROUP BY task_id, kind")
+def batch_statuses(spark, sf_dir):
+    return B.parse_batch(raw_records(spark, sf_dir), PACK).status
+
+
+@query(f"WITH {RECORDS_SQL} SELECT task_id, record_id, CAST(i AS BIGINT) AS document, CASE WHEN kind = 1 AND i = 1 THEN p_name ELSE '' END AS product, CASE WHEN kind = 1 AND i = 1 THEN CAST(2 AS BIGINT) END AS quantity, CASE WHEN kind = 1 AND i = 1 THEN '' ELSE 'no_readable_waybill_text' END AS review_reason FROM r, (SELECT unnest([0, 1]) AS i) WHERE kind = 1 AND i = 1 OR kind = 5 AND i = 0")
+def batch_text_rows(spark, sf_dir):
+    pack = PACK | {"parser_policy": {"format_profiles": []}}
+    rows = B.parse_batch(raw_records(spark, sf_dir), pack).rows
+    return rows.where(F.col("product").isin("") | F.col("sales_attr1").isin("红")).select("task_id", "record_id", "document", "product", "quantity", "review_reason")
+
+
 # ---- samples ----
 
 SAMPLES_SQL = "e AS (SELECT event_id, user_id, event_id % 3 AS kind, event_type AS t FROM events), s AS (SELECT event_id, 0 AS pos, CASE kind WHEN 1 THEN 'fallback' ELSE 'read' END AS state, CASE kind WHEN 1 THEN [{'path': 'product', 'text': '红鞋 ' || t}] WHEN 0 THEN [{'path': 'task.documents[0].data.product', 'text': '红鞋,' || t}, {'path': 'task.documents[0].printXML.text[0]', 'text': '第一' || t}, {'path': 'task.documents[0].printXML.text[1]', 'text': '第二'}] ELSE [] END AS texts FROM e UNION ALL SELECT event_id, 1, 'read', [] FROM e WHERE kind = 0)"

@@ -9,6 +9,8 @@ The path must be readable by every executor.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import sqlite3
 from collections.abc import Iterator
 
@@ -70,34 +72,86 @@ class SpoolReader(DataSourceReader):
         return read_range(partition)
 
 
+def chained(path: str, prefix: str, after: int, upto: int, mark: int = 0) -> tuple[str, str]:
+    """The chain of the hashes of all rows behind `after` up to `upto`, carried on from `prefix`; and what it was at `mark`.
+
+    Each link is the hash of the chain before and of a row with its key, so that a chain can be carried on without the rows that made it."""
+    at_mark = prefix
+    with _connect(path) as c:
+        for row in c.execute("SELECT rowid, taskID, msg, time FROM task WHERE rowid > ? AND rowid <= ? ORDER BY rowid", (after, upto)):
+            prefix = hashlib.sha256(f"{prefix}{row_hash(row)}".encode()).hexdigest()
+            if row[0] <= mark:
+                at_mark = prefix
+    return prefix, at_mark
+
+
 class SpoolStream(DataSourceStreamReader):
-    """Offsets hold the cursor, the epoch (the first row's hash) and up to which row the epoch's history is ambiguous.
+    """Offsets hold the cursor, the epoch, the chain of all rows up to the cursor, and up to which row the epoch's history is ambiguous.
 
-    A batch takes all rows there are, as Spark does not tell a restarted reader where it stands; partitions bound a task's rows.
-    If a query is stopped between a reset and the rows that follow it, these are not marked as ambiguous."""
+    Before a batch the rows up to the cursor are audited: if their chain is no longer what it was (rows changed, went or came in the
+    middle, or the database was built anew), a new epoch starts, whose rows up to the old cursor are ambiguous. An epoch's name is made of
+    the one before and of the first row, so that it stays the same if the same is found again after a restart.
+    Spark does not tell a restarted reader where it stands; the option `state` names a file that does. Option audit="start" audits
+    when the reader starts, and later only if the first row, the last row or the number of rows before the cursor changed."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.size = options["path"], int(options.get("partitionRows", PARTITION_ROWS))
-        self.at = self.initialOffset()
+        self.state, self.always, self.audited = options.get("state"), options.get("audit", "always") == "always", False
+        self.at = self._restored() or self.initialOffset()
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"rowid": 0, "epoch": "", "ambiguous_upto": 0}
+        return {"rowid": 0, "epoch": "", "chain": "", "rows": 0, "last": "", "ambiguous_upto": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
         s = status(self.path)
         if s["state"] == "ready":
-            now = {"rowid": s["max_rowid"], "epoch": s["first"][:12], "ambiguous_upto": self.at["ambiguous_upto"]}
-            self.at = now | {"ambiguous_upto": self.at["rowid"]} if self._is_reset(self.at, now) else now
+            self.at = self._next(self.at, s)
+            self.audited = True
         return self.at
 
-    @staticmethod
-    def _is_reset(start: dict, end: dict) -> bool:
-        return start["epoch"] not in ("", end["epoch"]) or end["rowid"] < start["rowid"]
+    def _next(self, at: dict, s: dict) -> dict:
+        top, first = s["max_rowid"], s["first"]
+        now = {"rowid": top, "rows": s["rows"], "last": self._last(top)}
+        if not at["epoch"]:
+            return now | {"epoch": first[:12], "chain": chained(self.path, "", 0, top)[0], "ambiguous_upto": 0}
+        if top >= at["rowid"] and not self.always and self.audited and self._looks_same(at):
+            return now | {"epoch": at["epoch"], "chain": chained(self.path, at["chain"], at["rowid"], top)[0], "ambiguous_upto": at["ambiguous_upto"]}
+        chain, before = chained(self.path, "", 0, top, at["rowid"])
+        if top >= at["rowid"] and before == at["chain"]:
+            return now | {"epoch": at["epoch"], "chain": chain, "ambiguous_upto": at["ambiguous_upto"]}
+        epoch = hashlib.sha256(f"{at['epoch']}:{first}".encode()).hexdigest()[:12]
+        return now | {"epoch": epoch, "chain": chain, "ambiguous_upto": at["rowid"]}
+
+    def _last(self, rowid: int) -> str:
+        with _connect(self.path) as c:
+            row = c.execute("SELECT rowid, taskID, msg, time FROM task WHERE rowid = ?", (rowid,)).fetchone()
+        return row_hash(row) if row else ""
+
+    def _looks_same(self, at: dict) -> bool:
+        with _connect(self.path) as c:
+            (n,) = c.execute("SELECT count(*) FROM task WHERE rowid <= ?", (at["rowid"],)).fetchone()
+        return n == at["rows"] and self._last(at["rowid"]) == at["last"]
+
+    def _restored(self) -> dict | None:
+        if not self.state:
+            return None
+        try:
+            with open(self.state) as f:
+                return json.load(f)
+        except FileNotFoundError:
+            return None
+
+    def _keep(self, at: dict) -> None:
+        if self.state:
+            with open(f"{self.state}.new", "w") as f:
+                json.dump(at, f)
+            os.replace(f"{self.state}.new", self.state)
 
     def partitions(self, start: dict, end: dict) -> list[KeyRange]:
-        self.at = end
-        if self._is_reset(start, end):
-            return ranges(self.path, 0, end["rowid"], end["epoch"], self.size, start["rowid"])
+        self.at = end  # planned offsets are in Spark's log: a restart plans them again, or goes on from them
+        self._keep(end)
+        if start["epoch"] not in ("", end["epoch"]) or end["rowid"] < start["rowid"]:
+            return ranges(self.path, 0, end["rowid"], end["epoch"], self.size, max(end["ambiguous_upto"], start["rowid"]))
         return ranges(self.path, start["rowid"], end["rowid"], end["epoch"], self.size, end["ambiguous_upto"])
 
     def read(self, partition: KeyRange) -> Iterator[tuple]:

@@ -86,7 +86,9 @@ def parse_profiles(docs: DataFrame, key: str, profiles: list[dict]) -> tuple[Dat
         part = profile_rows(docs, key, p).withColumn("position", F.lit(i))
         all_rows = part if all_rows is None else all_rows.unionByName(part)
     if all_rows is None:
-        return docs.select(key, F.lit("format_profile_missing").alias("status"), F.lit(None).cast("int").alias("position")), docs.select(key).where("false")
+        none = [F.lit(None).cast("bigint" if c == "quantity" else "string").alias(c) for c in COLUMNS]
+        rows = docs.select(key, F.lit(None).cast("int").alias("position"), F.lit(None).cast("array<int>").alias("place"), *none).where("false")
+        return docs.select(key, F.lit("format_profile_missing").alias("status"), F.lit(None).cast("int").alias("position")), rows
     result = F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", *COLUMNS))), lambda r: F.struct(*[r[c] for c in COLUMNS]))), 256)
     results = all_rows.groupBy(key, "position").agg(result.alias("result"))
     status = resolve_profiles(docs.select(key).join(results, key, "left"), [key], "position", "result")

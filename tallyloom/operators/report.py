@@ -54,8 +54,8 @@ def _repeated(sizes: Column) -> Column:
 
 
 def _first_seen(pairs: Column) -> Column:
-    """Non-empty texts by their first place, joined by line feeds."""
-    return F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda p: p["v"] != "")), lambda p: p["v"]), "\n")
+    """The distinct texts that aren't empty by their first place, joined by line feeds."""
+    return F.array_join(F.array_distinct(F.transform(F.array_sort(F.filter(pairs, lambda p: p["v"] != "")), lambda p: p["v"])), "\n")
 
 
 def stacked(items: DataFrame, order: list[str], stack_sizes: bool = False, with_texts: bool = True) -> DataFrame:
@@ -84,9 +84,8 @@ def stacked(items: DataFrame, order: list[str], stack_sizes: bool = False, with_
         texts("image_match_text").alias("texts"),
         F.sum("n").alias("quantity"),
     )
-    distinct_first = lambda c: F.aggregate(F.array_sort(c), F.array().cast(two.schema[c].dataType), lambda done, p: F.when(F.exists(done, lambda d: d["v"] == p["v"]), done).otherwise(F.concat(done, F.array(p))))
     sizes = _natural(F.array_distinct(F.transform("sizes", lambda s: s["size_text"]))) if stack_sizes else _repeated(F.col("sizes"))
-    return two.select("first.stall_name", "first.product_name", _natural(F.col("specs")).alias("spec"), sizes.alias("size_text"), F.col("quantity").cast("bigint").alias("quantity"), _first_seen(distinct_first("remarks")).alias("remark"), _first_seen(distinct_first("texts")).alias("image_match_text"))
+    return two.select("first.stall_name", "first.product_name", _natural(F.col("specs")).alias("spec"), sizes.alias("size_text"), F.col("quantity").cast("bigint").alias("quantity"), _first_seen(F.col("remarks")).alias("remark"), _first_seen(F.col("texts")).alias("image_match_text"))
 
 
 def natural_order(lines: DataFrame) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import batch as B
 from tallyloom.operators import retention as Y
 from tallyloom.operators import workbook as W
+from tallyloom.plans.parsing import PACK, RECORDS_SQL, raw_records
 from tallyloom.plans.registry import query
 from tallyloom.plans.tables import load
+from tallyloom.sources import packs as K
+from tallyloom.sources.shared import work_folder
 
 BOOK_SQL = """
 WITH l AS (SELECT n_name AS stall, s_name, s_acctbal, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -54,3 +58,16 @@ def purge_counts(spark, sf_dir):
     old = (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1998-01-01").cast("date"))
     levels = [Y.Level("orders", orders, "o_orderkey"), Y.Level("lineitem", load(spark, sf_dir, "lineitem"), "l_orderkey", "orders", "l_orderkey")]
     return Y.purge_counts(Y.tombstones(levels, old, F.date_format("o_orderdate", "yyyy-MM")))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT record_id, i AS row_index, CASE i WHEN 1 THEN p_name ELSE p_name || ' b' END AS product, 3 - i AS quantity, CAST(2 AS BIGINT) AS version FROM r, (SELECT unnest([1, 2]) AS i) WHERE kind < 2")
+def learned_rows(spark, sf_dir):
+    """A profile is learned from a part of the records (those of one task), activated by the commit, and all records are read again."""
+    store = K.PackStore(spark, work_folder(spark, "packs"))
+    K.activate(store, PACK, [])
+    profile, records = PACK["parser_policy"]["format_profiles"][0], raw_records(spark, sf_dir)
+    samples = records.where("task_id = 0").select(F.col("record_id").alias("id"), "payload", F.lit(profile["fingerprint"]).alias("fingerprint"), F.lit("").alias("grammar"))
+    name = F.get_json_object("payload", "$.task.documents[0].contents[0].data.packageItemDetail[0].itemName")
+    want = samples.select("id", F.array(F.concat(name, F.lit("|-|-|2|")), F.concat(name, F.lit(" b|-|-|1|"))).alias("rows"))
+    version, _ = K.learn(store, samples, "id", profile, want)
+    return B.parse_batch(records, K.pack_of(store, version)).rows.select("record_id", "row_index", "product", "quantity", F.lit(version.number).cast("bigint").alias("version"))

@@ -28,6 +28,8 @@ TOP = 2_000
 COVERED = 80
 #: Tokens after which a chunk of whole texts is full, and tokens of all texts for each shard.
 CHUNK, SHARD = 2_000_000, 2_000_000
+#: Parts of a language's phrases whose first ones are found apart.
+GROUPS = 32
 #: Bytes of a text whose tokens are listed at once, up to the next place between pieces.
 AT_ONCE = 2_000_000
 
@@ -406,8 +408,11 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int
     kept = uncovered(scored(phrases), phrases)
     lang = words.select(F.col("id").alias("first"), "lang")
     placed = kept.withColumn("first", F.get("w", F.lit(0))).join(lang, "first").drop("first")
-    # the phrases' texts are put together only for those that may be among the first
-    likely = placed.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= top).drop("place")
+    # the phrases' texts are put together only for those that may be among the first: the first of each of GROUPS, so that no more than
+    # these meet in one place for a language, then the first of all
+    best = lambda *group: F.rank().over(Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a")))
+    some = placed.withColumn("group", F.pmod(F.xxhash64("w"), F.lit(GROUPS))).withColumn("place", best("lang", "group")).where(F.col("place") <= top)
+    likely = some.withColumn("place", best("lang")).where(F.col("place") <= top).drop("place", "group")
     letters = likely.select("w", F.posexplode("w").alias("pos", "id")).join(words.select("id", "word"), "id").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))  # of four at most
     named = likely.join(letters.select("w", F.array_join("s.word", " ").alias("phrase")), "w").join(totals, "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

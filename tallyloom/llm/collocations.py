@@ -27,7 +27,7 @@ TOP = 2_000
 #: A phrase goes if a longer one around it has so many hundredths of its occurrences.
 COVERED = 80
 #: Tokens after which a chunk of whole texts is full, and tokens of all texts for each shard.
-CHUNK, SHARD = 2_000_000, 2_000_000
+CHUNK, SHARD = 1_000_000, 2_000_000
 #: Parts of a language's phrases whose first ones are found apart.
 GROUPS = 32
 #: Bytes of a text whose tokens are listed at once, up to the next place between pieces.

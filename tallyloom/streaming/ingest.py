@@ -49,14 +49,28 @@ def assigned(batch: DataFrame, windows: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind).drop("w", "capture_assignment")
 
 
-def store_batch(batch: DataFrame, batch_id: int, windows: DataFrame, target: str) -> dict:
-    """Adds the batch's new events to the target (Parquet, a folder for each batch); returns the counts of what became of its rows."""
+class UncoveredRows(Exception):
+    """A batch has rows that no capture window holds."""
+
+
+def store_batch(batch: DataFrame, batch_id: int, windows: DataFrame, target: str, uncovered: str = "reject") -> dict:
+    """Adds the batch's new events to the target (Parquet, a folder for each batch); returns the counts of what became of its rows.
+
+    Rows outside of every window are left out, or, if uncovered is "fail", fail the whole batch before any of it is stored: the stream
+    stops where it is, nothing is acknowledged, and the same batch comes again once windows cover it."""
+    if uncovered not in ("reject", "fail"):
+        raise ValueError(f"unknown way with uncovered rows: {uncovered!r}")
     spark = batch.sparkSession
     once = first_of_each(batch, "event_key", ["source_index"])
     # the judged batch is written first, beside the target: the stream's rows are read once
     staged = f"{target}-staged/batch_id={batch_id}"
     assigned(once, windows).write.mode("overwrite").parquet(staged)
     judged = spark.read.parquet(staged)
+    if uncovered == "fail":
+        outside = judged.where(F.col("kind").isin(*REJECTED)).agg(F.count("*").alias("n"), F.min("source_index").alias("first")).first()
+        if outside.n:
+            _delete(spark, staged)
+            raise UncoveredRows(f"{outside.n} rows of batch {batch_id} are in no window, {outside.first} among them")
     known = spark.read.schema(TARGET).parquet(target) if _exists(spark, target) else spark.createDataFrame([], TARGET)
     # the batch's own folder is written anew when it runs again
     new = judged.where(~F.col("kind").isin(*REJECTED)).join(known.where(F.col("batch_id") != batch_id).select("event_key"), "event_key", "left_anti")
@@ -78,7 +92,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def start(stream: DataFrame, windows: DataFrame, target: str, checkpoint: str, workspace: str, collector: str, component: str, available_now: bool = False) -> StreamingQuery:
+def start(stream: DataFrame, windows: DataFrame, target: str, checkpoint: str, workspace: str, collector: str, component: str, available_now: bool = False, uncovered: str = "reject") -> StreamingQuery:
     """Runs the ingestion of a stream of spool rows."""
-    writer = records(stream, workspace, collector, component).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, windows, target) and None)
+    writer = records(stream, workspace, collector, component).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, windows, target, uncovered) and None)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="3 seconds")).start()

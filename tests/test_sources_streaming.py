@@ -69,6 +69,20 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     assert spark.read.parquet(target).count() == 3
 
 
+def test_uncovered_rows_fail_a_batch_as_a_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("e", i, f"t{i}", MESSAGE % i, f"202{3 + i % 2}-01-02 10:00:00", "window") for i in (1, 2, 3)], print_spool.SCHEMA)
+    batch, target = ingest.records(rows, "w", "c", "spool"), f"file://{tmp_path}/target"
+    with pytest.raises(ingest.UncoveredRows, match="1 rows of batch 0"):
+        ingest.store_batch(batch, 0, windows(spark), target, uncovered="fail")
+    assert list(tmp_path.glob("target*/batch_id=*")) == []
+    earlier = spark.createDataFrame([(0, "2023-01-01 00:00:00", "2023-02-01 00:00:00", True)], "window_id long, a string, b string, completed boolean")
+    wider = windows(spark).unionByName(earlier.select("window_id", F.col("a").cast("timestamp_ntz").alias("started_at"), F.col("b").cast("timestamp_ntz").alias("ended_at"), "completed"))
+    assert ingest.store_batch(batch, 0, wider, target, uncovered="fail") == {"inserted": 3, "duplicates": 0, "rejected": 0}
+    assert ingest.store_batch(batch, 1, windows(spark), target)["rejected"] == 1
+    with pytest.raises(ValueError, match="unknown way"):
+        ingest.store_batch(batch, 1, windows(spark), target, uncovered="ignore")
+
+
 def test_rebuilt_database_starts_a_new_epoch(database, tmp_path):
     stream = print_spool.SpoolStream({"path": database})
     first = stream.latestOffset()

@@ -3,10 +3,12 @@ r"""Secret scans: three base patterns, and candidates that are reported only whe
 Base, leftmost and non-overlapping for each kind: assign, access and hex. The method adds, after decoding:
 
 * pem: an armoured private key whose base64 body is a DER value with lengths that nest exactly, an openssh key, or, below DEK-Info, whole cipher blocks;
-* key: base64 or hex, in one line or over several, that decodes to a DER private key or to an SSH public key blob with exact nested lengths;
+* key: base64, base64url or hex (also with colons), in one line or over several, that decodes to a DER private key or to an SSH public key blob with exact nested lengths;
 * jwt: three base64url parts of which the header is JSON with "alg" and the payload is JSON.
 
-Line breaks and slashes within keys may be escaped, as in JSON strings.
+Runs of base64, base64url or hex that decode to printable text are scanned once more after decoding, up to DEPTH times; what is found there is reported
+with its kind, from where the run begins to the end of the line where it ends. A key or token within a span of another kind of key is not reported again.
+Line breaks and slashes within keys may be escaped, as in JSON strings, and lines may be quoted or commented out (QUOTE).
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are each scanned.
 """
@@ -18,6 +20,7 @@ import binascii
 import bisect
 import json
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +36,44 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: A line break as it is, or escaped as in JSON strings.
 BREAK = r"(?:[\r\n]|\\+(?:[nrt]|u000[aAdD9]))"
+#: Marks before a line that is quoted or commented out.
+QUOTE = r"(?:[ \t]*+[>|#*])"
 #: Headers, as in encrypted keys, then base64 with white space, escaped or real, and escaped slashes.
-PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\s|{BREAK})*+((?:[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n\\])*+(?:[ \t]*{BREAK})++[ \t]*+)*+)((?:[A-Za-z0-9+/=\s]|{BREAK}|\\+(?=/))++)-----END \1-----")
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:{BREAK}{QUOTE}++|\s|{BREAK})*+((?:[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n\\])*+(?:[ \t]*{BREAK}{QUOTE}*+)++[ \t]*+)*+)((?:{BREAK}{QUOTE}++|[A-Za-z0-9+/=\s]|{BREAK}|\\+(?=/))++)-----END \1-----")
 CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*([0-9A-Fa-f]+)")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: What joins the lines of one key: breaks with the blanks around them, and the backslash of an escaped slash.
-JOIN = rf"(?:(?:[ \t]*{BREAK})+[ \t]*|\\+(?=/))"
-JOINS = re.compile(JOIN)
+#: base64url of a brace and a quote or white space begins with ew or ey.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: What joins the lines of one key: breaks with the blanks and marks around them, and the backslash of an escaped slash.
+JOIN = rf"(?:(?:[ \t]*+{BREAK}{QUOTE}*+)++[ \t]*+|\\+(?=/))"
+#: A colon between the bytes of one key.
+COLON = rf":{JOIN}?"
 #: Not within a word, but right after an escaped line break.
 EDGE = r"(?:(?<![{0}])|(?<=\\[nrt])|(?<=\\u000[aAdD9]))"
 #: DER begins with a sequence (0x30) of a short or a long length, SSH blobs with a four-byte length, so base64 of keys begins with MA to MI or AAAA.
-START64, RUN64 = re.compile(EDGE.format("A-Za-z0-9+/") + "(?:M[A-I]|AAAA)"), re.compile(f"[A-Za-z0-9+/]++(?:{JOIN}[A-Za-z0-9+/]++)*+")
-START16, RUN16 = re.compile(EDGE.format("0-9a-fA-F") + "(?:30|000000)"), re.compile(f"[0-9a-fA-F]++(?:{JOIN}[0-9a-fA-F]++)*+")
+BEGINS64, BEGINS16 = "(?:M[A-I]|AAAA)", "(?:30|000000)"
+
+
+class Coding(NamedTuple):
+    """How bytes stand in a text: bits a character, where keys begin, runs over lines, what joins the lines, one line, lines that may be encoded text."""
+
+    bits: int
+    start: re.Pattern
+    run: re.Pattern
+    join: re.Pattern
+    letters: re.Pattern
+    line: re.Pattern
+
+
+def _coding(bits: int, letters: str, begins: str) -> Coding:
+    run, line = f"[{letters}]++(?:{JOIN}[{letters}]++)*+", EDGE.format(r"\\" + letters) + f"[{letters}]{{{LINE},}}"
+    return Coding(bits, re.compile(EDGE.format(letters) + begins), re.compile(run), re.compile(JOIN), re.compile(f"[{letters}]++"), re.compile(line))
+
+
+#: Characters of a run's first line, at least, for it to be tried as encoded text, and how often a text is decoded.
+LINE, DEPTH = 40, 2
+BASE64, BASE64URL, HEXES = _coding(6, "A-Za-z0-9+/", BEGINS64), _coding(6, "A-Za-z0-9_-", BEGINS64), _coding(4, "0-9a-fA-F", BEGINS16)
+COLONS = Coding(4, re.compile(r"(?<![0-9a-fA-F:])(?:30|00:00:00):"), re.compile(f"[0-9a-fA-F]{{2}}(?:{COLON}[0-9a-fA-F]{{2}})*+"), re.compile(COLON), re.compile("[0-9a-fA-F]{2}"), re.compile("(?!)"))
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]*")
 #: Characters of a key at least.
 LEAST = 64
 #: Fields of SSH public keys by type; those of other types, as certificates, go as far as they fill lines.
@@ -117,8 +146,9 @@ def ssh_ends(data: bytes, at: int) -> list[int]:
     return ends[n - 1 : n] + ends[:0:-1]
 
 
-def keys(text: str, start: re.Pattern, run: re.Pattern, bits: int) -> list[tuple[int, int]]:
-    """Spans of the keys in lines of base64 (6 bits a character) or hex (4) that begin where `start` matches and end, by their own lengths, where a line does."""
+def keys(text: str, coding: Coding) -> list[tuple[int, int]]:
+    """Spans of the keys in lines of a coding that begin where its `start` matches and end, by their own lengths, where a line does."""
+    bits, start, run, join, *_ = coding
     spans, lo, hi, done, unit = [], 0, 0, 0, 4 if bits == 6 else 2
     chars, places, froms, decoded = "", [], [], {}
     for m in start.finditer(text):
@@ -128,7 +158,7 @@ def keys(text: str, start: re.Pattern, run: re.Pattern, bits: int) -> list[tuple
         if at >= hi:
             lo, hi = run.match(text, at).span()
             parts, places, froms, n, a = [], [], [], 0, lo
-            for j in [*JOINS.finditer(text, lo, hi), None]:
+            for j in [*join.finditer(text, lo, hi), None]:
                 b = j.start() if j else hi
                 parts.append(text[a:b])
                 places.append(n)
@@ -142,7 +172,7 @@ def keys(text: str, start: re.Pattern, run: re.Pattern, bits: int) -> list[tuple
         phase = first % unit
         if phase not in decoded:
             whole = chars[phase:]
-            decoded[phase] = (unbase64(whole[: len(whole) - 1] if len(whole) % 4 == 1 else whole) if bits == 6 else bytes.fromhex(whole[: len(whole) & ~1])) or b""
+            decoded[phase] = decode(whole, coding)
         data, byte = decoded[phase], (first - phase) * bits // 8
         der = data[byte : byte + 1] == b"0"
         for end in [der_end(data, byte)] if der else ssh_ends(data, byte):
@@ -161,8 +191,45 @@ def keys(text: str, start: re.Pattern, run: re.Pattern, bits: int) -> list[tuple
     return spans
 
 
+def decode(chars: str, coding: Coding) -> bytes:
+    """The whole bytes in characters of a coding, without what joins lines."""
+    if coding.bits == 4:
+        return bytes.fromhex(chars[: len(chars) & ~1])
+    return unbase64(chars[: len(chars) - 1] if len(chars) % 4 == 1 else chars, coding is BASE64URL) or b""
+
+
+def encoded(text: str, coding: Coding, depth: int) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of runs that decode to printable text in which a candidate is confirmed. Lines are decoded only as far as they are printable."""
+    spans, done, unit = [], 0, 4 if coding.bits == 6 else 2
+    for m in coding.line.finditer(text):
+        if m.start() < done:
+            continue
+        lines, data, rest, at, n = [], [], "", m.start(), 0  # lines: (characters up to the line's end, its end in the text)
+        while at is not None:
+            # a line at a time: however many runs begin within one another's lines, no line is decoded twice
+            stop = coding.letters.match(text, at).end()
+            j = coding.join.match(text, stop)
+            j = j if j and coding.letters.match(text, j.end()) else None
+            n += stop - at
+            lines.append((n, stop))
+            rest += text[at:stop]
+            cut = len(rest) // unit * unit if j else len(rest)
+            piece, rest = decode(rest[:cut], coding), rest[cut:]
+            good = PRINTABLE.match(piece).end()
+            data.append(piece[:good])
+            at = j.end() if j and good == len(piece) else None
+        done, found = lines[-1][1], b"".join(data)
+        inner = confirmed(found.decode(), found, depth + 1) if len(found) >= LINE // 2 else []
+        if inner:
+            last = -(-max(b for *_, b in inner) * 8 // coding.bits)
+            end = next(e for k, e in lines if k >= last)
+            done = end + len(re.match("={0,2}", text[end : end + 2])[0])
+            spans.append((m.start(), min(inner)[1], done))
+    return spans
+
+
 def unbase64(text: str, url: bool = False) -> bytes | None:
-    text = re.sub(rf"\s|{BREAK}|\\+(?=/)", "", text).rstrip("=")
+    text = re.sub(rf"{BREAK}{QUOTE}++|\s|{BREAK}|\\+(?=/)", "", text).rstrip("=")
     if len(text) % 4 == 1:
         return None
     try:
@@ -184,21 +251,28 @@ def is_token(head: str, body: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
 
-def confirmed(text: str, raw: bytes) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the candidates whose structure holds."""
+def confirmed(text: str, raw: bytes, depth: int = 0) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the candidates whose structure holds; none lies within another one."""
     spans = []
     if b"PRIVATE KEY-----" in raw:
         for m in PEM.finditer(text):
             data, cipher = unbase64(m[3]), CIPHER.search(m[2])
             if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0") or (m[1].startswith("ENCRYPTED") and len(der_items(data, 0, len(data)) or []) == 1) or (cipher and is_enciphered(data, cipher[1]))):
                 spans.append((m.start(), 3, m.end()))
-    if b"M" in raw or b"AAAA" in raw:
-        spans += [(a, 4, b) for a, b in keys(text, START64, RUN64, 6)]
-    if b"30" in raw or b"000000" in raw:
-        spans += [(a, 4, b) for a, b in keys(text, START16, RUN16, 4)]
-    if b"eyJ" in raw:
+    codings = [BASE64] * (b"M" in raw or b"AAAA" in raw)
+    codings += [BASE64URL] * (bool(codings) and (b"-" in raw or b"_" in raw))
+    codings += [HEXES] * (b"30" in raw or b"000000" in raw) + [COLONS] * (b"30:" in raw or b"00:00:00:" in raw)
+    spans += [(a, 4, b) for coding in codings for a, b in keys(text, coding)]
+    if b"." in raw and (b"ey" in raw or b"ew" in raw):
         spans += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
-    return spans
+    if depth < DEPTH:
+        spans += [s for coding in (BASE64, BASE64URL, HEXES) for s in encoded(text, coding, depth)]
+    whole, reach = [], 0
+    for a, k, b in sorted(spans, key=lambda s: (s[0], -s[2], s[1])):
+        if b > reach:
+            whole.append((a, k, b))
+            reach = b
+    return whole
 
 
 def scan(texts: list[bytes]) -> dict:

@@ -1,19 +1,21 @@
 r"""License scans: a generalised suffix automaton of licence words, matching statistics, and chains of long matches.
 
 The automaton holds the words of every template. A text's words stream through it: at each word, the length of the longest
-run that ends there and stands in some template, and the templates and places it stands at. Runs of LEAST words or more that
-cannot be extended are anchors, at every place that they have in a template; anchors of a template whose places go forward in
-both, with gaps of at most GAP words, make a chain. Chains that cover COVER of their template give its label: the heaviest one,
-then those beside it that share no word with it. The base phrases are templates of their own, found whole.
+run that ends there and stands in some template, and along the suffix links every template and place where a shorter run stands.
+Runs of LEAST words or more that no place's own template extends on either side are anchors, so that a template within another
+one has its own; anchors of a template whose places go forward in both, with gaps of at most GAP words, make a chain. Chains that
+cover COVER of their template give its label: the heaviest one, then those beside it that share no word with it. Names of licences
+are templates that must stand word for word; one within a longer one or within a chain of its label is not reported. The base phrases are found whole.
+SPDX identifiers are read after `spdx license identifier`: the longest known one, and those that `or` and `and` add.
 
 Templates are opening words, notices and whole texts of public licences; others can be given as a list or table of texts and
-labels, MOST_TEMPLATE_WORDS words at most, as every task holds them. Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased. Null and empty texts have none. Repeated rows are each scanned. Kept columns with the name of a result go.
+labels (texts_of() makes one of a folder of licence texts), MOST_TEMPLATE_WORDS words at most, as every task holds them. Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased. Null and empty texts have none. Repeated rows are each scanned. Kept columns with the name of a result go.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +89,52 @@ TEMPLATES = (
         "unlicense",
     ),
 )
+# Names of licences as notices give them, LEAST words or more each.
+NAMES = (
+    ("gnu lesser general public license", "lgpl"),
+    ("gnu library general public license", "lgpl"),
+    ("gnu affero general public license", "agpl"),
+    ("gnu free documentation license", "gfdl"),
+    ("apache license version 2 0", "apache-2.0"),
+    ("apache license v2 0", "apache-2.0"),
+    ("apache license 2 0", "apache-2.0"),
+    ("apache software license version 2 0", "apache-2.0"),
+    ("mozilla public license version 2 0", "mpl-2.0"),
+    ("mozilla public license v2 0", "mpl-2.0"),
+    ("mozilla public license 2 0", "mpl-2.0"),
+    ("mozilla public license version 1 1", "mpl-1.1"),
+    ("eclipse public license version 1 0", "epl-1.0"),
+    ("eclipse public license v1 0", "epl-1.0"),
+    ("eclipse public license version 2 0", "epl-2.0"),
+    ("eclipse public license v2 0", "epl-2.0"),
+    ("eclipse public license 2 0", "epl-2.0"),
+    ("boost software license version 1 0", "bsl-1.0"),
+    ("common development and distribution license", "cddl"),
+    ("european union public licence", "eupl"),
+    ("sil open font license", "ofl"),
+    ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("creative commons attribution non commercial", "cc-by-nc"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("creative commons attribution share alike", "cc-by-sa"),
+    ("creative commons attribution noderivatives", "cc-by-nd"),
+    ("creative commons attribution no derivatives", "cc-by-nd"),
+    ("creative commons zero v1 0", "cc0-1.0"),
+    ("licensed under the mit license", "mit"),
+    ("released under the mit license", "mit"),
+    ("distributed under the mit license", "mit"),
+    ("the terms of the mit license", "mit"),
+    ("licensed under the bsd license", "bsd"),
+    ("released under the bsd license", "bsd"),
+)
+# Identifiers of the SPDX licence list that are most in use; in lower case they are labels.
+SPDX = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0
+CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 EPL-1.0 EPL-2.0 EUPL-1.2
+GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC
+LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later
+MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL PostgreSQL PSF-2.0 Python-2.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
+"""
+SPDX_MARK = "spdx license identifier"
 #: Words of all templates, at most.
 MOST_TEMPLATE_WORDS = 1_000_000
 #: Words of the shortest anchor, words between anchors of a chain, and the part of a template that a chain must cover.
@@ -111,6 +159,17 @@ class SuffixAutomaton:
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             if self.length[self.link[s]] >= least:
                 self.ends[self.link[s]] |= self.ends[s]
+        self.least, self._steps = least, {}
+
+    def steps(self, s: int) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(words, ends) of a state's runs and of those its suffix links lead to: the ends where no longer run of the state ends, sorted."""
+        if s not in self._steps:
+            got, at = [(self.length[s], sorted(self.ends[s]))], s
+            while self.length[self.link[at]] >= self.least:
+                at, below = self.link[at], at
+                got.append((self.length[at], sorted(self.ends[at] - self.ends[below])))
+            self._steps[s] = got
+        return self._steps[s]
 
     def _state(self, length: int) -> int:
         self.next.append({})
@@ -154,15 +213,35 @@ class SuffixAutomaton:
             yield n, s
 
 
-def scanner(given: tuple[tuple[str, str], ...] = TEMPLATES):
-    """A function from texts to the columns of OUT, for templates of texts and labels."""
+def _identifiers() -> dict[tuple[bytes, ...], str]:
+    """SPDX identifiers by their words."""
+    return {tuple(words_of(x.lower().encode())): x.lower() for x in SPDX.split()}
+
+
+def _expression(words: list[bytes], at: int, known: dict[tuple[bytes, ...], str]) -> list[dict]:
+    """The identifiers of an SPDX expression that begins at a word."""
+    out, most = [], max(map(len, known))
+    while True:
+        n = next((n for n in range(most, 0, -1) if tuple(words[at : at + n]) in known), 0)
+        if not n:
+            return out
+        out.append({"label": known[tuple(words[at : at + n])], "first": at, "last": at + n - 1, "cover": 1.0})
+        at += n
+        if words[at : at + 1] not in ([b"or"], [b"and"]):
+            return out
+        at += 1
+
+
+def scanner(given: tuple[tuple[str, str], ...] = TEMPLATES, names: tuple[tuple[str, str], ...] = ()):
+    """A function from texts to the columns of OUT, for templates and names of texts and labels."""
     vocabulary: dict[bytes, int] = {}
     number = lambda text: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text.encode())]
     phrases = [(number(p), label) for p, label in BASE]
-    templates = [(number(p), label) for p, label in given]
-    automaton = SuffixAutomaton([p for p, _ in templates])
+    templates = [(number(p), label, False) for p, label in given] + [(number(p), label, True) for p, label in names]
+    mark, known = number(SPDX_MARK), _identifiers()
+    automaton = SuffixAutomaton([p for p, *_ in templates])
     # runs of LEAST words that stand in a template: the automaton's anchors lie around these
-    grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(_key(np.array(p, np.int64)) for p, _ in templates if len(p) >= LEAST)]))
+    grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(_key(np.array(p, np.int64)) for p, *_ in templates if len(p) >= LEAST)]))
 
     def scan(texts: list[bytes]) -> dict:
         words = [words_of(t) for t in texts]
@@ -174,17 +253,26 @@ def scanner(given: tuple[tuple[str, str], ...] = TEMPLATES):
             ids[at : at + len(w)] = [get(x, 0) for x in w]
         base: list[list[dict]] = [[] for _ in texts]
         chains: list[list[dict]] = [[] for _ in texts]
-        for phrase, label in phrases:
+
+
+        def places(phrase: list[int]):
             hit = np.ones(len(ids) - len(phrase) + 1, bool)
             for k, p in enumerate(phrase):
                 hit &= ids[k : k + len(hit)] == p
             for at in np.flatnonzero(hit):
                 d = int(np.searchsorted(starts, at, "right")) - 1
-                base[d].append({"label": label, "first": int(at - starts[d]), "last": int(at - starts[d]) + len(phrase) - 1, "cover": 1.0})
+                yield d, int(at - starts[d])
+
+        for phrase, label in phrases:
+            for d, at in places(phrase):
+                base[d].append({"label": label, "first": at, "last": at + len(phrase) - 1, "cover": 1.0})
         seeds = np.flatnonzero(np.isin(_key(ids), grams))
         for lo, hi, d in _regions(seeds, np.searchsorted(starts, seeds, "right") - 1):
             chains[d] += _chains(automaton, templates, ids[lo:hi].tolist(), lo - int(starts[d]))
-        return {"n_words": sizes, "base": [sorted(b, key=lambda s: (s["first"], s["label"])) for b in base], "chains": chains}
+        for d, at in places(mark):
+            chains[d] += _expression(words[d], at + len(mark), known)
+        order = lambda s: (s["first"], s["label"], s["last"])
+        return {"n_words": sizes, "base": [sorted(b, key=order) for b in base], "chains": [sorted(c, key=order) for c in chains]}
 
     return scan
 
@@ -211,23 +299,62 @@ def _regions(seeds: np.ndarray, texts: np.ndarray) -> list[tuple[int, int, int]]
 
 def _chains(automaton: SuffixAutomaton, templates, words: list[int], offset: int) -> list[dict]:
     """The chains of one region that cover enough of their template."""
-    stats = list(automaton.statistics(words))
     anchors: dict[int, list[tuple[int, int, int]]] = {}
-    for i, (n, s) in enumerate(stats):
-        if n >= LEAST and (i + 1 == len(stats) or stats[i + 1][0] <= n):
-            for t, place in sorted(automaton.ends[s]):
-                anchors.setdefault(t, []).append((i - n + 1, place - n + 1, n))
-    out = []
+    for i, (n, s) in enumerate(automaton.statistics(words)):
+        if n < LEAST:
+            continue
+        after = words[i + 1] if i + 1 < len(words) else None
+        for size, ends in automaton.steps(s):
+            size = min(n, size)
+            for t, place in ends:
+                template = templates[t][0]
+                if place + 1 == len(template) or template[place + 1] != after:
+                    anchors.setdefault(t, []).append((i - size + 1, place - size + 1, size))
+    out, whole = [], []
     for t, found in anchors.items():
-        open_ = [found]
+        template, label, is_name = templates[t]
+        if is_name:
+            whole += [{"label": label, "first": offset + a, "last": offset + a + n - 1, "cover": 1.0} for a, _, n in found if n == len(template)]
+            continue
+        open_ = _apart(found)
         while open_:  # the heaviest chain, then those on both sides of it
             rest = open_.pop()
             weight, first, last = _heaviest(rest)
-            if weight >= COVER * len(templates[t][0]):
-                out.append({"label": templates[t][1], "first": offset + first, "last": offset + last, "cover": weight / len(templates[t][0])})
+            if weight >= COVER * len(template):
+                out.append({"label": label, "first": offset + first, "last": offset + last, "cover": weight / len(template)})
                 sides = [x for x in rest if x[0] + x[2] <= first], [x for x in rest if x[0] > last]
                 open_ += [side for side in sides if side]
-    return sorted(out, key=lambda s: (s["first"], s["label"], s["last"]))
+    # a name within a longer name, or within a chain of its own label, says nothing new
+    reach, covered = -1, {}
+    for is_name, span in sorted([*((False, c) for c in out), *((True, c) for c in whole)], key=lambda s: (s[1]["first"], -s[1]["last"], s[0])):
+        if is_name:
+            if span["last"] > max(reach, covered.get(span["label"], -1)):
+                out.append(span)
+            reach = max(reach, span["last"])
+        else:
+            covered[span["label"]] = max(covered.get(span["label"], -1), span["last"])
+    return out
+
+
+def _apart(anchors: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The anchors (by their ends) in groups that share no word and between which no chain goes, so that a text of many notices is not searched whole for each."""
+    spans = []  # from the first anchor that one may follow to its own end
+    for k, (a, b, n) in enumerate(anchors):
+        first = a
+        for j in range(k - 1, -1, -1):
+            x, y, m = anchors[j]
+            if a - x - m > GAP:
+                break
+            if x + m <= a and y + m <= b:
+                first = min(first, x)
+        spans.append((first, a + n, k))
+    out, reach = [], -1
+    for first, end, k in sorted(spans):
+        if first >= reach:
+            out.append([])
+        out[-1].append(k)
+        reach = max(reach, end)
+    return [[anchors[k] for k in sorted(group)] for group in out]
 
 
 def _heaviest(anchors: list[tuple[int, int, int]]) -> tuple[int, int, int]:
@@ -259,10 +386,17 @@ def checked(templates) -> tuple[tuple[str, str], ...]:
     return tuple((str(t), str(label)) for t, label in templates)
 
 
-def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates=TEMPLATES) -> DataFrame:
-    """The columns `keep` of docs (all but the text, if None), n_words, base (phrase places) and chains (covered template spans)."""
-    given = checked(templates)
-    return map_texts(docs, text_col, others(docs, text_col) if keep is None else keep, OUT, lambda: scanner(given))
+def texts_of(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of templates (text, label) of a folder's files, whole licence texts each, labelled by their names in lower case."""
+    files = spark.read.text(folder, wholetext=True)
+    return files.select(F.col("value").alias("text"), F.lower(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", "")).alias("label"))
+
+
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates=TEMPLATES, names=None) -> DataFrame:
+    """The columns `keep` of docs (all but the text, if None), n_words, base (phrase places) and chains (spans of covered templates,
+    names and SPDX identifiers). Names are a list like templates; by default NAMES beside the default templates, and none beside others."""
+    given, named = checked(templates), checked((NAMES if templates is TEMPLATES else ()) if names is None else names)
+    return map_texts(docs, text_col, others(docs, text_col) if keep is None else keep, OUT, lambda: scanner(given, named))
 
 
 def digest(found: DataFrame) -> DataFrame:

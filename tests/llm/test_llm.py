@@ -518,10 +518,13 @@ def test_licenses(spark):
 def brute_spans(words, templates):
     """Chains by trying every set of anchors' predecessors, over matches found by comparing all places."""
     runs = []
-    longest = [max([n for n in range(len(words) + 1) if n <= i + 1 and any(words[i - n + 1 : i + 1] == t[p : p + n] for t, _ in templates for p in range(len(t) - n + 1))]) if words else 0 for i in range(len(words))]
-    for i, n in enumerate(longest):
-        if n >= licenses.LEAST and (i + 1 == len(words) or longest[i + 1] <= n):
-            runs += [(k, i - n + 1, p, n) for k, (t, _) in enumerate(templates) for p in range(len(t) - n + 1) if t[p : p + n] == words[i - n + 1 : i + 1]]
+    for k, (t, _) in enumerate(templates):
+        for i in range(len(words)):
+            for p in range(len(t)):
+                n = next((n for n in range(len(words)) if i + n >= len(words) or p + n >= len(t) or words[i + n] != t[p + n]), len(words))
+                if n >= licenses.LEAST and not (i and p and words[i - 1] == t[p - 1]):
+                    runs.append((k, i, p, n))
+    runs.sort(key=lambda r: (r[0], r[1] + r[3], -r[3], r[2]))
     out = []
     for k, (t, label) in enumerate(templates):
         sides = [[r[1:] for r in runs if r[0] == k]]
@@ -574,6 +577,36 @@ def test_license_chains_are_those_of_brute_force(spark):
     assert own[2].labels == "house,reserved" and own[0].labels == ""
 
 
+def test_templates_within_templates_and_names(spark, tmp_path):
+    scan = licenses.scanner((("a b c d e f g h i j k l", "outer"), ("c d e f g h", "inner"), ("c d e f x", "other")))
+    for text, want in [("a b c d e f g h i j k l", [("outer", 0, 11), ("inner", 2, 7)]), ("z b c d e f g h z", [("inner", 2, 7)]), ("c d e f x", [("other", 0, 4)]), ("c d e f", [("other", 0, 3)])]:
+        (got,) = scan([text.encode()])["chains"]
+        assert [(c["label"], c["first"], c["last"]) for c in got if c["label"] != "other" or want[0][0] == "other"] == want
+    texts = {
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note": "gpl-2.0-only",
+        "spdx-license-identifier: (MIT OR Apache-2.0) and more": "apache-2.0,mit",
+        "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: none such": "",
+        "The SPDX licence identifier MIT": "",
+        "Licensed under the GNU Lesser General Public License v2.1": "gpl,lgpl",
+        "the Apache License, 2.0": "apache-2.0",
+        "Mozilla Public License, v. 2.0": "",
+        "Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc",
+        "released under the MIT license.": "mit",
+        "an apache, a license, 2 0": "",
+    }
+    got = by_id(licenses.digest(licenses.find(docs(spark, list(texts)))))
+    assert {t: got[i].labels for i, t in enumerate(texts)} == texts
+    # the files of a folder as templates: a text with one word in ten changed is found, half of it isn't
+    body = [f"w{i}" for i in range(300)]
+    (tmp_path / "House-1.txt").write_text(" ".join(body))
+    table = licenses.texts_of(spark, f"file://{tmp_path}")
+    changed = " ".join("new" if i % 10 == 9 else w for i, w in enumerate(body))
+    own = by_id(licenses.digest(licenses.find(docs(spark, [changed, " ".join(body[:150]), " ".join(body) + " apache license 2 0"]), templates=table)))
+    assert [own[i].labels for i in range(3)] == ["house-1", "", "house-1"] and own[0].score == 0.9
+
+
 def test_matching_statistics():
     r = random.Random(2)
     sequences = [[r.randrange(4) for _ in range(30)] for _ in range(5)]

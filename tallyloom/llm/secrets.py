@@ -73,6 +73,9 @@ def _coding(bits: int, letters: str, begins: str) -> Coding:
 LINE, DEPTH = 40, 2
 BASE64, BASE64URL, HEXES = _coding(6, "A-Za-z0-9+/", BEGINS64), _coding(6, "A-Za-z0-9_-", BEGINS64), _coding(4, "0-9a-fA-F", BEGINS16)
 COLONS = Coding(4, re.compile(r"(?<![0-9a-fA-F:])(?:30|00:00:00):"), re.compile(f"[0-9a-fA-F]{{2}}(?:{COLON}[0-9a-fA-F]{{2}})*+"), re.compile(COLON), re.compile("[0-9a-fA-F]{2}"), re.compile("(?!)"))
+#: Bytes of any coding as a, others as blanks: whether a run is long enough to be tried is seen at once. The shortest header of a token has 14.
+MARKED = bytes(97 if re.match(rb"[A-Za-z0-9+/_-]", bytes([i])) else 32 for i in range(256))
+HEADER = 14
 PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]*")
 #: Characters of a key at least.
 LEAST = 64
@@ -263,9 +266,10 @@ def confirmed(text: str, raw: bytes, depth: int = 0) -> list[tuple[int, int, int
     codings += [BASE64URL] * (bool(codings) and (b"-" in raw or b"_" in raw))
     codings += [HEXES] * (b"30" in raw or b"000000" in raw) + [COLONS] * (b"30:" in raw or b"00:00:00:" in raw)
     spans += [(a, 4, b) for coding in codings for a, b in keys(text, coding)]
-    if b"." in raw and (b"ey" in raw or b"ew" in raw):
+    runs = raw.translate(MARKED)
+    if (b"ey" in raw or b"ew" in raw) and b"a" * HEADER in runs:
         spans += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
-    if depth < DEPTH:
+    if depth < DEPTH and b"a" * LINE in runs:
         spans += [s for coding in (BASE64, BASE64URL, HEXES) for s in encoded(text, coding, depth)]
     whole, reach = [], 0
     for a, k, b in sorted(spans, key=lambda s: (s[0], -s[2], s[1])):

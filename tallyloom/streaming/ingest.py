@@ -1,7 +1,8 @@
 """Streaming ingestion of captured records: event identity, capture windows, and a sink that takes each event once.
 
-A micro-batch is keyed, classified against the windows and written where its keys are not in the target yet. Keys are kept by
-the target itself, not by state, as replays may come at any time. A batch that runs again gives the same target.
+A micro-batch is keyed, classified against the windows and written where its keys are not in the target yet. Keys are kept beside
+the target, not in state, as replays may come at any time: in parts by source and range of rows, of which a batch reads those that
+its own rows fall into, so that what it reads is bounded by the range's size and not by the target's. A batch that runs again gives the same target.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ TARGET = "event_key string, workspace string, collector string, source_component
 REJECTED = ("rejected",)
 #: A payload's characters, at most; longer ones are quarantined with their kind.
 MOST_PAYLOAD = 2_000_000
+#: Source rows in a part of the key index, and folders of batches in a part, at most, before they are merged into one.
+PART_ROWS, PART_FOLDERS = 100_000, 32
+KEYS = "event_key string, stored_by long, part string, run long"
 
 
 def records(rows: DataFrame, workspace: str, collector: str, component: str) -> DataFrame:
@@ -49,6 +53,61 @@ def assigned(batch: DataFrame, windows: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind).drop("w", "capture_assignment")
 
 
+def key_part():
+    """The part of the key index that an event belongs to, of nothing but what its key is made of: source and epoch, and the row's range; other indexes go by their hash."""
+    epoch, row = (F.regexp_extract(F.coalesce("source_index", F.lit("")), r"^(.*):([0-9]{1,18})$", k) for k in (1, 2))
+    source = F.md5(F.to_json(F.array("workspace", "collector", "source_component", epoch)))
+    block = F.when(row != "", F.floor(row.cast("long") / PART_ROWS).cast("string")).otherwise(F.concat(F.lit("x"), F.substring(F.md5("event_key"), 1, 2)))
+    return F.concat_ws("-", F.substring(source, 1, 16), block)
+
+
+def known_keys(spark: SparkSession, target: str, parts: list[str], batch_id: int) -> DataFrame:
+    """The keys that other batches stored in some parts of the index."""
+    folders = [f"{target}-keys/part={p}" for p in parts]
+    folders = [f for f in folders if _exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], KEYS)
+    return spark.read.schema(KEYS).option("basePath", f"{target}-keys").parquet(*folders).where(F.col("stored_by") != batch_id)
+
+
+def _store_keys(rows: DataFrame, target: str, parts: list[str], batch_id: int) -> None:
+    """Puts a batch's keys into the index in place of those that an earlier run of it left there, then merges parts of too many batches."""
+    spark = rows.sparkSession
+    for p in parts:
+        _delete(spark, f"{target}-keys/part={p}/run={batch_id}")
+    number = F.lit(batch_id).cast("long")
+    rows.select("event_key", number.alias("stored_by"), key_part().alias("part"), number.alias("run")).repartition("part").write.mode("append").partitionBy("part", "run").parquet(f"{target}-keys")
+    for p in parts:
+        merge_keys(spark, target, p, batch_id)
+
+
+def merge_keys(spark: SparkSession, target: str, part: str, batch_id: int) -> None:
+    """Merges a part's folders of earlier batches, when there are over PART_FOLDERS. The merged folder is in place before the others go: a run that stops between leaves keys twice, never none."""
+    top = f"{target}-keys/part={part}"
+    old = [n for n in _names(spark, top) if n.startswith("run=") and n != f"run={batch_id}"]
+    if len(old) <= PART_FOLDERS:
+        return
+    # batches' numbers are 0 or more; merged folders count down from -1
+    merged = min(0, *(int(n.split("=")[1]) for n in old)) - 1
+    spark.read.schema("event_key string, stored_by long").parquet(*[f"{top}/{n}" for n in old]).distinct().coalesce(1).write.mode("overwrite").parquet(f"{top}/.merging")
+    source, place = (spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{n}") for n in (".merging", f"run={merged}"))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, place):
+        raise OSError(f"{source} could not be renamed")
+    for n in old:
+        _delete(spark, f"{top}/{n}")
+
+
+def index_keys(spark: SparkSession, target: str) -> None:
+    """Makes the key index of a target that has none, from all its rows."""
+    if _exists(spark, f"{target}-keys") or not _exists(spark, target):
+        return
+    rows = spark.read.schema(TARGET).parquet(target).select("event_key", F.col("batch_id").alias("stored_by"), key_part().alias("part"), F.lit(-1).cast("long").alias("run"))
+    rows.repartition("part").write.mode("overwrite").partitionBy("part", "run").parquet(f"{target}-keys-new")
+    new, place = (spark._jvm.org.apache.hadoop.fs.Path(f"{target}-keys{x}") for x in ("-new", ""))
+    if not new.getFileSystem(spark._jsc.hadoopConfiguration()).rename(new, place):
+        raise OSError(f"{new} could not be renamed")
+
+
 class UncoveredRows(Exception):
     """A batch has rows that no capture window holds."""
 
@@ -71,11 +130,13 @@ def store_batch(batch: DataFrame, batch_id: int, windows: DataFrame, target: str
         if outside.n:
             _delete(spark, staged)
             raise UncoveredRows(f"{outside.n} rows of batch {batch_id} are in no window, {outside.first} among them")
-    known = spark.read.schema(TARGET).parquet(target) if _exists(spark, target) else spark.createDataFrame([], TARGET)
-    # the batch's own folder is written anew when it runs again
-    new = judged.where(~F.col("kind").isin(*REJECTED)).join(known.where(F.col("batch_id") != batch_id).select("event_key"), "event_key", "left_anti")
-    columns = [c for c in known.columns if c != "batch_id"]
+    index_keys(spark, target)
+    parts = [r.part for r in judged.select(key_part().alias("part")).distinct().collect()]  # one for each source and PART_ROWS rows of a batch
+    # the batch's own folders are written anew when it runs again
+    new = judged.where(~F.col("kind").isin(*REJECTED)).join(known_keys(spark, target, parts, batch_id).select("event_key"), "event_key", "left_anti")
+    columns = [c.split(" ")[0] for c in TARGET.split(", ") if not c.startswith("batch_id ")]
     new.select(*columns).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    _store_keys(spark.read.parquet(f"{target}/batch_id={batch_id}"), target, parts, batch_id)
     counts = {r.kind: r["count"] for r in judged.groupBy("kind").count().collect()}  # a row for each kind
     inserted = spark.read.parquet(f"{target}/batch_id={batch_id}").count()
     _delete(spark, staged)
@@ -87,6 +148,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

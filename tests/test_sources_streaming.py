@@ -83,6 +83,34 @@ def test_uncovered_rows_fail_a_batch_as_a_whole(spark, tmp_path):
         ingest.store_batch(batch, 1, windows(spark), target, uncovered="ignore")
 
 
+def test_what_a_batch_reads_does_not_grow_with_the_target(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "PART_ROWS", 40)
+    monkeypatch.setattr(ingest, "PART_FOLDERS", 3)
+    target = f"file://{tmp_path}/target"
+
+    def batch(rowids):
+        return ingest.records(spark.createDataFrame([("e", i, f"t{i}", MESSAGE % i, "2024-01-02 10:00:00", "window") for i in rowids], print_spool.SCHEMA), "w", "c", "spool")
+
+    def read(rows, n):
+        parts = [r.part for r in rows.select(ingest.key_part().alias("part")).distinct().collect()]
+        files = ingest.known_keys(spark, target, parts, n).inputFiles()
+        return len(files), sum((tmp_path / f.split(f"{tmp_path}/")[1]).stat().st_size for f in files)
+
+    seen = []
+    for n in range(12):
+        rows = batch(range(10 * n - 2, 10 * n + 10))  # two rows of the batch before come again
+        seen.append(read(rows, n))
+        assert ingest.store_batch(rows, n, windows(spark), target) == {"inserted": 10 if n else 12, "duplicates": 2 if n else 0, "rejected": 0}
+    assert max(files for files, _ in seen[6:]) <= max(files for files, _ in seen[:6]) <= 8 and 0 < max(size for _, size in seen[6:]) <= 1.1 * max(size for _, size in seen[:6])
+    # rows of long ago are known still, through merged folders too, and the last batch may run again
+    assert ingest.store_batch(batch(range(5, 115, 7)), 12, windows(spark), target)["inserted"] == 0
+    assert ingest.store_batch(rows, 11, windows(spark), target)["inserted"] == 10
+    assert spark.read.parquet(target).select("event_key").distinct().count() == spark.read.parquet(target).count() == 122
+    # a target without an index gets one
+    ingest._delete(spark, f"{target}-keys")
+    assert ingest.store_batch(batch([3, 77, 1000]), 13, windows(spark), target) == {"inserted": 1, "duplicates": 2, "rejected": 0}
+
+
 def test_rebuilt_database_starts_a_new_epoch(database, tmp_path):
     stream = print_spool.SpoolStream({"path": database})
     first = stream.latestOffset()

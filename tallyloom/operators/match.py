@@ -116,7 +116,11 @@ def sku_scores(rows: DataFrame, skus: DataFrame, row_id: list[str], fields: list
     All is done on the distinct values of each product, then joined with the rows. Equal terms are found by equi-join. Only
     values of rows without one, for which lower scores count, are compared by containment: the contained text's first characters
     have to be among the runs of the other, which makes that an equi-join too, and no product's terms meet all its values."""
-    value = rows.select(*row_id, "product_id", F.explode(F.array_distinct(F.array(*[match_text(F.col(f)) for f in fields]))).alias("value")).where("value != ''")
+    return _sku_scores(rows.select(*row_id, "product_id", F.explode(F.array_distinct(F.array(*[match_text(F.col(f)) for f in fields]))).alias("value")).where("value != ''"), skus, row_id)
+
+
+def _sku_scores(value: DataFrame, skus: DataFrame, row_id: list[str]) -> DataFrame:
+    """sku_scores() of values (row_id, product_id, value)."""
     term = skus.select("product_id", "sku_id", F.explode(F.array_distinct(F.transform("terms", match_text))).alias("term")).where("term != ''")
     equal = value.join(term.withColumnRenamed("term", "value"), ["product_id", "value"]).groupBy(*row_id, "product_id", "sku_id").agg((F.max(F.length("value")) + 10000).alias("score"))
     rest = value.join(equal.select(*row_id).distinct(), row_id, "left_anti")
@@ -132,9 +136,20 @@ def sku_scores(rows: DataFrame, skus: DataFrame, row_id: list[str], fields: list
 
 def top_sku(scores: DataFrame, row_id: list[str]) -> DataFrame:
     """The single SKU of the highest score, or none where several have it (n_best)."""
-    best = scores.groupBy(*row_id).agg(F.max(F.struct("score")).alias("m"), F.max_by("sku_id", F.struct("score", "sku_id")).alias("sku"))
-    ties = scores.join(best.select(*row_id, F.col("m.score").alias("score")), [*row_id, "score"]).groupBy(*row_id).agg(F.count("*").alias("n_best"))
-    return best.join(ties, row_id).select(*row_id, F.col("m.score").alias("score"), "n_best", F.when(F.col("n_best") == 1, F.col("sku")).alias("sku_id"))
+    each = scores.groupBy(*row_id, "score").agg(F.count("*").alias("n_best"), F.max("sku_id").alias("sku"))
+    best = each.groupBy(*row_id).agg(F.max(F.struct("score", "n_best", "sku")).alias("m"))
+    return best.select(*row_id, F.col("m.score").alias("score"), F.col("m.n_best").alias("n_best"), F.when(F.col("m.n_best") == 1, F.col("m.sku")).alias("sku_id"))
+
+
+def best_sku(rows: DataFrame, skus: DataFrame, row_id: list[str], fields: list[str]) -> DataFrame:
+    """top_sku() of sku_scores() of the rows; rows without a score are left out.
+
+    What is compared are the distinct sets of values, not the rows, so that the scores of all SKUs don't grow with the rows."""
+    value = F.array_distinct(F.array(*[match_text(F.col(f)) for f in fields]))
+    held = rows.select(*row_id, F.transform(value, lambda v: F.struct(F.col("product_id").alias("product_id"), v.alias("value"))).alias("own"))
+    held = held.groupBy(*row_id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("__held"))  # one row's values
+    scores = _sku_scores(held.select("__held").distinct().select("__held", F.explode("__held").alias("v")).select("__held", "v.*").where("value != ''"), skus, ["__held"])
+    return held.hint("merge").join(top_sku(scores, ["__held"]), "__held").drop("__held")  # rows are never broadcast, however small their files
 
 
 def linked(rows: DataFrame, products: DataFrame, skus: DataFrame, images: DataFrame, sku_fields: list[str], row_id: str = "row_index") -> DataFrame:
@@ -145,7 +160,7 @@ def linked(rows: DataFrame, products: DataFrame, skus: DataFrame, images: DataFr
     hit = rows.withColumns({"product_id": F.col("rule.product_id"), "want_sku": F.col("rule.sku_id"), "want_image": F.col("rule.image_id")})
     p = products.select("product_id", "product_name", F.col("stall_id").alias("p_stall_id"), F.col("stall_name").alias("p_stall_name"))
     auto = hit.where((F.col("match_status") == "hit") & F.col("want_sku").isNull())
-    best = top_sku(sku_scores(auto, skus.select("product_id", "sku_id", "terms"), [row_id], sku_fields), [row_id]).select(row_id, F.col("sku_id").alias("auto_sku"), "n_best")
+    best = best_sku(auto, skus.select("product_id", "sku_id", "terms"), [row_id], sku_fields).select(row_id, F.col("sku_id").alias("auto_sku"), "n_best")
     s = skus.select(F.col("sku_id").alias("use_sku"), F.col("product_id").alias("sku_product"), "sku_name", F.col("image_id").alias("sku_image"), F.col("stall_id").alias("s_stall_id"), F.col("stall_name").alias("s_stall_name"))
     out = hit.join(p, "product_id", "left").join(best, row_id, "left")
     out = out.withColumn("use_sku", F.coalesce("want_sku", "auto_sku")).join(s, "use_sku", "left")

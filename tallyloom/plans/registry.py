@@ -100,19 +100,19 @@ def rule_hits_by_join(spark, sf_dir):
 SKU_SQL = "WITH s AS (SELECT DISTINCT pid AS product_id, p_brand AS sku_id, term FROM part, (VALUES (1), (2), (3), (4), (5)) t(pid), LATERAL (SELECT unnest([p_brand, p_type]) AS term)), v AS (SELECT p_partkey, 1 + p_partkey % 5 AS product_id, unnest([p_type, p_brand]) AS value FROM part), n AS (SELECT p_partkey, v.product_id, sku_id, replace(lower(value), ' ', '') AS a, replace(lower(term), ' ', '') AS t FROM v JOIN s USING (product_id)), scored AS (SELECT p_partkey, product_id, sku_id, max(CASE WHEN a = t THEN 10000 + length(t) WHEN contains(a, t) THEN 5000 + length(t) WHEN contains(t, a) THEN 1000 + length(a) ELSE 0 END) AS score FROM n GROUP BY ALL), best AS (SELECT p_partkey, max(score) AS score FROM scored WHERE score > 0 GROUP BY p_partkey)"
 
 
-def _sku_scores(spark, sf_dir):
+def _best_sku(spark, sf_dir):
     rows = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5 + 1).alias("product_id"), "p_type", "p_brand")
-    return M.sku_scores(rows, skus(spark, sf_dir), ["p_partkey"], ["p_type", "p_brand"])
+    return M.best_sku(rows, skus(spark, sf_dir), ["p_partkey"], ["p_type", "p_brand"])
 
 
 @query(SKU_SQL + " SELECT p_partkey, CAST(score AS BIGINT) AS score, count(*) AS n_best, CASE WHEN count(*) = 1 THEN max(sku_id) END AS sku_id FROM scored JOIN best USING (p_partkey, score) GROUP BY p_partkey, score")
 def sku_top_score(spark, sf_dir):
-    return M.top_sku(_sku_scores(spark, sf_dir), ["p_partkey"]).withColumn("score", F.col("score").cast("bigint"))
+    return _best_sku(spark, sf_dir).withColumn("score", F.col("score").cast("bigint"))
 
 
 @query(SKU_SQL + " SELECT product_id, count(*) AS n_rows, CAST(count(*) FILTER (WHERE k > 1) AS BIGINT) AS n_ambiguous FROM (SELECT p_partkey, 1 + p_partkey % 5 AS product_id, count(*) AS k FROM scored JOIN best USING (p_partkey, score) GROUP BY p_partkey) GROUP BY product_id")
 def sku_ambiguous(spark, sf_dir):
-    top = M.top_sku(_sku_scores(spark, sf_dir), ["p_partkey"]).withColumn("product_id", F.col("p_partkey") % 5 + 1)
+    top = _best_sku(spark, sf_dir).withColumn("product_id", F.col("p_partkey") % 5 + 1)
     return top.groupBy("product_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n_best") > 1).alias("n_ambiguous"))
 
 

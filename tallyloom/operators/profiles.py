@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import text_value
 from tallyloom.operators.evidence import matches_class, span_ranges, values_at_path
-from tallyloom.operators.rules import ROW_FIELDS, project, resolve_profiles, row_of, run_steps, validation_errors
+from tallyloom.operators.rules import ROW_FIELDS, project, row_of, run_steps, validation_errors
 from tallyloom.operators.tasks import replay
 
 COLUMNS = ("product", "sales_attr1", "sales_attr2", "quantity", "remark", "image_match_text", "status", "review_reason")
@@ -77,23 +77,28 @@ def profile_rows(docs: DataFrame, key: str, profile: dict) -> DataFrame:
     return rows.select(key, "place", *[F.col(c).cast("bigint" if c == "quantity" else "string").alias(c) for c in COLUMNS])
 
 
+def judged(docs: DataFrame, key: str, profiles: list[dict]) -> DataFrame:
+    """(key, status, position, read) of each document: read holds the rows of the profile that counts, in order, and is null where none does.
+
+    Profiles that give no row don't count. Several results that differ are profile_ambiguous; of equal ones the last profile's rows stay.
+    Each document is read once by each profile, and its rows meet in one pass."""
+    row = F.struct("place", *COLUMNS)
+    none = F.array().cast("array<struct<place:array<int>," + ",".join(f"{c}:{'bigint' if c == 'quantity' else 'string'}" for c in COLUMNS) + ">>")
+    if not profiles:
+        return docs.select(key, F.lit("format_profile_missing").alias("status"), F.lit(None).cast("int").alias("position"), F.when(F.lit(False), none).alias("read"))
+    all_rows = reduce(DataFrame.unionByName, [profile_rows(docs, key, p).withColumn("position", F.lit(i)) for i, p in enumerate(profiles)])
+    results = all_rows.groupBy(key, "position").agg(F.array_sort(F.collect_list(row)).alias("read"))
+    result = F.sha2(F.to_json(F.transform("read", lambda r: F.struct(*[r[c] for c in COLUMNS]))), 256)
+    one = results.withColumn("result", result).groupBy(key).agg(F.min("result").alias("least"), F.max("result").alias("most"), F.max(F.struct("position", "read")).alias("last"))
+    held = docs.select(key).distinct().join(one, key, "left")
+    status = F.when(F.col("least").isNull(), "format_profile_missing").when(F.col("least") != F.col("most"), "profile_ambiguous").otherwise("parsed")
+    return held.withColumn("status", status).select(key, "status", *[F.when(F.col("status") == "parsed", F.col(f"last.{c}")).alias(c) for c in ("position", "read")])
+
+
 def parse_profiles(docs: DataFrame, key: str, profiles: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """(status of each document, rows of those that are parsed).
-
-    Profiles that give no row don't count. Several results that differ are profile_ambiguous; of equal ones the last profile's rows stay."""
-    all_rows = None
-    for i, p in enumerate(profiles):
-        part = profile_rows(docs, key, p).withColumn("position", F.lit(i))
-        all_rows = part if all_rows is None else all_rows.unionByName(part)
-    if all_rows is None:
-        none = [F.lit(None).cast("bigint" if c == "quantity" else "string").alias(c) for c in COLUMNS]
-        rows = docs.select(key, F.lit(None).cast("int").alias("position"), F.lit(None).cast("array<int>").alias("place"), *none).where("false")
-        return docs.select(key, F.lit("format_profile_missing").alias("status"), F.lit(None).cast("int").alias("position")), rows
-    result = F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", *COLUMNS))), lambda r: F.struct(*[r[c] for c in COLUMNS]))), 256)
-    results = all_rows.groupBy(key, "position").agg(result.alias("result"))
-    status = resolve_profiles(docs.select(key).join(results, key, "left"), [key], "position", "result")
-    chosen = all_rows.join(status.where("status = 'parsed'").select(key, "position"), [key, "position"])
-    return status, chosen.select(key, "position", "place", *COLUMNS)
+    """(status of each document, rows of those that are parsed); see judged()."""
+    found = judged(docs, key, profiles)
+    return found.select(key, "status", "position"), found.select(key, "position", F.explode("read").alias("r")).select(key, "position", "r.*")
 
 
 def replay_profile(docs: DataFrame, key: str, profile: dict, expected: DataFrame) -> DataFrame:
@@ -103,4 +108,4 @@ def replay_profile(docs: DataFrame, key: str, profile: dict, expected: DataFrame
     return replay(rows.select(key, "place", value.alias("value")), [key], expected)
 
 
-__all__ = ["COLUMNS", "ROW_FIELDS", "compatible", "parse_profiles", "profile_rows", "replay_profile"]
+__all__ = ["COLUMNS", "ROW_FIELDS", "compatible", "judged", "parse_profiles", "profile_rows", "replay_profile"]

@@ -15,9 +15,10 @@ from tallyloom.functions.text import child_label, nonempty, once, parent_label,
 from tallyloom.operators import nodes as N
 from tallyloom.operators.drafts import draft_rows, pack_findings, preferred_texts
 from tallyloom.operators.fingerprint import STRATEGIES, fingerprints, grammar_signature
-from tallyloom.operators.profiles import COLUMNS, parse_profiles
+from tallyloom.operators.profiles import COLUMNS, judged
 from tallyloom.operators.reading import payload_documents, source_texts
 from tallyloom.operators.tasks import MAX_CHARS, batch_status, json_depth
+from tallyloom.sources.shared import work_folder
 
 #: Reasons of records that are not read, in the order in which they are looked for; a capture's own warning comes before them.
 TOO_LONG, NOT_JSON, TOO_DEEP = "payload_too_long", "payload_not_json", "payload_too_deep"
@@ -57,27 +58,32 @@ def batch_documents(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where("fault is null").drop("fault"), docs.where("fault is not null").select("task_id", "record_id", "document", "parent_label", F.lit(None).cast("string").alias("fingerprint"), F.col("fault").alias("reason"))
 
 
-def _declarative(docs: DataFrame, policy: dict) -> tuple[DataFrame, DataFrame]:
-    """(rows by document, reason and fingerprint of each document), by the pack's profiles."""
+def _written(df: DataFrame) -> DataFrame:
+    """df as a work table, so that what several results are made of is worked out once."""
+    path = work_folder(df.sparkSession, "batch")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _declarative(docs: DataFrame, policy: dict) -> DataFrame:
+    """(doc, fingerprint, reason, rows in order) of each document, by the pack's profiles."""
     found = fingerprints(docs, "payload", "component", policy.get("fingerprint_strategy") or STRATEGIES[0])
-    marked = found.withColumn("grammar", grammar_signature(F.col("print_texts"), exact=False))
-    status, rows = parse_profiles(marked.select("doc", "payload", "fingerprint", "grammar"), "doc", policy["format_profiles"])
-    numbered = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", *COLUMNS))).alias("all"))  # one document's rows
-    each = numbered.select("doc", F.posexplode("all").alias("pos", "r")).select("doc", (F.col("pos") + 1).alias("row_index"), *[F.col(f"r.{c}").alias(c) for c in COLUMNS])
-    review = rows.groupBy("doc").agg(F.bool_or(F.col("status") == "needs_review").alias("open"))
-    reason = F.when(F.col("s.status") != "parsed", F.col("s.status")).when(F.coalesce(F.col("open"), F.lit(False)), "format_profile_incomplete")
-    reasons = marked.select("doc", "fingerprint").join(status.alias("s"), "doc", "left").join(review, "doc", "left").select("doc", "fingerprint", reason.alias("reason"))
-    return each, reasons
-
-
-def _heuristic(docs: DataFrame, policy: dict) -> tuple[DataFrame, DataFrame]:
-    """(rows by document, no reasons), by the text parser over each document's best source of texts."""
+    marked = _written(found.select("doc", "payload", "fingerprint", grammar_signature(F.col("print_texts"), exact=False).alias("grammar")))
+    each = marked.select("doc", "fingerprint").join(judged(marked, "doc", policy["format_profiles"]), "doc")
+    open_ = F.coalesce(F.exists("read", lambda r: r["status"] == "needs_review"), F.lit(False))
+    reason = F.when(F.col("status") != "parsed", F.col("status")).when(open_, "format_profile_incomplete")
+    return each.select("doc", "fingerprint", reason.alias("reason"), F.transform("read", lambda r: F.struct(*[r[c].alias(c) for c in COLUMNS])).alias("read"))
+
+
+def _heuristic(docs: DataFrame, policy: dict) -> DataFrame:
+    """(doc, fingerprint, reason, rows in order) of each document, by the text parser over its best source of texts; no reasons."""
     blocks = source_texts(docs.select("doc", "payload"), ["doc"], "payload", F.lit(""))
     best = preferred_texts(blocks, ["doc"], "path", ["text_order"])
     texts = best.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text_order", "text"))), lambda t: t["text"]), "\n").alias("text"))  # one document's texts
     rows = draft_rows(docs.select("doc").join(texts, "doc", "left"), "doc", "text", keywords=[(k["keyword"], k.get("reason", "")) for k in policy.get("special_keywords") or []], policy=policy)
-    reasons = docs.select("doc", F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast("string").alias("reason"))
-    return rows.select("doc", "row_index", *COLUMNS), reasons
+    read = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("row_index", *COLUMNS))).alias("read"))  # one document's rows
+    none = F.lit(None).cast("string")
+    return read.select("doc", none.alias("fingerprint"), none.alias("reason"), F.transform("read", lambda r: F.struct(*[r[c].alias(c) for c in COLUMNS])).alias("read"))
 
 
 def parse_batch(records: DataFrame, pack: dict | None) -> Batch:
@@ -91,14 +97,14 @@ def parse_batch(records: DataFrame, pack: dict | None) -> Batch:
         return Batch(rows, faults, records.select("task_id").distinct().withColumn("parse_status", F.lit(state)))
     policy = pack["parser_policy"]
     docs, faults = batch_documents(records)
-    found, reasons = (_declarative if policy.get("order_row_parser") == DECLARATIVE else _heuristic)(docs, policy)
-    read = docs.join(reasons, "doc").select("task_id", "record_id", "document", "doc", "parent_label", "fingerprint", "reason")
+    docs = _written(docs)
+    found = (_declarative if policy.get("order_row_parser") == DECLARATIVE else _heuristic)(docs, policy)
+    read = docs.select("task_id", "record_id", "document", "doc", "parent_label").join(found, "doc")
     # a document with a reason gives no rows
-    kept = found.join(read.where("reason is null").select("task_id", "record_id", "document", "doc", "parent_label"), "doc")
-    sizes = found.groupBy("doc").agg(F.count("*").alias("child_count"))
-    label = child_label(F.col("parent_label"), F.col("row_index"), F.col("child_count"))
-    rows = kept.join(sizes, "doc").select("task_id", "record_id", "document", F.col("row_index").cast("bigint").alias("row_index"), "parent_label", label.alias("child_label"), *COLUMNS)
-    diagnostics = read.drop("doc").unionByName(faults)
+    kept = read.where("reason is null").select("task_id", "record_id", "document", "parent_label", F.size("read").alias("child_count"), F.posexplode("read").alias("pos", "r"))
+    index = (F.col("pos") + 1).cast("bigint")
+    rows = kept.select("task_id", "record_id", "document", index.alias("row_index"), "parent_label", child_label(F.col("parent_label"), index, F.col("child_count")).alias("child_label"), *[F.col(f"r.{c}").alias(c) for c in COLUMNS])
+    diagnostics = read.select("task_id", "record_id", "document", "parent_label", "fingerprint", "reason").unionByName(faults)
     counts = diagnostics.groupBy("task_id").agg(F.count("*").alias("parent_count"), F.count_if(F.col("reason").isNotNull()).alias("unresolved_count"))
     children = rows.groupBy("task_id").agg(F.count("*").alias("child_count"))
     status = batch_status(diagnostics, ["task_id"], "reason").join(counts, "task_id").join(children, "task_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import compact, nonempty, plain, quantity_from_text, text_value
@@ -29,9 +29,8 @@ def source_rank(path: Column) -> Column:
 
 def preferred_texts(blocks: DataFrame, key: list[str], path: str, order: list[str]) -> DataFrame:
     """The blocks of each key's best source; of one source, only those of its first path."""
-    ranked = blocks.withColumn("__rank", F.struct(source_rank(F.col(path)).alias("r"), *order))
-    best = ranked.groupBy(*key).agg(F.min(F.struct("__rank", path)).alias("b")).select(*key, F.col(f"b.{path}").alias(path))
-    return blocks.join(best, [*key, path], "left_semi")
+    first = F.min(F.struct(F.struct(source_rank(F.col(path)).alias("r"), *order).alias("rank"), path)).over(Window.partitionBy(*key))
+    return blocks.withColumn("__best", first[path]).where(F.col(path) == F.col("__best")).drop("__best")
 
 
 def draft_rows(parents: DataFrame, key: str, text: str, quantity: str | None = None, remark: str | None = None, **options) -> DataFrame:

@@ -14,7 +14,7 @@ from tallyloom.operators import profiles as D
 from tallyloom.operators import reading as G
 from tallyloom.operators import tasks as K
 from tallyloom.plans.registry import query
-from tallyloom.plans.tables import cases, cases_sql, load
+from tallyloom.plans.tables import cases, cases_sql, load, spread
 
 #: Texts of every reading, with product, attributes, quantity, remark, status and review reason.
 READ = [
@@ -69,7 +69,7 @@ def paired_items(spark, sf_dir):
     name = lambda i: F.concat("p_name", F.lit(str(i)))
     label = lambda i: F.concat(F.lit("颜色:"), "p_brand", F.lit(f" 尺码:{30 + i}"))
     text = F.when(F.col("p_size") % 2 == 0, F.array_join(F.array(name(0), name(1), label(0), label(1)), "\n")).otherwise(F.array_join(F.array(name(0), label(0), name(1), label(1)), "\r\n"))
-    return load(spark, sf_dir, "part").select("p_partkey", F.posexplode(A.paired_lines(text)).alias("place", "item"))
+    return spread(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.posexplode(A.paired_lines(text)).alias("place", "item"))
 
 
 BRACKETS = [("甲，b(c,d)，e", "甲|b(c,d)|e", ""), ("x【甲,（z,w）,】,v;42", "x【甲,（z,w）,】|v;42", "x【甲,（z,w）,】,v|42"), ("),甲", ")|甲", ""), ("", "", ""), ("(a;41);甲", "(a;41);甲", ""), ("甲;(黑);38码", "甲;(黑);38码", "甲;(黑)|38码")]
@@ -86,7 +86,7 @@ def colour_suffixes(spark, sf_dir):
     third, product = F.col("p_size") % 3, F.concat(F.lit("新款透气跑步鞋"), "p_brand")
     line = F.when(third == 0, F.concat(product, F.lit("，黑白"))).when(third == 1, F.concat(product, F.lit("低帮深卡其"))).otherwise(F.concat(product, F.lit(" 颜色:深灰色")))
     got = A.attr1_suffix(line)
-    return load(spark, sf_dir, "part").select("p_partkey", got["product"].alias("product"), got["sales_attr1"].alias("sales_attr1"))
+    return spread(spark, sf_dir, "part", "p_partkey").select("p_partkey", got["product"].alias("product"), got["sales_attr1"].alias("sales_attr1"))
 
 
 LINES = [("甲/42", "甲", "42", "甲/42"), ("红甲 38.5", "红甲", "38.5", "红甲 38.5"), ("颜色:甲", "甲", "", "颜色:甲"), ("【新】甲，", "【新】甲", "", "新-甲"), ("【一二三四五六七八九】甲鞋，", "【一二三四五六七八九】甲鞋", "", "一二三四五六七八九】甲鞋")]
@@ -160,7 +160,7 @@ def profile_docs(spark, sf_dir):
     item = lambda name, q: F.struct(name.alias("n"), q.cast("string").alias("q"))
     payload = F.to_json(F.struct(F.struct(F.array(item(F.col("p_name"), F.col("p_size")), item(F.col("p_brand"), F.lit(2))).alias("items")).alias("data"), F.concat("p_name", F.lit("|"), "p_size", F.lit("件")).alias("text")))
     kind = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("p_size") % 4 + 1).cast("int"))
-    return load(spark, sf_dir, "part").select("p_partkey", payload.alias("payload"), kind.alias("fingerprint"), F.lit("g").alias("grammar"))
+    return spread(spark, sf_dir, "part", "p_partkey").select("p_partkey", payload.alias("payload"), kind.alias("fingerprint"), F.lit("g").alias("grammar"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT p_partkey, CASE f WHEN 'A' THEN 'parsed' WHEN 'B' THEN 'parsed' WHEN 'C' THEN 'profile_ambiguous' ELSE 'format_profile_missing' END AS status, CASE f WHEN 'A' THEN 0 WHEN 'B' THEN 2 END AS position FROM d")
@@ -185,7 +185,7 @@ def profile_replay(spark, sf_dir):
 def business_fingerprints(spark, sf_dir):
     text = lambda q: F.concat(F.lit('{"x":1,"n":"'), "p_name", F.lit('","q":'), q, F.lit("}"))
     items = F.array(text(F.concat(F.lit('"'), "p_size", F.lit('"'))), text(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise('"a"')))
-    return load(spark, sf_dir, "part").select("p_partkey", P.business_fingerprint(F.lit("CN-PACKAGE-ITEMS"), F.lit(" CaiNiao"), F.transform(items, F.parse_json), ["q", "n", "absent"]).alias("fingerprint"))
+    return spread(spark, sf_dir, "part", "p_partkey").select("p_partkey", P.business_fingerprint(F.lit("CN-PACKAGE-ITEMS"), F.lit(" CaiNiao"), F.transform(items, F.parse_json), ["q", "n", "absent"]).alias("fingerprint"))
 
 
 # ---- fingerprints of nested payloads ----
@@ -203,7 +203,7 @@ NESTED = [
 
 def nested_payloads(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit('{"task":{"documents":[{"contents":[{"data":' + t + "}]}]}}") for t, _, _ in NESTED]), (F.col("event_id") % len(NESTED) + 1).cast("int"))
-    return load(spark, sf_dir, "events").select("event_id", F.replace(kind, F.lit("@"), F.col("props")).alias("payload"), F.col("event_type").alias("component"))
+    return spread(spark, sf_dir, "events", "event_id").select("event_id", F.replace(kind, F.lit("@"), F.col("props")).alias("payload"), F.col("event_type").alias("component"))
 
 
 NESTED_SQL = "n(i, code, shape) AS (VALUES " + ", ".join(f"({i}, '{c}', '{x}')" for i, (_, c, x) in enumerate(NESTED)) + ")"
@@ -244,7 +244,7 @@ def raw_records(spark, sf_dir):
     kind = F.col("p_partkey") % len(RECORDS)
     payload = F.replace(F.element_at(F.array(*[F.lit(r) for r in RECORDS]), (kind + 1).cast("int")), F.lit("@"), F.col("p_name"))
     warning = F.when(kind == 3, "source_history_ambiguous")
-    return load(spark, sf_dir, "part").select((F.col("p_partkey") % 12).alias("task_id"), F.col("p_partkey").alias("record_id"), F.lit("CaiNiao ").alias("component"), payload.alias("payload"), warning.alias("warning"))
+    return spread(spark, sf_dir, "part", "p_partkey").select((F.col("p_partkey") % 12).alias("task_id"), F.col("p_partkey").alias("record_id"), F.lit("CaiNiao ").alias("component"), payload.alias("payload"), warning.alias("warning"))
 
 
 RECORDS_SQL = "r AS (SELECT p_partkey % 12 AS task_id, p_partkey AS record_id, p_partkey % 6 AS kind, p_name FROM part)"
@@ -281,7 +281,7 @@ def samples(spark, sf_dir):
     kind, t = F.col("event_id") % 3, F.col("event_type")
     doc = F.concat(F.lit('{"task":{"documents":[{"data":{"product":"红鞋,'), t, F.lit('"},"printXML":"<a><text><![CDATA[第一'), t, F.lit(']]></text><text>第二</text></a>"},{"rowid":"7"}]}}'))
     payload = F.when(kind == 0, doc).when(kind == 1, F.concat(F.lit('{"product":"红鞋 '), t, F.lit('"}'))).otherwise("no JSON")
-    rows = load(spark, sf_dir, "events").select("event_id", payload.alias("payload"), F.when(F.col("user_id") % 2 == 0, " memo").otherwise("").alias("memo"))
+    rows = spread(spark, sf_dir, "events", "event_id").select("event_id", payload.alias("payload"), F.when(F.col("user_id") % 2 == 0, " memo").otherwise("").alias("memo"))
     return G.reading_samples(rows, "event_id", "payload", ["memo"])
 
 
@@ -320,7 +320,7 @@ def draft_rows(spark, sf_dir):
     kind = F.col("p_size") % 4
     two = F.concat(F.col("p_name"), F.lit(" *2\n颜色: 红 尺码: 40"))
     four = F.concat(F.col("p_name"), F.lit("a\n"), F.col("p_name"), F.lit("b\n颜色:黑\n颜色:白"))
-    parents = load(spark, sf_dir, "part").select("p_partkey", F.when(kind == 0, two).when(kind == 1, four).when(kind == 2, " ").otherwise("auto").alias("text"))
+    parents = spread(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.when(kind == 0, two).when(kind == 1, four).when(kind == 2, " ").otherwise("auto").alias("text"))
     return T.draft_rows(parents, "p_partkey", "text").select("p_partkey", F.col("row_index").cast("int").alias("row_index"), "product", "quantity", "status", "review_reason")
 
 

@@ -15,7 +15,7 @@ from tallyloom.operators import reading as R
 from tallyloom.operators import records as S
 from tallyloom.operators import report as L
 from tallyloom.operators import rules as U
-from tallyloom.plans.tables import PRODUCTS, RULES, WINDOWS, load, order_rows, skus
+from tallyloom.plans.tables import PRODUCTS, RULES, WINDOWS, load, order_rows, skus, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -457,7 +457,7 @@ def part_spans(part):
 
 @query("WITH t AS (SELECT p_partkey, p_brand AS b, length(p_brand) AS n, CAST(10 + p_size % 80 AS VARCHAR) AS z, 10 + p_size % 80 BETWEEN 25 AND 59 AS sized, regexp_matches(p_brand, '(^|[^0-9])(2[5-9]|[3-5][0-9])$') AS branded FROM part) SELECT p_partkey, 'text' AS token_class, CAST(0 AS BIGINT) AS start, CAST(n + 4 AS BIGINT) AS end, b || '/' || z || '双' AS original_text FROM t UNION ALL SELECT p_partkey, 'delimiter_segment', 0, CASE WHEN branded THEN n - 2 ELSE n END, CASE WHEN branded THEN left(b, n - 2) ELSE b END FROM t UNION ALL SELECT p_partkey, 'positive_integer_quantity', n + 1, n + 3, z FROM t UNION ALL SELECT p_partkey, 'shoe_size_like_numeric_segment', n + 1, n + 3, z FROM t WHERE sized UNION ALL SELECT p_partkey, 'shoe_size_like_numeric_segment', n - 2, n, right(b, 2) FROM t WHERE branded")
 def evidence_spans(spark, sf_dir):
-    return part_spans(load(spark, sf_dir, "part"))
+    return part_spans(spread(spark, sf_dir, "part", "p_partkey"))
 
 
 @query("SELECT event_id, 'items[' || i || '].k' AS value_path, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events, (VALUES ('0'), ('1')) v(i)")
@@ -539,7 +539,7 @@ def special_keyword(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name AS product, p_brand AS sales_attr1, CAST(20 + p_size % 30 AS VARCHAR) AS sales_attr2, CAST(2 AS BIGINT) AS quantity, 'draft' AS status FROM part")
 def heuristic_parse(spark, sf_dir):
-    part = load(spark, sf_dir, "part")
+    part = spread(spark, sf_dir, "part", "p_partkey")
     size = (F.col("p_size") % 30 + 20).cast("string")
     t = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("【"), "p_name", F.lit("】"), "p_brand", F.lit("/"), size, F.lit(" *2"))).otherwise(F.concat("p_name", F.lit("，"), "p_brand", F.lit("，"), size, F.lit("码 x2")))
     return A.parse_items(part.withColumn("item", t), "item").select("p_partkey", "product", "sales_attr1", "sales_attr2", "quantity", "status")

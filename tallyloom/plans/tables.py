@@ -25,6 +25,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt by its key, for work that takes long for each row: a small file is read by one task or a few, however many rows it has."""
+    return load(spark, sf_dir, name).repartition(key)
+
+
 def _cell(v) -> str:
     if v is None:
         return "NULL"
@@ -44,7 +49,7 @@ def cases_sql(names: str, rows: list[tuple], own: str = "甲") -> str:
 def cases(spark: SparkSession, sf_dir: str, texts: list[str], name: str = "item", own: str = "甲") -> DataFrame:
     """All parts (p_partkey) with the text of the case that each is dealt, in which the part's name, with hyphens for its spaces, stands for `own`."""
     of = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts) + 1).cast("int"))
-    return load(spark, sf_dir, "part").select("p_partkey", F.replace(of, F.lit(own), F.replace("p_name", F.lit(" "), F.lit("-"))).alias(name))
+    return spread(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.replace(of, F.lit(own), F.replace("p_name", F.lit(" "), F.lit("-"))).alias(name))
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,22 +56,24 @@ def workbook_diff(left: DataFrame, right: DataFrame, key: list[str] = ("book", "
     """(key, kind, row, col, left_value, right_value, moved_to) of what differs between two workbooks, by sheet, row and column.
 
     Rows that stand elsewhere in the same sheet are `moved` (from row, to moved_to), copies of a row in their order. Cells of the other
-    rows are `changed`, `missing` on the right or `added` there. Blank cells at the end of a row, and blank rows, don't count."""
+    rows are `changed`, `missing` on the right or `added` there. Blank cells at the end of a row, and blank rows, don't count.
+
+    Books are sorted and merged: a broadcast of rows whose compressed file looks small would bring them all to the driver."""
     key = list(key)
     one, two = (_rows(b, key) for b in (left, right))
-    same = one.join(two, [*key, "row", "content"]).select(*key, "row")
+    same = one.hint("merge").join(two, [*key, "row", "content"]).select(*key, "row")
     apart = []
     for b in (one, two):
-        rest = b.join(same, [*key, "row"], "left_anti")
+        rest = b.hint("merge").join(same, [*key, "row"], "left_anti")
         apart.append(rest.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "content").orderBy("row"))))
     a, b = apart
-    moved = a.select(*key, "content", "copy", "row").join(b.select(*key, "content", "copy", F.col("row").alias("moved_to")), [*key, "content", "copy"])
+    moved = a.select(*key, "content", "copy", "row").hint("merge").join(b.select(*key, "content", "copy", F.col("row").alias("moved_to")), [*key, "content", "copy"])
     gone = moved.select(*key, "row", F.lit("moved").alias("kind"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value"), "moved_to")
     cells = []
     for side, at in ((a, "row"), (b, "moved_to")):
-        open_rows = side.join(moved.select(*key, F.col(at).alias("row")), [*key, "row"], "left_anti")
+        open_rows = side.hint("merge").join(moved.select(*key, F.col(at).alias("row")), [*key, "row"], "left_anti")
         cells.append(open_rows.select(*key, "row", F.posexplode("cells").alias("col", "value")).where("value != ''"))
-    both = cells[0].withColumnRenamed("value", "left_value").join(cells[1].withColumnRenamed("value", "right_value"), [*key, "row", "col"], "full")
+    both = cells[0].withColumnRenamed("value", "left_value").hint("merge").join(cells[1].withColumnRenamed("value", "right_value"), [*key, "row", "col"], "full")
     kind = F.when(F.col("left_value").isNull(), "added").when(F.col("right_value").isNull(), "missing").otherwise("changed")
     differ = both.where(~F.col("left_value").eqNullSafe(F.col("right_value")))
     out = differ.select(*key, "row", kind.alias("kind"), (F.col("col") + 1).alias("col"), "left_value", "right_value", F.lit(None).cast("bigint").alias("moved_to"))

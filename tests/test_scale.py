@@ -75,3 +75,17 @@ def test_rows_of_small_files_are_dealt(spark, data):
 
     dealt = [parsing.raw_records(spark, data), parsing.profile_docs(spark, data), parsing.nested_payloads(spark, data), parsing.samples(spark, data), registry.QUERIES["heuristic_parse"](spark, data), registry.QUERIES["evidence_spans"](spark, data)]
     assert all("RepartitionByExpression" in plan_of(df) for df in dealt)
+
+
+def test_workbooks_are_not_broadcast(spark, data):
+    from tallyloom.plans import books
+
+    plan = books.workbook_diff(spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_pending_orders_meet_distinct_keys_once(spark, data):
+    from tallyloom.plans import registry
+
+    plan = plan_of(registry.pending_union(spark, data))
+    assert plan.count("Join") == 1 and "Aggregate" in plan and "Union" not in plan
